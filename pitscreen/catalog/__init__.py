@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["inputs", "study"]
+AREAS = ["inputs", "study", "chain"]
 
 
 def load():

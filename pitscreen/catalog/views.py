@@ -94,7 +94,7 @@ WITH a AS (
  SELECT s.*, ticker AS symbol, CAST(fiscal_year AS VARCHAR) AS period, book_value AS equity_section,
         book_value AS owner_equity,
         CASE WHEN firm_no % 4 = 0 THEN round(book_value * 0.05, 4) END AS minority_interest,
-        CASE WHEN fiscal_year % 2 = 0 THEN shares_outstanding * 10000
+        CASE WHEN firm_no % 3 = 0 THEN firm_no * 2.0e7 WHEN fiscal_year % 2 = 0 THEN shares_outstanding * 10000
              ELSE floor(shares_outstanding / 500) * 500.0 * 10000 END AS paid_in_capital,
         CASE WHEN firm_no % 5 = 0 THEN -1000.0::DOUBLE * firm_no WHEN firm_no % 5 = 1 THEN 0.0 END AS treasury_stock,
         revenue AS net_sales,
@@ -130,7 +130,7 @@ FROM (SELECT *, CAST(symbol AS INTEGER) AS n FROM vendor_statements), (SELECT un
 VIEWS["coverage_grid"] = """
 SELECT ticker AS symbol,
 """ + ",\n".join(
-    f"CAST(sum(CASE WHEN fiscal_year = {y} THEN least(CAST(ticker AS INTEGER) % 5, 4) ELSE 0 END) AS INTEGER) AS \"{y}\""
+    f"CAST(sum(CASE WHEN fiscal_year = {y} THEN least(CAST(ticker AS INTEGER) % 8, 4) ELSE 0 END) AS INTEGER) AS \"{y}\""
     for y in range(1995, 2002)) + "\nFROM statements GROUP BY ticker"
 
 

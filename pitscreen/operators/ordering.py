@@ -91,11 +91,14 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str,
     sketch = have.groupBy(*by).agg(
         F.count("*").alias("_n"), F.percentile_approx("_v", edges, ACCURACY).alias("_e"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    # Beyond ACCURACY rows the slack exceeds the sketch's error by at least one rank; a
+    # smaller group is its own band.
+    small = F.col("_n") <= ACCURACY
     bands = F.array(*[
         F.struct(F.lit(name).alias("q"), F.lit(probs[name]).alias("p"),
-                 F.when(F.lit(probs[name] <= slack), F.col("_min"))
+                 F.when(small | F.lit(probs[name] <= slack), F.col("_min"))
                  .otherwise(F.col("_e")[2 * i]).alias("lo"),
-                 F.when(F.lit(probs[name] >= 1 - slack), F.col("_max"))
+                 F.when(small | F.lit(probs[name] >= 1 - slack), F.col("_max"))
                  .otherwise(F.col("_e")[2 * i + 1]).alias("hi"))
         for i, name in enumerate(names)])
     sketch = sketch.select(*by, "_n", bands.alias("_bands"))

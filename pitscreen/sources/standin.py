@@ -191,7 +191,7 @@ class Tables:
                 .withColumn("long_term_liabilities",
                             c("total_liabilities") - c("current_liabilities"))
                 .withColumn("minority_interest", minority)
-                .withColumn("paid_in_capital", F.when(
+                .withColumn("paid_in_capital", F.when(n % 3 == 0, n * 2.0e7).when(
                     c("fiscal_year") % 2 == 0, c("shares_outstanding") * PAR_VALUE)
                     .otherwise(F.floor(c("shares_outstanding") / 500) * 500.0 * PAR_VALUE))
                 .withColumn("treasury_stock", F.when(n % 5 == 0, -1000.0 * n)
@@ -269,6 +269,6 @@ class Tables:
         """symbol x year counts of statements on file (0 to 3)."""
         n = F.col("ticker").cast("int")
         years = [F.sum(F.when(F.col("fiscal_year") == y, F.least(
-            n % 5, F.lit(4)).cast("int")).otherwise(0)).cast("int").alias(str(y))
+            n % 8, F.lit(4)).cast("int")).otherwise(0)).cast("int").alias(str(y))
             for y in range(1995, 2002)]
         return self.statements.groupBy("ticker").agg(*years).withColumnRenamed("ticker", "symbol")
