@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["inputs", "study", "chain"]
+AREAS = ["inputs", "study", "chain", "grid"]
 
 
 def load():

@@ -148,7 +148,7 @@ base AS (SELECT n.formation_year, n.ticker,
 SELECT g.formation_year, g.ticker, g.date, b.last_trade,
        CASE WHEN p.date >= make_date(g.formation_year, 7, 1) - 7 THEN p.adj_close / b.base ELSE 1.0 END AS g
 FROM (SELECT n.*, s.date FROM n JOIN hold_sessions s ON s.formation_year = n.formation_year) g
-JOIN base b ON b.formation_year = g.formation_year AND b.ticker = g.ticker
+LEFT JOIN base b ON b.formation_year = g.formation_year AND b.ticker = g.ticker
 ASOF LEFT JOIN prices p ON p.ticker = g.ticker AND p.date <= g.date
 """
 
