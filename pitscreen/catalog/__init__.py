@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["inputs", "study", "chain", "grid"]
+AREAS = ["inputs", "study", "chain", "grid", "series", "tables", "reports"]
 
 
 def load():

@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql.types import DoubleType
 
 from pitscreen.functions.dates import available_date, formation_date
 from pitscreen.functions.numeric import safe_div
@@ -57,7 +58,7 @@ def to_usd(local: DataFrame, fx: DataFrame, key: str = "ticker") -> DataFrame:
             .where(F.col("r").isNotNull()).select(key, "date", "r"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided_normal(t: pd.Series) -> pd.Series:
     return t.map(lambda x: math.erfc(abs(x) / math.sqrt(2.0)) if pd.notna(x) else None)
 

@@ -272,3 +272,74 @@ class Tables:
             n % 8, F.lit(4)).cast("int")).otherwise(0)).cast("int").alias(str(y))
             for y in range(1995, 2002)]
         return self.statements.groupBy("ticker").agg(*years).withColumnRenamed("ticker", "symbol")
+
+    @cached_property
+    def fact_rows(self) -> DataFrame:
+        """One row per company fact: first prints, restatements, other tags and durations."""
+        sql = FACTS_SQL.format(src="{src}").replace('"end"', "`end`")
+        return self.spark.sql(sql, src=self.statements).where(F.col("val").isNotNull())
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        """(ticker, facts): nested as delivered; a company has a few facts a year."""
+        f = self.fact_rows
+        fact = F.struct(F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"),
+                        "val", F.col("filed").cast("string").alias("filed"), "form")
+        lists = f.groupBy("ticker", "taxonomy", "tag", "unit").agg(
+            F.sort_array(F.collect_list(F.struct("pos", fact.alias("f")))).alias("l"))
+        units = lists.groupBy("ticker", "taxonomy", "tag").agg(F.map_from_entries(F.collect_list(
+            F.struct("unit", F.col("l.f")))).alias("units"))
+        tags = units.groupBy("ticker", "taxonomy").agg(F.map_from_entries(F.collect_list(
+            F.struct("tag", F.struct("units")))).alias("tags"))
+        return tags.groupBy("ticker").agg(F.map_from_entries(F.collect_list(
+            F.struct("taxonomy", "tags"))).alias("facts"))
+
+    @cached_property
+    def membership_history(self) -> DataFrame:
+        """Snapshots (date, comma list), a hundred names a row, symbols as typed by the source."""
+        m = self.membership.withColumn("n", F.col("ticker").cast("int"))
+        return (m.groupBy(F.add_months("date", -4).alias("date"), F.floor(F.col("n") / 100).alias("c"))
+                .agg(F.concat_ws(",", F.collect_list(F.concat(F.lit(" t."), "ticker"))).alias("tickers"))
+                .select("date", "tickers"))
+
+
+# (taxonomy, tag, unit, start, end, value, filed, form, condition) over the statements.
+_FACTS = [
+    ("us-gaap", "Assets", "USD", None, "e", "total_assets", "e + 40 + firm_no % 15", "10-K", "true"),
+    ("us-gaap", "Assets", "USD", None, "e", "total_assets * 1.1", "e + 400", "10-K", "true"),
+    ("us-gaap", "Assets", "USD", None, "e", "total_assets * 0.9", "e + 10", "8-K", "firm_no % 2 = 0"),
+    ("us-gaap", "NetIncomeLoss", "USD", "b", "e", "net_income", "e + 40 + firm_no % 15", "10-K", "true"),
+    ("us-gaap", "NetIncomeLoss", "USD", "e - 90", "e", "net_income * 0.25", "e + 5", "10-K", "true"),
+    ("us-gaap", "NetCashProvidedByUsedInOperatingActivities", "USD", "b", "e", "cfo",
+     "e + 60", "10-K", "firm_no % 2 = 0"),
+    ("us-gaap", "NetCashProvidedByUsedInOperatingActivitiesContinuingOperations", "USD", "b", "e",
+     "cfo * 1.01", "e + 60", "10-K", "true"),
+    ("us-gaap", "Revenues", "USD", "b", "e", "revenue", "e + 50", "10-K", "fiscal_year < 1998 OR firm_no % 3 = 0"),
+    ("us-gaap", "RevenueFromContractWithCustomerExcludingAssessedTax", "USD", "b", "e",
+     "revenue * 1.02", "e + 45 + firm_no % 10", "10-K", "fiscal_year >= 1998"),
+    ("us-gaap", "CostOfRevenue", "USD", "b", "e", "cogs", "e + 50", "10-K", "firm_no % 4 <> 0"),
+    ("us-gaap", "GrossProfit", "USD", "b", "e", "revenue - cogs", "e + 50", "10-K", "true"),
+    ("us-gaap", "ProceedsFromIssuanceOfCommonStock", "USD", "b", "e", "equity_issued", "e + 50", "10-K", "true"),
+    ("us-gaap", "AssetsCurrent", "USD", None, "e", "current_assets", "e + 50", "10-K", "true"),
+    ("us-gaap", "LiabilitiesCurrent", "USD", None, "e", "current_liabilities", "e + 50", "10-K", "true"),
+    ("us-gaap", "StockholdersEquity", "USD", None, "e", "book_value", "e + 50", "10-K", "firm_no % 9 <> 0"),
+    ("us-gaap", "LongTermDebtNoncurrent", "USD", None, "e", "long_term_debt",
+     "e + 50 + firm_no % 7 * 20", "10-K", "firm_no % 5 <> 0"),
+    ("us-gaap", "CommonStockSharesOutstanding", "shares", None, "e - 5", "shares_outstanding * 0.6",
+     "e + 50", "10-K", "firm_no % 2 = 0"),
+    ("us-gaap", "CommonStockSharesOutstanding", "shares", None, "e - 5", "shares_outstanding * 0.4",
+     "e + 50", "10-K", "firm_no % 2 = 0"),
+    ("dei", "EntityCommonStockSharesOutstanding", "shares", None, "e + 30", "shares_outstanding",
+     "e + 60", "10-Q", "firm_no % 3 <> 0"),
+    ("us-gaap", "WeightedAverageNumberOfSharesOutstandingBasic", "shares", "b", "e",
+     "shares_outstanding * 0.99", "e + 50", "10-K", "true"),
+]
+
+FACTS_SQL = ("WITH s AS (SELECT ticker, CAST(firm_no AS INT) AS firm_no, fiscal_year, total_assets, net_income, cfo, "
+             "long_term_debt, current_assets, current_liabilities, shares_outstanding, equity_issued, "
+             "revenue, cogs, book_value, make_date(fiscal_year, 12, 31) AS e, make_date(fiscal_year, 1, 1) AS b FROM {src})\n"
+             + "\nUNION ALL\n".join(
+    f"SELECT ticker, '{tax}' AS taxonomy, '{tag}' AS tag, '{unit}' AS unit, "
+    f"{('CAST(' + start + ' AS DATE)') if start else 'CAST(NULL AS DATE)'} AS start, CAST({end} AS DATE) AS \"end\", "
+    f"CAST({val} AS DOUBLE) AS val, CAST({filed} AS DATE) AS filed, '{form}' AS form, {i} AS pos FROM s WHERE {cond}"
+    for i, (tax, tag, unit, start, end, val, filed, form, cond) in enumerate(_FACTS)))
