@@ -513,10 +513,13 @@ SELECT symbol, period, price_date, entry_lead_days, price_traded, round(close_ra
           "close_raw": F.round("close_raw", 4), "close_adj": F.round("close_adj", 4)}))
 
 query("panel_key_agreement", "J10 O3", """
-SELECT 0::BIGINT AS scores_only, 0::BIGINT AS bm_only, 0::BIGINT AS turnover_only""")(
+SELECT (SELECT count(*) FROM (SELECT symbol, period FROM vscores EXCEPT SELECT symbol, period FROM vbm)) AS scores_only,
+ (SELECT count(*) FROM (SELECT symbol, period FROM vbm EXCEPT SELECT symbol, period FROM vscores)) AS bm_only,
+ (SELECT count(*) FROM (SELECT symbol, period FROM vtrade EXCEPT SELECT symbol, period FROM vbm)) AS turnover_only""", "vscores vbm vtrade")(
     lambda t: chain(t).key_differences())
 
-query("share_column_agreement", "J10", "SELECT 0::BIGINT AS rows")(
+query("share_column_agreement", "J10", """
+SELECT count(*) AS rows FROM vbm a JOIN vtrade b USING (symbol, period) WHERE a.shares IS DISTINCT FROM b.shares OR a.shares_source <> b.shares_source""", "vbm vtrade")(
     lambda t: chain(t).share_disagreements())
 
 query("final_panel", "J7 J10 N9 N10", """
@@ -584,9 +587,14 @@ SELECT f.symbol AS ticker, CAST(period AS INTEGER) AS score_year, CAST(period AS
 FROM vfinal f LEFT JOIN sectors s ON s.ticker = f.symbol WHERE investable""", "vfinal sectors")(
     lambda t: chain(t).export().withColumn("bm", F.round("bm", 6)))
 
+_FLAG_SUM = " + ".join(f"CAST({f} AS INTEGER)" for f in P.EXPORT_FLAGS)
+_CLAUSES = [("score_year present", "period IS NULL"), ("ticker present", "symbol IS NULL"), ("fscore present", "f_score IS NULL"),
+            ("sector present", "false"), ("bm present", "bm IS NULL"), ("score in 0..9", "NOT f_score BETWEEN 0 AND 9"),
+            ("flags binary", " OR ".join(f"{f} IS NULL" for f in P.EXPORT_FLAGS)),
+            ("flags sum to score", f"{_FLAG_SUM} <> f_score"), ("bm positive", "NOT bm > 0")]
 query("export_contract", "V10", """
-SELECT * FROM (VALUES ('unique on (score_year, ticker)', 0::BIGINT), ('score_year present', 0), ('ticker present', 0), ('fscore present', 0), ('sector present', 0),
- ('bm present', 0), ('score in 0..9', 0), ('flags binary', 0), ('flags sum to score', 0), ('bm positive', 0)) t("check", failing)""")(
+SELECT 'unique on (score_year, ticker)' AS "check", count(*) - count(DISTINCT (symbol, period)) AS failing FROM vfinal WHERE investable
+""" + "".join(f"UNION ALL SELECT '{n}', count(*) FILTER ({bad}) FROM vfinal WHERE investable\n" for n, bad in _CLAUSES), "vfinal")(
     lambda t: chain(t).export_contract())
 
 query("export_prices", "S6 P13 P21", """
@@ -604,5 +612,6 @@ query("index_levels", "S16", """
 SELECT symbol AS ticker, date, round(price_close * unit / adj_ratio, 4) AS adj_close, total_volume AS volume FROM vbars WHERE symbol = 'INDEX'""",
       "vbars")(lambda t: N.index_levels(chain(t).bars, ["INDEX"]).withColumn("adj_close", F.round("adj_close", 4)))
 
-query("absent_benchmarks", "S16 J4", "SELECT 'NOSUCH' AS symbol")(
+query("absent_benchmarks", "S16 J4", """
+SELECT s AS symbol FROM (SELECT unnest(['INDEX', 'NOSUCH']) AS s) WHERE s NOT IN (SELECT symbol FROM vbars)""", "vbars")(
     lambda t: N.absent_symbols(chain(t).bars, ["INDEX", "NOSUCH"]))

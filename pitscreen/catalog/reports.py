@@ -42,17 +42,21 @@ SELECT score_year, fiscal_year, ticker, fscore, f_roa, f_cfo, f_droa, f_accrual,
       "signals sectors membership")(
     lambda t: R.publishable_panel(S.score_panel(t.fundamentals, t.sectors, t.membership)))
 
-query("formation_feasibility", "N15", """
+FEASIBILITY_SQL = """
 WITH y AS (SELECT CAST(unnest(range(1995, 2003)) AS INTEGER) AS formation_year),
 f AS (SELECT formation_year, count(*) AS n FROM pit GROUP BY 1), u AS (SELECT formation_year, count(*) AS n FROM universe GROUP BY 1), v AS (SELECT formation_year, count(*) AS n FROM value_set GROUP BY 1),
 a AS (SELECT y.formation_year, coalesce(f.n, 0) AS s, coalesce(u.n, 0) AS universe, coalesce(v.n, 0) AS value_names FROM y LEFT JOIN f USING (formation_year) LEFT JOIN u USING (formation_year) LEFT JOIN v USING (formation_year)),
 r AS (SELECT *, CASE WHEN s = 0 THEN 'no point-in-time statements' WHEN value_names < 10 THEN 'high-B/M subset ' || value_names || ' < basket 10'
  WHEN make_date(formation_year + 1, 6, 30) > DATE '2000-12-31' THEN 'holding year ends ' || (formation_year + 1) || '-06-30, past the 2000-12-31 evaluation end' ELSE '' END AS reason FROM a)
+"""
+
+query("formation_feasibility", "N15", FEASIBILITY_SQL + """
 SELECT formation_year, universe, value_names, reason = '' AS usable, reason FROM r""", "pit universe value_set")(
     lambda t: U.feasibility(study(t).value_set, study(t).snapshot, study(t).universe, t.prices, 10, 1995, 2002, "2000-12-31"))
 
-query("feasibility_table", "E24", """
-SELECT 'us' AS market, 8::BIGINT AS examined, 3::BIGINT AS usable, 1997::INTEGER AS first_usable, 1999::INTEGER AS last_usable, 4::BIGINT AS no_statements, 1::BIGINT AS past_end, 0::BIGINT AS other""")(
+query("feasibility_table", "E24", FEASIBILITY_SQL + """
+SELECT 'us' AS market, count(*) AS examined, count(*) FILTER (reason = '') AS usable, min(formation_year) FILTER (reason = '') AS first_usable, max(formation_year) FILTER (reason = '') AS last_usable,
+ count(*) FILTER (s = 0) AS no_statements, count(*) FILTER (reason LIKE '%evaluation end%') AS past_end, count(*) FILTER (reason LIKE 'high%') AS other FROM r""", "pit universe value_set")(
     lambda t: R.feasibility_table(U.feasibility(study(t).value_set, study(t).snapshot, study(t).universe, t.prices, 10, 1995, 2002, "2000-12-31")
                                   .withColumn("market", F.lit("us"))))
 
@@ -88,7 +92,8 @@ FROM book_metrics f JOIN head_metrics h USING (book) LEFT JOIN p USING (book) LE
                                headline(t).placement().withColumn("book", F.lit("score_EW")))))
 
 query("sample_windows", "E24", """
-SELECT 'us' AS market, 1998::INTEGER AS headline_first, 2000::INTEGER AS headline_last, 3::BIGINT AS headline_formations, 1997::INTEGER AS full_first, 2000::INTEGER AS full_last, 4::BIGINT AS full_formations""")(
+SELECT 'us' AS market, min(formation_year) FILTER (formation_year >= 1998) AS headline_first, max(formation_year) FILTER (formation_year >= 1998) AS headline_last,
+ count(DISTINCT formation_year) FILTER (formation_year >= 1998) AS headline_formations, min(formation_year) AS full_first, max(formation_year) AS full_last, count(DISTINCT formation_year) AS full_formations FROM universe""", "universe")(
     lambda t: R.sample_windows(headline(t).universe.withColumn("market", F.lit("us")), study(t).universe.withColumn("market", F.lit("us"))))
 
 query("cross_country", "E24", """

@@ -189,7 +189,7 @@ def price_windows(panel: DataFrame, prices: DataFrame, months: int = 36, least:
     # every date of the exported prices is a session; the first of a window has no return
     days = bars.select(YEAR, "date").distinct().withColumn(
         "s", F.row_number().over(W.partitionBy(YEAR).orderBy("date")))
-    size = days.groupBy(YEAR).agg((F.max("s") - 1).alias("window_sessions"))
+    size = days.groupBy(YEAR).agg((F.max("s") - 1).cast("bigint").alias("window_sessions"))
     first = (own.join(F.broadcast(days), [YEAR, "date"]).groupBy(YEAR, "ticker").agg(F.min("s").alias("f")))
     t = (names.join(first, [YEAR, "ticker"], "left").join(F.broadcast(size), YEAR)
          .withColumn("need", F.greatest(F.lit(least), F.floor(F.col("window_sessions") / 2)))
