@@ -460,16 +460,16 @@ query("window_calendar", "N1 A4", "SELECT * FROM vcalendar", "vcalendar")(
     lambda t: N.window_calendar(chain(t).bars))
 
 query("window_volumes", "N2", """
-SELECT symbol, formation_year, bars, traded_sessions, deal_volume, total_volume, round(deal_value, 4) AS deal_value, last_bar FROM vwindow""",
-      "vwindow")(lambda t: N.window_volumes(chain(t).bars).withColumn("deal_value", F.round("deal_value", 4)))
+SELECT symbol, formation_year, bars, traded_sessions, deal_volume, total_volume, round(deal_value, 7) AS deal_value, last_bar FROM vwindow""",
+      "vwindow")(lambda t: N.window_volumes(chain(t).bars).withColumn("deal_value", F.round("deal_value", 7)))
 
 query("turnover_screen", "N3 N4 J13", """
 SELECT symbol, period, formation_year, traded_pct, round(turnover, 9) AS turnover, round(turnover_issued, 9) AS turnover_issued,
- round(turnover_total, 9) AS turnover_total, putthrough_pct, round(adtv, 4) AS adtv, round(min_turnover, 9) AS min_turnover, tradeable FROM vtrade""",
+ round(turnover_total, 9) AS turnover_total, putthrough_pct, round(adtv, 1) AS adtv, round(min_turnover, 9) AS min_turnover, tradeable FROM vtrade""",
       "vtrade")(lambda t: chain(t).turnover.select(
           "symbol", "period", "formation_year", "traded_pct", *[F.round(c, 9).alias(c) for c in (
               "turnover", "turnover_issued", "turnover_total", "min_turnover")],
-          "putthrough_pct", F.round("adtv", 4).alias("adtv"), "tradeable"))
+          "putthrough_pct", F.round("adtv", 1).alias("adtv"), "tradeable"))
 
 query("turnover_coverage", "N5 W5", """
 SELECT count(*) AS rows, count(turnover) AS with_window, count(*) FILTER (bars IS NULL) AS no_bars, count(*) FILTER (shares_source = 'outstanding') AS vendor_count,

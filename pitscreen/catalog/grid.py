@@ -173,7 +173,7 @@ m AS (""" + METRICS_SQL.format(by="seed", src="d") + """)
 SELECT CAST(seed AS INTEGER) AS seed, round(m.sharpe, 6) AS sharpe, round(m.ann_return, 6) AS ann_return, round(avg(CASE WHEN g.sharpe < m.sharpe THEN 1.0 ELSE 0.0 END), 6) AS percentile,
  round(avg(CASE WHEN g.sharpe >= m.sharpe THEN 1.0 ELSE 0.0 END), 6) AS p_value, avg(CASE WHEN g.sharpe >= m.sharpe THEN 1.0 ELSE 0.0 END) < 0.05 AS significant
 FROM m, grid_draw_metrics g GROUP BY seed, m.sharpe, m.ann_return""", "eligible grid_growth grid_draw_metrics")(
-    lambda t: r6(G.tie_break_sweep(market(t).panel.drop("formation_year"), t.prices, t.sectors, SPEC, [42, 43, 44])
+    lambda t: r6(G.tie_break_sweep(market(t), SPEC, [42, 43, 44])
                  .drop("mean_tie_break_slots", "years_fully_tie_broken")))
 
 query("seed_spread", "A17", """
@@ -188,5 +188,4 @@ query("universe_minimum_variance", "B9 E18")(lambda t: market(t).universe_gmv)
 query("optimised_study_summary", "E11 E17")(lambda t: study(t).summary())
 query("paired_optimisation_gain", "E4")(lambda t: study(t).synergy("GMV"))
 query("grid_paired_gain", "E4 E22")(lambda t: cell(t).synergy())
-query("grid_sweep", "E18 E23")(lambda t: G.sweep(
-    market(t).panel.drop("formation_year"), t.prices, t.sectors, replace(SPEC, n_optimised=6), [8, 10], [20, 40]))
+query("grid_sweep", "E18 E23")(lambda t: G.sweep(market(t), replace(SPEC, n_optimised=6), [8, 10], [20, 40]))

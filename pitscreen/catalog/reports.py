@@ -25,8 +25,7 @@ def swept(t):
 
         from pitscreen.session import land
 
-        t.swept = land(G.sweep(market(t).panel.drop("formation_year"), t.prices, t.sectors,
-                               replace(GRID_SPEC, n_optimised=6), [8, 10], [20, 40]), "sweep")
+        t.swept = land(G.sweep(market(t), replace(GRID_SPEC, n_optimised=6), [8, 10], [20, 40]), "sweep")
     return t.swept
 
 

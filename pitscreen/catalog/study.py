@@ -309,7 +309,7 @@ SELECT ticker, formation_year, days, round(adv, 6) AS adv, last_date FROM liq"""
     lambda t: U.liquidity_stats(t.prices).withColumn("adv", F.round("adv", 6)))
 
 query("formation_universe", "B1 K1 P4 J3", """
-SELECT formation_year, ticker, adv_rank, round(adv, 6) AS adv, round(bm, 6) AS bm FROM universe""",
+SELECT formation_year, ticker, CAST(adv_rank AS INTEGER) AS adv_rank, round(adv, 6) AS adv, round(bm, 6) AS bm FROM universe""",
       "universe")(lambda t: study(t).universe.select(
           "formation_year", "ticker", "adv_rank", F.round("adv", 6).alias("adv"),
           F.round("bm", 6).alias("bm")))

@@ -124,23 +124,23 @@ SELECT taxonomy, tag, unit, form, count(*) AS rows, round(sum(val), 0) AS total
     lambda t: X.explode_facts(t.companies).groupBy("taxonomy", "tag", "unit", "form").agg(
         F.count("*").alias("rows"), F.round(F.sum("val"), 0).alias("total")))
 
-query("first_reported_facts", "S10", """SELECT ticker, field, "end", round(val, 4) AS val, filed FROM first_prints""", "first_prints")(
-    lambda t: X.first_reported(X.explode_facts(t.companies)).withColumn("val", F.round("val", 4)))
+query("first_reported_facts", "S10", """SELECT ticker, field, "end", round(val, 6) AS val, filed FROM first_prints""", "first_prints")(
+    lambda t: X.first_reported(X.explode_facts(t.companies)).withColumn("val", F.round("val", 6)))
 
-query("fact_share_counts", "S11", """SELECT ticker, "end", round(shares, 4) AS shares_outstanding FROM fact_shares""", "fact_shares")(
+query("fact_share_counts", "S11", """SELECT ticker, "end", round(shares, 6) AS shares_outstanding FROM fact_shares""", "fact_shares")(
     lambda t: X.share_counts(X.explode_facts(t.companies), t.statements.select("ticker", F.col("report_date").alias("end")))
-    .withColumn("shares_outstanding", F.round("shares_outstanding", 4)))
+    .withColumn("shares_outstanding", F.round("shares_outstanding", 6)))
 
 _late = lambda f: f"CASE WHEN {f}_filed - report_date <= 45 THEN {f} END"
 query("fact_canonical_rows", "S12 P5 P8", f"""
 WITH d AS (SELECT *, greatest(total_assets_filed, net_income_filed, cfo_filed, revenue_filed, book_value_filed) AS report_date FROM fact_wide WHERE total_assets IS NOT NULL)
 SELECT d.ticker, d."end" AS period_end, report_date, CAST(year(d."end") - CASE WHEN month(d."end") < 6 THEN 1 ELSE 0 END AS INTEGER) AS fiscal_year,
- round({_late('total_assets')}, 4) AS total_assets, round({_late('net_income')}, 4) AS net_income, round({_late('cfo')}, 4) AS cfo, round({_late('revenue')}, 4) AS revenue,
- round(coalesce({_late('cogs')}, {_late('revenue')} - {_late('gross_profit')}), 4) AS cogs, round(coalesce({_late('long_term_debt')}, 0), 4) AS long_term_debt,
- round({_late('book_value')}, 4) AS book_value, round(s.shares, 4) AS shares_outstanding
+ round({_late('total_assets')}, 6) AS total_assets, round({_late('net_income')}, 6) AS net_income, round({_late('cfo')}, 6) AS cfo, round({_late('revenue')}, 6) AS revenue,
+ round(coalesce({_late('cogs')}, {_late('revenue')} - {_late('gross_profit')}), 6) AS cogs, round(coalesce({_late('long_term_debt')}, 0), 6) AS long_term_debt,
+ round({_late('book_value')}, 6) AS book_value, round(s.shares, 6) AS shares_outstanding
 FROM d LEFT JOIN fact_shares s ON s.ticker = d.ticker AND s."end" = d."end" """, "fact_wide fact_shares")(
     lambda t: X.canonical_rows(X.explode_facts(t.companies)).select(
-        "ticker", "period_end", "report_date", "fiscal_year", *[F.round(c, 4).alias(c) for c in (
+        "ticker", "period_end", "report_date", "fiscal_year", *[F.round(c, 6).alias(c) for c in (
             "total_assets", "net_income", "cfo", "revenue", "cogs", "long_term_debt", "book_value", "shares_outstanding")]))
 
 query("membership_at_formation", "S13 S14", """

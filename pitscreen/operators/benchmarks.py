@@ -14,6 +14,7 @@ from pitscreen.operators import paths as P
 from pitscreen.operators.evaluate import ALPHA, TRADING_DAYS
 from pitscreen.operators.ordering import exact_quantiles
 from pitscreen.operators.paths import YEAR
+from pitscreen.session import land
 
 # Rolling median width and the largest believable deviation from it.
 MEDIAN_ROWS = 11
@@ -135,7 +136,8 @@ def factor_members(fundamentals: DataFrame, prices: DataFrame, first_year: int,
     quoted = P.holding_bars(prices, snap).select(YEAR, "ticker").distinct()
     enough = lambda df: df.join(F.broadcast(
         df.groupBy(YEAR).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_names).select(YEAR)), YEAR)
-    held = enough(enough(snap).join(quoted, [YEAR, "ticker"], "left_semi"))
+    # read five times below; a row per name and formation
+    held = land(enough(enough(snap).join(quoted, [YEAR, "ticker"], "left_semi")), "factor-names")
     cuts = (exact_quantiles(held, [YEAR], "market_cap", {"size_cut": 0.5})
             .join(exact_quantiles(held, [YEAR], "bm", {"low": 0.30, "high": 0.70}), YEAR))
     t = held.join(F.broadcast(cuts), YEAR)  # one row a year
@@ -153,7 +155,7 @@ def local_factors(fundamentals: DataFrame, prices: DataFrame, first_year: int, l
     total = both.groupBy(YEAR, "book").agg(F.sum("market_cap").alias("_t"))
     pos = (both.join(F.broadcast(total), [YEAR, "book"])  # seven rows a year
            .select(YEAR, "book", "ticker", (F.col("market_cap") / F.col("_t")).alias("w")))
-    steps = P.growth_steps(prices, members)
+    steps = P.growth_steps(prices, members.select(YEAR, "ticker"))
     daily = P.book_returns(P.book_values(pos, steps, P.holding_sessions(prices)))
     legs = ["SL", "SM", "SH", "BL", "BM", "BH", "MKT"]
     wide = daily.groupBy("date").pivot("book", legs).agg(F.first("r"))

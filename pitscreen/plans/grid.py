@@ -266,13 +266,12 @@ def score_overlap(market: Market, first: DataFrame, second: DataFrame, k: int) -
     return B.overlap(first, second, [YEAR]).withColumn("share", F.col("shared") / k)
 
 
-def sweep(panel: DataFrame, prices: DataFrame, sectors: DataFrame, spec: GridSpec,
-          ks: list[int], draws: list[int]) -> DataFrame:
+def sweep(market: Market, spec: GridSpec, ks: list[int], draws: list[int]) -> DataFrame:
     """One row per (k, N): the consolidated grid.
 
-    Each k draws its largest experiment once; every N reads a prefix of it.
+    Each k draws its largest experiment once; every N reads a prefix of it. Windows,
+    growth steps and the universe's weights are the market's and serve every cell.
     """
-    market = Market(panel, prices, sectors, spec)
     rows = None
     for k in ks:
         cell = Cell(market, replace(spec, k=k, n_draws=max(draws)))
@@ -295,13 +294,11 @@ def sweep(panel: DataFrame, prices: DataFrame, sectors: DataFrame, spec: GridSpe
     return rows.withColumn("mkt", F.lit(spec.market))
 
 
-def tie_break_sweep(panel: DataFrame, prices: DataFrame, sectors: DataFrame, spec: GridSpec,
-                    seeds: list[int]) -> DataFrame:
+def tie_break_sweep(market: Market, spec: GridSpec, seeds: list[int]) -> DataFrame:
     """Score-basket performance per tie-break seed, all seeds in one plan.
 
     The seed is a column: each seed's basket is a book of its own.
     """
-    market = Market(panel, prices, sectors, spec)
     tried = market.eligible.select(YEAR, "ticker", "fscore", F.explode(
         F.array(*[F.lit(s) for s in seeds])).alias("seed"))
     basket = B.score_basket(tried, spec.k, F.col("seed"), by=(YEAR, "seed"))

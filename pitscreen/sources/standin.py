@@ -100,8 +100,9 @@ class Tables:
         return self.bars.select("ticker", "date", "adj_close", "close_raw", "volume")
 
     def landed(self) -> Tables:
-        """The same tables with the two that studies read repeatedly written once."""
+        """The same tables with those that many plans read written once."""
         out = Tables(self.spark, self.dir)
+        out.statements = land(self.statements, "statements")
         out.bars = land(self.bars, "bars")
         out.fundamentals = land(out.fundamentals, "fundamentals")
         return out
