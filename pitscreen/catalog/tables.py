@@ -11,7 +11,7 @@ from pitscreen.catalog.views import VIEWS
 from pitscreen.functions import numeric as N, symbols as Y
 from pitscreen.functions.dates import FISCAL_YEAR_END, fiscal_end, fiscal_label
 from pitscreen.operators import checks as V, scoring as S, tables as O
-from pitscreen.operators.ordering import spread_rank
+from pitscreen.operators.ordering import beside, spread_rank
 from pitscreen.session import shared_folder
 from pitscreen.sources import facts as X, markets, tables as T
 from pitscreen.sources.schemas import FLAGS
@@ -177,8 +177,8 @@ FROM vendor_statements""", "vendor_statements")(
 query("shorting_registry", "P24", """
 WITH m AS (SELECT * FROM (VALUES ('us', true, false), ('united states', true, false), ('japan', true, false), ('jp', true, false), ('vietnam', true, true), ('vn', true, true)) v(market, allows_shorting, hypothetical_short))
 SELECT market, allows_shorting, hypothetical_short, (SELECT count(*) FROM positions WHERE w < 0) AS short_positions FROM m""", "positions")(
-    lambda t: markets.shorting_table(t.spark).withColumn("_k", F.lit(1)).join(F.broadcast(
-        study(t).equal_positions.where("w < 0").agg(F.count("*").alias("short_positions")).withColumn("_k", F.lit(1))), "_k").drop("_k"))
+    lambda t: beside(markets.shorting_table(t.spark), study(t).equal_positions.where("w < 0").agg(
+        F.count("*").alias("short_positions"))))
 
 # ---- dedupe, merge, compare ----
 

@@ -102,7 +102,7 @@ def factor_regression(daily: DataFrame, factors: DataFrame, by: str = "book",
     pull = lambda i: sum((F.col(f"v_{i}{j}") * F.col(f"m_{x[j]}") for j in (1, 2)),
                          F.col(f"v_{i}0") * F.col(f"m_{x[0]}"))
     m = m.withColumns({f"g_{i}": pull(i) for i in range(3)})
-    e = centred.join(F.broadcast(m), by)  # one row per series
+    e = centred.join(m, by)  # already partitioned by series
     fit = sum((F.col(f"b_{i}") * F.col(f"c_{x[i]}") for i in (1, 2)), F.col("b_0") * F.col(f"c_{x[0]}"))
     load = sum((F.col(f"g_{i}") * F.col(f"c_{x[i]}") for i in (1, 2)), F.col("g_0") * F.col(f"c_{x[0]}"))
     e = (e.withColumn("e", F.col("c_y") - fit)

@@ -217,7 +217,8 @@ def unmatched_keys(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 def sorted_within(df: DataFrame, key: str, order: str) -> DataFrame:
     """Rows whose ``order`` value does not grow within ``key`` in the row's own sequence."""
     w = W.partitionBy(key).orderBy("position")
-    return df.where(F.col(order) <= F.lag(order).over(w))
+    before = df.withColumn("_before", F.lag(order).over(w))
+    return before.where(F.col(order) <= F.col("_before")).drop("_before")
 
 
 def compare_tables(old: DataFrame, new: DataFrame, key: list[str],

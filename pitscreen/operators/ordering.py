@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 ACCURACY = 10_000
 
 
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """``df`` with the columns of a global aggregate (exactly one row) on every row."""
+    return (df.withColumn("_one", F.lit(1))
+            .join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+
+
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per group with their rank.
 

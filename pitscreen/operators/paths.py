@@ -100,9 +100,8 @@ def book_values(positions: DataFrame, steps: DataFrame, sessions: DataFrame) ->
     summing to plus or minus one. Steps are summed per book and day before the running sum.
     """
     signed = _legs(positions)
-    moves = (signed.join(steps, [YEAR, "ticker"])
-             .groupBy(YEAR, "book", "leg", "date")
-             .agg(F.sum(F.col("w") * F.col("step")).alias("move")))
+    moves = signed.join(steps, [YEAR, "ticker"]).select(
+        YEAR, "book", "leg", "date", (F.col("w") * F.col("step")).alias("move"))
     # sessions of a year per book of that year: the size of the result itself
     grid = (signed.select(YEAR, "book", "leg").distinct()
             .join(F.broadcast(sessions.select(YEAR, "date")), YEAR)

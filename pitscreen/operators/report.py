@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from pitscreen.functions.numeric import safe_div
 from pitscreen.operators.evaluate import ALPHA
-from pitscreen.operators.ordering import spread_rank
+from pitscreen.operators.ordering import beside, spread_rank
 from pitscreen.operators.paths import YEAR
 from pitscreen.sources.schemas import FLAGS
 
@@ -136,8 +136,7 @@ def findings(sweep: DataFrame) -> DataFrame:
 def best_benchmark(metrics: DataFrame, own_sharpe: DataFrame) -> DataFrame:
     """Best benchmark by ratio and whether the own book lies above it (one row each)."""
     best = metrics.agg(F.max_by("book", "sharpe").alias("best"), F.max("sharpe").alias("best_sharpe"))
-    return (best.withColumn("_k", F.lit(1))
-            .join(own_sharpe.agg(F.max("sharpe").alias("own")).withColumn("_k", F.lit(1)), "_k")
+    return (beside(best, own_sharpe.agg(F.max("sharpe").alias("own")))
             .select("best", "best_sharpe", "own", (F.col("own") > F.col("best_sharpe")).alias("above")))
 
 
@@ -168,8 +167,8 @@ def score_describe(scored: DataFrame) -> DataFrame:
 
 def ratio_histogram(values: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width bins between the extremes; the last bin is closed on both sides."""
-    ends = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).withColumn("_k", F.lit(1))
-    v = values.where(F.col(column).isNotNull()).withColumn("_k", F.lit(1)).join(F.broadcast(ends), "_k")
+    ends = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    v = beside(values.where(F.col(column).isNotNull()), ends)
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.least(F.floor(safe_div(F.col(column) - F.col("lo"), width)) + 1, F.lit(bins))
     return (v.withColumn("bin", F.coalesce(b, F.lit(1)).cast("int")).withColumn("_w", width)
@@ -201,10 +200,10 @@ def price_windows(panel: DataFrame, prices: DataFrame, months: int = 36, least:
         (F.first("window_sessions") + 1 - F.max(F.when(F.col("ok"), F.col("f")))).alias("usable_obs"))
     held = (P.calendar(prices).groupBy(P.holding_formation(F.col("date")).alias(YEAR))
             .agg(F.count("*").alias("holding_sessions")))
-    end = prices.agg(F.max("date").alias("_end")).withColumn("_k", F.lit(1))
+    end = prices.agg(F.max("date").alias("_end"))
     q = {"q_universe": F.round(F.col("eligible") / F.col("usable_obs"), 2)}
     q |= {f"q_k{k}": F.round(F.lit(k) / F.col("usable_obs"), 3) for k in ks}
-    return (out.join(held, YEAR, "left").withColumn("_k", F.lit(1)).join(F.broadcast(end), "_k")
+    return (beside(out.join(held, YEAR, "left"), end)
             .withColumn("dropped_no_price", F.col("universe") - F.col("eligible"))
             .withColumn("holding_complete", F.col("_end") >= holding_end(F.col(YEAR)))
-            .withColumns(q).drop("_end", "_k"))
+            .withColumns(q).drop("_end"))

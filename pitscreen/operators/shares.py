@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from pitscreen.functions.numeric import (MAX_TREASURY_FRAC, PAR_VALUE, SHARE_GAP_TOL,
                                          book_equity, book_to_market, issued_shares, safe_div)
-from pitscreen.operators.ordering import exact_quantiles
+from pitscreen.operators.ordering import beside, exact_quantiles
 
 SHARE_COLS = ["shares_issued", "shares_out", "shares_gap", "shares_source", "shares"]
 
@@ -89,6 +89,11 @@ def bm_by_period(bm: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(q), "period", "left")  # one row a year
 
 
+def at_least_one(one: DataFrame, cols: list[str]) -> DataFrame:
+    """A one-row summary that is also there, with nulls, when nothing was summarised."""
+    return one.agg(*[F.max(c).alias(c) for c in cols])
+
+
 def ratio_shift(df: DataFrame, new: Column, old: Column) -> DataFrame:
     """How far two versions of a number differ: counts off by 1, 5, 20 per cent, medians."""
     r = df.select(safe_div(new, old).alias("ratio")).where("ratio is not null")
@@ -97,7 +102,7 @@ def ratio_shift(df: DataFrame, new: Column, old: Column) -> DataFrame:
     counts = r.agg(F.count("*").alias("rows"), n(off <= 1e-9).alias("unchanged"),
                    n(off > 0.01).alias("off_1pct"), n(off > 0.05).alias("off_5pct"),
                    n(off > 0.20).alias("off_20pct"), F.max("ratio").alias("largest"))
-    return counts.join(F.broadcast(moved), F.lit(True), "left")  # one row each
+    return beside(counts, at_least_one(moved, ["median_moved", "p95_moved"]))
 
 
 def describe(df: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
@@ -106,7 +111,7 @@ def describe(df: DataFrame, by: list[str], value: str, probs: list[float]) -> Da
         F.count(value).alias("count"), F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     q = exact_quantiles(df, by, value, {f"p{round(100 * p, 1):g}".replace(".", "_"): p for p in probs})
-    return stats.join(F.broadcast(q), by if by else F.lit(True), "left")
+    return stats.join(F.broadcast(q), by, "left") if by else beside(stats, q)
 
 
 # ---- diagnosis of the vendor's count ----
@@ -148,7 +153,7 @@ def treasury_netting(base: DataFrame) -> DataFrame:
     counts = t.agg(F.count("*").alias("rows"), n(d < -1).alias("netted"),
                    n(F.abs(d) < 1).alias("not_netted"), n(d > 1).alias("above"))
     med = exact_quantiles(t.where(d < -1), [], "rel", {"median_gap": 0.5})
-    return counts.join(F.broadcast(med), F.lit(True), "left")
+    return beside(counts, at_least_one(med, ["median_gap"]))
 
 
 def trace(base: DataFrame, symbol: str) -> DataFrame:

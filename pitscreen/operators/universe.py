@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from pitscreen.functions.dates import (available_date, formation_date, holding_end,
                                        holding_formation)
-from pitscreen.operators.ordering import exact_quantiles, top_k
+from pitscreen.operators.ordering import beside, exact_quantiles, top_k
 from pitscreen.sources.schemas import require
 
 # Lines that must be present, where the frame carries them, before a name may enter.
@@ -107,11 +107,10 @@ def feasibility(value_names: DataFrame, snap: DataFrame, universe: DataFrame, pr
     end = prices.agg(F.max("date").alias("price_end"))
     count = lambda df, out: df.groupBy("formation_year").agg(F.count("*").alias(out))
     # every side has one row per formation year
-    t = (years.join(count(snap, "statements"), "formation_year", "left")
-         .join(count(universe, "universe"), "formation_year", "left")
-         .join(count(value_names, "value_names"), "formation_year", "left")
-         .na.fill(0, ["statements", "universe", "value_names"])
-         .join(F.broadcast(end), F.lit(True)))
+    t = beside(years.join(count(snap, "statements"), "formation_year", "left")
+               .join(count(universe, "universe"), "formation_year", "left")
+               .join(count(value_names, "value_names"), "formation_year", "left")
+               .na.fill(0, ["statements", "universe", "value_names"]), end)
     limit = F.col("price_end")
     if evaluation_end:
         limit = F.least(limit, F.lit(evaluation_end).cast("date"))

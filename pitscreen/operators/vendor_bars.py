@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from pitscreen.functions.numeric import adjusted_close, safe_div
 from pitscreen.operators.asof import first_session_from, last_on_or_before
-from pitscreen.operators.ordering import exact_quantiles
+from pitscreen.operators.ordering import beside, exact_quantiles
 from pitscreen.operators.shares import SHARE_COLS, share_count
 
 # Fixed values of the market's rules.
@@ -262,8 +262,7 @@ def exit_prices(panel: DataFrame, bars: DataFrame, holding_years: int = 1) -> Da
     found = last_on_or_before(
         p.select("symbol", "exit_date").distinct(), month_ends, "symbol", "exit_date", "date",
         {"exit_price_date": "exit_price_date", "close_adj": "close_adj_exit"})
-    t = (p.join(found, ["symbol", "exit_date"], "left").join(last, "symbol", "left")
-         .join(F.broadcast(end), F.lit(True)))  # one row
+    t = beside(p.join(found, ["symbol", "exit_date"], "left").join(last, "symbol", "left"), end)
     lag = F.datediff("exit_date", "exit_price_date")
     complete = F.col("exit_date") <= F.col("_data_end")
     resumed = F.coalesce(F.col("_last_print") > F.col("exit_date"), F.lit(False))

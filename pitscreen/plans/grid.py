@@ -8,7 +8,7 @@ from functools import cached_property, lru_cache
 from pyspark.sql import DataFrame, functions as F
 
 from pitscreen.operators import baskets as B, evaluate as E, paths as P
-from pitscreen.operators.ordering import exact_quantiles
+from pitscreen.operators.ordering import beside, exact_quantiles
 from pitscreen.operators.paths import YEAR
 from pitscreen.operators.universe_variance import universe_minimum_variance
 from pitscreen.operators.weights import equal_weight, long_short, optimised_weights
@@ -193,10 +193,10 @@ class Cell:
             for m, b, v in [("ann_return", "gross", F.col("ann_return")), ("sharpe", "gross", F.col("sharpe")),
                             ("ann_return", "net", F.col("net_ann_return")),
                             ("sharpe", "net", F.col("net_sharpe"))]])).alias("x")).select("x.*")
-        cost = F.broadcast(self.draw_cost().select("mc_cost_drag", F.lit(1).alias("_k")))  # one row
+        cost = self.draw_cost().select("mc_cost_drag")
 
         def dist(m: DataFrame, pool: str) -> DataFrame:
-            net = m.withColumn("_k", F.lit(1)).join(cost, "_k")
+            net = beside(m, cost)
             after = F.col("ann_return") - F.col("mc_cost_drag")
             cells = [("ann_return", "gross", F.col("ann_return")), ("sharpe", "gross", F.col("sharpe")),
                      ("ann_return", "net", after),
@@ -208,7 +208,6 @@ class Cell:
         others = E.metrics(self.m.returns_of(self.draw_positions(self.draws_excluding)), ["book"])
         both = dist(self.draw_metrics, "random (full universe)").unionByName(
             dist(others, "random (other names)"))
-        pools = both.select("pool").distinct()
         keyed = stats.withColumn("pool", F.explode(F.array(
             F.lit("random (full universe)"), F.lit("random (other names)"))))
         return E.place(keyed, both, ["pool", "metric", "basis"])
@@ -311,8 +310,7 @@ def tie_break_sweep(market: Market, spec: GridSpec, seeds: list[int]) -> DataFra
         F.round(F.avg("tie_break_slots"), 2).alias("mean_tie_break_slots"),
         F.count_if(F.col("tie_break_slots") >= spec.k).alias("years_fully_tie_broken"))
     placed = E.place(stats, rand, ["metric"]).select("seed", "percentile", "p_value", "significant")
-    return (m.select("seed", "sharpe", "ann_return").join(F.broadcast(placed), "seed")
-            .withColumn("_k", F.lit(1)).join(F.broadcast(slots.withColumn("_k", F.lit(1))), "_k").drop("_k"))
+    return beside(m.select("seed", "sharpe", "ann_return").join(placed, "seed"), slots)
 
 
 def spread(df: DataFrame, columns: list[str]) -> DataFrame:

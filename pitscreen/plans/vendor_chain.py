@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from pitscreen.functions.numeric import positive_or_null, safe_div
 from pitscreen.operators import checks as V, shares as H, statement_scores as C, vendor_bars as N
+from pitscreen.operators.ordering import beside
 from pitscreen.session import land
 from pitscreen.sources.line_items import FIREANT, Provider, STATEMENTS, widen
 from pitscreen.sources.schemas import FLAGS
@@ -137,9 +138,9 @@ class VendorChain:
         """Rows on one side only between the three panels; all zero when they agree."""
         k = ["symbol", "period"]
         side = lambda a, b, n: a.select(*k).exceptAll(b.select(*k)).agg(F.count("*").alias(n))
-        return (side(self.scores, self.bm, "scores_only")
-                .join(side(self.bm, self.scores, "bm_only"), F.lit(True))
-                .join(side(self.turnover, self.bm, "turnover_only"), F.lit(True)))
+        return beside(beside(side(self.scores, self.bm, "scores_only"),
+                             side(self.bm, self.scores, "bm_only")),
+                      side(self.turnover, self.bm, "turnover_only"))
 
     def share_disagreements(self) -> DataFrame:
         """Share columns both panels derive must agree row by row."""
