@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pitscreen.catalog.registry import query
 from pitscreen.catalog.study import METRICS_SQL, floyd_sql, r6, study
 from pitscreen.catalog.views import VIEWS
+
 from pitscreen.operators import baskets as B, evaluate as E, paths as P, scoring as S
+from pitscreen.operators.ordering import beside
 from pitscreen.plans import grid as G
 
 SPEC = G.GridSpec(market="vietnam", first_year=1997, last_year=2000, k=10, n_draws=60,
@@ -180,7 +182,44 @@ query("seed_spread", "A17", """
 SELECT 'n_returns' AS measure, CAST(min(n_returns) AS DOUBLE) AS min, CAST(max(n_returns) AS DOUBLE) AS max FROM eligible""", "eligible")(
     lambda t: G.spread(market(t).series, ["n_returns"]).select("measure", "min", "max"))
 
-# ---- optimised weights: no SQL equivalent; invariants are tested ----
+# ---- optimised weights: the weights have no SQL equivalent, what must hold of them has ----
+
+
+@query("optimised_book_invariants", "B8 B9 B10 B11", """
+WITH b AS (SELECT formation_year, count(*) AS names FROM scored WHERE rank <= 10 GROUP BY 1)
+SELECT formation_year, book, names, 1.0::DOUBLE AS total, true AS long_only, CASE WHEN book = 'score_GMVsec' THEN true END AS within_caps
+FROM b, (SELECT unnest(['score_GMV', 'score_GMVsec']) AS book)""", "scored")
+def _invariants(t):
+    s = study(t)
+    pos = s.optimised_positions("GMV").unionByName(s.optimised_positions("GMVsec"))
+    per_sector = pos.join(t.sectors.select("ticker", "sector"), "ticker", "left").groupBy(
+        "formation_year", "book", F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(
+        F.sum("w").alias("sw"), F.min("w").alias("mw"), F.count("*").alias("n"))
+    cap = F.greatest(F.lit(0.20), 1 / F.count("*") + 1e-6)
+    return per_sector.groupBy("formation_year", "book").agg(
+        F.sum("n").alias("names"), F.round(F.sum("sw"), 6).alias("total"), (F.min("mw") >= 0).alias("long_only"),
+        F.when(F.col("book") == "score_GMVsec", F.max("sw") <= cap + 1e-9).alias("within_caps"))
+
+
+@query("universe_weight_invariants", "B9 E18", """
+SELECT formation_year, count(*) AS names, 1.0::DOUBLE AS total, true AS long_only, true AS concentrates FROM eligible GROUP BY 1""", "eligible")
+def _universe_invariants(t):
+    w = market(t).universe_gmv
+    return w.groupBy("formation_year").agg(
+        F.count("*").alias("names"), F.round(F.sum("w"), 6).alias("total"), (F.min("w") >= 0).alias("long_only"),
+        (F.sum(F.col("w") * F.col("w")) >= 1 / F.count("*") - 1e-12).alias("concentrates"))
+
+
+@query("gain_does_not_depend_on_draws", "E4 E22 E23", """
+SELECT k, 2::BIGINT AS cells, true AS same_gain, count(*) AS formations FROM (SELECT DISTINCT formation_year FROM eligible), (SELECT unnest([8, 10])::INTEGER AS k) GROUP BY k""", "eligible")
+def _gain_invariance(t):
+    from pitscreen.catalog.reports import swept
+
+    years = market(t).sizes.agg(F.count("*").alias("formations"))
+    g = swept(t).groupBy("k").agg(F.count("*").alias("cells"), (F.count_distinct("D") == 1).alias("same_gain"))
+    return beside(g, years)
+
+
 
 query("minimum_variance_weights", "B8 B9 B11")(lambda t: study(t).optimised_positions("GMV"))
 query("sector_capped_weights", "B10")(lambda t: study(t).optimised_positions("GMVsec"))

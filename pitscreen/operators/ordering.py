@@ -13,9 +13,12 @@ ACCURACY = 10_000
 
 
 def beside(df: DataFrame, one: DataFrame) -> DataFrame:
-    """``df`` with the columns of a global aggregate (exactly one row) on every row."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """``df`` with the columns of a global aggregate (exactly one row) on every row.
+
+    The aggregate becomes a scalar subquery, so nothing is joined.
+    """
+    row = one.select(F.struct(*one.columns)).scalar()
+    return df.withColumn("_one", row).select(*df.columns, "_one.*")
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -170,7 +170,9 @@ def ratio_histogram(values: DataFrame, column: str, bins: int = 30) -> DataFrame
     ends = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
     v = beside(values.where(F.col(column).isNotNull()), ends)
     width = (F.col("hi") - F.col("lo")) / bins
-    b = F.least(F.floor(safe_div(F.col(column) - F.col("lo"), width)) + 1, F.lit(bins))
+    # the extremes come from a run of their own, so the smallest value may fall a hair below
+    b = F.greatest(F.lit(1), F.least(F.floor(safe_div(F.col(column) - F.col("lo"), width)) + 1,
+                                     F.lit(bins)))
     return (v.withColumn("bin", F.coalesce(b, F.lit(1)).cast("int")).withColumn("_w", width)
             .groupBy("bin").agg(F.first(F.col("lo") + (F.col("bin") - 1) * F.col("_w")).alias("left"),
                                 F.count("*").alias("draws")))

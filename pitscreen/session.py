@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and hand-over tables.
 
-    On a cluster it is named by ``spark.checkpoint.dir``. Only where nothing names
-    one (tests on a single machine) a temporary folder is set.
+    It is named by ``spark.checkpoint.dir``. Only a single-machine session that names none
+    (tests) gets a temporary folder; on a cluster a local folder would not be shared.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    named = (spark.conf.get("spark.checkpoint.dir", None)
+             or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir())
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="pitscreen-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
