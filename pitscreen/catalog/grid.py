@@ -66,6 +66,11 @@ _swap = lambda text: (text.replace("positions", "grid_positions").replace(" grow
 for _a, _b in (("grid_daily", "book_daily"), ("grid_drifted", "drifted"), ("grid_turnover", "book_turnover"),
                ("grid_conc", "conc"), ("grid_metrics", "book_metrics"), ("grid_summary_view", "book_summary")):
     VIEWS[_a] = _swap(VIEWS[_b])
+VIEWS["grid_daily"] += """
+UNION ALL SELECT y.formation_year, b.book, s.date, 0.0 FROM (SELECT DISTINCT formation_year FROM eligible) y,
+ (SELECT unnest(['score_EW', 'score_high_EW', 'value_EW', 'universe_EW', 'score_LS']) AS book) b JOIN hold_sessions s ON s.formation_year = y.formation_year
+WHERE NOT EXISTS (SELECT 1 FROM grid_positions p WHERE p.formation_year = y.formation_year AND p.book = b.book)
+"""
 VIEWS["grid_draws"] = floyd_sql(
     "SELECT formation_year, count(*) AS size, 10 AS k_eff FROM eligible GROUP BY 1",
     "SELECT formation_year, ticker FROM eligible", 60, "grid", 10)
@@ -135,7 +140,7 @@ SELECT book, CAST(year(date) AS INTEGER) AS year, round(product(1 + r) - 1, 6) A
 
 query("holding_year_returns", "E12", """
 SELECT book, formation_year AS year, round(product(1 + r) - 1, 6) AS ret FROM grid_daily GROUP BY 1, 2""", "grid_daily")(
-    lambda t: r6(E.calendar_year_returns(market(t).returns_of(cell(t).positions(False)), ["book"],
+    lambda t: r6(E.calendar_year_returns(cell(t).daily(False), ["book"],
                                          F.col("formation_year"))))
 
 query("grid_diagnostics", "E19", """

@@ -70,23 +70,28 @@ def _wide(t):
     return T.long_prices(wide("adj_close"), close, wide("volume")).select("ticker", "date", "adj_close", "close_raw", "volume")
 
 
+def _not_needed():
+    raise AssertionError("a fresh stored table is not built again")
+
+
 @query("stored_panel_reuse", "S17 S18", "SELECT count(*) AS bars, min(date) AS first FROM prices", "prices")
 def _reuse(t):
     path = scratch(t, "reuse")
     T.reuse_or_build(t.spark, path, lambda: t.prices.drop("close_raw"), lambda _: True)
     px = T.reuse_or_build(t.spark, path + "-b", lambda: t.prices, T.prices_fresh("1995-06-30"))
-    px = T.reuse_or_build(t.spark, path + "-b", lambda: t.prices.limit(0), T.prices_fresh("1995-06-30"))
+    px = T.reuse_or_build(t.spark, path + "-b", _not_needed, T.prices_fresh("1995-06-30"))
     return px.agg(F.count("*").alias("bars"), F.min("date").alias("first"))
 
 
 query("deepened_prices", "S20", """
-WITH cut AS (SELECT * FROM prices WHERE CAST(ticker AS INTEGER) % 2 = 0 OR date >= DATE '1997-01-01'),
+WITH cut AS (SELECT * FROM prices WHERE ticker IN (SELECT ticker FROM sectors WHERE sector <> 'ASIA') OR date >= DATE '1997-01-01'),
 late AS (SELECT ticker FROM cut GROUP BY 1 HAVING min(date) > DATE '1996-01-01')
 SELECT ticker, date, adj_close FROM cut
 UNION ALL SELECT ticker, date, adj_close + 1 FROM prices p WHERE ticker IN (SELECT ticker FROM late)
- AND NOT EXISTS (SELECT 1 FROM cut c WHERE c.ticker = p.ticker AND c.date = p.date)""", "prices")(
+ AND NOT EXISTS (SELECT 1 FROM cut c WHERE c.ticker = p.ticker AND c.date = p.date)""", "prices sectors")(
     lambda t: O.deepen(
-        t.prices.where((F.col("ticker").cast("int") % 2 == 0) | (F.col("date") >= "1997-01-01")),
+        t.prices.join(t.sectors.select("ticker", "sector"), "ticker")
+        .where((F.col("sector") != "ASIA") | (F.col("date") >= "1997-01-01")).select(*t.prices.columns),
         t.prices.withColumn("adj_close", F.col("adj_close") + 1), "1996-01-01").select("ticker", "date", "adj_close"))
 
 # ---- company facts ----
@@ -199,21 +204,21 @@ SELECT sector AS market, ticker, 'old' AS src, NULL::VARCHAR AS note FROM sector
                        "market")[0].select("market", "ticker", "src", "note"))
 
 query("upsert_by_key", "O4", """
-SELECT ticker, CASE WHEN CAST(ticker AS INTEGER) % 2 = 0 THEN 'fresh' ELSE 'kept' END AS src FROM sectors""", "sectors")(
+SELECT ticker, CASE WHEN sector = 'ASIA' THEN 'fresh' ELSE 'kept' END AS src FROM sectors""", "sectors")(
     lambda t: O.upsert_rows(t.sectors.select("ticker", F.lit("kept").alias("src")),
-                            t.sectors.where(F.col("ticker").cast("int") % 2 == 0).select("ticker", F.lit("fresh").alias("src")), ["ticker"]))
+                            t.sectors.where(F.col("sector") == "ASIA").select("ticker", F.lit("fresh").alias("src")), ["ticker"]))
 
 query("merged_sectors", "O5", """
-SELECT ticker, CASE WHEN CAST(ticker AS INTEGER) % 3 = 0 THEN 'second' ELSE sector END AS sector FROM sectors""", "sectors")(
-    lambda t: O.merge_first([t.sectors.withColumn("sector", F.when(F.col("ticker").cast("int") % 3 != 0, F.col("sector"))),
+SELECT ticker, CASE WHEN sector = 'EUROPE' THEN 'second' ELSE sector END AS sector FROM sectors""", "sectors")(
+    lambda t: O.merge_first([t.sectors.withColumn("sector", F.when(F.col("sector") != "EUROPE", F.col("sector"))),
                              t.sectors.withColumn("sector", F.lit("second"))], "ticker", "sector"))
 
 query("compare_result_tables", "V11", """
 SELECT ticker, fiscal_year, CASE WHEN fiscal_year = 1995 THEN 'missing' WHEN fiscal_year = 2002 THEN 'new' ELSE 'changed' END AS status, CASE WHEN fiscal_year BETWEEN 1996 AND 2001 THEN 'revenue' END AS "column" FROM (
  SELECT ticker, fiscal_year FROM fundamentals WHERE fiscal_year = 1995 UNION ALL SELECT ticker, 2002 FROM fundamentals WHERE fiscal_year = 2001
- UNION ALL SELECT ticker, fiscal_year FROM fundamentals WHERE fiscal_year BETWEEN 1996 AND 2001 AND CAST(ticker AS INTEGER) % 10 = 1)""", "fundamentals")(
+ UNION ALL SELECT ticker, fiscal_year FROM fundamentals WHERE fiscal_year = 1998)""", "fundamentals")(
     lambda t: (lambda f: V.compare_tables(
-        f, f.where(F.col("fiscal_year") > 1995).withColumn("revenue", F.col("revenue") * F.when(F.col("ticker").cast("int") % 10 == 1, 1.001).otherwise(1 + 1e-12))
+        f, f.where(F.col("fiscal_year") > 1995).withColumn("revenue", F.col("revenue") * F.when(F.col("fiscal_year") == 1998, 1.001).otherwise(1 + 1e-12))
         .unionByName(f.where(F.col("fiscal_year") == 2001).withColumn("fiscal_year", F.lit(2002))), ["ticker", "fiscal_year"])
         .select("ticker", "fiscal_year", "status", "column"))(t.fundamentals.select("ticker", "fiscal_year", "revenue", "cogs")))
 

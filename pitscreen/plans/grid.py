@@ -85,8 +85,16 @@ class Market:
     def universe_gmv(self) -> DataFrame:
         return land(universe_minimum_variance(self.series), "universe-gmv")
 
-    def returns_of(self, positions: DataFrame) -> DataFrame:
-        return P.book_returns(P.book_values(positions, self.steps, self.sessions))
+    def returns_of(self, positions: DataFrame, books: list[str] | None = None) -> DataFrame:
+        """Daily returns; a listed book that holds nothing in a year earns zero that year."""
+        daily = P.book_returns(P.book_values(positions, self.steps, self.sessions))
+        if not books:
+            return daily
+        every = self.sizes.select(YEAR, F.explode(F.array(*[F.lit(b) for b in books])).alias("book"))
+        idle = every.join(positions.select(YEAR, "book").distinct(), [YEAR, "book"], "left_anti")
+        flat = (idle.join(F.broadcast(self.sessions.select(YEAR, "date")), YEAR)
+                .select(YEAR, "book", "date", F.lit(0.0).alias("r")))
+        return daily.unionByName(flat)
 
 
 class Cell:
@@ -138,6 +146,15 @@ class Cell:
                    .unionByName(self.m.universe_gmv))
         return out
 
+    def books(self, optimised: bool = True) -> list[str]:
+        out = ["score_EW", "score_high_EW", "value_EW", "universe_EW"]
+        if allows_shorting(self.spec.market):
+            out.append("score_LS")
+        return out + (["score_GMV", "score_GMVsec", "universe_GMV"] if optimised else [])
+
+    def daily(self, optimised: bool = True) -> DataFrame:
+        return self.m.returns_of(self.positions(optimised), self.books(optimised))
+
     @cached_property
     def draws(self) -> DataFrame:
         s = self.spec
@@ -164,14 +181,14 @@ class Cell:
         return land(E.metrics(self.m.returns_of(self.draw_positions(self.draws)), ["book"]), "draw-metrics")
 
     def metrics(self, optimised: bool = False) -> DataFrame:
-        return E.metrics(self.m.returns_of(self.positions(optimised)), ["book"])
+        return E.metrics(self.daily(optimised), ["book"])
 
     def summary(self, optimised: bool = True) -> DataFrame:
         pos = self.positions(optimised)
-        return E.summary(self.m.returns_of(pos), pos, P.end_weights(pos, self.m.steps))
+        return E.summary(self.daily(optimised), pos, P.end_weights(pos, self.m.steps))
 
     def yearly_returns(self, optimised: bool = True) -> DataFrame:
-        return E.calendar_year_returns(self.m.returns_of(self.positions(optimised)), ["book"])
+        return E.calendar_year_returns(self.daily(optimised), ["book"])
 
     def draw_cost(self) -> DataFrame:
         """One row: mean turnover of the random control and its yearly cost."""
