@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -15,6 +17,22 @@ def holding_end(year: Column) -> Column:
     return F.make_date(year + 1, F.lit(6), F.lit(30))
 
 
+def between_formations(bars: DataFrame, first_year: int, last_year: int, months_before: int,
+                       months_after: int, slack_days: int = 0) -> DataFrame:
+    """Bars from ``months_before`` the first formation to ``months_after`` the last.
+
+    The bounds are literals, so they reach the scan and skip files and row groups outside.
+    """
+
+    def shifted(year: int, months: int) -> dt.date:
+        index = year * 12 + 6 + months
+        return dt.date(index // 12, index % 12 + 1, 1)
+
+    start = shifted(first_year, -months_before) - dt.timedelta(days=slack_days)
+    return bars.where((F.col("date") >= F.lit(start))
+                      & (F.col("date") < F.lit(shifted(last_year, months_after))))
+
+
 def available_date(report_date: Column, lag_months: int) -> Column:
     return F.add_months(report_date, lag_months)
 

@@ -7,6 +7,7 @@ from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
+from pitscreen.functions.dates import between_formations
 from pitscreen.operators import baskets as B, evaluate as E, paths as P
 from pitscreen.operators.ordering import beside, exact_quantiles
 from pitscreen.operators.paths import YEAR
@@ -42,11 +43,14 @@ class Market:
     def __init__(self, panel: DataFrame, prices: DataFrame, sectors: DataFrame, spec: GridSpec):
         self.panel = (panel.withColumn(YEAR, F.col("score_year") + 1)
                       .where(F.col(YEAR).between(spec.first_year, spec.last_year)))
-        self.prices, self.sectors, self.spec = prices, sectors, spec
+        self.sectors, self.spec = sectors, spec
+        span = (spec.first_year, spec.last_year)
+        self.past_bars = between_formations(prices, *span, spec.cov_months, 0, P.BASE_DAYS)
+        self.held_bars = between_formations(prices, *span, 0, 12, P.BASE_DAYS)
 
     @cached_property
     def all_series(self) -> DataFrame:
-        return land(P.estimation_series(self.prices, self.panel, self.spec.cov_months), "all-series")
+        return land(P.estimation_series(self.past_bars, self.panel, self.spec.cov_months), "all-series")
 
     @cached_property
     def series(self) -> DataFrame:
@@ -69,11 +73,11 @@ class Market:
 
     @cached_property
     def steps(self) -> DataFrame:
-        return land(P.growth_steps(self.prices, self.eligible, self.spec.delisting_return), "grid-steps")
+        return land(P.growth_steps(self.held_bars, self.eligible, self.spec.delisting_return), "grid-steps")
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return land(P.holding_sessions(self.prices), "sessions")
+        return land(P.holding_sessions(self.held_bars), "sessions")
 
     @cached_property
     def universe_positions(self) -> DataFrame:
@@ -248,7 +252,7 @@ class Cell:
         shared = (self.draws.join(picked, [YEAR, "ticker"], "left_semi").groupBy(YEAR)
                   .agg(F.count("*").alias("_hit")))
         drawn = y(self.draws, F.count("*").alias("_drawn"))
-        bars = P.holding_bars(self.m.prices, e).select(YEAR, "ticker").distinct()
+        bars = P.holding_bars(self.m.held_bars, e).select(YEAR, "ticker").distinct()
         quiet = e.select(YEAR, "ticker").join(bars, [YEAR, "ticker"], "left_anti")
         parts = [
             y(self.m.panel, F.count("*").alias("panel_names")),
@@ -259,7 +263,7 @@ class Cell:
             B.tie_break_slots(e, k), shared, drawn,
             exact_quantiles(self.m.series, [YEAR], "n_returns", {"cov_est_days": 0.5}),
             y(self.m.series, F.max(self.m.needed()).cast("int").alias("cov_min_est_days")),
-            P.stopped_names(self.m.prices, self.m.panel),
+            P.stopped_names(self.m.held_bars, self.m.panel),
             y(quiet, F.count("*").alias("no_price_after_formation")),
             y(self.basket_positions.where((F.col("book") == "score_LS") & (F.col("w") < 0)),
               F.count("*").alias("short_leg_names")),

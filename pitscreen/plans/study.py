@@ -7,6 +7,7 @@ from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
+from pitscreen.functions.dates import between_formations
 from pitscreen.operators import baskets as B, evaluate as E, paths as P, universe as U
 from pitscreen.operators.paths import YEAR
 from pitscreen.operators.scoring import nine_signals
@@ -51,6 +52,14 @@ class Study:
     def _years(self, df: DataFrame) -> DataFrame:
         return df.where(F.col(YEAR).between(self.spec.first_year, self.spec.last_year))
 
+    def _bars(self, months_before: int, months_after: int, slack_days: int = 0) -> DataFrame:
+        return between_formations(self.prices, self.spec.first_year, self.spec.last_year,
+                                  months_before, months_after, slack_days)
+
+    @cached_property
+    def held_bars(self) -> DataFrame:
+        return self._bars(0, 12, P.BASE_DAYS)
+
     @cached_property
     def snapshot(self) -> DataFrame:
         rows = self._years(U.point_in_time(self.fundamentals, self.spec.lag_months,
@@ -63,7 +72,7 @@ class Study:
 
     @cached_property
     def universe(self) -> DataFrame:
-        return land(U.build_universe(self.prices, self.snapshot, self.spec.universe_size,
+        return land(U.build_universe(self._bars(12, 0), self.snapshot, self.spec.universe_size,
                                      self.spec.min_days, self.membership), "universe")
 
     @cached_property
@@ -99,7 +108,8 @@ class Study:
 
     @cached_property
     def series(self) -> DataFrame:
-        return land(P.estimation_series(self.prices, self.value_set, self.spec.cov_months),
+        return land(P.estimation_series(
+            self._bars(self.spec.cov_months, 0, P.BASE_DAYS), self.value_set, self.spec.cov_months),
                     "series")
 
     def _equal(self, basket: str, book: str) -> DataFrame:
@@ -146,12 +156,12 @@ class Study:
 
     @cached_property
     def steps(self) -> DataFrame:
-        return land(P.growth_steps(self.prices, self.value_set, self.spec.delisting_return),
+        return land(P.growth_steps(self.held_bars, self.value_set, self.spec.delisting_return),
                     "steps")
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return land(P.holding_sessions(self.prices), "sessions")
+        return land(P.holding_sessions(self.held_bars), "sessions")
 
     def returns_of(self, positions: DataFrame) -> DataFrame:
         return P.book_returns(P.book_values(positions, self.steps, self.sessions))
@@ -209,7 +219,7 @@ class Study:
             y(self.scored, F.count("*").alias("scored"), F.avg("fscore").alias("fscore_mean")),
             B.tie_break_slots(self.scored, self.sizes),
             y(self.series, F.median("n_returns").cast("int").alias("cov_est_days")),
-            P.stopped_names(self.prices, self.value_set.select(YEAR, "ticker")),
+            P.stopped_names(self.held_bars, self.value_set.select(YEAR, "ticker")),
             y(basket, F.count("*").alias("k"), F.min("fscore").alias("fscore_basket_min")),
             y(shorts, F.count("*").alias("short_leg_names")),
         ]

@@ -57,3 +57,12 @@ def test_landed_table_keeps_schema_and_lives_in_the_shared_folder(spark):
     got = land(df, "t")
     assert got.schema == df.schema and got.collect() == df.collect()
     assert shared_folder(spark).rstrip("/") in got.inputFiles()[0]
+
+
+def test_study_reads_only_the_sessions_it_needs(bars):
+    from pitscreen.functions.dates import between_formations
+
+    p = plan(between_formations(bars, 2012, 2024, 36, 0, 7).select("symbol"))
+    assert "GreaterThanOrEqual(date,2009-06-24)" in p and "LessThan(date,2024-07-01)" in p
+    p = plan(between_formations(bars, 2012, 2024, 0, 12, 7).select("symbol"))
+    assert "GreaterThanOrEqual(date,2012-06-24)" in p and "LessThan(date,2025-07-01)" in p
