@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscreen.llm import quality_rules
+from pitscreen.llm import decontaminate, quality_rules, secret_scan, source_mix
 from pitscreen.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,53 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits",
                        (~quality_rules.kept(F.col("fail_bits"), "base")).alias("base_failed"),
                        quality_rules.kept(F.col("fail_bits"), "v2").alias("kept"))
+
+
+@query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    s, base = F.col("spans"), ("assign", "access", "hex")
+    return found.select(
+        "doc_id", *[secret_scan.count(s, k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(secret_scan.listed(s, *base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listed(s, *secret_scan.KINDS).alias("spans"),
+        F.array_max(F.transform(s, lambda x: x["log10_guesses"])).alias("max_log10_guesses"))
+
+
+@query("op3_source_mix", f"""
+WITH s AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source),
+r AS (SELECT source, CASE WHEN size > 0 THEN sqrt(size) / (SELECT sum(sqrt(size)) FROM s)
+        * (SELECT sum(size) FROM s) / size ELSE 1.0 END AS rate FROM s),
+p AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS pmf
+      FROM (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 31) AS BIGINT))) AS k FROM r)),
+c AS (SELECT source, k, sum(pmf) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
+d AS (SELECT doc_id, source, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT
+        / {float(1 << 60)!r} AS u FROM documents),
+n AS (SELECT d.doc_id, d.source, count(*) AS n FROM d JOIN c
+      ON c.source IS NOT DISTINCT FROM d.source AND c.cdf <= d.u GROUP BY d.doc_id, d.source)
+SELECT doc_id, source, copy::INTEGER AS copy, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')
+       || ':' || copy), 1, 15))::BIGINT AS shuffle_key
+FROM (SELECT *, unnest(range(0, n)) AS copy FROM n)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document, at square-root weights of the sources and the size of one epoch."""
+    mixed = source_mix.mix(table(spark, sf_dir, "documents"), budget=1.0, temperature=0.5, seed=17,
+                           copy="copy", order="shuffle_key")
+    return mixed.select("doc_id", "source", "copy", "shuffle_key")
+
+
+@query("op10_decontamination", r"""
+WITH d AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT item_id, text, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+iq AS (SELECT DISTINCT item_id, text, w, least(len(w), 5) AS q FROM i WHERE len(w) > 0),
+ig AS (SELECT DISTINCT item_id, text, q, array_to_string(w[p:p + q - 1], ' ') AS g
+       FROM (SELECT *, unnest(range(1, len(w) - q + 2)) AS p FROM iq)),
+im AS (SELECT item_id, text, count(*) AS m FROM ig GROUP BY item_id, text),
+dg AS (SELECT DISTINCT doc_id, text, q, array_to_string(w[p:p + q - 1], ' ') AS g
+       FROM (SELECT doc_id, text, w, q, unnest(range(1, len(w) - q + 2)) AS p
+             FROM d, (SELECT DISTINCT q FROM iq))),
+o AS (SELECT dg.doc_id, dg.text AS t, ig.item_id, ig.text, count(*) AS n FROM dg JOIN ig USING (q, g) GROUP BY ALL)
+SELECT doc_id, item_id, im.m::INTEGER AS n_item_shingles, max(n)::INTEGER AS n_found, max(n) / im.m AS containment
+FROM o JOIN im USING (item_id, text) GROUP BY doc_id, item_id, im.m, text HAVING max(n) >= 0.8 * im.m""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, item) with at least 0.8 of the item's five-word shingles in the document."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
