@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscreen.llm import decontaminate, quality_rules, secret_scan, source_mix
+from pitscreen.llm import decontaminate, quality_rules, secret_scan, source_mix, token_files
 from pitscreen.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,18 @@ FROM o JOIN im USING (item_id, text) GROUP BY doc_id, item_id, im.m, text HAVING
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, item) with at least 0.8 of the item's five-word shingles in the document."""
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def word_ids() -> str:
+    """The vocabulary file of the public tokenizers, installed alike on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded in key order, and what the files say of it when read back."""
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_files.write(docs, word_ids(), vocabulary=49_408, end_id=1)
+    return token_files.read(manifest, "doc_id", docs.schema["doc_id"].dataType)

@@ -57,13 +57,13 @@ LONGEST = max(map(len, RANK))
 
 # Keys in rows, and alphabets that are typed as runs.
 ROWS = ["1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"]
+PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 RUNS = ["abcdefghijklmnopqrstuvwxyz"]
 
 
 def _neighbours() -> dict[str, set[str]]:
-    place = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
-    near = {a: {b for b, (s, j) in place.items() if a != b and abs(r - s) <= 1 and abs(i - j) <= 1}
-            for a, (r, i) in place.items()}
+    near = {a: {b for b, (s, j) in PLACE.items() if a != b and abs(r - s) <= 1 and abs(i - j) <= 1}
+            for a, (r, i) in PLACE.items()}
     for run in RUNS + ["0123456789"]:
         for a, b in zip(run, run[1:], strict=False):
             near.setdefault(a, set()).add(b)
@@ -88,7 +88,13 @@ def _alphabet(value: str) -> float:
 
 
 def _walk_cost(walk: str) -> float:
-    turns = sum((ord(b) - ord(a)) != (ord(c) - ord(b)) for a, b, c in zip(walk, walk[1:], walk[2:], strict=False))
+    """Where it starts, how long it is, and a factor of two for every change of direction."""
+    def way(a: str, b: str) -> tuple[int, int]:
+        (r, i), (s, j) = PLACE.get(a, (0, 0)), PLACE.get(b, (0, 0))
+        return (0, ord(b) - ord(a)) if abs(ord(b) - ord(a)) == 1 else (s - r, j - i)
+
+    ways = [way(a, b) for a, b in zip(walk, walk[1:], strict=False)]
+    turns = sum(x != y for x, y in zip(ways, ways[1:], strict=False))
     return math.log10(47 * len(walk)) + 0.3 * turns
 
 
