@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscreen.llm import decontaminate, quality_rules, secret_scan, source_mix, token_files
+from pitscreen.llm import decontaminate, ngram_join, quality_rules, secret_scan, source_mix, token_files
 from pitscreen.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_files.write(docs, word_ids(), vocabulary=49_408, end_id=1)
     return token_files.read(manifest, "doc_id", docs.schema["doc_id"].dataType)
+
+
+@query("op8_ngram_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    found = ngram_join.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "copies")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitscreen.session import land
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -58,3 +60,15 @@ def map_text(df: DataFrame, text: str, measure: Callable[[pa.Array], dict[str, n
 def held_out(key: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the key as text leaves ``fold`` when divided by ``folds``; false for null keys."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """``land``, after which the shuffle files of the job are dropped: the table replaces them."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark = df.sparkSession
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        return land(df, name)
+    finally:
+        spark.conf.set(setting, before)

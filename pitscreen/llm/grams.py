@@ -108,8 +108,8 @@ class Block:
         return Words(self.data, start, end, text, np.bincount(text, minlength=self.count), inside)
 
 
-def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[Block]:
-    """The texts of a string column, nulls as empty texts, block by block."""
+def blocks(column: pa.Array, size: int = BLOCK, most: int = 1 << 16) -> Iterator[Block]:
+    """The texts of a string column, nulls as empty texts, in blocks of at most ``most`` texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -124,7 +124,7 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[Block]:
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + most, n)
         yield Block(lo, raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
         lo = hi
 
