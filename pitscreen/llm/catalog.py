@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitscreen.llm import decontaminate, ngram_join, quality_rules, secret_scan, source_mix, token_files
-from pitscreen.llm.frames import table
+from pitscreen.llm import (
+    decontaminate,
+    language_id,
+    ngram_join,
+    quality_rules,
+    secret_scan,
+    source_mix,
+    token_files,
+)
+from pitscreen.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +143,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more."""
     found = ngram_join.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "copies")
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = language_id.fit(docs, ~out)
+    return language_id.predict(docs, model).withColumn("held_out", out)
