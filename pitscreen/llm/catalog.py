@@ -15,6 +15,7 @@ from pitscreen.llm import (
     secret_scan,
     source_mix,
     token_files,
+    toxicity,
 )
 from pitscreen.llm.frames import held_out, table
 
@@ -152,3 +153,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 4, 2)
     model = language_id.fit(docs, ~out)
     return language_id.predict(docs, model).withColumn("held_out", out)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labelled ones."""
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
+    return (toxicity.score(docs, model).withColumn("held_out", out)
+            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
