@@ -35,13 +35,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitscreen.llm import grams
 from pitscreen.llm.frames import col
 from pitscreen.session import land, shared_folder
 
 SAMPLE = 256
 MAGIC = b"EFTOKEN1"
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Letter runs whose ids a worker remembers (about 200 bytes each); beyond that it starts anew.
+REMEMBERED = 600_000
 
 
 # Elias-Fano ----------------------------------------------------------------------------------
@@ -125,8 +126,8 @@ class WordEncoder:
     """Ids of whole texts, word by word, with the words seen before remembered.
 
     No pre-token of the vocabulary holds white space, so a text's ids are those of its words in
-    turn. A word of plain letters, with or without closing punctuation, goes straight to the
-    merges; any other goes through the whole tokenizer.
+    turn. In a word of plain letters with or without closing punctuation, the letters go straight
+    to the merges and are remembered; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, dtype: np.dtype):
@@ -138,6 +139,7 @@ class WordEncoder:
         self.merges = self.whole.model
         self.dtype = dtype
         self.known: dict[bytes, bytes] = {}
+        self.closing: dict[str, bytes] = {}
         spec = json.loads(text)
         splits = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         #: The shortcut is for the lower-casing vocabulary that keeps letter runs together.
@@ -149,25 +151,49 @@ class WordEncoder:
     def _whole(self, word: str) -> list[int]:
         return self.whole.encode(word, add_special_tokens=False).ids
 
+    def _letters(self, letters: bytes) -> bytes:
+        spelled = letters.decode("latin-1").translate(_LETTERS)
+        return np.array([t.id for t in self.merges.tokenize(spelled)], dtype=self.dtype).tobytes()
+
     def word(self, raw: bytes) -> bytes:
         s = raw.decode("utf-8", "replace")
         m = _SIMPLE.fullmatch(s)
-        if m:
-            letters = m[1].lower().encode().decode("latin-1").translate(_LETTERS)
-            ids = [t.id for t in self.merges.tokenize(letters)]
-            if m[2]:
-                ids += self._whole(m[2])
-        else:
-            ids = self._whole(s)
-        out = np.array(ids, dtype=self.dtype).tobytes()
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[raw] = out
+        if not m:
+            return np.array(self._whole(s), dtype=self.dtype).tobytes()
+        letters = m[1].lower().encode()
+        out = self.known.get(letters)
+        if out is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            out = self.known[letters] = self._letters(letters)
+        if m[2]:
+            closing = self.closing.get(m[2])
+            if closing is None:
+                closing = np.array(self._whole(m[2]), dtype=self.dtype).tobytes()
+                if len(self.closing) < 10_000:
+                    self.closing[m[2]] = closing
+            out += closing
         return out
 
-    def text(self, raw: bytes) -> bytes:
-        known, get = self.known, self.word
-        return b"".join([known[w] if w in known else get(w) for w in raw.split()])
+    def block(self, b: grams.Block, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a block, each closed by the end id, and how many each has.
+
+        Every distinct word of the block is looked up once; its ids are then copied to all its places.
+        """
+        w = b.words()
+        _, once, which = np.unique(w.hashes(lower=False), return_index=True, return_inverse=True)
+        raw = b.data.tobytes()
+        pieces = [self.word(raw[i:j]) for i, j in zip(w.start[once].tolist(), w.end[once].tolist(), strict=True)]
+        flat = np.frombuffer(b"".join(pieces), dtype=self.dtype)
+        size = np.array([len(p) for p in pieces], dtype=np.int64) // self.dtype.itemsize
+        first = np.cumsum(size) - size
+        n = size[which]  # ids of each word
+        lens = np.bincount(w.text, weights=n, minlength=b.count).astype(np.int64) + 1
+        out = np.full(int(lens.sum()), end_id, dtype=self.dtype)
+        to = np.cumsum(n) - n + w.text  # one end id for each text before
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to, n) + step] = flat[np.repeat(first[which], n) + step]
+        return out, lens
 
 
 @lru_cache(maxsize=2)
@@ -203,15 +229,13 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, key: st
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     order = order_by or [col(key)]
-    narrow = docs.select(col(key).alias("key"), F.encode(F.coalesce(col(text).cast("string"), F.lit("")), "utf-8").alias("raw"),
+    narrow = docs.select(col(key).alias("key"), col(text).cast("string").alias("text"),
                          *[c.alias(f"o{i}") for i, c in enumerate(order)])
     names = [f"o{i}" for i in range(len(order))]
-    sorted_docs = narrow.repartitionByRange(*names).sortWithinPartitions(*names).select("key", "raw")
+    sorted_docs = narrow.repartitionByRange(*names).sortWithinPartitions(*names).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
-        end = np.array([end_id], dtype=dtype).tobytes()
-        width = len(end)
         enc, out, lens, keys = encoder(tokenizer, dtype), None, [], []
         shard = TaskContext.get().partitionId()
         path = f"{root}/ids-{shard:06d}-{uuid4().hex}.bin"
@@ -220,13 +244,13 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, key: st
                 continue
             out = out or fs.open_output_stream(path)
             keys.append(batch.column(0))
-            for raw in batch.column(1):
-                ids = enc.text(raw.as_py()) + end
-                out.write(ids)
-                lens.append(len(ids) // width)
+            for b in grams.blocks(batch.column(1), 2 << 20):
+                ids, n = enc.block(b, end_id)
+                out.write(ids.tobytes())
+                lens.append(n)
         if out is None:
             return
-        ends = np.concatenate([[0], np.cumsum(np.array(lens, dtype=np.int64))])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(lens))])
         head, boundaries = EliasFano.encode(ends).dump()
         sink = io.BytesIO()
         column = pa.table({"key": pa.chunked_array(keys)})
@@ -239,7 +263,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, key: st
         out.write(footer + len(footer).to_bytes(4, "little") + MAGIC)
         out.close()
         uri = folder.rstrip("/") + "/" + path.rsplit("/", 1)[1]
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "n_docs": [len(lens)],
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "n_docs": [len(ends) - 1],
                                           "n_tokens": [int(ends[-1])]})
 
     manifest = land(sorted_docs.mapInArrow(run, MANIFEST), "token-manifest")
