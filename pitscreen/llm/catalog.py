@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitscreen.llm import (
     decontaminate,
     language_id,
+    line_crf,
     ngram_join,
     quality_rules,
     secret_scan,
@@ -162,3 +163,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
     return (toxicity.score(docs, model).withColumn("held_out", out)
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+
+
+@query("op4_line_crf")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from two thirds of the labelled ones."""
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 3, 1)
+    model = line_crf.fit(docs, table(spark, sf_dir, "labels"), ~out)
+    return (line_crf.score(docs, model).withColumn("held_out", out)
+            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
