@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitscreen.llm import (
     decontaminate,
+    hpy_lm,
     language_id,
     line_crf,
     ngram_join,
@@ -172,3 +173,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = line_crf.fit(docs, table(spark, sf_dir, "labels"), ~out)
     return (line_crf.score(docs, model).withColumn("held_out", out)
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+
+
+@query("op6_hpy_lm")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under a model of six sevenths of them."""
+    out = held_out(F.col("doc_id"), 7, 2)
+    scored, model = hpy_lm.fit_and_score(table(spark, sf_dir, "documents"), ~out)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known",
+                         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+                         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
