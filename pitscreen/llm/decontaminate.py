@@ -21,12 +21,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitscreen.llm.frames import SPACE, col, free_name
+from pitscreen.llm.frames import SPACE, col, free_name, matched
 from pitscreen.session import land
 
-#: A table of at most this many keys (16 bytes each) is broadcast; a longer one is shuffled.
-BROADCAST_ROWS = 1_000_000
-
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), "")
@@ -58,12 +55,6 @@ def sketches(sets: DataFrame, threshold: float) -> DataFrame:
                        F.explode(kept).alias("h"))
 
 
-def matched(docs: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
-    """Semi or anti join on a landed table of distinct keys, broadcast only if its size allows."""
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(keys) if small else keys, on, how)
-
-
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
          item_text: str = "text", threshold: float = 0.8, n: int = 5) -> DataFrame:
     """(key, item, n_item_shingles, n_found, containment) of every pair that reaches the threshold.
@@ -98,7 +89,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     pairs = land(probes.join(sketch, ["q", "h"]).where(F.col("room") >= F.col("need"))
                  .select("t", "iid").distinct(), "candidates")
 
-    texts = matched(named, pairs.select("t").distinct(), "t", "left_semi")
+    texts = matched(named, pairs.select("t").distinct(), ["t"], "left_semi")
     both = texts.select("key", "t", words(F.col("text")).alias("w")).join(pairs, "t").join(sets, "iid")
     have = F.coalesce(*[F.when(F.col("q") == k, F.size(F.array_intersect("grams", shingles("w", k))))
                         for k in range(1, n + 1)])
@@ -122,4 +113,4 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
     hits = find(marked.select(col(t).alias("text_key"), col(text).alias("text")), land(ids, "items"),
                 key="text_key", threshold=threshold, n=n)
     gone = land(hits.select(F.col("text_key").alias(t)).distinct(), "contaminated")
-    return matched(marked, gone, t, "left_anti").drop(t)
+    return matched(marked, gone, [t], "left_anti").drop(t)

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from pitscreen.session import land
 
+#: A table of at most this many keys (16 bytes each) is broadcast; a longer one is shuffled.
+BROADCAST_ROWS = 1_000_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -72,3 +74,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
         return land(df, name)
     finally:
         spark.conf.set(setting, before)
+
+
+def matched(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Semi or anti join on a landed table of distinct keys, broadcast only if its size allows."""
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(keys) if small else keys, on, how)

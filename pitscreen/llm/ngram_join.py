@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from pitscreen.llm import grams
 from pitscreen.llm.components import components
-from pitscreen.llm.frames import col, map_text, settle
+from pitscreen.llm.frames import col, free_name, map_text, matched, settle
 
 #: Shingles in a fragment: what one task sorts at a time, 16 bytes each.
 FRAGMENT = 3_000_000
@@ -252,3 +252,26 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     out = sig.join(named, ["d1", "d2", "n"], "left")
     return out.select(col("key").alias(key), F.col("n").alias("n_shingles"),
                       F.coalesce("component", "key").alias("component"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group, that of the least key; rows with an empty set all stay.
+
+    Rows are told apart by two hashes of key and text; of rows equal in both one stays. The rows that
+    go are fewer than those that stay, so they are what the texts are matched with.
+    """
+    mark, one, two = free_name(docs, "row_key"), free_name(docs, "row_hash1"), free_name(docs, "row_hash2")
+    hashed = docs.withColumns({name: F.xxhash64(F.lit(i), col(key).cast("string"), col(text))
+                               for i, name in enumerate((one, two))})
+    marked = hashed.withColumn(mark, F.struct(col(key).alias("key"), col(one).alias("one"), col(two).alias("two")))
+    found = settle(groups(marked.select(col(mark).alias("mark"), col(text).alias("text")), "mark", "text", n, percent),
+                   "near-groups").where("n_shingles > 0")
+    names = [F.col("mark.one").alias(one), F.col("mark.two").alias(two)]
+    gone = settle(found.where(F.col("mark") != F.col("component")).select(*names).distinct(), "near-copies")
+    kept = matched(hashed, gone, [one, two], "left_anti")
+    twins = settle(found.where(F.col("mark") == F.col("component")).groupBy("mark").agg(F.count("*").alias("c"))
+                   .where("c > 1").select(*names), "repeated-rows")
+    if twins.limit(1).count():
+        kept = matched(kept, twins, [one, two], "left_anti").unionByName(
+            matched(kept, twins, [one, two], "left_semi").dropDuplicates([one, two]))
+    return kept.select(*map(col, docs.columns))

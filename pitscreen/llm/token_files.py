@@ -220,6 +220,8 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, key: st
           order_by: list[Column] | None = None, folder: str | None = None) -> DataFrame:
     """Writes shards in the order of ``order_by`` (the key) and returns the manifest.
 
+    With an empty ``order_by`` documents stay as they lie, a shard to each partition, without a shuffle.
+
     Manifest: shard, path, n_docs, n_tokens and ``start``, the tokens of all shards before. It has
     a row per file. Memory of a task is one Arrow batch and 16 bytes a document of its shard.
     """
@@ -228,11 +230,13 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, key: st
     folder = folder or f"{shared_folder(spark).rstrip('/')}/tokens-{uuid4().hex}"
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
-    order = order_by or [col(key)]
+    order = [col(key)] if order_by is None else order_by
     narrow = docs.select(col(key).alias("key"), col(text).cast("string").alias("text"),
                          *[c.alias(f"o{i}") for i, c in enumerate(order)])
     names = [f"o{i}" for i in range(len(order))]
-    sorted_docs = narrow.repartitionByRange(*names).sortWithinPartitions(*names).select("key", "text")
+    if names:
+        narrow = narrow.repartitionByRange(*names).sortWithinPartitions(*names)
+    sorted_docs = narrow.select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
