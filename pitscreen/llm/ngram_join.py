@@ -91,13 +91,15 @@ def segments(docs: DataFrame, fragments: int, text: str = "text", n: int = 5) ->
                 real[once] = True
                 keep = real[t]
                 h, t = h[keep], t[keep]
+                if not len(h):
+                    continue
                 frag = (h // np.uint64(width)).astype(np.int32)
                 order = np.argsort(frag, kind="stable")
                 h, t, frag = h[order], t[order], frag[order]
                 offset = h - frag.astype(np.uint64) * np.uint64(width)
                 shift = max(0, (width - 1).bit_length() - 48)
                 offset >>= np.uint64(shift)
-                at = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]])) if len(h) else np.empty(0, int)
+                at = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]]))
                 cols: list[list] = [[], [], [], [], []]
                 for lo, hi in zip(at, [*at[1:], len(h)], strict=True):
                     new = np.flatnonzero(np.concatenate([[True], t[lo + 1:hi] != t[lo:hi - 1]]))
@@ -192,18 +194,24 @@ def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int,
     length = F.col("n") - least_overlap(F.col("n"), percent) + 1 - (F.col("n") - F.col("shared"))
     entries = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("df", "grams"))))
     ordered = segs.groupBy("node", "n", "shared").agg(entries.alias("e"))
-    prefix = settle(ordered.select("node", "n", F.explode(F.slice("e", F.lit(1), length.cast("int"))).alias("e"))
-                    .select("node", "n", F.col("e.grams").alias("h")), "prefixes")
+    common = F.aggregate("e", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["df"]) / F.col("n")
+    prefix = settle(ordered.select("node", "n", "shared", common.alias("common"),
+                                   F.explode(F.slice("e", F.lit(1), length.cast("int"))).alias("e"))
+                    .select("node", "n", "shared", "common", F.col("e.grams").alias("h")), "prefixes")
 
     def alike(x: str, y: str) -> Column:
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    me = F.struct("node", "n")
-    lead = prefix.groupBy("h").agg(*[F.min_by(me, F.xxhash64(F.lit(i), "h" if i else F.lit(0), "node")).alias(f"l{i}")
-                                     for i in range(LEADERS)], F.count("*").alias("c")).where("c > 1")
+        """Whether two sets can be similar enough, given that all they can share is what others have too."""
+        most = F.least(f"{x}shared", f"{y}shared")
+        return 100 * most >= percent * (F.col(f"{x}n") + F.col(f"{y}n") - most)
+
+    # the leader of a bucket with the most common shingles is the likeliest original of its copies
+    me = F.struct("node", "n", "shared")
+    lead = prefix.groupBy("h").agg(F.max_by(me, F.struct("common", "node")).alias("l0"), *[
+        F.min_by(me, F.xxhash64(F.lit(i), "h", "node")).alias(f"l{i}") for i in range(1, LEADERS)],
+        F.count("*").alias("c")).where("c > 1")
     met = (prefix.join(lead, "h").select(me.alias("x"), F.explode(F.array_distinct(
         F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l")).where("x.node <> l.node"))
-    tried = (met.groupBy("x", "l").agg(F.count("*").alias("votes")).where(alike("x.n", "l.n"))
+    tried = (met.groupBy("x", "l").agg(F.count("*").alias("votes")).where(alike("x.", "l."))
              .groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "l")), asc=False), 1, LEADERS).alias("l"))
              .select("x", F.explode("l.l").alias("l")))
     first = F.when(F.col("x.node") < F.col("l.node"), F.struct("x", "l")).otherwise(F.struct(F.col("l").alias("x"), F.col("x").alias("l")))
@@ -214,16 +222,16 @@ def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int,
 
     comp = components(found)
     placed = settle(prefix.join(comp, "node", "left").select(
-        "h", "node", "n", F.coalesce("comp", "node").alias("comp")), "placed")
+        "h", "node", "n", "shared", F.coalesce("comp", "node").alias("comp")), "placed")
     mixed = (placed.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h")
              .agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
              .select("h", F.col("top.comp").alias("top")))
     open_ = placed.join(mixed, "h")
-    left = open_.select("h", "top", *[F.col(c).alias("x" + c) for c in ("node", "n", "comp")])
-    right = open_.select("h", *[F.col(c).alias("y" + c) for c in ("node", "n", "comp")])
+    left = open_.select("h", "top", *[F.col(c).alias("x" + c) for c in ("node", "n", "shared", "comp")])
+    right = open_.select("h", *[F.col(c).alias("y" + c) for c in ("node", "n", "shared", "comp")])
     # those outside the bucket's largest component meet all others; two such meet once
     across = (left.where("xcomp <> top").join(right, "h")
-              .where((F.col("xcomp") != F.col("ycomp")) & alike("xn", "yn")
+              .where((F.col("xcomp") != F.col("ycomp")) & alike("x", "y")
                      & ((F.col("ycomp") == F.col("top")) | (F.col("xnode") < F.col("ynode")))))
     swap = F.col("xnode") < F.col("ynode")
     rest = (across.select(F.when(swap, F.col("xnode")).otherwise(F.col("ynode")).alias("a"),
