@@ -6,36 +6,50 @@ logarithm of the component size. Nothing is collected but two numbers a round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pitscreen.llm.frames import settle
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))).alias("h")).first()
-    return row["n"], row["h"] or 0
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The landed edges, and a number and a hash that tell whether they have changed."""
+    seen = Observation()
+    mark = F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))
+    out = settle(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(mark).alias("h")), "edges")
+    return out, (seen.get["n"], seen.get["h"] or 0)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for every node of ``edges`` (a, b longs); comp is the least node of its component."""
-    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                 .distinct(), "edges")
-    before = _state(now)
-    while before[0]:
+def stars(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges (a, b), a > b, that connect what ``edges`` (a, b longs) connect.
+
+    Without a limit of rounds every node but the least of its component has one edge, to that one.
+    """
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    before, done = None, 0
+    while rounds is None or done < rounds:
         # every neighbour that is larger than a node goes to the least neighbour
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-                 .where("a <> b").distinct())
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
         # a node and its smaller neighbours go to the least of these
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").select(F.greatest("b", "m").alias("a"), F.col("m").alias("b"))
                  .union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        now = settle(small, "edges")
-        after = _state(now)
-        if after == before:
+        now, after = _settled(small)
+        done += 1
+        if after == before or not after[0]:
             break
         before = after
-    stars = now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return stars.union(now.select("b", "b").distinct().toDF("node", "comp"))
+    return now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) for every node of ``edges``; comp is the least node of its component."""
+    return labels(stars(edges))
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, comp) of edges from ``stars``."""
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(
+        edges.select("b", "b").distinct().toDF("node", "comp"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitscreen.llm import grams
-from pitscreen.llm.components import components
+from pitscreen.llm.components import components, stars
 from pitscreen.llm.frames import col, free_name, map_text, matched, settle
 
 #: Shingles in a fragment: what one task sorts at a time, 16 bytes each.
@@ -182,7 +182,7 @@ def verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes: those of the leaders, and all that join different components."""
+    """Edges (a, b) between classes that connect what all links connect."""
     fragments = PARTS * max(1, -(-shingles // (PARTS * FRAGMENT)))
     shared = settle(shared_segments(segments(docs, fragments, text, n), fragments), "shared-segments")
     able = (shared.groupBy("node").agg(F.sum(F.size("grams")).alias("shared")).join(classes.select("node", "n"), "node")
@@ -240,7 +240,7 @@ def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int,
                           F.when(swap, F.col("yn")).otherwise(F.col("xn")).alias("nb"))
             .distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     more = settle(verified(settle(rest, "cross-pairs"), segs, percent), "cross-links")
-    return found.union(more)
+    return joined.union(more)
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
