@@ -220,7 +220,9 @@ def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int,
         F.col("p.l.n").alias("nb")).distinct(), "leader-pairs")
     found = settle(verified(tried, segs, percent), "leader-links")
 
-    comp = components(found)
+    # a few rounds merge most of each group; what they leave apart only costs tests below
+    joined = stars(found, rounds=2)
+    comp = joined.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
     placed = settle(prefix.join(comp, "node", "left").select(
         "h", "node", "n", "shared", F.coalesce("comp", "node").alias("comp")), "placed")
     mixed = (placed.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h")
