@@ -211,9 +211,30 @@ SELECT statement, key, count(*) AS rows FROM (
  , LATERAL (SELECT split_part(line, '__', 1) AS statement, split_part(line, '__', 2) AS key)
 WHERE v IS NOT NULL GROUP BY 1, 2""", "vendor_statements")(
     lambda t: t.vendor_long.withColumnRenamed("name", "label")
-    .join(F.broadcast(L.mapping_table(t.spark)), ["statement", "label"])
+    .join(F.broadcast(L.mapping(t.spark)), ["statement", "label"])
     .groupBy("statement", "key").agg(F.count("*").alias("rows")))
 
+PRESENT = """SELECT DISTINCT split_part(line, '__', 1) AS statement, split_part(line, '__', 2) AS key FROM (
+ UNPIVOT (SELECT symbol, period, """ + ", ".join(
+    f"{k} AS {s}__{k}" for s, k in __import__("pitscreen.sources.standin", fromlist=["Tables"]).Tables.LONG_LINES) + """
+ FROM vendor_statements) ON COLUMNS(* EXCLUDE (symbol, period)) INTO NAME line VALUE v) WHERE v IS NOT NULL"""
+NEEDED = "VALUES " + ", ".join(f"('{p}', '{s}', '{k}')" for p, s, k in dict.fromkeys(L.needed()))
+
+
+def present(t):
+    """The lines that the vendor's long table holds, by their canonical names."""
+    return t.vendor_long.withColumnRenamed("name", "label").join(F.broadcast(L.mapping(t.spark)), ["statement", "label"])
+
+
+query("line_support", "S7 S8", f"""
+SELECT purpose, count(*) AS needed, count(h.key) AS there, count(*) = count(h.key) AS supported
+FROM ({NEEDED}) n(purpose, statement, key) LEFT JOIN ({PRESENT}) h USING (statement, key) GROUP BY 1""",
+      "vendor_statements")(lambda t: L.support(present(t), L.needs(t.spark)))
+
+query("missing_lines", "S7", f"""
+SELECT purpose, statement, key FROM ({NEEDED}) n(purpose, statement, key) ANTI JOIN ({PRESENT}) h USING (statement, key)""",
+      "vendor_statements")(lambda t: L.missing_lines(present(t), L.needs(t.spark)).distinct())
+
 query("field_coverage", "A9", """
 SELECT period, count(*) AS names, round(avg(CAST(minority_interest IS NOT NULL AS DOUBLE)), 3) AS minority_interest,
  round(avg(CAST(treasury_stock IS NOT NULL AS DOUBLE)), 3) AS treasury_stock, round(avg(CAST(cfo IS NOT NULL AS DOUBLE)), 3) AS cfo,

@@ -1,6 +1,5 @@
 """The broad-universe grid, optimised weights, sweeps."""
 
-from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from pitscreen.operators.ordering import beside
 from pitscreen.plans import grid as G
 
 SPEC = G.GridSpec(market="vietnam", first_year=1997, last_year=2000, k=10, n_draws=60,
-                  n_optimised=12, seed=42, cov_months=36)
+                  seed=42, cov_months=36)
 
 
 def market(t) -> G.Market:
@@ -102,10 +101,10 @@ query("grid_draws_other_names", "B6 J4", "SELECT * FROM other_draws", "other_dra
 query("grid_summary", "E11 E18 E9", """
 SELECT book, n_days, round(ann_return, 6) AS ann_return, round(ann_vol, 6) AS ann_vol, round(sharpe, 6) AS sharpe,
  round(max_drawdown, 6) AS max_drawdown, round(effective_n, 6) AS effective_n, round(turnover, 6) AS turnover,
- round(cost_drag, 6) AS cost_drag, round(net_sharpe, 6) AS net_sharpe FROM grid_summary_view""", "grid_summary_view")(
+ round(cost_drag, 6) AS cost_drag, round(net_sharpe, 6) AS net_sharpe, coalesce(nominal_k, 0) AS nominal_k FROM grid_summary_view""", "grid_summary_view")(
     lambda t: r6(cell(t).summary(optimised=False).select(
         "book", "n_days", "ann_return", "ann_vol", "sharpe", "max_drawdown", "effective_n", "turnover",
-        "cost_drag", "net_sharpe")))
+        "cost_drag", "net_sharpe", "nominal_k")))
 
 query("grid_random_metrics", "B16 T15", """
 SELECT draw, n_days, round(ann_return, 6) AS ann_return, round(ann_vol, 6) AS ann_vol, round(sharpe, 6) AS sharpe FROM grid_draw_metrics""",
@@ -232,4 +231,4 @@ query("universe_minimum_variance", "B9 E18")(lambda t: market(t).universe_gmv)
 query("optimised_study_summary", "E11 E17")(lambda t: study(t).summary())
 query("paired_optimisation_gain", "E4")(lambda t: study(t).synergy("GMV"))
 query("grid_paired_gain", "E4 E22")(lambda t: cell(t).synergy())
-query("grid_sweep", "E18 E23")(lambda t: G.sweep(market(t), replace(SPEC, n_optimised=6), [8, 10], [20, 40]))
+query("grid_sweep", "E18 E23")(lambda t: G.sweep(market(t), SPEC, [8, 10], [20, 40]))

@@ -21,11 +21,9 @@ def headline(t):
 
 def swept(t):
     if "swept" not in t.__dict__:
-        from dataclasses import replace
-
         from pitscreen.session import land
 
-        t.swept = land(G.sweep(market(t), replace(GRID_SPEC, n_optimised=6), [8, 10], [20, 40]), "sweep")
+        t.swept = land(G.sweep(market(t), GRID_SPEC, [8, 10], [20, 40]), "sweep")
     return t.swept
 
 

@@ -6,6 +6,7 @@ from pitscreen.catalog.registry import query
 from pitscreen.catalog.study import r6, study
 from pitscreen.catalog.views import VIEWS
 from pitscreen.operators import asof as A, benchmarks as M, evaluate as E, paths as P
+from pitscreen.operators.ordering import exact_quantiles
 
 VIEWS["panel_returns"] = """
 WITH cal AS (SELECT DISTINCT date, y AS formation_year FROM prices, (SELECT CAST(unnest([1997, 1998, 1999, 2000]) AS INTEGER) AS y)
@@ -151,3 +152,19 @@ query("factor_regression", "E15 J14", """
 SELECT book, round(alpha_daily * 252, 6) AS alpha_annual, round(t, 6) AS alpha_tstat, abs(t) > 1.959963984540054 AS alpha_significant, round(beta1, 6) AS beta_mkt,
  round(beta2, 6) AS beta_smb, round(beta3, 6) AS beta_hml, round(r2, 6) AS r2, n_obs FROM regression""", "regression")(
     lambda t: r6(M.factor_regression(study(t).equal_daily, factors(t)).drop("alpha_daily", "alpha_pvalue")))
+
+query("price_on_or_before", "J7", """
+WITH t AS (SELECT DISTINCT ticker, make_date(year(date), 3, 15) AS target FROM prices)
+SELECT t.ticker, t.target, p.date AS price_date, round(p.adj_close, 6) AS price
+FROM t ASOF LEFT JOIN prices p ON t.ticker = p.ticker AND t.target >= p.date""", "prices")(
+    lambda t: A.last_on_or_before(
+        t.prices.select("ticker", F.make_date(F.year("date"), F.lit(3), F.lit(15)).alias("target")).distinct(),
+        t.prices.withColumn("price_date", F.col("date")), "ticker", "target", "date",
+        {"price_date": "price_date", "adj_close": "price"}).withColumn("price", F.round("price", 6)))
+
+query("banded_quantiles", "A5", """
+SELECT CAST(year(date) AS INTEGER) AS year, round(quantile_cont(adj_close, 0.05), 6) AS q05,
+ round(quantile_cont(adj_close, 0.5), 6) AS q50, round(quantile_cont(adj_close, 0.95), 6) AS q95 FROM prices GROUP BY 1""",
+      "prices")(lambda t: r6(exact_quantiles(
+          t.prices.withColumn("year", F.year("date")), ["year"], "adj_close",
+          {"q05": 0.05, "q50": 0.5, "q95": 0.95}, accuracy=20)))

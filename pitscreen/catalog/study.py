@@ -12,7 +12,7 @@ from pitscreen.plans.study import Study, StudySpec
 
 # Sizes suited to the stand-in market; every one is a parameter of the plan.
 SPEC = StudySpec(market="us", first_year=1997, last_year=2000, k=10, universe_size=60,
-                 value_quantile=0.4, n_draws=50, n_optimised=12, lag_months=6, min_days=60,
+                 value_quantile=0.4, n_draws=50, lag_months=6, min_days=60,
                  seed=42, cov_months=36)
 
 
@@ -194,7 +194,7 @@ FROM positions GROUP BY ALL
 """
 
 VIEWS["book_summary"] = """
-WITH c AS (SELECT book, CAST(min_by(names, formation_year) AS DOUBLE) AS nominal_k, CAST(min(names) AS DOUBLE) AS min_k,
+WITH c AS (SELECT book, CAST(max(names) FILTER (formation_year = (SELECT min(formation_year) FROM conc )) AS DOUBLE) AS nominal_k, CAST(min(names) AS DOUBLE) AS min_k,
    avg(names) AS mean_k, CAST(max(names) AS DOUBLE) AS max_k, avg(effective_n) AS effective_n, avg(short_notional) AS short FROM conc GROUP BY 1),
 t AS (SELECT book, avg(turnover) AS turnover FROM book_turnover GROUP BY 1),
 a AS (SELECT m.*, nominal_k, min_k, mean_k, max_k, effective_n, coalesce(turnover, 0) AS turnover,

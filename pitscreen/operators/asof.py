@@ -72,18 +72,20 @@ def first_session_from(bars: DataFrame, month: int, day: int, key: str, date: st
 
 def last_on_or_before(targets: DataFrame, bars: DataFrame, on: str, target: str,
                       bar_date: str, values: dict[str, str]) -> DataFrame:
-    """Backward as-of join without a tolerance.
+    """Backward as-of join without a tolerance, for targets on any day.
 
-    Bars are first reduced to the last one of each (key, month), which is lossless when
-    the target is a month end; the remaining rows per key are one per month.
+    Of the target's own month every bar is met, of each month before it only the last one, so a
+    key's rows are bounded by its months and the sessions of one.
     """
-    month_end = (bars.groupBy(on, F.trunc(bar_date, "month").alias("_m"))
-                 .agg(F.max(bar_date).alias("_bar_date"),
-                      *[F.max_by(v, bar_date).alias(f"_v_{v}") for v in values]))
-    found = (targets.select(on, target).distinct()
-             .join(month_end, on)
-             .where(F.col("_bar_date") <= F.col(target))
-             .groupBy(on, target)
-             .agg(*[F.max_by(f"_v_{v}",
-                             "_bar_date").alias(out) for v, out in values.items()]))
+    bar = bars.select(on, F.col(bar_date).alias("_bar_date"), _month_index(F.col(bar_date)).alias(_MONTH),
+                      *[F.col(v).alias(f"_v_{v}") for v in values])
+    cols = ["_bar_date", *[f"_v_{v}" for v in values]]
+    month_end = bar.groupBy(on, _MONTH).agg(F.max("_bar_date").alias("_bar_date"),
+                                            *[F.max_by(c, "_bar_date").alias(c) for c in cols[1:]])
+    wanted = targets.select(on, target).distinct().withColumn("_target_month", _month_index(F.col(target)))
+    before = wanted.join(month_end, on).where(F.col(_MONTH) < F.col("_target_month"))
+    within = (wanted.withColumn(_MONTH, F.col("_target_month")).join(bar, [on, _MONTH])
+              .where(F.col("_bar_date") <= F.col(target)))
+    found = (before.select(on, target, *cols).unionByName(within.select(on, target, *cols)).groupBy(on, target)
+             .agg(*[F.max_by(f"_v_{v}", "_bar_date").alias(out) for v, out in values.items()]))
     return targets.join(found, [on, target], "left")

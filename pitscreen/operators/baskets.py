@@ -147,3 +147,8 @@ def overlap(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return a.join(b.select(*[c for c in by if c in b.columns], "ticker"),
                   [*[c for c in by if c in b.columns], "ticker"]).groupBy(*by).agg(
         F.count("*").alias("shared"))
+
+
+def limited(books: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` random books, or all of them."""
+    return books if n is None else books.where(F.col("book") < n)

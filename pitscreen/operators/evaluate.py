@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from pitscreen.functions.numeric import safe_div
+from pitscreen.operators.ordering import beside
 from pitscreen.operators.paths import YEAR
 
 # Fixed values of the study.
@@ -12,7 +13,6 @@ TRADING_DAYS = 252
 ALPHA = 0.05
 COST_PER_SIDE = 0.0020
 SHORT_BORROW_ANNUAL = 0.01
-MC_TURNOVER_DRAWS = 500
 
 
 def metrics(daily: DataFrame, by: list[str], rf_annual: float = 0.0) -> DataFrame:
@@ -109,12 +109,11 @@ def rebalance_turnover(target: DataFrame, drifted: DataFrame) -> DataFrame:
     return t.join(both, [YEAR, "book"])
 
 
-def random_turnover(draws: DataFrame, first: int = MC_TURNOVER_DRAWS) -> DataFrame:
-    """Per draw and year: share of names replaced since the previous formation."""
-    kept = draws.where(F.col("draw") < first)
-    size = kept.groupBy(YEAR, "draw").agg(F.count("*").alias("k"))
-    prev = kept.select((F.col(YEAR) + 1).alias(YEAR), "draw", "ticker")
-    same = (kept.join(prev, [YEAR, "draw", "ticker"], "left_semi")
+def random_turnover(draws: DataFrame) -> DataFrame:
+    """Per draw and year, of all draws: share of names replaced since the previous formation."""
+    size = draws.groupBy(YEAR, "draw").agg(F.count("*").alias("k"))
+    prev = draws.select((F.col(YEAR) + 1).alias(YEAR), "draw", "ticker")
+    same = (draws.join(prev, [YEAR, "draw", "ticker"], "left_semi")
             .groupBy(YEAR, "draw").agg(F.count("*").alias("same")))
     held = size.select((F.col(YEAR) + 1).alias(YEAR), "draw", F.col("k").alias("prev_k"))
     return (size.join(held, [YEAR, "draw"]).join(same, [YEAR, "draw"], "left")
@@ -140,13 +139,19 @@ def cost_drag(turnover_mean: Column, short_notional: Column | None = None,
 
 
 def summary(daily: DataFrame, positions: DataFrame, drifted: DataFrame,
-            rf_annual: float = 0.0, cost_per_side: float = COST_PER_SIDE) -> DataFrame:
-    """Gross performance, concentration, turnover and net figures per book."""
+            rf_annual: float = 0.0, cost_per_side: float = COST_PER_SIDE,
+            empty_first: float | None = None) -> DataFrame:
+    """Gross performance, concentration, turnover and net figures per book.
+
+    ``nominal_k`` is a book's size at the first formation of all; ``empty_first`` is what it is for a
+    book that held nothing then.
+    """
     m = metrics(daily.where(F.col("r").isNotNull()), ["book"], rf_annual)
     conc = effective_n(positions)
-    first = W.partitionBy("book").orderBy(YEAR)  # one row a formation
-    size = (conc.withColumn("_i", F.row_number().over(first)).groupBy("book")
-            .agg(F.max(F.when(F.col("_i") == 1, F.col("names"))).cast("double").alias("nominal_k"),
+    conc = beside(conc, conc.agg(F.min(YEAR).alias("_first")))
+    size = (conc.groupBy("book")
+            .agg(F.coalesce(F.max(F.when(F.col(YEAR) == F.col("_first"), F.col("names"))).cast("double"),
+                            F.lit(empty_first).cast("double")).alias("nominal_k"),
                  F.min("names").cast("double").alias("min_k"),
                  F.avg("names").alias("mean_k"), F.max("names").cast("double").alias("max_k"),
                  F.avg("effective_n").alias("effective_n"),

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 # percentile_approx guarantees a rank error of n / ACCURACY.
 ACCURACY = 10_000
+# The largest limit that Spark pushes below a window's shuffle, and the hash slices beyond it.
+PUSHED, SLICES = 1000, 64
 
 
 def beside(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -24,8 +26,15 @@ def beside(df: DataFrame, one: DataFrame) -> DataFrame:
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per group with their rank.
 
-    Spark pushes the limit below the shuffle, so each task forwards at most k rows a group.
+    Up to ``PUSHED`` rows Spark pushes the limit below the shuffle, so each task forwards at most k
+    rows a group. Beyond it each group is cut by hash first, and only the best k of each slice meet.
+    ``order`` must be total.
     """
+    if k > PUSHED:
+        slice_ = F.pmod(F.xxhash64(*df.columns), F.lit(SLICES))
+        w = W.partitionBy(*by, "_slice").orderBy(*order)
+        df = (df.withColumn("_slice", slice_).withColumn(rank, F.row_number().over(w))
+              .where(F.col(rank) <= k).drop("_slice", rank))
     return (df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
             .where(F.col(rank) <= k))
 
@@ -82,8 +91,8 @@ def spread_rank(df: DataFrame, by: list[str], value: str, key: str, rank: str =
             .drop("_v", "_h", "_slice", "_local", "_before"))
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str,
-                    probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
+                    accuracy: int = ACCURACY) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per entry of ``probs``.
 
     Pass one brackets every quantile with an approximate sketch; pass two counts the rows
@@ -92,17 +101,17 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str,
     """
     if not by:
         one = df.withColumn("_whole", F.lit(1))
-        return exact_quantiles(one, ["_whole"], value, probs).drop("_whole")
+        return exact_quantiles(one, ["_whole"], value, probs, accuracy).drop("_whole")
     have = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    slack = 2.0 / ACCURACY
+    slack = 2.0 / accuracy
     names = list(probs)
     edges = [e for p in probs.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = have.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", edges, ACCURACY).alias("_e"),
+        F.count("*").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    # Beyond ACCURACY rows the slack exceeds the sketch's error by at least one rank; a
+    # Beyond ``accuracy`` rows the slack exceeds the sketch's error by at least one rank; a
     # smaller group is its own band.
-    small = F.col("_n") <= ACCURACY
+    small = F.col("_n") <= accuracy
     bands = F.array(*[
         F.struct(F.lit(name).alias("q"), F.lit(probs[name]).alias("p"),
                  F.when(small | F.lit(probs[name] <= slack), F.col("_min"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pitscreen.functions.dates import (available_date, formation_date, holding_end,
                                        holding_formation)
@@ -82,16 +82,8 @@ def build_universe(prices: DataFrame, snap: DataFrame, top_n: int = 150, min_day
     return picked.withColumn("bm", F.try_divide("book_value", "market_cap"))
 
 
-def high_bm_subset(universe: DataFrame, quantile: float = 0.2,
-                   bounded: bool = False) -> DataFrame:
-    """Names at or above the (1 - quantile) quantile of book-to-market of their formation.
-
-    ``bounded`` says a formation holds a fixed number of rows (a top-n universe); only then
-    the cut is taken with the in-memory ``percentile``.
-    """
-    if bounded:
-        cut = F.percentile("bm", F.lit(1 - quantile)).over(W.partitionBy("formation_year"))
-        return universe.withColumn("_cut", cut).where(F.col("bm") >= F.col("_cut")).drop("_cut")
+def high_bm_subset(universe: DataFrame, quantile: float = 0.2) -> DataFrame:
+    """Names at or above the (1 - quantile) quantile of book-to-market of their formation."""
     cuts = exact_quantiles(universe, ["formation_year"], "bm", {"_cut": 1 - quantile})
     return (universe.join(F.broadcast(cuts), "formation_year")
             .where(F.col("bm") >= F.col("_cut")).drop("_cut"))

@@ -27,7 +27,7 @@ class GridSpec:
     last_year: int = 2024
     k: int = 30
     n_draws: int = 1000
-    n_optimised: int = 300
+    n_optimised: int | None = None  # draws that are optimised; all of them unless limited
     seed: int = 42
     cov_months: int = 36
     min_est_days: int | None = None
@@ -178,7 +178,7 @@ class Cell:
         d = draws.withColumnRenamed("draw", "book")
         if how == "EW":
             return equal_weight(d, [YEAR, "book"])
-        return optimised_weights(d.where(F.col("book") < self.spec.n_optimised), self.m.series, how)
+        return optimised_weights(B.limited(d, self.spec.n_optimised), self.m.series, how)
 
     @cached_property
     def draw_metrics(self) -> DataFrame:
@@ -189,7 +189,7 @@ class Cell:
 
     def summary(self, optimised: bool = True) -> DataFrame:
         pos = self.positions(optimised)
-        return E.summary(self.daily(optimised), pos, P.end_weights(pos, self.m.steps))
+        return E.summary(self.daily(optimised), pos, P.end_weights(pos, self.m.steps), empty_first=0.0)
 
     def yearly_returns(self, optimised: bool = True) -> DataFrame:
         return E.calendar_year_returns(self.daily(optimised), ["book"])
@@ -238,7 +238,7 @@ class Cell:
         tag = lambda df: df.withColumn("book", F.lit("score"))
         equal = self.basket_positions.where(F.col("book") == "score_EW")
         own = E.paired_gain(m(tag(self.optimised_positions("GMV"))), m(tag(equal)), ["book"])
-        first = self.draw_metrics.where(F.col("book") < self.spec.n_optimised)
+        first = B.limited(self.draw_metrics, self.spec.n_optimised)
         rand = E.paired_gain(m(self.draw_positions(self.draws, "GMV")), first, ["book"])
         key = lambda df: df.withColumn("construction", F.lit("GMV")).drop("book")
         return E.place(key(own).withColumnRenamed("gain", "D_score"),

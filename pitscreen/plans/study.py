@@ -27,7 +27,7 @@ class StudySpec:
     universe_size: int = 150
     value_quantile: float = 0.4
     n_draws: int = 1000
-    n_optimised: int = 300
+    n_optimised: int | None = None  # draws that are optimised; all of them unless limited
     lag_months: int = 5
     min_days: int = 200
     seed: int = 42
@@ -77,7 +77,7 @@ class Study:
 
     @cached_property
     def value_set(self) -> DataFrame:
-        return U.high_bm_subset(self.universe, self.spec.value_quantile, bounded=True)
+        return U.high_bm_subset(self.universe, self.spec.value_quantile)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -151,8 +151,7 @@ class Study:
         d = self.draws.withColumnRenamed("draw", "book")
         if how == "EW":
             return equal_weight(d, [YEAR, "book"])
-        return optimised_weights(d.where(F.col("book") < self.spec.n_optimised), self.series,
-                                 how, self.sectors)
+        return optimised_weights(B.limited(d, self.spec.n_optimised), self.series, how, self.sectors)
 
     @cached_property
     def steps(self) -> DataFrame:
@@ -197,7 +196,7 @@ class Study:
         equal = self.equal_positions.where(F.col("book") == "score_EW")
         tag = lambda df: df.withColumn("book", F.lit("score"))
         own = E.paired_gain(m(tag(self.optimised_positions(how))), m(tag(equal)), ["book"])
-        first = self.draw_positions("EW").where(F.col("book") < self.spec.n_optimised)
+        first = B.limited(self.draw_positions("EW"), self.spec.n_optimised)
         rand = E.paired_gain(m(self.draw_positions(how)), m(first), ["book"])
         key = lambda df: df.withColumn("construction", F.lit(how)).drop("book")
         return E.place(key(own).withColumnRenamed("gain", "D_score"),

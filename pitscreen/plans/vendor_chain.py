@@ -10,7 +10,7 @@ from pitscreen.functions.numeric import positive_or_null, safe_div
 from pitscreen.operators import checks as V, shares as H, statement_scores as C, vendor_bars as N
 from pitscreen.operators.ordering import beside
 from pitscreen.session import land
-from pitscreen.sources.line_items import FIREANT, Provider, STATEMENTS, widen
+from pitscreen.sources.line_items import panel_keys, wide
 from pitscreen.sources.schemas import FLAGS
 
 DIRECT = ["cfo", "cfi", "cff", "cash_begin", "cash_end", "net_cash_flow", "fx_effect"]
@@ -32,13 +32,9 @@ REASONS = [
 ]
 
 
-def extract(long: DataFrame, provider: Provider = FIREANT) -> DataFrame:
-    """Wide panel of the required lines, one pass over the long table per statement."""
-    panel = None
-    for s in STATEMENTS:
-        part = widen(long.where(F.col("statement") == s), provider, s)
-        panel = part if panel is None else panel.join(part, ["symbol", "period"], "full_outer")
-    return panel
+def extract(long: DataFrame) -> DataFrame:
+    """Wide panel of the needed lines: one scan of the long table and one shuffle."""
+    return wide(long, panel_keys())
 
 
 def fill_from_direct(panel: DataFrame) -> DataFrame:

@@ -237,10 +237,10 @@ class Tables:
     @cached_property
     def vendor_long(self) -> DataFrame:
         """(symbol, period, statement, name, value) with the vendor's own line labels."""
-        from pitscreen.sources.line_items import FIREANT
+        from pitscreen.sources.line_items import LABELS
 
         cells = F.array(*[
-            F.struct(F.lit(s).alias("statement"), F.lit(FIREANT.label(s, k)).alias("name"),
+            F.struct(F.lit(s).alias("statement"), F.lit(LABELS[s][k]).alias("name"),
                      F.col(k).alias("value")) for s, k in self.LONG_LINES])
         return (self.vendor_statements.select("symbol", "period", F.explode(cells).alias("c"))
                 .select("symbol", "period", "c.statement", "c.name", "c.value")

@@ -8,27 +8,34 @@ from pitscreen.operators import baskets as B, ordering as O
 from pitscreen.sources import markets
 
 
-def scored(spark):
-    s = [9, 8, 8, 8, 8, 8, 8, 8, 8, 1]
-    bm = [0.1, 9.0, 8.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 0.5]
-    return spark.createDataFrame([(2024, f"T{i}", s[i], bm[i]) for i in range(10)],
-                                 "formation_year int, ticker string, fscore int, bm double")
+def ranked_names(df, k, seed, **how):
+    return [r.ticker for r in B.score_basket(df, k, seed, **how).orderBy("rank").collect()]
 
 
-def order(df, k, seed):
-    return [r.ticker for r in B.score_basket(df, k, seed).orderBy("rank").collect()]
+def tied(spark, n_best=2, n_tied=12, n_worst=3):
+    """Scores with a large tie in the middle; book-to-market falls with the number in the name."""
+    scores = [7] * n_best + [5] * n_tied + [2] * n_worst
+    rows = [(2019, f"S{i:02d}", s, 10.0 - i) for i, s in enumerate(scores)]
+    return spark.createDataFrame(rows, "formation_year int, ticker string, fscore int, bm double")
 
 
-def test_ties_are_broken_by_seed_not_by_value(spark):
-    df = scored(spark)
-    top = order(df, 4, 1)
-    assert top[0] == "T0" and "T9" not in top
-    assert order(df, 10, 1) == order(df, 10, 1) != order(df, 10, 2)
-    assert any(order(df, 4, s)[1:] != ["T1", "T2", "T3"] for s in (1, 2, 3))
-    assert B.tie_break_slots(df, 4).first().tie_break_slots == 3
-    assert B.tie_break_slots(df, 20).first().tie_break_slots == 0
-    low = [r.ticker for r in B.score_basket(df, 10, 1, lowest=True).orderBy("rank").collect()]
-    assert low == order(df, 10, 1)[::-1]
+def test_a_tie_at_the_cut_is_drawn_by_seed(spark):
+    df = tied(spark)
+    best, middle, worst = {"S00", "S01"}, {f"S{i:02d}" for i in range(2, 14)}, {"S14", "S15", "S16"}
+    draws = {seed: ranked_names(df, 6, seed) for seed in range(4)}
+    for picked in draws.values():
+        assert set(picked[:2]) == best and set(picked[2:]) <= middle and len(picked) == 6
+    assert len({tuple(p[2:]) for p in draws.values()}) > 1
+    assert ranked_names(df, 6, 3) == draws[3]
+    assert set(ranked_names(df, 17, 0)[-3:]) == worst
+    assert ranked_names(df, 17, 0, lowest=True) == ranked_names(df, 17, 0)[::-1]
+
+
+def test_slots_left_for_the_tie(spark):
+    df = tied(spark)
+    slots = {k: B.tie_break_slots(df, k).first().tie_break_slots for k in (2, 6, 14, 17)}
+    assert slots[6] == 4
+    assert slots[2] in (0, 2) and slots[14] in (0, 12)
 
 
 def test_quintiles_match_the_hand_cases(spark):
@@ -112,3 +119,15 @@ def test_shorting_registry():
     assert all(markets.allows_shorting(m) for m in ("us", "Japan", "vietnam", "vn"))
     assert markets.is_hypothetical_short("vn") and not markets.is_hypothetical_short("us")
     assert not markets.allows_shorting("elsewhere") and not markets.is_hypothetical_short("elsewhere")
+
+
+def test_top_k_beyond_the_pushed_limit(spark):
+    n, k = 30_000, 5000
+    df = spark.range(n).select((F.col("id") % 2).alias("y"), (F.col("id") * 7919 % 10007).alias("v"), "id")
+    got = O.top_k(df, ["y"], [F.desc("v"), F.col("id")], k).collect()
+    for y in (0, 1):
+        want = sorted(((-(i * 7919 % 10007), i) for i in range(y, n, 2)))[:k]
+        mine = sorted((r.rank, r.id) for r in got if r.y == y)
+        assert [i for _, i in mine] == [i for _, i in want] and [r for r, _ in mine] == list(range(1, k + 1))
+    plan = O.top_k(df, ["y"], [F.desc("v"), F.col("id")], k)._jdf.queryExecution().executedPlan().toString()
+    assert "_slice" in plan

@@ -128,15 +128,35 @@ def test_upsert_keeps_other_markets(spark):
     assert {(r.market, r.D) for r in merged.collect()} == {("us", -0.99), ("japan", -0.21), ("vietnam", 0.23)}
 
 
-def test_duplicate_statement_line_is_an_error(spark):
-    lab = L.FIREANT.label("balance_sheet", "total_assets")
-    df = spark.createDataFrame([("A", "2020", lab, 1.0), ("A", "2020", lab, 2.0)], "symbol string, period string, name string, value double")
+LONG = "symbol string, period string, statement string, name string, value double"
+
+
+def test_wide_panel_and_duplicate_lines(spark):
+    label = L.LABELS["balance_sheet"]["total_assets"]
+    rows = [("A", "2020", "balance_sheet", label, 1.0), ("A", "2020", "cash_flow", label, 9.0),
+            ("A", "2020", "balance_sheet", "no such label", 3.0), ("B", "2021", "balance_sheet", label, None)]
+    got = {r.symbol: r for r in L.wide(spark.createDataFrame(rows, LONG), ["total_assets", "cfo"]).collect()}
+    assert (got["A"].total_assets, got["A"].cfo) == (1.0, None) and got["B"].total_assets is None
     with pytest.raises(PySparkException):
-        L.widen(df, L.FIREANT, "balance_sheet", ["total_assets"]).collect()
-    one = L.widen(df.limit(1), L.FIREANT, "balance_sheet", ["total_assets", "no_such_line"]).first()
-    assert one.no_such_line is None
-    assert L.CAFEF.signals_supported() == [] and len(L.FIREANT.signals_supported()) == 9
-    assert L.FIREANT.missing() == [] and L.CAFEF.table("cash_flow") == "cafef_cash_flow"
+        L.wide(spark.createDataFrame([*rows, rows[0]], LONG), ["total_assets"]).collect()
+
+
+def test_wide_panel_is_one_scan_and_one_shuffle(spark):
+    long = spark.createDataFrame([("A", "2020", "balance_sheet", "x", 1.0)], LONG)
+    plan = L.wide(long, L.panel_keys())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_mapping_covers_what_is_needed(spark):
+    have, need = L.mapping(spark), L.needs(spark)
+    assert L.missing_lines(have, need).count() == 0
+    some = have.where("key <> 'total_assets'")
+    lost = {r.purpose for r in L.missing_lines(some, need).collect()}
+    assert {"roa", "cfoa", "d_turn"} <= lost and "d_liquid" not in lost
+    supported = {r.purpose: r.supported for r in L.support(some, need).collect()}
+    assert not supported["roa"] and supported["d_liquid"] and supported["value"]
+    seen = spark.createDataFrame([("A", "1", "cash_flow", "?", 1.0), ("A", "2", "cash_flow", "?", 1.0)], LONG)
+    assert [tuple(r) for r in L.unknown_lines(seen, have).collect()] == [("cash_flow", "?", 2)]
 
 
 def test_share_guards(spark):
@@ -218,3 +238,14 @@ def test_local_factors_price_their_own_sorts(spark):
     assert reg.alpha_tstat == pytest.approx(beta[0] / se, rel=1e-6)
     from math import erfc, sqrt
     assert reg.alpha_pvalue == pytest.approx(erfc(abs(beta[0] / se) / sqrt(2)), rel=1e-6)
+
+
+def test_last_bar_before_any_day(spark):
+    from pitscreen.operators.asof import last_on_or_before
+
+    bars = spark.createDataFrame([("A", "2020-01-10", 1.0), ("A", "2020-01-25", 2.0), ("A", "2020-03-02", 3.0)],
+                                 "k string, d string, v double").withColumn("d", F.to_date("d"))
+    days = ["2020-01-09", "2020-01-10", "2020-01-15", "2020-01-31", "2020-03-01", "2020-03-02", "2021-07-01"]
+    t = spark.createDataFrame([("A", x) for x in days] + [("B", days[0])], "k string, t string").withColumn("t", F.to_date("t"))
+    got = {(r.k, str(r.t)): r.v for r in last_on_or_before(t, bars, "k", "t", "d", {"v": "v"}).collect()}
+    assert [got["A", x] for x in days] == [None, 1.0, 1.0, 2.0, 2.0, 3.0, 3.0] and got["B", days[0]] is None
