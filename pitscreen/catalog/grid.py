@@ -169,7 +169,7 @@ SELECT a.formation_year, count(*) AS shared, round(count(*) / 10.0::DOUBLE, 6) A
     lambda t: r6(G.score_overlap(market(t), cell(t).baskets["score"].select("formation_year", "ticker"),
                                  cell(t).baskets["value"], 10)))
 
-query("tie_break_seed_sweep", "E21", """
+VIEWS["seed_sweep"] = """
 WITH r AS (SELECT e.formation_year, e.ticker, seed, row_number() OVER (PARTITION BY formation_year, seed
    ORDER BY fscore DESC, md5(concat_ws(':', seed, formation_year, ticker))) AS rk FROM eligible e, (SELECT unnest([42, 43, 44]) AS seed)),
 v AS (SELECT r.formation_year, seed, g.date, avg(g.g) AS value FROM r JOIN grid_growth g ON g.formation_year = r.formation_year AND g.ticker = r.ticker
@@ -178,13 +178,19 @@ d AS (SELECT *, value / coalesce(lag(value) OVER (PARTITION BY formation_year, s
 m AS (""" + METRICS_SQL.format(by="seed", src="d") + """)
 SELECT CAST(seed AS INTEGER) AS seed, round(m.sharpe, 6) AS sharpe, round(m.ann_return, 6) AS ann_return, round(avg(CASE WHEN g.sharpe < m.sharpe THEN 1.0 ELSE 0.0 END), 6) AS percentile,
  round(avg(CASE WHEN g.sharpe >= m.sharpe THEN 1.0 ELSE 0.0 END), 6) AS p_value, avg(CASE WHEN g.sharpe >= m.sharpe THEN 1.0 ELSE 0.0 END) < 0.05 AS significant
-FROM m, grid_draw_metrics g GROUP BY seed, m.sharpe, m.ann_return""", "eligible grid_growth grid_draw_metrics")(
-    lambda t: r6(G.tie_break_sweep(market(t), SPEC, [42, 43, 44])
-                 .drop("mean_tie_break_slots", "years_fully_tie_broken")))
+FROM m, grid_draw_metrics g GROUP BY seed, m.sharpe, m.ann_return"""
+
+
+def seed_sweep(t):
+    return r6(G.tie_break_sweep(market(t), SPEC, [42, 43, 44]).drop("mean_tie_break_slots", "years_fully_tie_broken"))
+
+
+query("tie_break_seed_sweep", "E21", "SELECT * FROM seed_sweep", "seed_sweep")(seed_sweep)
 
 query("seed_spread", "A17", """
-SELECT 'n_returns' AS measure, CAST(min(n_returns) AS DOUBLE) AS min, CAST(max(n_returns) AS DOUBLE) AS max FROM eligible""", "eligible")(
-    lambda t: G.spread(market(t).series, ["n_returns"]).select("measure", "min", "max"))
+SELECT measure, min(v) AS min, round(median(v), 6) AS median, max(v) AS max, round(stddev_samp(v), 6) AS std
+FROM (UNPIVOT (SELECT sharpe, ann_return, percentile, p_value FROM seed_sweep) ON COLUMNS(*) INTO NAME measure VALUE v) GROUP BY 1""",
+      "seed_sweep")(lambda t: r6(G.spread(seed_sweep(t), ["sharpe", "ann_return", "percentile", "p_value"])))
 
 # ---- optimised weights: the weights have no SQL equivalent, what must hold of them has ----
 

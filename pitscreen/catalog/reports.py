@@ -154,7 +154,7 @@ SELECT fy AS formation_year, count(*) AS universe, any_value(t) AS window_sessio
  round(20 / (any_value(t) + 1 - max(f) FILTER (ok)), 3) AS q_k20, round(30 / (any_value(t) + 1 - max(f) FILTER (ok)), 3) AS q_k30 FROM e GROUP BY 1""", "signals prices")(
     lambda t: R.price_windows(S.nine_signals(t.fundamentals).where(F.col("score_year").between(1997, 1999)), t.prices))
 
-# These rest on optimised weights and have no SQL equivalent.
+# These have no SQL equivalent yet: all but the last rest on optimised weights.
 query("grid_table", "E23 E24")(lambda t: R.grid_table(swept(t), [20, 40]))
 query("grid_findings", "E26")(lambda t: R.findings(swept(t)))
 query("gain_table", "E22 O4")(lambda t: O.upsert(

@@ -37,12 +37,6 @@ def available_date(report_date: Column, lag_months: int) -> Column:
     return F.add_months(report_date, lag_months)
 
 
-def with_reporting_lag(fundamentals: DataFrame, lag_months: int = 5) -> DataFrame:
-    """Adds the day a statement becomes usable."""
-    return fundamentals.withColumn(
-        "available_date", available_date(F.col("report_date"), lag_months))
-
-
 def fiscal_label(period_end: Column) -> Column:
     """A period ending June or later carries its own calendar year, else the one before."""
     return F.year(period_end) - F.when(F.month(period_end) < 6, 1).otherwise(0)

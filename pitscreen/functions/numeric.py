@@ -35,10 +35,6 @@ def ratio_or_inf(num: Column, den: Column) -> Column:
             .when(num < 0, F.lit(float("-inf"))))
 
 
-def scaled(value: Column, unit: float) -> Column:
-    return value * F.lit(unit)
-
-
 def adjusted_close(price: Column, unit: Column, adj_ratio: Column) -> Column:
     return safe_div(price * unit, adj_ratio)
 

@@ -30,12 +30,14 @@ def pair_years(fundamentals: DataFrame) -> DataFrame:
     roles = F.array(*[F.struct(F.lit(back).alias("back"),
                                (F.col("fiscal_year") + back).alias("score_year"))
                       for back in (0, 1, 2)])
-    flat = fundamentals.select("ticker", row.alias("_row"), F.explode(roles).alias("_r"))
-    at = lambda back: F.first(F.when(F.col("_r.back") == back, F.col("_row")), ignorenulls=True)
+    # of several statements for one year the first reported counts, as for book-to-market
+    filed = (F.coalesce(F.col("report_date").cast("date"), F.lit("9999-12-31").cast("date"))
+             if "report_date" in fundamentals.columns else F.lit(0))
+    flat = fundamentals.select("ticker", row.alias("_row"), filed.alias("_filed"), F.explode(roles).alias("_r"))
+    at = lambda back: F.min_by("_row", F.when(F.col("_r.back") == back, F.col("_filed")))
     wide = (flat.groupBy("ticker", F.col("_r.score_year").alias("score_year"))
             .agg(at(0).alias("t"), at(1).alias("p"),
-                 F.first(F.when(F.col("_r.back") == 2, F.col("_row.total_assets")),
-                         ignorenulls=True).alias("pp_assets"))
+                 at(2)["total_assets"].alias("pp_assets"))
             .where(F.col("t").isNotNull() & F.col("p").isNotNull()))
     return wide.select("ticker", "score_year", "pp_assets",
                        *[F.col(f"t.{c}").alias(c) for c in lines],

@@ -175,6 +175,8 @@ def universe_minimum_variance(series: DataFrame, book: str = "universe_GMV") ->
             del moves[year]
             if np.abs(g - f).max() <= 1e-12 * (1 + np.abs(f).max()):
                 open_years.discard(year)
+    if open_years:
+        raise RuntimeError(f"minimum variance of {sorted(open_years)} did not converge in {MAX_STEPS} steps")
     scale = {y: parts[y][-1] for y in state}
 
     def finish(batches):

@@ -58,10 +58,6 @@ def load_market(spark: SparkSession, market: str, folder: str) -> MarketTables:
                         get("sectors", schemas.SECTORS), get("benchmarks", schemas.PRICES))
 
 
-def load_fundamentals(spark: SparkSession, market: str, folder: str) -> DataFrame:
-    return _known(spark, market, folder).fundamentals
-
-
 def load_prices(spark: SparkSession, market: str, folder: str) -> DataFrame:
     return _known(spark, market, folder).prices
 
