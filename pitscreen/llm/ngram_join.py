@@ -254,7 +254,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     sig = settle(signatures(docs, key, text, n), "signatures")
     classes = settle(sig.where("n > 0").groupBy("d1", "d2", "n").agg(
         F.min("key").alias("least"), F.count("*").alias("copies")).withColumnRenamed("d1", "node"), "classes")
-    shingles = classes.agg(F.sum("n")).first()[0] or 0
+    shingles = sig.agg(F.sum("n")).first()[0] or 0  # of all rows: copies in other blocks come along
     comp = components(links(docs, classes, shingles, text, n, percent))
     placed = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.groupBy("comp").agg(F.min("least").alias("component"))

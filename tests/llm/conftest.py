@@ -16,8 +16,3 @@ def docs(spark):
                  len(r[1]) if r[1] else 0, *["x"] * 9) for r in rows]
         return spark.createDataFrame(full, SCHEMA)
     return make
-
-
-#: Texts that break careless code: none, blank, one word, odd spaces, other scripts, long words.
-AWKWARD = [None, "", " \n\t ", "one", "a b c d", "a b c d e", "éÉ ß 中文 \U0001f600 x", "x" * 5000,
-           "same same same same same", "line\nline\n\nline\n \nother", "A\x0bB\x0cC\rD\x1cE", "a " * 3000, "İſK"]

@@ -9,7 +9,7 @@ import brute
 import corpus_pipeline
 import numpy as np
 import pytest
-from conftest import AWKWARD
+from brute import AWKWARD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -2,7 +2,7 @@
 import random
 
 import brute
-from conftest import AWKWARD
+from brute import AWKWARD
 
 from pitscreen.llm import decontaminate, ngram_join
 from pitscreen.llm.components import components

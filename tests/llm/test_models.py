@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import AWKWARD
+from brute import AWKWARD
 from pyspark.sql import functions as F
 
 from pitscreen.llm import grams, hpy_lm, language_id, line_crf, toxicity

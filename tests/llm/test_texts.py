@@ -6,7 +6,7 @@ import re
 import brute
 import numpy as np
 import pyarrow as pa
-from conftest import AWKWARD
+from brute import AWKWARD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
