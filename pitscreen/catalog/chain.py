@@ -256,14 +256,14 @@ FROM vchecks UNPIVOT INCLUDE NULLS (ok FOR "check" IN (""" + ", ".join(CHECKS) +
 query("check_offenders", "V5", """
 SELECT symbol, period, round(total_liabilities, 4) AS total_liabilities, round(equity_section, 4) AS equity_section,
  round(total_assets, 4) AS total_assets FROM vextract JOIN vchecks USING (symbol, period) WHERE NOT balance_identity""",
-      "vchecks")(lambda t: V.offenders(chain(t).results, chain(t).extracted, "balance_identity")
+      "vchecks")(lambda t: V.rows_where(chain(t).results, chain(t).extracted, "balance_identity", False)
                  .withColumns({c: F.round(c, 4) for c in (
                      "total_liabilities", "equity_section", "total_assets")}))
 
 query("check_not_applicable", "V5", """
 SELECT symbol, period, round(stock_issuance_proceeds, 4) AS stock_issuance_proceeds
 FROM vextract JOIN vchecks USING (symbol, period) WHERE issuance_nonneg IS NULL""", "vchecks")(
-    lambda t: V.not_applicable(chain(t).results, chain(t).extracted, "issuance_nonneg")
+    lambda t: V.rows_where(chain(t).results, chain(t).extracted, "issuance_nonneg", None)
     .withColumn("stock_issuance_proceeds", F.round("stock_issuance_proceeds", 4)))
 
 query("check_failures_by_year", "V6", """

@@ -149,9 +149,11 @@ SELECT book, sum(ay) AS alpha_daily, sum(ay) / sqrt(sum(v)) AS t, any_value(beta
 """
 
 query("factor_regression", "E15 J14", """
-SELECT book, round(alpha_daily * 252, 6) AS alpha_annual, round(t, 6) AS alpha_tstat, abs(t) > 1.959963984540054 AS alpha_significant, round(beta1, 6) AS beta_mkt,
- round(beta2, 6) AS beta_smb, round(beta3, 6) AS beta_hml, round(r2, 6) AS r2, n_obs FROM regression""", "regression")(
-    lambda t: r6(M.factor_regression(study(t).equal_daily, factors(t)).drop("alpha_daily", "alpha_pvalue")))
+SELECT book, round(alpha_daily * 252, 6) AS alpha_annual, round(t, 6) AS alpha_tstat, abs(t) > 1.959963984540054 AS alpha_significant, round(alpha_p, 6) AS alpha_pvalue, round(beta1, 6) AS beta_mkt,
+ round(beta2, 6) AS beta_smb, round(beta3, 6) AS beta_hml, round(r2, 6) AS r2, n_obs FROM (
+ SELECT *, u * (0.254829592::DOUBLE + u * (-0.284496736::DOUBLE + u * (1.421413741::DOUBLE + u * (-1.453152027::DOUBLE + u * 1.061405429::DOUBLE)))) * exp(-t * t / 2) AS alpha_p
+ FROM (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(t) / sqrt(2.0::DOUBLE)) AS u FROM regression))""", "regression")(
+    lambda t: r6(M.factor_regression(study(t).equal_daily, factors(t)).drop("alpha_daily")))
 
 query("price_on_or_before", "J7", """
 WITH t AS (SELECT DISTINCT ticker, make_date(year(date), 3, 15) AS target FROM prices)

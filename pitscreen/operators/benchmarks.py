@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
-from pyspark.sql.types import DoubleType
 
 from pitscreen.functions.dates import available_date, formation_date
 from pitscreen.functions.numeric import safe_div
@@ -59,9 +55,19 @@ def to_usd(local: DataFrame, fx: DataFrame, key: str = "ticker") -> DataFrame:
             .where(F.col("r").isNotNull()).select(key, "date", "r"))
 
 
-@F.pandas_udf(DoubleType())
-def _two_sided_normal(t: pd.Series) -> pd.Series:
-    return t.map(lambda x: math.erfc(abs(x) / math.sqrt(2.0)) if pd.notna(x) else None)
+# A rational approximation of the complementary error function, good to 1.5e-7.
+ERFC = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
+ERFC_SCALE = 0.3275911
+
+
+def two_sided_normal(t: Column) -> Column:
+    """Probability of a standard normal at least as far from zero."""
+    z = F.abs(t) / F.sqrt(F.lit(2.0))
+    u = 1 / (1 + ERFC_SCALE * z)
+    tail = F.lit(0.0)
+    for c in reversed(ERFC):
+        tail = u * (c + tail)
+    return tail * F.exp(-z * z)
 
 
 def factor_regression(daily: DataFrame, factors: DataFrame, by: str = "book",
@@ -116,7 +122,7 @@ def factor_regression(daily: DataFrame, factors: DataFrame, by: str = "book",
     err = e.groupBy(by).agg(F.sum("_w").alias("var"), F.sum(F.col("e") * F.col("e")).alias("sse"))
     out = m.join(err, by)
     t = F.col("alpha_daily") / F.sqrt("var")
-    return (out.withColumn("alpha_tstat", t).withColumn("alpha_pvalue", _two_sided_normal(t))
+    return (out.withColumn("alpha_tstat", t).withColumn("alpha_pvalue", two_sided_normal(t))
             .select(by, "alpha_daily", (F.col("alpha_daily") * TRADING_DAYS).alias("alpha_annual"),
                     "alpha_tstat", "alpha_pvalue", (F.col("alpha_pvalue") < ALPHA).alias("alpha_significant"),
                     F.col("b_0").alias("beta_mkt"), F.col("b_1").alias("beta_smb"),

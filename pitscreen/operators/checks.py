@@ -90,7 +90,9 @@ def run_checks(panel: DataFrame, rules: list[Rule] = RULES,
         present = F.lit(True)
         for c in r.inputs:
             present = present & F.col(c).isNotNull()
-        if r.cross_period and "lag_contiguous" in panel.columns:
+        if r.cross_period:
+            if "lag_contiguous" not in panel.columns:
+                raise ValueError(f"{r.name} compares years: add them with with_lags first")
             present = present & F.coalesce("lag_contiguous", F.lit(False))
         out.append(F.when(present, F.coalesce(r.holds(), F.lit(False))).alias(r.name))
     return panel.select(*keys, *out)
@@ -115,25 +117,13 @@ def summary(results: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     return t.orderBy(level, F.desc("fail_pct"), "check")
 
 
-def _rows(results: DataFrame, panel: DataFrame, check: str, want: Column,
-          keys: tuple[str, ...]) -> DataFrame:
+def rows_where(results: DataFrame, panel: DataFrame, check: str, outcome: bool | None,
+               keys: tuple[str, ...] = ("symbol", "period")) -> DataFrame:
+    """Rows that passed a rule (true), failed it (false) or could not be tested (null), with the lines it reads."""
     rule = next((r for r in RULES if r.name == check), None)
     cols = [c for c in (rule.inputs if rule else ()) if c in panel.columns]
-    return (panel.join(results.where(want).select(*keys), list(keys), "left_semi")
-            .select(*keys, *cols))
-
-
-def offenders(results, panel, check, keys=("symbol", "period")) -> DataFrame:
-    """Rows that failed a rule, with the lines it reads."""
-    return _rows(results, panel, check, ~F.col(check), keys)
-
-
-def passed(results, panel, check, keys=("symbol", "period")) -> DataFrame:
-    return _rows(results, panel, check, F.col(check), keys)
-
-
-def not_applicable(results, panel, check, keys=("symbol", "period")) -> DataFrame:
-    return _rows(results, panel, check, F.col(check).isNull(), keys)
+    hit = results.where(F.col(check).eqNullSafe(F.lit(outcome).cast("boolean"))).select(*keys)
+    return panel.join(hit, list(keys), "left_semi").select(*keys, *cols)
 
 
 def failures_by_year(results: DataFrame, check: str) -> DataFrame:

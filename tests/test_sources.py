@@ -249,3 +249,24 @@ def test_last_bar_before_any_day(spark):
     t = spark.createDataFrame([("A", x) for x in days] + [("B", days[0])], "k string, t string").withColumn("t", F.to_date("t"))
     got = {(r.k, str(r.t)): r.v for r in last_on_or_before(t, bars, "k", "t", "d", {"v": "v"}).collect()}
     assert [got["A", x] for x in days] == [None, 1.0, 1.0, 2.0, 2.0, 3.0, 3.0] and got["B", days[0]] is None
+
+
+def test_two_sided_normal_against_the_error_function(spark):
+    import math
+
+    from pitscreen.operators.benchmarks import two_sided_normal
+
+    df = spark.createDataFrame([(x / 10,) for x in range(-60, 61)] + [(None,)], "t double")
+    for r in df.select("t", two_sided_normal(F.col("t")).alias("p")).collect():
+        assert r.p is None if r.t is None else abs(r.p - math.erfc(abs(r.t) / math.sqrt(2))) < 2e-7
+
+
+def test_rows_by_outcome_and_unguarded_lags(spark):
+    df = spark.createDataFrame([("A", "2020", 1.0), ("B", "2020", -1.0), ("C", "2020", None)],
+                               "symbol string, period string, stock_issuance_proceeds double")
+    res = V.run_checks(df)
+    for outcome, symbol in ((True, "A"), (False, "B"), (None, "C")):
+        assert [r.symbol for r in V.rows_where(res, df, "issuance_nonneg", outcome).collect()] == [symbol]
+    rule = V.Rule("grows", "soft", "universal", ("x",), lambda: F.col("x") > F.col("x_lag"), "", cross_period=True)
+    with pytest.raises(ValueError):
+        V.run_checks(df.withColumn("x", F.lit(1.0)), [rule])
