@@ -87,22 +87,27 @@ def spectrum(gram_rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def loadings(series: DataFrame, spectra: DataFrame) -> DataFrame:
-    """(formation_year, ticker, s, v): a name's volatility and signal loadings."""
+    """(formation_year, ticker, s, v): a name's volatility and signal loadings.
+
+    The eigenvectors, one T x m matrix a formation year, go to each executor once.
+    """
+    found = {r[YEAR]: (len(r["lam"]), np.asarray(r["q"], dtype=float))
+             for r in spectra.select(YEAR, "lam", "q").collect()}
+    shared = series.sparkSession.sparkContext.broadcast(found)
 
     def project(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
             out = []
             for row in pdf.itertuples():
+                if getattr(row, YEAR) not in shared.value:
+                    continue
+                m, q = shared.value[getattr(row, YEAR)]
                 z, sd = _standardised(row, row.total, row.start)
-                q = np.asarray(row.q, dtype=float).reshape(len(row.lam), row.total - row.start)
-                out.append((getattr(row, YEAR), row.ticker, float(sd), q @ z))
-            yield pd.DataFrame(out, columns=[YEAR, "ticker", "s", "v"])
+                out.append((getattr(row, YEAR), row.ticker, float(sd), q.reshape(m, len(z)) @ z))
+            if out:
+                yield pd.DataFrame(out, columns=[YEAR, "ticker", "s", "v"])
 
-    # one row a year of at most T x T numbers
-    return (series.join(F.broadcast(spectra), YEAR)
-            .select(YEAR, "ticker", "total", "start", "at", "r", "lam", "q")
+    return (series.select(YEAR, "ticker", "total", "start", "at", "r")
             .mapInPandas(project, f"{YEAR} int, ticker string, s double, v array<double>"))
 
 
