@@ -20,7 +20,7 @@ SELECT * FROM r WHERE r IS NOT NULL AND date > make_date(formation_year, 7, 1)
 """
 
 query("returns_panel", "B13 W7 W8 B18", "SELECT formation_year, ticker, date, round(r, 6) AS r FROM panel_returns", "panel_returns value_set")(
-    lambda t: r6(P.returns_panel(t.prices, study(t).value_set)))
+    lambda t: r6(P.returns_panel(study(t).held_bars, study(t).value_set)))
 
 query("delisting_return_steps", "B13 W16", """
 WITH n AS (SELECT DISTINCT formation_year, ticker FROM value_set),
@@ -31,14 +31,14 @@ a AS (SELECT formation_year, ticker, date, r FROM panel_returns UNION ALL SELECT
 SELECT formation_year, ticker, round(product(1 + r) - 1, 6) AS total FROM (
   SELECT formation_year, ticker, date, min(r) FILTER (r = -0.3) AS hit, coalesce(min(r) FILTER (r = -0.3), max(r)) AS r FROM a GROUP BY 1, 2, 3) GROUP BY 1, 2""",
       "panel_returns value_set hold_sessions")(
-    lambda t: r6(P.returns_panel(t.prices, study(t).value_set, -0.3).groupBy("formation_year", "ticker").agg(
+    lambda t: r6(P.returns_panel(study(t).held_bars, study(t).value_set, -0.3).groupBy("formation_year", "ticker").agg(
         (F.product(1 + F.col("r")) - 1).alias("total"))))
 
 query("stopped_names", "W16", """
 WITH l AS (SELECT v.formation_year, v.ticker, max(p.date) AS last FROM value_set v JOIN prices p ON p.ticker = v.ticker AND p.date >= make_date(formation_year, 7, 1) - 7
   AND p.date <= make_date(formation_year + 1, 6, 30) GROUP BY 1, 2)
 SELECT formation_year, count(*) FILTER (last < (SELECT max(date) FROM prices WHERE date <= make_date(formation_year + 1, 6, 30))) AS delisted_in_holding_year FROM l GROUP BY 1""",
-      "value_set")(lambda t: P.stopped_names(t.prices, study(t).value_set))
+      "value_set")(lambda t: P.stopped_names(study(t).held_bars, study(t).value_set))
 
 query("fixed_weight_returns", "B17 W8", """
 WITH n AS (SELECT ticker, w FROM positions WHERE formation_year = 1999 AND book = 'score_EW'),

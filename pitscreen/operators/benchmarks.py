@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from pitscreen.functions.dates import available_date, formation_date
+from pitscreen.functions.dates import available_date, between_formations, formation_date
 from pitscreen.functions.numeric import safe_div
 from pitscreen.operators import paths as P
 from pitscreen.operators.evaluate import ALPHA, TRADING_DAYS
@@ -133,6 +133,7 @@ def factor_regression(daily: DataFrame, factors: DataFrame, by: str = "book",
 def factor_members(fundamentals: DataFrame, prices: DataFrame, first_year: int, last_year: int,
                    lag_months: int = 6, min_names: int = 30) -> DataFrame:
     """(formation_year, ticker, leg, market_cap): size and value legs of each formation."""
+    prices = between_formations(prices, first_year, last_year, 0, 12, P.BASE_DAYS)
     year = F.col("fiscal_year") + 1
     snap = (fundamentals.withColumn(YEAR, year)
             .where(F.col(YEAR).between(first_year, last_year)
@@ -156,6 +157,7 @@ def factor_members(fundamentals: DataFrame, prices: DataFrame, first_year: int,
 def local_factors(fundamentals: DataFrame, prices: DataFrame, first_year: int, last_year: int,
                   lag_months: int = 6, rf_annual: float = 0.0, min_names: int = 30) -> DataFrame:
     """(date, mkt_rf, smb, hml, rf) from the market's own 2x3 sort, legs drifting all year."""
+    prices = between_formations(prices, first_year, last_year, 0, 12, P.BASE_DAYS)
     members = factor_members(fundamentals, prices, first_year, last_year, lag_months, min_names)
     both = members.withColumn("book", F.explode(F.array(F.col("leg"), F.lit("MKT"))))
     total = both.groupBy(YEAR, "book").agg(F.sum("market_cap").alias("_t"))
