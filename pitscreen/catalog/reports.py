@@ -1,5 +1,7 @@
 """Report tables over the study and the grid."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from pitscreen.catalog.chain import chain
@@ -154,13 +156,27 @@ SELECT fy AS formation_year, count(*) AS universe, any_value(t) AS window_sessio
  round(20 / (any_value(t) + 1 - max(f) FILTER (ok)), 3) AS q_k20, round(30 / (any_value(t) + 1 - max(f) FILTER (ok)), 3) AS q_k30 FROM e GROUP BY 1""", "signals prices")(
     lambda t: R.price_windows(S.nine_signals(t.fundamentals).where(F.col("score_year").between(1997, 1999)), t.prices))
 
-# These have no SQL equivalent yet: all but the last rest on optimised weights.
+# These rest on optimised weights and have no SQL equivalent.
 query("grid_table", "E23 E24")(lambda t: R.grid_table(swept(t), [20, 40]))
 query("grid_findings", "E26")(lambda t: R.findings(swept(t)))
 query("gain_table", "E22 O4")(lambda t: O.upsert(
     R.gain_per_k(swept(t).withColumn("mkt", F.lit("us"))), R.gain_per_k(swept(t)).unionByName(
         R.gain_rows(study(t).synergy("GMV"), "vietnam", "main study (high-B/M subset)", "k=10, GMV"), allowMissingColumns=True), "market")[0])
-query("issuance_headline", "C8 E24")(lambda t: _issuance_headline(t))
+
+# the study's views once more, with issuance read from share counts
+CHAIN = ["signals", "scored", "liquid_match", "positions", "book_daily", "drifted", "book_metrics", "book_turnover",
+         "conc", "book_summary"]
+for _v in CHAIN:
+    VIEWS[f"count_{_v}"] = re.sub(rf"\b({'|'.join(CHAIN)})\b", r"count_\1", VIEWS[_v]).replace(
+        "equity_issued IS NOT NULL", "false")
+HEADLINE = """SELECT '{label}' AS measure, round(ann_return, 6) AS ann_return, round(sharpe, 6) AS sharpe, round(net_sharpe, 6) AS net_sharpe,
+ (SELECT round(avg(CASE WHEN d.sharpe < s.sharpe THEN 1.0 ELSE 0.0 END), 6) FROM draw_metrics d) AS percentile,
+ (SELECT round(avg(CASE WHEN d.sharpe >= s.sharpe THEN 1.0 ELSE 0.0 END), 6) FROM draw_metrics d) AS p_value,
+ (SELECT avg(CASE WHEN d.sharpe >= s.sharpe THEN 1.0 ELSE 0.0 END) < 0.05 FROM draw_metrics d) AS significant
+FROM {view} s WHERE book = 'score_EW'"""
+query("issuance_headline", "C8 E24", HEADLINE.format(label="cash_flow", view="book_summary") + " UNION ALL "
+      + HEADLINE.format(label="share_count", view="count_book_summary"),
+      "book_summary count_book_summary draw_metrics")(lambda t: r6(_issuance_headline(t)))
 
 
 def _issuance_headline(t):
