@@ -145,7 +145,7 @@ SELECT max_by(ticker, sharpe) AS best, round(max(sharpe), 6) AS best_sharpe, rou
                                   study(t).summary(equal_only=True).where(F.col("book") == "score_EW"))))
 
 query("price_windows", "N14", """
-WITH n AS (SELECT DISTINCT score_year + 1 AS fy, ticker FROM signals WHERE score_year BETWEEN 1997 AND 1999),
+WITH n AS (SELECT DISTINCT score_year + 1 AS fy, ticker FROM signals),
 d AS (SELECT fy, date, row_number() OVER (PARTITION BY fy ORDER BY date) AS s FROM (SELECT DISTINCT fy, p.date FROM (SELECT DISTINCT fy FROM n) n, prices p WHERE p.date >= make_date(fy, 7, 1) - INTERVAL 36 MONTH AND p.date < make_date(fy, 7, 1))),
 w AS (SELECT fy, max(s) - 1 AS t FROM d GROUP BY 1),
 f AS (SELECT n.fy, n.ticker, min(d.s) AS f FROM n JOIN prices p ON p.ticker = n.ticker JOIN d ON d.fy = n.fy AND d.date = p.date GROUP BY 1, 2),
@@ -154,7 +154,7 @@ SELECT fy AS formation_year, count(*) AS universe, any_value(t) AS window_sessio
  (SELECT count(DISTINCT date) FROM prices WHERE date >= make_date(fy, 7, 1) AND date <= make_date(fy + 1, 6, 30)) AS holding_sessions, count(*) - count(*) FILTER (ok) AS dropped_no_price,
  (SELECT max(date) FROM prices) >= make_date(fy + 1, 6, 30) AS holding_complete, round(count(*) FILTER (ok) / (any_value(t) + 1 - max(f) FILTER (ok)), 2) AS q_universe,
  round(20 / (any_value(t) + 1 - max(f) FILTER (ok)), 3) AS q_k20, round(30 / (any_value(t) + 1 - max(f) FILTER (ok)), 3) AS q_k30 FROM e GROUP BY 1""", "signals prices")(
-    lambda t: R.price_windows(S.nine_signals(t.fundamentals).where(F.col("score_year").between(1997, 1999)), t.prices))
+    lambda t: R.price_windows(S.nine_signals(t.fundamentals), t.prices))
 
 # These rest on optimised weights and have no SQL equivalent.
 query("grid_table", "E23 E24")(lambda t: R.grid_table(swept(t), [20, 40]))

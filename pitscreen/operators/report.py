@@ -205,7 +205,7 @@ def price_windows(panel: DataFrame, prices: DataFrame, months: int = 36, least:
     end = prices.agg(F.max("date").alias("_end"))
     q = {"q_universe": F.round(F.col("eligible") / F.col("usable_obs"), 2)}
     q |= {f"q_k{k}": F.round(F.lit(k) / F.col("usable_obs"), 3) for k in ks}
-    return (beside(out.join(held, YEAR, "left"), end)
+    return (beside(out.join(held, YEAR, "left").na.fill(0, ["holding_sessions"]), end)
             .withColumn("dropped_no_price", F.col("universe") - F.col("eligible"))
             .withColumn("holding_complete", F.col("_end") >= holding_end(F.col(YEAR)))
             .withColumns(q).drop("_end"))
