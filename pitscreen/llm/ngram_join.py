@@ -36,6 +36,8 @@ from pitscreen.llm.frames import col, free_name, map_text, matched, settle
 
 #: Shingles in a fragment: what one task sorts at a time, 16 bytes each.
 FRAGMENT = 3_000_000
+#: The least number of fragments, so that segments are small on small inputs too.
+FRAGMENTS = 64
 #: Coarse fragments in which partial overlaps are counted.
 PARTS = 8
 LEADERS = 3
@@ -171,6 +173,23 @@ def least_overlap(size: Column, percent: int) -> Column:
     return F.ceil(size * percent / 100 - 1e-9).cast("long")
 
 
+def bitmap(entries: str) -> Column:
+    """256 bits of the shingles of a list of entries; each shingle flips one bit."""
+    def flip(acc: Column, x: Column) -> Column:
+        bit = F.pmod(x["grams"], F.lit(256)).cast("int")
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+        return F.struct(*[acc[f"b{i}"].bitwiseXOR(F.when(F.floor(bit / 64) == i, one).otherwise(F.lit(0).cast("long")))
+                          .alias(f"b{i}") for i in range(4)])
+
+    return F.aggregate(entries, F.struct(*[F.lit(0).cast("long").alias(f"b{i}") for i in range(4)]), flip)
+
+
+def differing(x: str, y: str) -> Column:
+    """The number of bits in which two bitmaps differ, at most the number of shingles only one set has."""
+    return sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(1, 4)),
+               F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
+
+
 def verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, na, b, nb) whose partial overlaps sum to the threshold."""
     a = segs.select(F.col("node").alias("a"), "part", F.col("grams").alias("ga"))
@@ -183,7 +202,7 @@ def verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int, percent: int) -> DataFrame:
     """Edges (a, b) between classes that connect what all links connect."""
-    fragments = PARTS * max(1, -(-shingles // (PARTS * FRAGMENT)))
+    fragments = max(FRAGMENTS, PARTS * -(-shingles // (PARTS * FRAGMENT)))
     shared = settle(shared_segments(segments(docs, fragments, text, n), fragments), "shared-segments")
     able = (shared.groupBy("node").agg(F.sum(F.size("grams")).alias("shared")).join(classes.select("node", "n"), "node")
             .where(F.col("shared") >= least_overlap(F.col("n"), percent)))
@@ -195,17 +214,22 @@ def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int,
     entries = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("df", "grams"))))
     ordered = segs.groupBy("node", "n", "shared").agg(entries.alias("e"))
     common = F.aggregate("e", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["df"]) / F.col("n")
-    prefix = settle(ordered.select("node", "n", "shared", common.alias("common"),
+    prefix = settle(ordered.select("node", "n", "shared", common.alias("common"), bitmap("e").alias("bits"),
                                    F.explode(F.slice("e", F.lit(1), length.cast("int"))).alias("e"))
-                    .select("node", "n", "shared", "common", F.col("e.grams").alias("h")), "prefixes")
+                    .select("node", "n", "shared", "common", "bits", F.col("e.grams").alias("h")), "prefixes")
 
     def alike(x: str, y: str) -> Column:
-        """Whether two sets can be similar enough, given that all they can share is what others have too."""
-        most = F.least(f"{x}shared", f"{y}shared")
+        """Whether two sets can be similar enough.
+
+        All they can share is what others have too, and each bit in which their bitmaps differ is a
+        shingle that one of them lacks.
+        """
+        both = F.col(f"{x}shared") + F.col(f"{y}shared")
+        most = F.least(F.col(f"{x}shared"), F.col(f"{y}shared"), (both - differing(f"{x}bits", f"{y}bits")) / 2)
         return 100 * most >= percent * (F.col(f"{x}n") + F.col(f"{y}n") - most)
 
     # the leader of a bucket with the most common shingles is the likeliest original of its copies
-    me = F.struct("node", "n", "shared")
+    me = F.struct("node", "n", "shared", "bits")
     lead = prefix.groupBy("h").agg(F.max_by(me, F.struct("common", "node")).alias("l0"), *[
         F.min_by(me, F.xxhash64(F.lit(i), "h", "node")).alias(f"l{i}") for i in range(1, LEADERS)],
         F.count("*").alias("c")).where("c > 1")
@@ -224,13 +248,13 @@ def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int,
     joined = stars(found, rounds=2)
     comp = joined.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
     placed = settle(prefix.join(comp, "node", "left").select(
-        "h", "node", "n", "shared", F.coalesce("comp", "node").alias("comp")), "placed")
+        "h", "node", "n", "shared", "bits", F.coalesce("comp", "node").alias("comp")), "placed")
     mixed = (placed.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h")
              .agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
              .select("h", F.col("top.comp").alias("top")))
     open_ = placed.join(mixed, "h")
-    left = open_.select("h", "top", *[F.col(c).alias("x" + c) for c in ("node", "n", "shared", "comp")])
-    right = open_.select("h", *[F.col(c).alias("y" + c) for c in ("node", "n", "shared", "comp")])
+    left = open_.select("h", "top", *[F.col(c).alias("x" + c) for c in ("node", "n", "shared", "bits", "comp")])
+    right = open_.select("h", *[F.col(c).alias("y" + c) for c in ("node", "n", "shared", "bits", "comp")])
     # those outside the bucket's largest component meet all others; two such meet once
     across = (left.where("xcomp <> top").join(right, "h")
               .where((F.col("xcomp") != F.col("ycomp")) & alike("x", "y")
