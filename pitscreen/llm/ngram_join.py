@@ -173,15 +173,42 @@ def least_overlap(size: Column, percent: int) -> Column:
     return F.ceil(size * percent / 100 - 1e-9).cast("long")
 
 
-def bitmap(entries: str) -> Column:
-    """256 bits of the shingles of a list of entries; each shingle flips one bit."""
-    def flip(acc: Column, x: Column) -> Column:
-        bit = F.pmod(x["grams"], F.lit(256)).cast("int")
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
-        return F.struct(*[acc[f"b{i}"].bitwiseXOR(F.when(F.floor(bit / 64) == i, one).otherwise(F.lit(0).cast("long")))
-                          .alias(f"b{i}") for i in range(4)])
+PREFIX = T.StructType([T.StructField(c, T.LongType()) for c in ("node", "n", "shared")] + [
+    T.StructField("common", T.DoubleType()),
+    T.StructField("bits", T.StructType([T.StructField(f"b{i}", T.LongType()) for i in range(4)])),
+    T.StructField("h", T.LongType())])
 
-    return F.aggregate(entries, F.struct(*[F.lit(0).cast("long").alias(f"b{i}") for i in range(4)]), flip)
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """A row for each prefix shingle ``h`` of each set: its rarest, after those that no other class has.
+
+    ``common`` is the mean number of classes of the set's shingles; ``bits`` is a bitmap of 256 bits
+    in which every shared shingle flips one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, n, shared = (np.asarray(batch.column(i)).astype(np.int64) for i in range(3))
+            df, g = (np.asarray(batch.column(i).flatten()) for i in (3, 4))
+            owner = np.repeat(np.arange(len(node)), shared)
+            order = np.lexsort((g, df, owner))
+            first = np.cumsum(shared) - shared
+            rank = np.arange(len(g)) - first[owner]
+            need = -(-n * percent // 100)
+            head = order[rank < (shared - need + 1)[owner]]
+            to = owner[head]
+            common = np.bincount(owner, weights=df, minlength=len(node)) / n
+            odd = np.bincount(owner * 256 + (g & 255), minlength=len(node) * 256) & 1
+            bits = np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1, bitorder="little").view("<i8")
+            fields = [pa.array(bits[to, i]) for i in range(4)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[to]), pa.array(n[to]), pa.array(shared[to]), pa.array(common[to]),
+                 pa.StructArray.from_arrays(fields, [f"b{i}" for i in range(4)]), pa.array(g[head])],
+                PREFIX.fieldNames())
+
+    return sets.select("node", "n", "shared", "df", "grams").mapInArrow(run, PREFIX)
 
 
 def differing(x: str, y: str) -> Column:
@@ -209,14 +236,9 @@ def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int,
     segs = settle(shared.join(able, "node").groupBy("node", "n", "shared", "part").agg(
         F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("df")).alias("df")), "segments")
 
-    # prefixes: the rarest shingles of each set, of which shingles no other class has come first
-    length = F.col("n") - least_overlap(F.col("n"), percent) + 1 - (F.col("n") - F.col("shared"))
-    entries = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("df", "grams"))))
-    ordered = segs.groupBy("node", "n", "shared").agg(entries.alias("e"))
-    common = F.aggregate("e", F.lit(0).cast("long"), lambda sum_, x: sum_ + x["df"]) / F.col("n")
-    prefix = settle(ordered.select("node", "n", "shared", common.alias("common"), bitmap("e").alias("bits"),
-                                   F.explode(F.slice("e", F.lit(1), length.cast("int"))).alias("e"))
-                    .select("node", "n", "shared", "common", "bits", F.col("e.grams").alias("h")), "prefixes")
+    whole = segs.groupBy("node", "n", "shared").agg(
+        F.flatten(F.collect_list("df")).alias("df"), F.flatten(F.collect_list("grams")).alias("grams"))
+    prefix = settle(prefixes(whole, percent), "prefixes")
 
     def alike(x: str, y: str) -> Column:
         """Whether two sets can be similar enough.
