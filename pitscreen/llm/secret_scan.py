@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -87,79 +88,78 @@ def _alphabet(value: str) -> float:
     return math.log10(95)
 
 
-def _walk_cost(walk: str) -> float:
-    """Where it starts, how long it is, and a factor of two for every change of direction."""
+def _turns(walk: str) -> list[int]:
+    """Per key of a walk, how often the direction has changed up to it."""
     def way(a: str, b: str) -> tuple[int, int]:
         (r, i), (s, j) = PLACE.get(a, (0, 0)), PLACE.get(b, (0, 0))
         return (0, ord(b) - ord(a)) if abs(ord(b) - ord(a)) == 1 else (s - r, j - i)
 
     ways = [way(a, b) for a, b in zip(walk, walk[1:], strict=False)]
-    turns = sum(x != y for x, y in zip(ways, ways[1:], strict=False))
-    return math.log10(47 * len(walk)) + 0.3 * turns
+    return [0, 0, *accumulate(x != y for x, y in zip(ways, ways[1:], strict=False))]
+
+
+def _walk_cost(length: int, turns: int) -> float:
+    """Where it starts, how long it is, and a factor of two for every change of direction."""
+    return math.log10(47 * length) + 0.3 * turns
+
 
+@lru_cache(maxsize=4096)
+def guess_cost(value: str) -> float:
+    """log10 of the guesses that the cheapest cut of ``value`` needs; 0 for an empty value.
 
-def _pieces(value: str, unit: float) -> dict[int, list[tuple[int, float]]]:
-    """Per end position, (start, cost) of every piece that is not brute force."""
+    Time and memory grow linearly with the length, whatever it is: words are at most LONGEST long, of a
+    walk the cuts at its beginning or its end count, and a repeat is cut between its periods. Each cut
+    into another piece costs 0.3 (a factor of two for where the pieces meet).
+    """
+    if not value:
+        return 0.0
+    unit = _alphabet(value)
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
-    out: dict[int, list[tuple[int, float]]] = {}
-
-    def add(i: int, j: int, cost: float) -> None:
-        out.setdefault(j, []).append((i, cost))
+    best = [0.0] + [math.inf] * n
+    walk_end, walk_from, turns = 0, 0, []
+    periods = range(1, min(16, n // 2) + 1)
+    free = [0] * (len(periods) + 1)  # per period, where the next repeat can begin
 
     for i in range(n):
+        here = best[i]
+        joined = here + (0.3 if i else 0.0)
+        best[i + 1] = min(best[i + 1], here + unit)
         for j in range(i + 3, min(n, i + LONGEST) + 1):
             rank = RANK.get(plain[i:j])
             if rank:
                 swaps = sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))
                 capital = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i + 1:j] == low[i + 1:j] else 0.6
-                add(i, j, math.log10(rank + 1) + capital + 0.3 * swaps)
+                best[j] = min(best[j], joined + math.log10(rank + 1) + capital + 0.3 * swaps)
         for pattern in DATES:
             m = pattern.match(value, i)
             if m:
-                add(i, m.end(), math.log10(100 if m.end() - i == 4 else 36_500) + (0.6 if m.lastindex and m[1] else 0))
-    i = 0
-    while i < n - 2:
-        j = i + 1
-        while j < n and low[j] in NEXT_TO.get(low[j - 1], ()):
-            j += 1
-        for k in range(i + 3, j + 1):
-            for s in range(i, k - 2):
-                if k == j or s == i:
-                    add(s, k, _walk_cost(low[s:k]))
-        i = max(j, i + 1)
-    for period in range(1, min(16, n // 2) + 1):
-        i = 0
-        while i + 2 * period <= n:
+                cost = math.log10(100 if m.end() - i == 4 else 36_500) + (0.6 if m.lastindex and m[1] else 0)
+                best[m.end()] = min(best[m.end()], joined + cost)
+        if i >= walk_end:
+            walk_from, walk_end = i, i + 1
+            while walk_end < n and low[walk_end] in NEXT_TO.get(low[walk_end - 1], ()):
+                walk_end += 1
+            turns = _turns(low[i:walk_end])
+            for k in range(i + 3, walk_end):
+                best[k] = min(best[k], joined + _walk_cost(k - i, turns[k - 1 - i]))
+        if walk_end - i >= 3:
+            # the first step of what is left has no direction to change from
+            turned = turns[walk_end - 1 - walk_from] - turns[i + 1 - walk_from]
+            best[walk_end] = min(best[walk_end], joined + _walk_cost(walk_end - i, turned))
+        for period in periods:
+            if i != free[period] or i + 2 * period > n:
+                continue
             j = i + period
             while j < n and value[j] == value[j - period]:
                 j += 1
             times = (j - i) // period
+            free[period] = i + 1
             if times >= 2 and times * period >= 3:
                 for t in range(2, times + 1):
-                    add(i, i + t * period, period * unit + math.log10(t))
-                i += (times - 1) * period + 1
-            else:
-                i += 1
-    return out
-
-
-@lru_cache(maxsize=4096)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest cut of ``value`` needs; 0 for an empty value.
-
-    Time grows linearly with the length except inside walks and repeats; each cut into
-    another piece costs 0.3 (a factor of two for where the pieces meet).
-    """
-    if not value:
-        return 0.0
-    unit = _alphabet(value)
-    pieces = _pieces(value, unit) if len(value) <= 256 else {}
-    best = [0.0] + [math.inf] * len(value)
-    for j in range(1, len(value) + 1):
-        best[j] = best[j - 1] + unit
-        for i, cost in pieces.get(j, ()):
-            best[j] = min(best[j], best[i] + cost + (0.3 if i else 0.0))
+                    at = i + t * period
+                    best[at] = min(best[at], joined + period * unit + math.log10(t))
+                free[period] = i + (times - 1) * period + 1
     return best[-1]
 
 

@@ -99,6 +99,16 @@ def test_base_spans_stay_and_costs_add(docs):
     assert extra > 0
 
 
+def test_long_values_are_cut_like_short_ones():
+    cost = secret_scan.guess_cost
+    assert cost("a" * 300) < 5 and cost("=" * 5000) < 7 and cost("ab" * 400) < 7
+    assert abs(cost("a" * 256) - cost("a" * 257)) < 0.1
+    assert cost("qwertyuiop" * 60) < cost("qwertyuiop" * 2) + 2
+    assert cost("x7Kq" + "-" * 300) < 20
+    assert not [s for s in secret_scan.spans_of("password: " + "a" * 300) if s[0] == "guess"]
+    assert cost("".join(map(chr, random.Random(1).choices(range(33, 127), k=400)))) > 600
+
+
 def test_guess_costs():
     cost = secret_scan.guess_cost
     assert cost("") == 0
