@@ -47,7 +47,17 @@ r AS (SELECT p.date, n.w, CASE WHEN d.s - lag(d.s) OVER k = 1 THEN p.adj_close /
  FROM prices p JOIN n USING (ticker) JOIN d ON d.date = p.date WINDOW k AS (PARTITION BY p.ticker ORDER BY p.date))
 SELECT date, round(sum(w * r), 6) AS r FROM r GROUP BY 1 HAVING sum(w * r) IS NOT NULL""", "positions")(
     lambda t: r6(P.fixed_weight_returns(t.prices, study(t).equal_positions.where(
-        (F.col("formation_year") == 1999) & (F.col("book") == "score_EW")), "1999-07-02", "2000-06-30")))
+        (F.col("formation_year") == 1999) & (F.col("book") == "score_EW")), "1999-07-02", "2000-06-30").select("date", "r")))
+
+query("fixed_weight_book_returns", "B17 W8", """
+WITH n AS (SELECT formation_year AS y, book, ticker, w FROM positions),
+h AS (SELECT n.*, p.date, p.adj_close FROM n JOIN prices p ON p.ticker = n.ticker AND p.date >= make_date(y, 7, 2) AND p.date <= make_date(y + 1, 6, 30)),
+d AS (SELECT y, book, date, row_number() OVER (PARTITION BY y, book ORDER BY date) AS s FROM (SELECT DISTINCT y, book, date FROM h)),
+r AS (SELECT h.y, h.book, h.date, h.w, CASE WHEN d.s - lag(d.s) OVER k = 1 THEN h.adj_close / lag(h.adj_close) OVER k - 1 END AS r
+ FROM h JOIN d ON d.y = h.y AND d.book = h.book AND d.date = h.date WINDOW k AS (PARTITION BY h.y, h.book, h.ticker ORDER BY h.date))
+SELECT y AS formation_year, book, date, round(sum(w * r), 6) AS r FROM r GROUP BY 1, 2, 3 HAVING sum(w * r) IS NOT NULL""", "positions")(
+    lambda t: r6(P.fixed_weight_returns(t.prices, study(t).equal_positions, F.make_date("formation_year", F.lit(7), F.lit(2)),
+                                        F.make_date(F.col("formation_year") + 1, F.lit(6), F.lit(30)))))
 
 query("nav_series", "E30 W9", """
 SELECT book, date, round(product(1 + r) OVER (PARTITION BY book ORDER BY date), 6) AS nav FROM book_daily""", "book_daily")(

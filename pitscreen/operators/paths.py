@@ -162,18 +162,22 @@ def returns_panel(prices: DataFrame, names: DataFrame,
             .select(YEAR, "ticker", "date", "r"))
 
 
-def fixed_weight_returns(prices: DataFrame, positions: DataFrame, start: str,
-                         end: str) -> DataFrame:
-    """Daily-rebalanced returns of fixed weights: only consecutive quotes count."""
-    days = (calendar_of(prices, positions).where(F.col("date").between(start, end))
-            .withColumn("s", F.row_number().over(W.orderBy("date"))))
-    held = (prices.where(F.col("date").between(start, end))
-            .join(positions.select("ticker", "w"), "ticker")
-            .join(F.broadcast(days), "date"))
-    w = W.partitionBy("ticker").orderBy("s")
+def fixed_weight_returns(prices: DataFrame, positions: DataFrame, start, end) -> DataFrame:
+    """(formation_year, book, date, r): daily-rebalanced returns of fixed weights, only consecutive quotes count.
+
+    ``start`` and ``end`` are dates, or columns of the positions such as a date of each formation.
+    A book's sessions are the days on which any of its names has a bar.
+    """
+    start, end = (F.to_date(F.lit(x)) if isinstance(x, str) else x for x in (start, end))
+    held = (prices.join(positions.select(YEAR, "book", "ticker", "w", start.alias("start"), end.alias("end")), "ticker")
+            .where(F.col("date").between(F.col("start"), F.col("end"))))
+    days = (held.select(YEAR, "book", "date").distinct()
+            .withColumn("s", F.row_number().over(W.partitionBy(YEAR, "book").orderBy("date"))))
+    w = W.partitionBy(YEAR, "book", "ticker").orderBy("s")
     next_to = F.col("s") - F.lag("s").over(w) == 1
-    r = held.withColumn("r", F.when(next_to, F.col("adj_close") / F.lag("adj_close").over(w) - 1))
-    return (r.groupBy("date").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
+    r = held.join(days, [YEAR, "book", "date"]).withColumn(
+        "r", F.when(next_to, F.col("adj_close") / F.lag("adj_close").over(w) - 1))
+    return (r.groupBy(YEAR, "book", "date").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
             .where(F.col("r").isNotNull()))
 
 
