@@ -202,6 +202,25 @@ def test_language_model(spark, docs):
     assert m.tokens == 0 and [(r.n_tokens, r.n_known, r.score) for r in none.collect()] == [(3, 0, 0.0)]
 
 
+def test_order_and_spelling_count(spark, docs):
+    rows = [(i, "north wind blows cold " * 5 + "summer rain falls warm " * 5) for i in range(40)]
+    shuffled = " ".join(random.Random(4).sample(rows[0][1].split(), 40))
+    rows += [(100, rows[0][1]), (101, shuffled), (102, "north cold wind"), (103, "north colder wind"), (104, "north \x01\x02\x03qqqq wind"),
+             (None, "north cold wind"), (102, "north cold wind")]
+    scored, model = hpy_lm.fit_and_score(docs(rows), F.col("doc_id") < 100)
+    got = [(r.doc_id, r.n_tokens, r.score) for r in scored.collect()]
+    assert len(got) == len(rows)
+    by = {k: s for k, _, s in got}
+    assert by[100] > by[101] + 10 and by[103] > by[104] + 1
+    assert by[None] == pytest.approx(by[102]) and sum(k == 102 for k, _, _ in got) == 2
+    # what follows a word sums to one with the share of words never seen
+    own = [r.own for p in model.own for r in p.collect()]
+    known = {r.h: r for r in model.known.collect()}
+    assert sum(own) < sum(r.c for r in known.values())
+    opened = sum(r.opened for r in known.values())
+    assert sum(own) == pytest.approx(model.tokens - model.discount * opened)
+
+
 def test_word_probabilities_sum_below_one(spark, docs):
     d = docs([(i, f"a b c d{i} e{i % 5}") for i in range(60)])
     words = hpy_lm.vocabulary(d, F.lit(True)).cache()
