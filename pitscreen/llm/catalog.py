@@ -148,6 +148,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "copies")
 
 
+@query("op8_ngram_links")
+def op8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document, and the number of other documents with a Jaccard similarity of 0.8 or more."""
+    return ngram_join.link_counts(table(spark, sf_dir, "documents"))
+
+
 @query("op1_language_id")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of the labelled ones."""

@@ -12,6 +12,7 @@ against a few leaders of its buckets, which joins most groups into components. T
 across components that meet in a prefix are tried, where the members of a bucket's largest
 component only meet members of others. Pairs inside a component need no test, as they cannot
 change what is connected. So every link between different components is found, by full test.
+``link_counts`` and ``class_links`` do not take this way: they test all pairs that meet in a prefix.
 
 Cases: texts are lower-cased in A-Z; a text of fewer than ``n`` words is one shingle, its words in
 order; texts without words (and nulls) have empty sets and link with nothing; repeated rows are
@@ -41,6 +42,8 @@ FRAGMENTS = 64
 #: Coarse fragments in which partial overlaps are counted.
 PARTS = 8
 LEADERS = 3
+#: Classes of a bucket that meet in one task where all links are listed.
+HOT = 1000
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
@@ -227,8 +230,19 @@ def verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
     return summed.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) between classes that connect what all links connect."""
+def alike(x: str, y: str, percent: int) -> Column:
+    """Whether two sets can be similar enough.
+
+    All they can share is what others have too, and each bit in which their bitmaps differ is a
+    shingle that one of them lacks.
+    """
+    both = F.col(f"{x}shared") + F.col(f"{y}shared")
+    most = F.least(F.col(f"{x}shared"), F.col(f"{y}shared"), (both - differing(f"{x}bits", f"{y}bits")) / 2)
+    return 100 * most >= percent * (F.col(f"{x}n") + F.col(f"{y}n") - most)
+
+
+def indexed(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Segments and prefixes of the classes that can have a link."""
     fragments = max(FRAGMENTS, PARTS * -(-shingles // (PARTS * FRAGMENT)))
     shared = settle(shared_segments(segments(docs, fragments, text, n), fragments), "shared-segments")
     able = (shared.groupBy("node").agg(F.sum(F.size("grams")).alias("shared")).join(classes.select("node", "n"), "node")
@@ -238,17 +252,31 @@ def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int,
 
     whole = segs.groupBy("node", "n", "shared").agg(
         F.flatten(F.collect_list("df")).alias("df"), F.flatten(F.collect_list("grams")).alias("grams"))
-    prefix = settle(prefixes(whole, percent), "prefixes")
+    return segs, settle(prefixes(whole, percent), "prefixes")
 
-    def alike(x: str, y: str) -> Column:
-        """Whether two sets can be similar enough.
 
-        All they can share is what others have too, and each bit in which their bitmaps differ is a
-        shingle that one of them lacks.
-        """
-        both = F.col(f"{x}shared") + F.col(f"{y}shared")
-        most = F.least(F.col(f"{x}shared"), F.col(f"{y}shared"), (both - differing(f"{x}bits", f"{y}bits")) / 2)
-        return 100 * most >= percent * (F.col(f"{x}n") + F.col(f"{y}n") - most)
+def class_links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int, percent: int) -> DataFrame:
+    """Every pair (a, b) of classes at the threshold, each once; none is left out, inside components or not.
+
+    All classes of a bucket meet. A bucket of more than ``HOT`` classes is dealt to several tasks: a class
+    is in one of its shares as the first of a pair and in all of them as the second.
+    """
+    segs, prefix = indexed(docs, classes, shingles, text, n, percent)
+    sizes = prefix.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    dealt = prefix.join(sizes, "h").withColumn("shares", F.ceil(F.col("c") / HOT).cast("long"))
+    names = ("node", "n", "shared", "bits")
+    left = dealt.select("h", F.pmod(F.xxhash64("node"), "shares").alias("share"), *[F.col(c).alias("x" + c) for c in names])
+    right = dealt.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"),
+                         *[F.col(c).alias("y" + c) for c in names])
+    met = left.join(right, ["h", "share"]).where((F.col("xnode") < F.col("ynode")) & alike("x", "y", percent))
+    tried = met.select(F.col("xnode").alias("a"), F.col("xn").alias("na"), F.col("ynode").alias("b"),
+                       F.col("yn").alias("nb")).distinct()
+    return settle(verified(settle(tried, "class-pairs"), segs, percent), "class-links")
+
+
+def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) between classes that connect what all links connect."""
+    segs, prefix = indexed(docs, classes, shingles, text, n, percent)
 
     # the leader of a bucket with the most common shingles is the likeliest original of its copies
     me = F.struct("node", "n", "shared", "bits")
@@ -257,7 +285,7 @@ def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int,
         F.count("*").alias("c")).where("c > 1")
     met = (prefix.join(lead, "h").select(me.alias("x"), F.explode(F.array_distinct(
         F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l")).where("x.node <> l.node"))
-    tried = (met.groupBy("x", "l").agg(F.count("*").alias("votes")).where(alike("x.", "l."))
+    tried = (met.groupBy("x", "l").agg(F.count("*").alias("votes")).where(alike("x.", "l.", percent))
              .groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "l")), asc=False), 1, LEADERS).alias("l"))
              .select("x", F.explode("l.l").alias("l")))
     first = F.when(F.col("x.node") < F.col("l.node"), F.struct("x", "l")).otherwise(F.struct(F.col("l").alias("x"), F.col("x").alias("l")))
@@ -279,7 +307,7 @@ def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int,
     right = open_.select("h", *[F.col(c).alias("y" + c) for c in ("node", "n", "shared", "bits", "comp")])
     # those outside the bucket's largest component meet all others; two such meet once
     across = (left.where("xcomp <> top").join(right, "h")
-              .where((F.col("xcomp") != F.col("ycomp")) & alike("x", "y")
+              .where((F.col("xcomp") != F.col("ycomp")) & alike("x", "y", percent)
                      & ((F.col("ycomp") == F.col("top")) | (F.col("xnode") < F.col("ynode")))))
     swap = F.col("xnode") < F.col("ynode")
     rest = (across.select(F.when(swap, F.col("xnode")).otherwise(F.col("ynode")).alias("a"),
@@ -291,16 +319,40 @@ def links(docs: DataFrame, classes: DataFrame, shingles: int, text: str, n: int,
     return joined.union(more)
 
 
+def classed(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, DataFrame, int]:
+    """Signatures of all rows, their classes, and the shingles of all rows: copies in other blocks come along."""
+    sig = settle(signatures(docs, key, text, n), "signatures")
+    classes = settle(sig.where("n > 0").groupBy("d1", "d2", "n").agg(
+        F.min("key").alias("least"), F.count("*").alias("copies")).withColumnRenamed("d1", "node"), "classes")
+    return sig, classes, sig.agg(F.sum("n")).first()[0] or 0
+
+
+def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(key, n_shingles, class_id, copies, n_links) of every row.
+
+    ``class_id`` is the least key among the rows with the same shingle set; ``n_links`` counts all other
+    rows at the threshold, those of the same set included. An empty set links with nothing.
+    """
+    sig, classes, shingles = classed(docs, key, text, n)
+    pairs = class_links(docs, classes, shingles, text, n, percent)
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    many = classes.select(F.col("node").alias("other"), F.col("copies").alias("c"))
+    linked = ends.join(many, "other").groupBy("node").agg(F.sum("c").alias("linked"))
+    named = classes.join(linked, "node", "left").select(
+        F.col("node").alias("d1"), "d2", "n", "least", "copies",
+        (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = sig.join(named, ["d1", "d2", "n"], "left")
+    return out.select(col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("class_id"),
+                      F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component, copies) of every row.
 
     ``component`` is the least key among all rows that links reach, and the row's own key for an
     empty set; ``copies`` counts the rows with the same shingle set.
     """
-    sig = settle(signatures(docs, key, text, n), "signatures")
-    classes = settle(sig.where("n > 0").groupBy("d1", "d2", "n").agg(
-        F.min("key").alias("least"), F.count("*").alias("copies")).withColumnRenamed("d1", "node"), "classes")
-    shingles = sig.agg(F.sum("n")).first()[0] or 0  # of all rows: copies in other blocks come along
+    sig, classes, shingles = classed(docs, key, text, n)
     comp = components(links(docs, classes, shingles, text, n, percent))
     placed = classes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.groupBy("comp").agg(F.min("least").alias("component"))

@@ -45,6 +45,19 @@ def test_groups_match_all_pairs(spark, docs, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least + blank)
 
 
+def test_link_counts_match_all_pairs(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FRAGMENT", 500)
+    monkeypatch.setattr(ngram_join, "HOT", 7)  # large buckets are dealt
+    rows = corpus(random.Random(5))
+    sets = [brute.shingles(x) for _, x in rows]
+    want = []
+    for i, (a, (key, _)) in enumerate(zip(sets, rows, strict=True)):
+        links = sum(100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets) if i != j and a and b)
+        want.append((key, len(a), min(k for (k, _), b in zip(rows, sets, strict=True) if a == b) if a else key, links))
+    got = sorted((r.doc_id, r.n_shingles, r.class_id, r.n_links) for r in ngram_join.link_counts(docs(rows)).collect())
+    assert got == sorted(want) and max(x[3] for x in got) >= 10
+
+
 def test_exact_threshold(docs):
     # 40 and 45 distinct shingles, 40 of them shared: 40 / 45 is above, 40 / 50 is at 0.8, 40 / 51 is below
     base = [f"a{i}" for i in range(44)]
