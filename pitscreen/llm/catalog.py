@@ -16,6 +16,7 @@ from pitscreen.llm import (
     quality_rules,
     secret_scan,
     source_mix,
+    token_alignment,
     token_files,
     toxicity,
 )
@@ -126,11 +127,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def word_ids() -> str:
-    """The vocabulary file of the public tokenizers, installed alike on every machine."""
+def public(name: str) -> str:
+    """A vocabulary file of the public tokenizers, installed alike on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def word_ids() -> str:
+    return public("word_bpe_49k.json")
 
 
 @query("op7_token_files")
@@ -189,3 +194,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known",
                          F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
                          F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the tokens of two vocabularies that cover the same bytes, and the counts of their links."""
+    return token_alignment.align(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), public("piece_bpe_32k.model"))
