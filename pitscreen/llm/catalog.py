@@ -15,6 +15,7 @@ from pitscreen.llm import (
     ngram_join,
     quality_rules,
     secret_scan,
+    source_audit,
     source_mix,
     token_alignment,
     token_files,
@@ -200,3 +201,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of the tokens of two vocabularies that cover the same bytes, and the counts of their links."""
     return token_alignment.align(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), public("piece_bpe_32k.model"))
+
+
+@query("op13_source_audit", r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                  regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS lang_n FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS terms, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+u AS (SELECT c.lang, c.source, sum(n) AS total FROM c JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT g.lang, g.source, coalesce(total, 0) AS total, terms, lang_total FROM (SELECT DISTINCT lang, source FROM d) g
+      LEFT JOIN u USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             (1 + (1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT) // (total + 2 * terms))::BIGINT AS p,
+             (1 + (1000000000 * (lang_n + 2)::HUGEINT) // (lang_total + 2 * terms))::BIGINT AS q
+      FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+al AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+       FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source
+       UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM al)
+WHERE part = 'pair' OR rank <= 10""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language, and the terms in which a source stands out most."""
+    return source_audit.audit(table(spark, sf_dir, "documents"))
