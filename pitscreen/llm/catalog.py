@@ -20,6 +20,7 @@ from pitscreen.llm import (
     token_alignment,
     token_files,
     toxicity,
+    vector_search,
 )
 from pitscreen.llm.frames import held_out, table
 
@@ -203,6 +204,20 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), public("piece_bpe_32k.model"))
 
 
+@query("op12_vector_search", """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank
+  FROM (SELECT DISTINCT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+        FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0))
+WHERE rank <= 20""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found of every twentieth vector; the SQL is exact, as the search is on small tables."""
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op13_source_audit", r"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
                   regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
