@@ -38,13 +38,15 @@ from pitscreen.llm.frames import col, settle
 
 #: Tables up to this many rows are searched whole.
 WHOLE = 4096
-#: Sample of the index: rows for each list, and bytes in all. First bounds come from ``FIRST`` of them.
-PER_LIST, SAMPLE_BYTES, FIRST = 64, 32 << 20, 1024
+#: Sample of the index: rows for each list, and bytes in all.
+PER_LIST, SAMPLE_BYTES = 64, 32 << 20
 CALIBRATION = 256
 WIDTH, EPSILON = 16, 2.1
 #: Rows scanned together, queries scanned together, queries that meet a block in one task.
 ROWS, QUERIES, SHARE = 4096, 512, 16_384
 BLOCK_BYTES = 32 << 20
+#: Products of queries and rows in one table.
+TABLE = 1 << 22
 
 
 def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +156,13 @@ def _drawn(rows: DataFrame, share: float, dim: int) -> tuple[np.ndarray, np.ndar
 
 def _closest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row) of the k best rows of each query, without its own id, by single-precision products."""
+    step = max(1, TABLE // max(len(ids), 1))
+    parts = [_closest_few(q_ids[lo:lo + step], q[lo:lo + step], ids, x, k) for lo in range(0, len(q), step)]
+    return (np.concatenate([i + n * step for n, (i, _) in enumerate(parts)] or [np.empty(0, np.int64)]),
+            np.concatenate([j for _, j in parts] or [np.empty(0, np.int64)]))
+
+
+def _closest_few(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     s = q.astype(np.float32) @ x.astype(np.float32).T
     s[q_ids[:, None] == ids[None, :]] = -np.inf
     k = min(k, len(ids))
@@ -246,13 +255,14 @@ def _query_blocks(index: Index, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Best:
     """The k best rows of each of some queries."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, floor: np.ndarray):
+        self.floor = floor  # known to be reached by k rows, here or elsewhere
         self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
         self.mine = np.zeros((n, k), bool)
 
     @property
     def bound(self) -> np.ndarray:
-        return self.score[:, -1]
+        return np.maximum(self.score[:, -1], self.floor)
 
     def add(self, of: np.ndarray, score: np.ndarray, ids: np.ndarray, mine: bool) -> None:
         """Takes in (query, score, id); an id with a score it is known with is not taken twice."""
@@ -289,11 +299,13 @@ class Rows:
         self.index, self.ids, self.x, self.list = index, ids[order], x[order], which[order]
         self.parts, self.squares = rotated(index, self.x)
 
-    def scan(self, q_ids: np.ndarray, q: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scan(self, q_ids: np.ndarray, q: np.ndarray, home: np.ndarray, floor: np.ndarray
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, id, score) of rows of this block, and for queries at home of the sample, among the k best so far."""
-        index, best = self.index, Best(len(q), self.index.k)
-        of, row = _closest(q_ids, q, index.sample_ids, index.sample, index.k)
-        best.add(of, exact(q[of], index.sample[row]), index.sample_ids[row], False)
+        index, best = self.index, Best(len(q), self.index.k, floor)
+        here = np.flatnonzero(home)
+        of, score, ids = from_sample(index, q_ids[here], q[here])
+        best.add(here[of], score, ids, False)
         parts, squares = rotated(index, q)
         probed = index.probed(q)
         begin = np.flatnonzero(np.diff(self.list, prepend=-1))
@@ -327,6 +339,20 @@ class Rows:
         best.add(i, exact(q[i], self.x[j]), self.ids[j], True)
 
 
+def from_sample(index: Index, q_ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, score, id) of the k best rows of the sample."""
+    of, row = _closest(q_ids, q, index.sample_ids, index.sample, index.k)
+    return of, exact(q[of], index.sample[row]), index.sample_ids[row]
+
+
+def floors(index: Index, q_ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A score that k rows of the sample reach, for each query."""
+    of, score, _ = from_sample(index, q_ids, q)
+    least = np.full(len(q), np.inf)
+    np.minimum.at(least, of, score)
+    return np.where(np.bincount(of, minlength=len(q)) >= index.k, least, -np.inf)
+
+
 def rotated(index: Index, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Column blocks of the rotated vectors, and the squared length up to the end of each block."""
     y = (x.astype(np.float64) @ index.rotation).astype(np.float32)
@@ -340,7 +366,7 @@ def _raw(x: np.ndarray) -> pa.Array:
                                                       pa.py_buffer(np.ascontiguousarray(x).tobytes())])
 
 
-DEALT = "block long, share long, asks boolean, id long, home boolean, v binary"
+DEALT = "block long, share long, asks boolean, id long, home boolean, floor double, v binary"
 
 
 def nearest(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding",
@@ -362,14 +388,14 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", ve
     dim, n = common[0].dim, common[0].n
     dtype = np.float32 if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else np.float64
     lists = 1 if n <= WHOLE else int(np.clip(np.sqrt(n), 16, 4096))
-    want = min(max(PER_LIST * lists, FIRST), SAMPLE_BYTES // (dim * np.dtype(dtype).itemsize))
+    want = min(max(PER_LIST * lists, 1024), SAMPLE_BYTES // (dim * np.dtype(dtype).itemsize))
     ids, x = _drawn(rows, want / n, dim)
     if not len(x):  # none of the sampled vectors takes part: the rest may
         ids, x = np.empty(0, np.int64), np.empty((0, dim), dtype)
     rotation = np.linalg.qr(np.random.default_rng(7).standard_normal((dim, dim)))[0]
     centres = cluster(x, lists) if len(x) else np.zeros((1, dim), np.float32)
     keep = least_copies(ids, x, k + 1) if len(x) else np.empty(0, np.int64)
-    keep = keep[np.random.default_rng(3).permutation(len(keep))[:FIRST]]
+    keep = keep[np.unique(ids[keep], return_index=True)[1]] if len(keep) else keep
     index = Index(dim, k, centres, rotation, ids[keep], x[keep])
     asked = asking.count()
     if index.lists > 1:
@@ -401,7 +427,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", ve
                 if asks:
                     of, block = _query_blocks(index, x)
                     share = (ids[of] // 20 + of) % index.shares[block]
-                    home = block == index.block_of[index.list_of(x)][of]
+                    home, floor = block == index.block_of[index.list_of(x)][of], floors(index, ids, x)
                 else:
                     keep = least_copies(ids, x, k + 1)
                     ids, x = ids[keep], x[keep]
@@ -412,13 +438,13 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", ve
                     times = index.shares[block]
                     of = np.repeat(np.arange(len(ids)), times)
                     share = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
-                    block, home = block[of], np.zeros(len(of), bool)
+                    block, home, floor = block[of], np.zeros(len(of), bool), np.zeros(len(ids))
                 for lo in range(0, len(of), 1 << 15):
                     part = of[lo:lo + (1 << 15)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(block[lo:lo + len(part)]), pa.array(share[lo:lo + len(part)]), pa.array(np.full(len(part), asks)),
-                         pa.array(ids[part]), pa.array(home[lo:lo + len(part)]), _raw(x[part])],
-                        ["block", "share", "asks", "id", "home", "v"])
+                         pa.array(ids[part]), pa.array(home[lo:lo + len(part)]), pa.array(floor[part]), _raw(x[part])],
+                        ["block", "share", "asks", "id", "home", "floor", "v"])
         return run
 
     dealt = rows.mapInArrow(deal(False), DEALT).unionByName(asking.mapInArrow(deal(True), DEALT))
@@ -428,9 +454,9 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", ve
         for batch in batches:
             place = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
             cut = np.flatnonzero(np.any(place[:, 1:] != place[:, :-1], axis=0)) + 1
-            v = b"".join(batch.column(5).to_pylist())
+            v = b"".join(batch.column(6).to_pylist())
             whole, ids = np.frombuffer(v, dtype).reshape(-1, dim), batch.column(3).to_numpy()
-            at_home = batch.column(4).to_numpy(zero_copy_only=False)
+            at_home, floor = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5).to_numpy()
             for lo, hi in zip([0, *cut], [*cut, place.shape[1]], strict=True):
                 if lo == hi:
                     continue
@@ -444,7 +470,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", ve
                 rows = rows or Rows(index, np.empty(0, np.int64), np.empty((0, dim), dtype))
                 for a in range(lo, hi, QUERIES):
                     b = min(a + QUERIES, hi)
-                    of, found, score = rows.scan(ids[a:b], whole[a:b], at_home[a:b])
+                    of, found, score = rows.scan(ids[a:b], whole[a:b], at_home[a:b], floor[a:b])
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][of]), pa.array(found), pa.array(score)],
                                                      ["query_id", "vec_id", "score"])
 

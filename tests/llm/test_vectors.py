@@ -60,7 +60,7 @@ def test_lists_that_are_all_probed_are_exact(spark, monkeypatch):
     monkeypatch.setattr(vs, "WHOLE", 50)
     monkeypatch.setattr(vs, "ROWS", 37)
     monkeypatch.setattr(vs, "QUERIES", 3)
-    monkeypatch.setattr(vs, "FIRST", 40)
+    monkeypatch.setattr(vs, "TABLE", 500)
     monkeypatch.setattr(vs, "SHARE", 4)
     monkeypatch.setattr(vs, "EPSILON", 50.0)  # no hypothesis is rejected that could be true
     rows = some(900)
