@@ -21,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, lengthened until no column of ``df`` bears it in any case."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame, wanted: str, also: tuple[str, ...] = ()) -> str:
+    """``wanted``, lengthened until no column of ``df``, and none of ``also``, bears it in any case."""
+    taken = {c.lower() for c in (*df.columns, *also)}
     while wanted.lower() in taken:
         wanted += "_"
     return wanted

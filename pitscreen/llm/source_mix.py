@@ -9,12 +9,15 @@ spread over the whole result by a hash of (seed, key, copy).
 
 Cases: rows without a source are a source of their own; a null key hashes as ``null``; repeated
 rows get equal counts; a source of size 0 (only empty texts) counts by documents, at rate
-``budget``; a source that the targets do not name gets weight 0; an empty table gives no rows.
+``budget``; a source that the targets do not name gets weight 0; an empty table gives no rows. Other
+columns go along, whatever their names; the names asked for as ``copy`` and ``order`` must be free
+(ValueError). Very long texts only weigh more: their length is all that is looked at.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitscreen.llm.frames import col, free_name
@@ -29,17 +32,17 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... far into the upper tail, of a Poisson mean; in logs, so that no rate underflows."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("logp"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("cdf"))
+def poisson_tables(rates: DataFrame) -> DataFrame:
+    """(source, cdf): P(X <= k) for k = 0, 1, ... far into the upper tail, for each source with a positive rate.
 
-    def step(acc: Column, k: Column) -> Column:
-        logp = acc["logp"] + F.ln(rate) - F.ln(k.cast("double"))
-        total = acc["sum"] + F.exp(logp)
-        return F.struct(logp.alias("logp"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
-
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["cdf"]))
+    Running sums of logs, a row for each k, so that no rate underflows and the work is in proportion to the rate.
+    """
+    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
+    steps = rates.where("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    so_far = W.partitionBy("source").orderBy("k")
+    more = F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.ln("rate") - F.ln(F.col("k").cast("double")))
+    summed = steps.withColumn("logp", F.sum(more).over(so_far)).withColumn("cdf", F.sum(F.exp("logp")).over(so_far))
+    return summed.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("k", "cdf")))["cdf"].alias("cdf"))
 
 
 def rates(docs: DataFrame, targets: DataFrame | None = None, budget: float = 1.0, temperature: float = 0.5,
@@ -72,15 +75,17 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, budget: float = 1.0,
     ``copy`` and ``order`` name further columns for the copy number (from 0) and the shuffle key.
     The rates are landed, one row per source; joining them is the optimizer's choice by their size.
     """
-    lookup = land(rates(docs, targets, budget, temperature, source, text), "source-rates")
-    plan = free_name(docs, "mix_plan")
-    s = lookup.select(F.col("source").alias(plan + "s"), poisson_cdf(F.col("rate")).alias(plan))
-    both = docs.join(s, col(source).eqNullSafe(F.col(plan + "s")), "left")
+    asked = tuple(c for c in (copy, order) if c)
+    if len({c.lower() for c in (*docs.columns, *asked)}) < len(docs.columns) + len(asked):
+        raise ValueError(f"columns named {asked} exist already")
+    s_name, cdf, n_name, c_name, o_name = (free_name(docs, f"mix_{x}", asked) for x in ("source", "cdf", "n", "copy", "order"))
+    c_name, o_name = copy or c_name, order or o_name
+    lookup = land(poisson_tables(rates(docs, targets, budget, temperature, source, text)), "source-rates")
+    both = docs.join(lookup.toDF(s_name, cdf), col(source).eqNullSafe(F.col(s_name)), "left")
     uniform = hashed(F.lit(seed), col(key)).cast("double") / F.lit(float(1 << UNIFORM_BITS))
-    n = F.when(F.col(plan).isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col(plan), lambda c: c <= uniform)))
-    copy_name, order_name = copy or plan + "c", order or plan + "o"
-    copies = (both.withColumn(plan + "n", n).where(F.col(plan + "n") > 0)
-              .withColumn(copy_name, F.explode(F.sequence(F.lit(0), F.col(plan + "n") - 1)))
-              .withColumn(order_name, hashed(F.lit(seed), col(key), col(copy_name))))
-    spread = copies.repartitionByRange(col(order_name)).sortWithinPartitions(col(order_name))
-    return spread.select(*map(col, docs.columns), *[col(c) for c in (copy, order) if c])
+    n = F.when(F.col(cdf).isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col(cdf), lambda c: c <= uniform)))
+    copies = (both.withColumn(n_name, n).where(F.col(n_name) > 0)
+              .withColumn(c_name, F.explode(F.sequence(F.lit(0), F.col(n_name) - 1)))
+              .withColumn(o_name, hashed(F.lit(seed), col(key), col(c_name))))
+    spread = copies.repartitionByRange(col(o_name)).sortWithinPartitions(col(o_name))
+    return spread.select(*map(col, docs.columns), *map(col, asked))
