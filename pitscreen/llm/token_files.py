@@ -13,7 +13,8 @@ an unread file behind. The folder must be one that all executors share.
 
 Cases: a null or empty text holds the end id alone; equal order keys (repeated rows) keep all their
 rows, side by side; an empty table gives an empty manifest and no files; only key, text and
-order columns are read.
+order columns are read, under names of their own. A very long text is encoded as one block: memory for
+its bytes, its words and its ids.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ from pitscreen.session import land, shared_folder
 SAMPLE = 256
 MAGIC = b"EFTOKEN1"
 #: Letter runs whose ids a worker remembers (about 200 bytes each); beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
+#: Boundaries that a reader decodes together.
+RUN = 8192
 
 
 # Elias-Fano ----------------------------------------------------------------------------------
@@ -66,14 +69,28 @@ class EliasFano:
         return cls(n, bits, np.packbits(low.astype(np.uint8).ravel(), bitorder="little"),
                    np.packbits(high, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
-        value = (ones - np.arange(self.n)) << self.low_bits
+    def run(self, lo: int, hi: int) -> np.ndarray:
+        """Values number ``lo`` to ``hi - 1``: decodes the unary bits between the samples around them."""
+        if not 0 <= lo <= hi <= self.n:
+            raise IndexError((lo, hi))
+        if lo == hi:
+            return np.empty(0, np.int64)
+        first, after = lo // SAMPLE, (hi - 1) // SAMPLE + 1
+        begin = int(self.samples[first])
+        end = int(self.samples[after]) if after < len(self.samples) else len(self.high) * 8
+        bits = np.unpackbits(self.high[begin // 8:-(-end // 8)], bitorder="little")
+        bits[:begin % 8] = 0
+        ones = np.flatnonzero(bits)[lo - first * SAMPLE:hi - first * SAMPLE] + begin // 8 * 8
+        value = (ones - np.arange(lo, hi)) << self.low_bits
         if self.low_bits:
-            low = np.unpackbits(self.low, bitorder="little")[:self.n * self.low_bits].reshape(self.n, self.low_bits)
-            value |= low.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            a, b = lo * self.low_bits, hi * self.low_bits
+            low = np.unpackbits(self.low[a // 8:-(-b // 8)], bitorder="little")[a % 8:a % 8 + b - a]
+            value |= low.reshape(hi - lo, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
         return value
 
+    def all(self) -> np.ndarray:
+        return self.run(0, self.n)
+
     def select(self, i: int) -> int:
         """Value number ``i``: scans from the sample below it."""
         if not 0 <= i < self.n:
@@ -309,7 +326,7 @@ class Shard:
 def read(manifest: DataFrame, key: str, key_type: T.DataType, tokens: int = 1 << 20) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every document, from the files of a manifest.
 
-    One task reads one shard, about ``tokens`` ids at a time.
+    One task reads one shard, about ``tokens`` ids (or one longer document) and ``RUN`` boundaries at a time.
     """
     files = land(manifest, "token-index")
     n = max(1, files.count())
@@ -320,17 +337,18 @@ def read(manifest: DataFrame, key: str, key_type: T.DataType, tokens: int = 1 <<
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["path"])
-                ends = shard.boundaries.all()
                 lo = 0
                 while lo < len(shard):
-                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + tokens, side="right")) - 1)
-                    ids = memoryview(shard.between(int(ends[lo]), int(ends[hi])).astype("<u4")).cast("B")
-                    cut = ((ends[lo:hi + 1] - ends[lo]) * 4).tolist()
+                    ends = shard.boundaries.run(lo, min(lo + RUN, len(shard)) + 1)
+                    n = max(1, int(np.searchsorted(ends, ends[0] + tokens, side="right")) - 1)
+                    ends = ends[:n + 1]
+                    ids = memoryview(shard.between(int(ends[0]), int(ends[-1])).astype("<u4")).cast("B")
+                    cut = ((ends - ends[0]) * 4).tolist()
                     crc = [zlib.crc32(ids[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays(
-                        [shard.keys.slice(lo, hi - lo).combine_chunks(), pa.array(ends[lo:hi] + row["start"]),
-                         pa.array(np.diff(ends[lo:hi + 1])), pa.array(crc, pa.int64())], schema.names)
-                    lo = hi
+                        [shard.keys.slice(lo, n).combine_chunks(), pa.array(ends[:-1] + row["start"]),
+                         pa.array(np.diff(ends)), pa.array(crc, pa.int64())], schema.names)
+                    lo += n
 
     spread = files.select("path", "start", "shard").repartitionByRange(n, "shard")
     return spread.mapInArrow(run, schema).withColumnRenamed("key", key)
