@@ -58,6 +58,7 @@ m AS (
          coalesce(r.n, 0) AS n_repeat_words,
          length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
          length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters,
+         length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) AS n_wide,
          len(list_filter(w.w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS n_symbol_words
   FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id),
 b AS (
@@ -68,15 +69,18 @@ b AS (
     + CASE WHEN 10 * n_symbols > 3 * n_words THEN 16 ELSE 0 END
     + CASE WHEN 10 * n_symbol_words > 3 * n_words THEN 32 ELSE 0 END
     + CASE WHEN 2 * n_dup_lines > n_lines THEN 64 ELSE 0 END
-    + CASE WHEN 2 * n_upper > n_letters THEN 128 ELSE 0 END)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits,
-       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b""")
+    + CASE WHEN 2 * n_upper > n_letters THEN 128 ELSE 0 END
+    + CASE WHEN 2 * n_upper > n_letters + n_wide THEN 256 ELSE 0 END
+    + CASE WHEN 2 * n_wide <= word_chars AND (word_chars < 3 * n_words OR word_chars > 20 * n_words)
+           THEN 512 ELSE 0 END)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 883) = 0 AS kept, fail_bits FROM b""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of every document under the newest policy, beside the base policy."""
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits",
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (~quality_rules.kept(F.col("fail_bits"), "base")).alias("base_failed"),
-                       quality_rules.kept(F.col("fail_bits"), "v2").alias("kept"))
+                       quality_rules.kept(F.col("fail_bits"), quality_rules.NEWEST).alias("kept"), "fail_bits")
 
 
 @query("op2_secret_scan")
@@ -155,7 +159,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "copies")
 
 
-@query("op8_ngram_links")
+@query("ngram_link_counts")
 def op8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document, and the number of other documents with a Jaccard similarity of 0.8 or more."""
     return ngram_join.link_counts(table(spark, sf_dir, "documents"))

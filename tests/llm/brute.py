@@ -28,14 +28,24 @@ def measures(text):
             "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_lines": len(lines),
             "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered),
             "n_upper": len(re.findall("[A-Z]", text)), "n_letters": len(re.findall("[A-Za-z]", text)),
-            "n_symbol_words": sum(bool(re.search(rb"[#*$%&|<>]", x)) for x in w)}
+            "n_symbol_words": sum(bool(re.search(rb"[#*$%&|<>]", x)) for x in w), "n_wide": sum(c >= "\x80" for c in text)}
 
 
 def fails(m):
     return [m["n_words"] < 50, 100 * m["n_repeat_words"] > 50 * m["n_words"], m["n_words"] > 1_000_000,
             not 3 * m["n_words"] <= m["word_chars"] <= 20 * m["n_words"], 10 * m["n_symbols"] > 3 * m["n_words"],
             10 * m["n_symbol_words"] > 3 * m["n_words"], 2 * m["n_dup_lines"] > m["n_lines"],
-            2 * m["n_upper"] > m["n_letters"]]
+            2 * m["n_upper"] > m["n_letters"], 2 * m["n_upper"] > m["n_letters"] + m["n_wide"],
+            2 * m["n_wide"] <= m["word_chars"] and not 3 * m["n_words"] <= m["word_chars"] <= 20 * m["n_words"]]
+
+
+#: Positions of the rules of each policy.
+POLICY = {"base": [0, 1], "v2": list(range(8)), "v3": [0, 1, 4, 5, 6, 8, 9]}
+
+
+def passes(text, policy="v3"):
+    failed = fails(measures(text))
+    return not any(failed[i] for i in POLICY[policy])
 
 
 def groups(rows, percent=80):

@@ -52,23 +52,34 @@ def test_measures(texts):
 def test_ledger_keeps_and_ablation(docs):
     clean = " ".join(f"word{i % 97}x{i}" for i in range(80))
     rows = [(i, x) for i, x in enumerate(AWKWARD)] + [(90, clean), (90, clean), (None, clean.upper()), (92, clean.replace(" ", "## "))]
+    rows += [(93, "МВФ IMF " + " ".join(f"слово{i}и" for i in range(90))), (94, "".join(f"長い文章{i}です" for i in range(400)) + " a" * 3 + " ".join(f"語{i}彙" for i in range(60)))]
     table = docs(rows)
     got = {(r.doc_id, r.fail_bits) for r in quality_rules.ledger(table).collect()}
     want = {(d, sum(1 << i for i, f in enumerate(brute.fails(brute.measures(x))) if f)) for d, x in rows}
     assert got == want
-    kept = quality_rules.keep(table, "v2")
-    assert kept.columns == table.columns and [r.doc_id for r in kept.collect()] == [90, 90]
-    assert quality_rules.keep(table, "base").count() == 4
-    got = {r.rule: (r.failed, r.only, r.kept_without) for r in
-           quality_rules.ablation(quality_rules.ledger(table), "v2").collect()}
-    bits = [brute.fails(brute.measures(x)) for _, x in rows]
-    for i, rule in enumerate(quality_rules.RULES):
-        only = sum(b[i] and sum(b) == 1 for b in bits)
-        assert got[rule.name] == (sum(b[i] for b in bits), only, only + sum(not any(b) for b in bits))
+    for policy, used in brute.POLICY.items():
+        kept = quality_rules.keep(table, policy)
+        assert kept.columns == table.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, x in rows if brute.passes(x, policy))
+        assert kept.where("doc_id = 94").count() == (policy != "v2")
+        got = {r.rule: (r.failed, r.only, r.kept_without) for r in
+               quality_rules.ablation(quality_rules.ledger(table), policy).collect()}
+        bits = [[b for i, b in enumerate(brute.fails(brute.measures(x))) if i in used] for _, x in rows]
+        for i, name in enumerate(quality_rules.RULES[j].name for j in used):
+            only = sum(b[i] and sum(b) == 1 for b in bits)
+            assert got[name] == (sum(b[i] for b in bits), only, only + sum(not any(b) for b in bits))
     empty = quality_rules.ledger(docs([]))
     assert empty.count() == 0 and quality_rules.keep(docs([])).count() == 0
 
 
+def test_length_alone_fails_nothing(docs):
+    """A clean text of over a million words, several blocks long."""
+    long = " ".join(f"word{i}" for i in range(1_000_100))
+    measured = quality_rules.measure(pa.array(["short", long, None]))
+    assert measured["n_words"].tolist() == [1, 1_000_100, 0] and measured["n_repeat_words"].tolist() == [0, 0, 0]
+    assert [r.doc_id for r in quality_rules.keep(docs([(1, long), (2, "short")])).collect()] == [1]
+
+
 BASE = {"assign": (r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6),
         "access": (r"AKIA[A-Z0-9]+", 20), "hex": (r"[0-9a-f]+", 24)}
 
