@@ -16,7 +16,7 @@ from pitscreen.llm.frames import settle, table
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the newest policy of quality rules."""
-    return quality_rules.keep(docs, "v2")
+    return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
