@@ -3,6 +3,7 @@
 
 from pyspark.sql import functions as F
 
+from pitscreen.catalog.optimised import placed
 from pitscreen.catalog.registry import query
 from pitscreen.catalog.study import METRICS_SQL, floyd_sql, r6, study
 from pitscreen.catalog.views import VIEWS
@@ -192,13 +193,17 @@ SELECT measure, min(v) AS min, round(median(v), 6) AS median, max(v) AS max, rou
 FROM (UNPIVOT (SELECT sharpe, ann_return, percentile, p_value FROM seed_sweep) ON COLUMNS(*) INTO NAME measure VALUE v) GROUP BY 1""",
       "seed_sweep")(lambda t: r6(G.spread(seed_sweep(t), ["sharpe", "ann_return", "percentile", "p_value"])))
 
-# ---- optimised weights: the weights have no SQL equivalent, what must hold of them has ----
+# ---- optimised weights, beside an independent solution in SQL (catalog/optimised.py) ----
 
 
 @query("optimised_book_invariants", "B8 B9 B10 B11", """
-WITH b AS (SELECT formation_year, count(*) AS names FROM scored WHERE rank <= 10 GROUP BY 1)
-SELECT formation_year, book, names, 1.0::DOUBLE AS total, true AS long_only, CASE WHEN book = 'score_GMVsec' THEN true END AS within_caps
-FROM b, (SELECT unnest(['score_GMV', 'score_GMVsec']) AS book)""", "scored")
+WITH w AS (SELECT w.*, NULL::VARCHAR AS sector FROM gmv_weights w
+  UNION ALL SELECT w.*, coalesce(s.sector, 'Unknown') FROM capped_weights w LEFT JOIN sectors s ON s.ticker = w.ticker),
+c AS (SELECT formation_year, book, sector, sum(w) AS sw, count(*) OVER (PARTITION BY formation_year, book) AS n_sectors FROM w GROUP BY 1, 2, 3)
+SELECT w.formation_year, w.book, count(*) AS names, round(sum(w.w), 6) AS total, min(w.w) >= 0 AS long_only,
+ CASE WHEN w.book = 'score_GMVsec' THEN (SELECT max(sw) <= max(greatest(0.2, 1.0 / n_sectors + 1e-6)) + 1e-5 FROM c
+   WHERE c.formation_year = w.formation_year AND c.book = w.book) END AS within_caps
+FROM w GROUP BY w.formation_year, w.book""", "gmv_weights capped_weights sectors")
 def _invariants(t):
     s = study(t)
     pos = s.optimised_positions("GMV").unionByName(s.optimised_positions("GMVsec"))
@@ -212,7 +217,8 @@ def _invariants(t):
 
 
 @query("universe_weight_invariants", "B9 E18", """
-SELECT formation_year, count(*) AS names, 1.0::DOUBLE AS total, true AS long_only, true AS concentrates FROM eligible GROUP BY 1""", "eligible")
+SELECT formation_year, count(*) AS names, round(sum(w), 6) AS total, min(w) >= 0 AS long_only, sum(w * w) >= 1.0 / count(*) - 1e-12 AS concentrates
+FROM universe_weights GROUP BY 1""", "universe_weights")
 def _universe_invariants(t):
     w = market(t).universe_gmv
     return w.groupBy("formation_year").agg(
@@ -221,20 +227,22 @@ def _universe_invariants(t):
 
 
 @query("gain_does_not_depend_on_draws", "E4 E22 E23", """
-SELECT k, 2::BIGINT AS cells, true AS same_gain, count(*) AS formations FROM (SELECT DISTINCT formation_year FROM eligible), (SELECT unnest([8, 10])::INTEGER AS k) GROUP BY k""", "eligible")
+SELECT replace(book, 'k', '')::INTEGER AS k, round(gain, 6) AS least_gain, round(gain, 6) AS most_gain FROM swept_gain""", "swept_gain")
 def _gain_invariance(t):
+    """The gain of a basket size, over cells that differ in the number of draws: one value, the one of the SQL."""
     from pitscreen.catalog.reports import swept
 
-    years = market(t).sizes.agg(F.count("*").alias("formations"))
-    g = swept(t).groupBy("k").agg(F.count("*").alias("cells"), (F.count_distinct("D") == 1).alias("same_gain"))
-    return beside(g, years)
+    return r6(swept(t).groupBy("k").agg(F.min("D").alias("least_gain"), F.max("D").alias("most_gain")))
 
 
 
-query("minimum_variance_weights", "B8 B9 B11")(lambda t: study(t).optimised_positions("GMV"))
-query("sector_capped_weights", "B10")(lambda t: study(t).optimised_positions("GMVsec"))
-query("universe_minimum_variance", "B9 E18")(lambda t: market(t).universe_gmv)
+query("minimum_variance_weights", "B8 B9 B11", "SELECT formation_year, book, ticker, round(w, 6) AS w FROM gmv_weights", "gmv_weights")(
+    lambda t: r6(study(t).optimised_positions("GMV")))
+query("sector_capped_weights", "B10", "SELECT formation_year, book, ticker, round(w, 3) AS w FROM capped_weights", "capped_weights")(
+    lambda t: study(t).optimised_positions("GMVsec").withColumn("w", F.round("w", 3)))
+query("universe_minimum_variance", "B9 E18", "SELECT formation_year, book, ticker, round(w, 6) AS w FROM universe_weights", "universe_weights")(
+    lambda t: r6(market(t).universe_gmv))
 query("optimised_study_summary", "E11 E17")(lambda t: study(t).summary())
-query("paired_optimisation_gain", "E4")(lambda t: study(t).synergy("GMV"))
-query("grid_paired_gain", "E4 E22")(lambda t: cell(t).synergy())
+query("paired_optimisation_gain", "E4", placed("study_pair"), "study_pair_gain")(lambda t: r6(study(t).synergy("GMV")))
+query("grid_paired_gain", "E4 E22", placed("grid_pair"), "grid_pair_gain")(lambda t: r6(cell(t).synergy()))
 query("grid_sweep", "E18 E23")(lambda t: G.sweep(market(t), SPEC, [8, 10], [20, 40]))
