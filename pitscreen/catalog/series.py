@@ -40,15 +40,6 @@ WITH l AS (SELECT v.formation_year, v.ticker, max(p.date) AS last FROM value_set
 SELECT formation_year, count(*) FILTER (last < (SELECT max(date) FROM prices WHERE date <= make_date(formation_year + 1, 6, 30))) AS delisted_in_holding_year FROM l GROUP BY 1""",
       "value_set")(lambda t: P.stopped_names(study(t).held_bars, study(t).value_set))
 
-query("fixed_weight_returns", "B17 W8", """
-WITH n AS (SELECT ticker, w FROM positions WHERE formation_year = 1999 AND book = 'score_EW'),
-d AS (SELECT date, row_number() OVER (ORDER BY date) AS s FROM (SELECT DISTINCT p.date FROM prices p JOIN n USING (ticker) WHERE p.date BETWEEN DATE '1999-07-02' AND DATE '2000-06-30')),
-r AS (SELECT p.date, n.w, CASE WHEN d.s - lag(d.s) OVER k = 1 THEN p.adj_close / lag(p.adj_close) OVER k - 1 END AS r
- FROM prices p JOIN n USING (ticker) JOIN d ON d.date = p.date WINDOW k AS (PARTITION BY p.ticker ORDER BY p.date))
-SELECT date, round(sum(w * r), 6) AS r FROM r GROUP BY 1 HAVING sum(w * r) IS NOT NULL""", "positions")(
-    lambda t: r6(P.fixed_weight_returns(t.prices, study(t).equal_positions.where(
-        (F.col("formation_year") == 1999) & (F.col("book") == "score_EW")), "1999-07-02", "2000-06-30").select("date", "r")))
-
 query("fixed_weight_book_returns", "B17 W8", """
 WITH n AS (SELECT formation_year AS y, book, ticker, w FROM positions),
 h AS (SELECT n.*, p.date, p.adj_close FROM n JOIN prices p ON p.ticker = n.ticker AND p.date >= make_date(y, 7, 2) AND p.date <= make_date(y + 1, 6, 30)),

@@ -165,11 +165,13 @@ def returns_panel(prices: DataFrame, names: DataFrame,
 def fixed_weight_returns(prices: DataFrame, positions: DataFrame, start, end) -> DataFrame:
     """(formation_year, book, date, r): daily-rebalanced returns of fixed weights, only consecutive quotes count.
 
-    ``start`` and ``end`` are dates, or columns of the positions such as a date of each formation.
+    ``start`` and ``end`` are dates, or columns of the positions such as a date of each formation; they lie
+    in the holding year of the formation, so a bar only meets the books of its own year that hold the name.
     A book's sessions are the days on which any of its names has a bar.
     """
     start, end = (F.to_date(F.lit(x)) if isinstance(x, str) else x for x in (start, end))
-    held = (prices.join(positions.select(YEAR, "book", "ticker", "w", start.alias("start"), end.alias("end")), "ticker")
+    bars = prices.select("ticker", "date", "adj_close", F.explode(_holding_years(F.col("date"))).alias(YEAR))
+    held = (bars.join(positions.select(YEAR, "book", "ticker", "w", start.alias("start"), end.alias("end")), [YEAR, "ticker"])
             .where(F.col("date").between(F.col("start"), F.col("end"))))
     days = (held.select(YEAR, "book", "date").distinct()
             .withColumn("s", F.row_number().over(W.partitionBy(YEAR, "book").orderBy("date"))))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from pitscreen.operators.paths import YEAR
-from pitscreen.operators.weights import noise_ceiling
+from pitscreen.operators.weights import noise_ceiling, noise_level
 from pitscreen.session import land
 
 MAX_STEPS = 100
@@ -78,7 +78,7 @@ def spectrum(gram_rows: DataFrame, sizes: DataFrame) -> DataFrame:
         if signal.sum() >= n:
             signal[np.argsort(lam)[: len(lam) - n + 1]] = False
         lam, q = lam[signal], q[:, signal]
-        mu = (n - lam.sum()) / (n - len(lam))
+        mu = noise_level(lam, n)
         return pd.DataFrame({YEAR: [pdf[YEAR].iloc[0]], "mu": [mu], "lam": [lam],
                              "q": [(q / np.sqrt((t - 1) * lam)).T.ravel()]})
 

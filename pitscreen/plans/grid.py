@@ -11,6 +11,7 @@ from pitscreen.functions.dates import between_formations
 from pitscreen.operators import baskets as B, evaluate as E, paths as P
 from pitscreen.operators.ordering import beside, exact_quantiles
 from pitscreen.operators.paths import YEAR
+from pitscreen.operators.tiles import tiled_returns
 from pitscreen.operators.universe_variance import universe_minimum_variance
 from pitscreen.operators.weights import equal_weight, long_short, optimised_weights
 from pitscreen.session import land
@@ -182,7 +183,8 @@ class Cell:
 
     @cached_property
     def draw_metrics(self) -> DataFrame:
-        return land(E.metrics(self.m.returns_of(self.draw_positions(self.draws)), ["book"]), "draw-metrics")
+        daily = tiled_returns(self.draw_positions(self.draws), self.m.steps, self.m.sessions)
+        return land(E.metrics(daily, ["book"]), "draw-metrics")
 
     def metrics(self, optimised: bool = False) -> DataFrame:
         return E.metrics(self.daily(optimised), ["book"])
@@ -226,7 +228,7 @@ class Cell:
                 F.struct(F.lit(a).alias("metric"), F.lit(b).alias("basis"), v.alias("draw_stat"))
                 for a, b, v in cells])).alias("x")).select("pool", "x.*"))
 
-        others = E.metrics(self.m.returns_of(self.draw_positions(self.draws_excluding)), ["book"])
+        others = E.metrics(tiled_returns(self.draw_positions(self.draws_excluding), self.m.steps, self.m.sessions), ["book"])
         both = dist(self.draw_metrics, "random (full universe)").unionByName(
             dist(others, "random (other names)"))
         keyed = stats.withColumn("pool", F.explode(F.array(

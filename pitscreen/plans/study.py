@@ -11,6 +11,7 @@ from pitscreen.functions.dates import between_formations
 from pitscreen.operators import baskets as B, evaluate as E, paths as P, universe as U
 from pitscreen.operators.paths import YEAR
 from pitscreen.operators.scoring import nine_signals
+from pitscreen.operators.tiles import tiled_returns
 from pitscreen.operators.weights import equal_weight, long_short, optimised_weights
 from pitscreen.session import land
 from pitscreen.sources.markets import allows_shorting
@@ -174,7 +175,7 @@ class Study:
         return self.returns_of(self.equal_positions)
 
     def draw_daily(self, how: str = "EW") -> DataFrame:
-        return self.returns_of(self.draw_positions(how))
+        return tiled_returns(self.draw_positions(how), self.steps, self.sessions)
 
     def summary(self, equal_only: bool = False) -> DataFrame:
         pos = self.equal_positions if equal_only else self.positions
