@@ -12,8 +12,8 @@ from pitscreen.functions import numeric as N, symbols as Y
 from pitscreen.functions.dates import FISCAL_YEAR_END, fiscal_end, fiscal_label
 from pitscreen.operators import checks as V, scoring as S, tables as O
 from pitscreen.operators.ordering import beside, spread_rank
-from pitscreen.session import shared_folder
-from pitscreen.sources import facts as X, markets, tables as T
+from pitscreen.session import land, shared_folder
+from pitscreen.sources import facts as X, markets, refresh as R, tables as T
 from pitscreen.sources.schemas import FLAGS
 from pitscreen.sources.standin import FACTS_SQL
 
@@ -83,6 +83,52 @@ def _reuse(t):
     return px.agg(F.count("*").alias("bars"), F.min("date").alias("first"))
 
 
+@query("stale_years_rewritten", "S17 S18 O4", """
+SELECT fiscal_year, fiscal_year = (SELECT max(fiscal_year) - 1 FROM fundamentals) AS rewritten, count(*) AS rows,
+ round(sum(total_assets + CASE WHEN fiscal_year = (SELECT max(fiscal_year) - 1 FROM fundamentals) THEN 1 ELSE 0 END), 2) AS total
+FROM fundamentals WHERE fiscal_year > (SELECT min(fiscal_year) FROM fundamentals) GROUP BY fiscal_year""", "fundamentals")
+def _stale_years(t):
+    """One year of the inputs changes and another goes: which partitions have new files, and what the table holds."""
+    path, year = scratch(t, "refreshed"), "fiscal_year"
+    inputs = t.fundamentals.select("ticker", year, "total_assets")
+    build = lambda df: df.withColumn("assets_in_millions", F.col("total_assets") / 1e6)
+    files = lambda: spark_files(t.spark.read.parquet(path), year)
+    R.refresh(t.spark, path, inputs, year, build)
+    before = land(files(), "files-before")
+    ends = inputs.agg(F.min(year).alias("least"), F.max(year).alias("most")).first()  # one row
+    changed = (inputs.where(F.col(year) > ends["least"])
+               .withColumn("total_assets", F.col("total_assets") + F.when(F.col(year) == ends["most"] - 1, 1).otherwise(0)))
+    R.refresh(t.spark, path, changed, year, build)
+    same = files().join(before.withColumnRenamed("files", "_files"), year)
+    return (R.read_refreshed(t.spark, path, year).groupBy(year).agg(F.count("*").alias("rows"), F.round(F.sum("total_assets"), 2).alias("total"))
+            .join(same, year).select(year, (F.col("files") != F.col("_files")).alias("rewritten"), "rows", "total"))
+
+
+def spark_files(df, by):
+    """(by, files): the files of each partition."""
+    return df.select(by, F.col("_metadata.file_path").alias("f")).groupBy(by).agg(F.sort_array(F.collect_set("f")).alias("files"))
+
+
+@query("checked_writes", "V10 A11 S16", """
+SELECT a.attempt, count(*) AS rows, count(*) FILTER (total_assets IS NULL) AS no_assets,
+ CASE WHEN attempt = 2 THEN count(*) FILTER (net_income IS NULL OR net_income <= 0) ELSE 0 END AS losses,
+ count(*) FILTER (total_assets IS NULL) = 0 AND (attempt = 1 OR count(*) FILTER (net_income IS NULL OR net_income <= 0) = 0) AS published,
+ count(*) AS readable
+FROM fundamentals, (SELECT unnest([1, 2]) AS attempt) a GROUP BY a.attempt""", "fundamentals")
+def _checked_writes(t):
+    """A write that keeps its contract, then one that breaks it: readers still see the first."""
+    path, out = scratch(t, "checked"), []
+    rules = {"no_assets": F.col("total_assets").isNotNull()}
+    for attempt, more in ((1, {}), (2, {"losses": F.col("net_income") > 0})):
+        try:
+            seen, published = R.write_checked(t.fundamentals, path, rules | more), True
+        except R.ContractBreach as breach:
+            seen, published = breach.observed, False
+        readable = R.read_published(t.spark, path).count()
+        out.append((attempt, seen["rows"], seen["no_assets"], seen.get("losses", 0), published, readable))
+    return t.spark.createDataFrame(out, "attempt int, rows long, no_assets long, losses long, published boolean, readable long")
+
+
 query("deepened_prices", "S20", """
 WITH cut AS (SELECT * FROM prices WHERE ticker IN (SELECT ticker FROM sectors WHERE sector <> 'ASIA') OR date >= DATE '1997-01-01'),
 late AS (SELECT ticker FROM cut GROUP BY 1 HAVING min(date) > DATE '1996-01-01')
@@ -132,6 +178,16 @@ SELECT taxonomy, tag, unit, form, count(*) AS rows, round(sum(val), 0) AS total
 query("first_reported_facts", "S10", """SELECT ticker, field, "end", round(val, 6) AS val, filed FROM first_prints""", "first_prints")(
     lambda t: X.first_reported(X.explode_facts(t.companies)).withColumn("val", F.round("val", 6)))
 
+@query("facts_from_json", "S10 T12", """SELECT ticker, field, "end", round(val, 6) AS val, filed FROM first_prints""", "first_prints")
+def _json_facts(t):
+    """Companies written as JSON lines, read as text and parsed, beside texts that are no company."""
+    path = scratch(t, "json")
+    odd = ["", "no json", "{}", "[1, 2]", '{"ticker": "X", "facts": 3}', '{"ticker": "X", "facts": {"us-gaap": {"Assets": {"units": {"USD": {}}}}}}']
+    texts = t.companies.select(F.to_json(F.struct("ticker", "facts")).alias("value"))
+    texts.unionByName(t.spark.createDataFrame([(x,) for x in odd], "value string")).write.text(path)
+    return X.first_reported(X.facts_from_json(t.spark.read.text(path))).withColumn("val", F.round("val", 6))
+
+
 query("fact_share_counts", "S11", """SELECT ticker, "end", round(shares, 6) AS shares_outstanding FROM fact_shares""", "fact_shares")(
     lambda t: X.share_counts(X.explode_facts(t.companies), t.statements.select("ticker", F.col("report_date").alias("end")))
     .withColumn("shares_outstanding", F.round("shares_outstanding", 6)))

@@ -54,6 +54,37 @@ def explode_facts(companies: DataFrame, facts: str = "facts") -> DataFrame:
         F.to_date("f.filed").alias("filed"), F.col("f.form").alias("form"))
 
 
+def _opened(df: DataFrame, variant: str, key: str, value: str) -> DataFrame:
+    """A row for each member of an object or list; anything else, or nothing, has none."""
+    members = df.sparkSession.tvf.variant_explode(F.col(variant).outer()).toDF("_pos", key, value)
+    return df.lateralJoin(members).drop(variant)
+
+
+def facts_from_json(lines: DataFrame, text: str = "value") -> DataFrame:
+    """The rows of ``explode_facts`` from companies as delivered, one JSON text a row: ticker and facts.
+
+    Only the tags that a field or share count reads are opened. A text that is no JSON, and branches that
+    are missing or of another kind, give no rows; ``malformed`` counts the former.
+    """
+    wanted = sorted({("us-gaap", tag) for *_, tags in FIELD_TAGS for tag in tags} | {(s[0], s[1]) for s in SHARE_SOURCES})
+    get = lambda c, path, kind: F.try_variant_get(F.col(c), f"$.{path}", kind)
+    docs = lines.select(F.try_parse_json(F.col(text)).alias("doc")).where("doc IS NOT NULL")
+    top = docs.select(get("doc", "ticker", "string").alias("ticker"), get("doc", "facts", "variant").alias("facts"))
+    tags = _opened(_opened(top, "facts", "taxonomy", "concepts").drop("_pos"), "concepts", "tag", "concept").drop("_pos")
+    read = tags.where(F.concat_ws(" ", "taxonomy", "tag").isin([" ".join(x) for x in wanted]))
+    units = _opened(read.withColumn("units", get("concept", "units", "variant")).drop("concept"), "units", "unit", "list").drop("_pos")
+    rows = _opened(units, "list", "_key", "f").where("_key IS NULL")  # lists have places, objects names
+    day = lambda name: F.to_date(get("f", name, "string"))
+    return rows.select("ticker", "taxonomy", "tag", "unit", F.col("_pos").alias("pos"), day("start").alias("start"),
+                       day("end").alias("end"), get("f", "val", "double").alias("val"), day("filed").alias("filed"),
+                       get("f", "form", "string").alias("form"))
+
+
+def malformed(lines: DataFrame, text: str = "value") -> DataFrame:
+    """One row: texts, and those that are no JSON."""
+    return lines.agg(F.count("*").alias("texts"), F.count_if(F.try_parse_json(F.col(text)).isNull()).alias("malformed"))
+
+
 def field_table(spark: SparkSession) -> DataFrame:
     rows = [(f, flow, "us-gaap", t, i) for f, flow, tags in FIELD_TAGS for i, t in enumerate(tags)]
     return spark.createDataFrame(rows, "field string, flow boolean, taxonomy string, tag string, prio int")
