@@ -10,7 +10,7 @@ from pitscreen.catalog.study import r6, study
 from pitscreen.catalog.views import VIEWS
 from pitscreen.functions import numeric as N, symbols as Y
 from pitscreen.functions.dates import FISCAL_YEAR_END, fiscal_end, fiscal_label
-from pitscreen.operators import checks as V, scoring as S, tables as O
+from pitscreen.operators import checks as V, membership as MB, scoring as S, tables as O
 from pitscreen.operators.ordering import beside, spread_rank
 from pitscreen.session import land, shared_folder
 from pitscreen.sources import facts as X, markets, refresh as R, tables as T
@@ -209,6 +209,19 @@ SELECT make_date(y, 7, 1) AS date, upper(replace(trim(' t.' || m.ticker), '.', '
  ON year(m.date) = least(y, 2001)""", "membership")(
     lambda t: O.members_at(t.membership_history, 1997, 2003))
 
+query("membership_any_day", "S13 S14 T4", """
+WITH d AS (SELECT DISTINCT date FROM prices WHERE day(date) <= 7),
+s AS (SELECT d.date, max(m.date - INTERVAL 4 MONTH) AS snap FROM d JOIN (SELECT DISTINCT date FROM membership) m ON m.date - INTERVAL 4 MONTH <= d.date GROUP BY 1)
+SELECT s.date, upper(replace(trim(' t.' || m.ticker), '.', '-')) AS ticker FROM s JOIN membership m ON m.date - INTERVAL 4 MONTH = s.snap""", "prices membership")(
+    lambda t: MB.members_on(t.prices.where(F.dayofmonth("date") <= 7).select("date"), MB.intervals(t.membership_history)))
+
+query("membership_spells", "S13 T4", """
+WITH n AS (SELECT DISTINCT ticker, CAST(year(date) AS INTEGER) AS y FROM membership),
+i AS (SELECT *, y - row_number() OVER (PARTITION BY ticker ORDER BY y) AS spell FROM n)
+SELECT upper(replace(trim(' t.' || ticker), '.', '-')) AS ticker, make_date(min(y), 3, 1) AS start,
+ CASE WHEN max(y) < 2001 THEN make_date(CAST(max(y) + 1 AS INTEGER), 3, 1) END AS "end" FROM i GROUP BY i.ticker, spell""", "membership")(
+    lambda t: MB.intervals(t.membership_history))
+
 # ---- identifiers and projections ----
 
 query("vendor_identifiers", "P19", """
@@ -278,6 +291,14 @@ SELECT ticker, fiscal_year, CASE WHEN fiscal_year = 1995 THEN 'missing' WHEN fis
         .unionByName(f.where(F.col("fiscal_year") == 2001).withColumn("fiscal_year", F.lit(2002))), ["ticker", "fiscal_year"])
         .select("ticker", "fiscal_year", "status", "column"))(t.fundamentals.select("ticker", "fiscal_year", "revenue", "cogs")))
 
+query("compare_by_digests", "V11 E26", """
+SELECT ticker, fiscal_year, 'changed' AS status, 'revenue' AS "column" FROM fundamentals WHERE fiscal_year = 1998 AND CAST(ticker AS INTEGER) % 7 = 0 AND revenue IS NOT NULL
+UNION ALL SELECT ticker, fiscal_year, 'missing', NULL FROM fundamentals WHERE fiscal_year = 1999 AND CAST(ticker AS INTEGER) % 11 = 0""", "fundamentals")(
+    lambda t: (lambda f: V.compare_large(
+        f, f.where((F.col("fiscal_year") != 1999) | (F.col("ticker").cast("int") % 11 != 0)).withColumn(
+            "revenue", F.col("revenue") * F.when((F.col("fiscal_year") == 1998) & (F.col("ticker").cast("int") % 7 == 0), 1.001).otherwise(1)),
+        ["ticker", "fiscal_year"]).select("ticker", "fiscal_year", "status", "column"))(t.fundamentals.select("ticker", "fiscal_year", "revenue", "cogs")))
+
 query("price_coverage", "A14", """
 WITH m AS (SELECT DISTINCT CAST(year(date) AS INTEGER) AS y, ticker FROM membership),
 e AS (SELECT DISTINCT ticker FROM prices), d AS (SELECT DISTINCT m.y, p.ticker FROM m JOIN prices p ON p.ticker = m.ticker AND p.date >= make_date(m.y, 7, 1) - INTERVAL 36 MONTH AND p.date < make_date(m.y, 7, 1))

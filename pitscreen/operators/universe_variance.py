@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pitscreen.operators.paths import YEAR
@@ -42,25 +43,41 @@ def windows(series: DataFrame) -> DataFrame:
                                     F.count("*").alias("names"))
 
 
-def gram(series: DataFrame) -> DataFrame:
-    """(formation_year, t, row): rows of the summed T x T Gram matrix."""
+def _centred(pdf: pd.DataFrame, total: int, start: int) -> np.ndarray:
+    """Names x sessions: the centred and scaled returns of some names, from their flat lists."""
+    size = pdf["at"].str.len().to_numpy()
+    at = np.concatenate([*pdf["at"], np.empty(0)]).astype(np.int64)
+    r = np.concatenate([*pdf["r"], np.empty(0)]).astype(float)
+    name = np.repeat(np.arange(len(pdf)), size)
+    keep = at > start
+    x = np.zeros((len(pdf), total - start))
+    x[name[keep], at[keep] - start - 1] = r[keep]
+    sd = x.std(axis=1, ddof=1, keepdims=True)
+    return np.divide(x - x.mean(axis=1, keepdims=True), sd, out=np.zeros_like(x), where=sd > 0)
+
 
+def gram(series: DataFrame, fan: int = 32) -> DataFrame:
+    """(formation_year, t, row): rows of the summed T x T Gram matrix.
+
+    Every task sums its names first. The tasks' matrices are merged in two levels: ``fan`` groups of tasks are
+    summed, then the groups. With 1,000 tasks no sum meets more than 32 rows of a session at once.
+    """
     def partial(batches):
-        sums: dict[int, np.ndarray] = {}
+        group, sums = TaskContext.get().partitionId() % fan, {}
         for pdf in batches:
             for (year, total, start), g in pdf.groupby([YEAR, "total", "start"]):
-                z = np.array([_standardised(row, total, start)[0] for row in g.itertuples()])
+                z = _centred(g, int(total), int(start))
                 sums[year] = sums.get(year, 0) + z.T @ z
         for year, m in sums.items():
-            yield pd.DataFrame({YEAR: year, "t": np.arange(len(m)), "row": list(m)})
+            yield pd.DataFrame({YEAR: year, "part": group, "t": np.arange(len(m)), "row": list(m)})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({YEAR: [pdf[YEAR].iloc[0]], "t": [pdf["t"].iloc[0]],
-                             "row": [np.sum(np.stack(pdf["row"]), axis=0)]})
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in pdf.columns if c != "row"} | {"row": [np.sum(np.stack(pdf["row"]), axis=0)]})
 
-    schema = f"{YEAR} int, t int, row array<double>"
-    return (series.select(YEAR, "total", "start", "at", "r").mapInPandas(partial, schema)
-            .groupBy(YEAR, "t").applyInPandas(add, schema))
+    schema = f"{YEAR} int, part int, t int, row array<double>"
+    merged = (series.select(YEAR, "total", "start", "at", "r").mapInPandas(partial, schema)
+              .groupBy(YEAR, "part", "t").applyInPandas(add, schema))
+    return merged.drop("part").groupBy(YEAR, "t").applyInPandas(add, f"{YEAR} int, t int, row array<double>")
 
 
 def spectrum(gram_rows: DataFrame, sizes: DataFrame) -> DataFrame:
