@@ -38,6 +38,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+JUDGED = ("doc_id", "held_out", "score", "predicted")
+
+
+def led(df: DataFrame, *first: str) -> DataFrame:
+    """The columns a contract names, then all further ones."""
+    return df.select(*first, *[c for c in df.columns if c not in first])
+
+
 @query("op9_quality_rules", r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -88,9 +96,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     s, base = F.col("spans"), ("assign", "access", "hex")
     return found.select(
-        "doc_id", *[secret_scan.count(s, k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        "doc_id", *[secret_scan.count(s, k).alias(f"n_{k}") for k in base],
         F.sha2(secret_scan.listed(s, *base).cast("binary"), 256).alias("base_sha256"),
         secret_scan.listed(s, *secret_scan.KINDS).alias("spans"),
+        *[secret_scan.count(s, k).alias(f"n_{k}") for k in secret_scan.KINDS if k not in base],
         F.array_max(F.transform(s, lambda x: x["log10_guesses"])).alias("max_log10_guesses"))
 
 
@@ -171,7 +180,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
     model = language_id.fit(docs, ~out)
-    return language_id.predict(docs, model).withColumn("held_out", out)
+    return led(language_id.predict(docs, model).withColumn("held_out", out), "doc_id", "held_out", "lang_pred", "score")
 
 
 @query("op5_toxicity")
@@ -180,7 +189,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
     return (toxicity.score(docs, model).withColumn("held_out", out)
-            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")).transform(led, *JUDGED))
 
 
 @query("op4_line_crf")
@@ -189,7 +198,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 3, 1)
     model = line_crf.fit(docs, table(spark, sf_dir, "labels"), ~out)
     return (line_crf.score(docs, model).withColumn("held_out", out)
-            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")).transform(led, *JUDGED))
 
 
 @query("op6_hpy_lm")

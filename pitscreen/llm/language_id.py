@@ -11,7 +11,8 @@ cosine; it is *rejected* when its distance to that centroid is beyond that clust
 Cases: null texts and texts without a letter are ``und`` with score 0; without any labelled row
 everything is ``und``; rows without a language are not learned from; ties between centroids go
 to the first by language and cluster; repeated rows are predicted alike; an empty table gives
-no rows; only key, text and language are read.
+no rows; only key, text and language are read, so other columns cannot clash. A very long text is one
+block: memory for its bytes and its n-grams.
 """
 
 from __future__ import annotations

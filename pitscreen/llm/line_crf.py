@@ -10,7 +10,8 @@ that the field itself finds good are relabelled, and it is fitted again (bad pag
 
 Cases: null texts and texts without words have no lines and a share of 0; without rows of both labels
 every score is 0.5; a key labelled twice counts as its larger label; repeated rows score alike;
-an empty table gives no rows; only key and text are read.
+an empty table gives no rows; only key and text are read. A very long text is one block whose memory
+grows with its lines (about 300 bytes a line).
 """
 
 from __future__ import annotations
@@ -183,7 +184,7 @@ def train_field(x: np.ndarray, text: np.ndarray, label: np.ndarray, weight: np.n
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", key: str = "doc_id",
         text: str = "text", sample: int = 3000) -> Model | None:
-    """Learns from about ``sample`` labelled rows of each class (all, if a class has fewer).
+    """Learns from about ``sample`` labelled rows of each class (as many as the smaller class has, if that is fewer).
 
     Line features are made where the texts are; one task then fits the field on the sample's lines.
     """

@@ -17,7 +17,7 @@ change what is connected. So every link between different components is found, b
 Cases: texts are lower-cased in A-Z; a text of fewer than ``n`` words is one shingle, its words in
 order; texts without words (and nulls) have empty sets and link with nothing; repeated rows are
 in one class; null keys link like others; an empty table gives no rows; only key and text
-are read. Shingles and classes are told apart by 64-bit hashes, a segment keeps 48 bits of each
+are read. A very long text is one block: memory for its bytes, words and shingles. Shingles and classes are told apart by 64-bit hashes, a segment keeps 48 bits of each
 hash within its fragment.
 """
 

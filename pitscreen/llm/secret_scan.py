@@ -6,7 +6,9 @@ programming over its positions). A value in a credential context that costs at l
 ``threshold`` is a secret, whatever its alphabet; cheap ones (``password=password1``) are not.
 
 Cases: a null or empty text has no spans; ties in cost go to the earlier cut, which does not
-change the cost; repeated rows are scanned alike; an empty table gives no rows.
+change the cost; repeated rows are scanned alike; an empty table gives no rows; only key and text are
+read, so other columns cannot clash. A very long text is scanned whole; the programme's memory grows
+with the longest value after a keyword, not with the text.
 """
 
 from __future__ import annotations

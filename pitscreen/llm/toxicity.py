@@ -14,7 +14,8 @@ counts have not seen.
 
 Cases: null and empty texts have length-normalised differences of 0; without rows of both labels
 every score is 0; keys labelled twice count as toxic if either label says so; repeated rows score
-alike; an empty table gives no rows; only key and text are read.
+alike; an empty table gives no rows; only key and text are read. A very long text is one block: memory
+for its bytes and about 100 bytes of codes for each.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", key: str = "doc_id",
         text: str = "text", sample: int = 8000) -> Model:
-    """Learns from about ``sample`` labelled rows of each class (all, if a class has fewer).
+    """Learns from about ``sample`` labelled rows of each class (as many as the smaller class has, if that is fewer).
 
     The tables have one number a bucket, so what comes back to the driver is bounded by ``BITS``.
     """
