@@ -43,7 +43,7 @@ from pitscreen.session import land, shared_folder
 SAMPLE = 256
 MAGIC = b"EFTOKEN1"
 #: Letter runs whose ids a worker remembers (about 200 bytes each); beyond that it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 #: Boundaries that a reader decodes together.
 RUN = 8192
 
@@ -147,7 +147,7 @@ class WordEncoder:
     to the merges and are remembered; any other word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, dtype: np.dtype):
+    def __init__(self, path: str, dtype: np.dtype, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -155,6 +155,7 @@ class WordEncoder:
         self.whole = Tokenizer.from_str(text)
         self.merges = self.whole.model
         self.dtype = dtype
+        self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
         self.closing: dict[str, bytes] = {}
         spec = json.loads(text)
@@ -180,7 +181,7 @@ class WordEncoder:
         letters = m[1].lower().encode()
         out = self.known.get(letters)
         if out is None:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= self.remembered:
                 self.known.clear()
             out = self.known[letters] = self._letters(letters)
         if m[2]:
@@ -214,8 +215,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, dtype: str) -> WordEncoder:
-    return WordEncoder(path, np.dtype(dtype))
+def encoder(path: str, dtype: str, remembered: int) -> WordEncoder:
+    return WordEncoder(path, np.dtype(dtype), remembered)
 
 
 # Writing -------------------------------------------------------------------------------------
@@ -234,13 +235,14 @@ MANIFEST = T.StructType([T.StructField("shard", T.LongType()), T.StructField("pa
 
 
 def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, key: str = "doc_id", text: str = "text",
-          order_by: list[Column] | None = None, folder: str | None = None) -> DataFrame:
+          order_by: list[Column] | None = None, folder: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Writes shards in the order of ``order_by`` (the key) and returns the manifest.
 
     With an empty ``order_by`` documents stay as they lie, a shard to each partition, without a shuffle.
 
     Manifest: shard, path, n_docs, n_tokens and ``start``, the tokens of all shards before. It has
-    a row per file. Memory of a task is one Arrow batch and 16 bytes a document of its shard.
+    a row per file. Memory of a task is one Arrow batch,
+    16 bytes a document of its shard, and the ``remembered`` letter runs, which cost time if they are few.
     """
     spark = docs.sparkSession
     dtype = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
@@ -257,7 +259,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, key: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
-        enc, out, lens, keys = encoder(tokenizer, dtype), None, [], []
+        enc, out, lens, keys = encoder(tokenizer, dtype, remembered), None, [], []
         shard = TaskContext.get().partitionId()
         path = f"{root}/ids-{shard:06d}-{uuid4().hex}.bin"
         for batch in batches:
