@@ -13,7 +13,7 @@ from pitscreen.functions.dates import FISCAL_YEAR_END, fiscal_end, fiscal_label
 from pitscreen.operators import checks as V, membership as MB, scoring as S, tables as O
 from pitscreen.operators.ordering import beside, spread_rank
 from pitscreen.session import land, shared_folder
-from pitscreen.sources import facts as X, markets, refresh as R, tables as T
+from pitscreen.sources import facts as X, markets, refresh as R, tables as T, workbooks as W
 from pitscreen.sources.schemas import FLAGS
 from pitscreen.sources.standin import FACTS_SQL
 
@@ -48,6 +48,22 @@ def _yearly(t):
             .agg(F.count("*").alias("rows"), F.round(F.sum("revenue"), 4).alias("revenue")))
 
 
+@query("workbook_sheets", "S4 O6", """
+SELECT fiscal_year AS year, count(*) AS rows, round(sum(total_assets), 4) AS total_assets,
+       round(sum(CASE WHEN fiscal_year >= 1998 THEN revenue END), 4) AS revenue, max(report_date) AS last_report
+FROM fundamentals WHERE fiscal_year >= 1996 GROUP BY 1""", "fundamentals")
+def _workbook_sheets(t):
+    """Two sets of workbooks, the older one without a column, read as one table: a sheet a fiscal year."""
+    path = scratch(t, "workbooks")
+    f = t.fundamentals.select("ticker", "fiscal_year", "report_date", "total_assets", "revenue")
+    W.write_workbooks(f.where("fiscal_year < 1998").drop("revenue"), path, "fiscal_year")
+    W.write_workbooks(f.where("fiscal_year >= 1998"), path, "fiscal_year")
+    sheets = W.read_workbooks(t.spark, path, f"ticker string, year {f.schema['fiscal_year'].dataType.simpleString()}, "
+                              "report_date date, total_assets double, revenue double", r"199[6-9]|[2-9]\d{3}", "year")
+    return sheets.groupBy("year").agg(F.count("*").alias("rows"), F.round(F.sum("total_assets"), 4).alias("total_assets"),
+                                      F.round(F.sum("revenue"), 4).alias("revenue"), F.max("report_date").alias("last_report"))
+
+
 @query("factor_file", "S15", """
 SELECT date, round(round(mkt_rf * 100, 4) / 100, 8) AS mkt_rf, round(round(smb * 100, 4) / 100, 8) AS smb FROM ff_factors
 WHERE smb IS NOT NULL AND hml IS NOT NULL""", "ff_factors")
