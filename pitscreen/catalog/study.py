@@ -361,6 +361,10 @@ query("book_daily_returns", "B14 B15 B18 W9 W17 T14", """
 SELECT formation_year, book, date, round(r, 6) AS r FROM book_daily""", "book_daily")(
     lambda t: r6(study(t).equal_daily))
 
+query("laid_out_book_returns", "B14 S19", """
+SELECT formation_year, book, date, round(r, 6) AS r FROM book_daily""", "book_daily")(
+    lambda t: r6(study(t).laid_out_daily))
+
 query("end_weights", "B14", "SELECT formation_year, book, ticker, round(w, 6) AS w FROM drifted",
       "drifted")(lambda t: r6(P.end_weights(study(t).equal_positions, study(t).steps)))
 

@@ -34,10 +34,18 @@ def holding_sessions(prices: DataFrame) -> DataFrame:
     return days.withColumn("session", F.row_number().over(W.partitionBy(YEAR).orderBy("date")))
 
 
+def bars_by_formation(prices: DataFrame) -> DataFrame:
+    """Bars with the formation whose holding year, or the seven days before it, they lie in."""
+    return prices.select("ticker", "date", "adj_close",
+                         F.explode(_holding_years(F.col("date"))).alias(YEAR))
+
+
 def holding_bars(prices: DataFrame, names: DataFrame) -> DataFrame:
-    """Bars of each name in its holding year and the seven days before it."""
-    tagged = prices.select("ticker", "date", "adj_close",
-                           F.explode(_holding_years(F.col("date"))).alias(YEAR))
+    """Bars of each name in its holding year and the seven days before it.
+
+    Prices that already bear a formation, such as a laid-out ``bars_by_formation``, are taken as they are.
+    """
+    tagged = prices if YEAR in prices.columns else bars_by_formation(prices)
     return tagged.join(names.select(YEAR, "ticker").distinct(), [YEAR, "ticker"])
 
 

@@ -14,6 +14,7 @@ from pitscreen.operators.scoring import nine_signals
 from pitscreen.operators.tiles import tiled_returns
 from pitscreen.operators.weights import equal_weight, long_short, optimised_weights
 from pitscreen.session import land
+from pitscreen.sources.layout import lay_out
 from pitscreen.sources.markets import allows_shorting
 
 OPTIMISED = ("GMV", "GMVsec")
@@ -174,6 +175,16 @@ class Study:
     def equal_daily(self) -> DataFrame:
         return self.returns_of(self.equal_positions)
 
+    @cached_property
+    def laid_out_daily(self) -> DataFrame:
+        """``equal_daily`` from bars and positions laid out by (formation_year, ticker): only sums by day are shuffled."""
+        keys, s = [YEAR, "ticker"], self.spec
+        bars = lay_out(P.bars_by_formation(self.prices), "bars", keys, ("date",), folder_by=YEAR)
+        held = lay_out(self.equal_positions, "held", keys, buckets=bars.buckets).read()
+        names = held.select(YEAR, "ticker").distinct()
+        steps = P.growth_steps(bars.read(s.first_year, s.last_year), names, s.delisting_return)
+        return P.book_returns(P.book_values(held, steps, self.sessions))
+
     def draw_daily(self, how: str = "EW") -> DataFrame:
         return tiled_returns(self.draw_positions(how), self.steps, self.sessions)
 
