@@ -2,7 +2,8 @@
 
 The cost of a value is the least log10 number of guesses over all ways to cut it into
 dictionary words, dates, repeats, keyboard walks and brute-force characters (dynamic
-programming over its positions). A value in a credential context that costs at least
+programming over its positions). The dictionary holds fixed passwords and, ranked by how often they occur, the
+plain words of all documents. A value in a credential context that costs at least
 ``threshold`` is a secret, whatever its alphabet; cheap ones (``password=password1``) are not.
 
 Cases: a null or empty text has no spans; ties in cost go to the earlier cut, which does not
@@ -15,8 +16,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitscreen.llm import grams
-from pitscreen.llm.frames import col, map_text
+from pitscreen.llm.frames import col, map_text, settle
 
 KINDS = ["assign", "access", "hex", "guess"]
 #: log10 of the guesses from which a value counts as a secret.
@@ -56,7 +57,8 @@ COMMON = """password admin user login pass letmein welcome dragon monkey master
  matrix ninja knight wizard token key auth api service client""".split()
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
 LEET = str.maketrans("4@8(3!1$5076", "aabceiissott")
-LONGEST = max(map(len, RANK))
+#: Corpus words that enter the dictionary: at least one in SHARE of all and LEAST times, at most so many bytes long.
+SHARE, LEAST, LONGEST_BYTES = 1 << 16, 5, 24
 
 # Keys in rows, and alphabets that are typed as runs.
 ROWS = ["1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"]
@@ -90,98 +92,135 @@ def _alphabet(value: str) -> float:
     return math.log10(95)
 
 
-def _turns(walk: str) -> list[int]:
-    """Per key of a walk, how often the direction has changed up to it."""
-    def way(a: str, b: str) -> tuple[int, int]:
-        (r, i), (s, j) = PLACE.get(a, (0, 0)), PLACE.get(b, (0, 0))
-        return (0, ord(b) - ord(a)) if abs(ord(b) - ord(a)) == 1 else (s - r, j - i)
+def _way(a: str, b: str) -> tuple[int, int]:
+    """The direction of one step of a walk."""
+    (r, i), (s, j) = PLACE.get(a, (0, 0)), PLACE.get(b, (0, 0))
+    return (0, ord(b) - ord(a)) if abs(ord(b) - ord(a)) == 1 else (s - r, j - i)
 
-    ways = [way(a, b) for a, b in zip(walk, walk[1:], strict=False)]
-    return [0, 0, *accumulate(x != y for x, y in zip(ways, ways[1:], strict=False))]
 
+class Words:
+    """Ranks of dictionary words: the fixed ones first, then others as they are given."""
 
-def _walk_cost(length: int, turns: int) -> float:
-    """Where it starts, how long it is, and a factor of two for every change of direction."""
-    return math.log10(47 * length) + 0.3 * turns
+    def __init__(self, more: Iterable[str] = ()):
+        self.rank = dict(RANK)
+        for word in more:
+            self.rank.setdefault(word, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+
+
+FIXED = Words()
+
+
+def _cheapest(front: list[tuple[int, float]], j: int) -> float:
+    """The least of ``a + log10(j - i)`` over a front of (i, a), in ascending order of i.
+
+    What an earlier place has over a later one only grows with j, so a later one that is no better goes for good.
+    """
+    least, kept = math.inf, 0
+    for i, a in front:
+        cost = a + math.log10(j - i)
+        if cost < least:
+            least = cost
+            front[kept] = (i, a)
+            kept += 1
+    del front[kept:]
+    return least
 
 
 @lru_cache(maxsize=4096)
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Words = FIXED) -> float:
     """log10 of the guesses that the cheapest cut of ``value`` needs; 0 for an empty value.
 
-    Time and memory grow linearly with the length, whatever it is: words are at most LONGEST long, of a
-    walk the cuts at its beginning or its end count, and a repeat is cut between its periods. Each cut
-    into another piece costs 0.3 (a factor of two for where the pieces meet).
+    Every cut counts; each one into another piece costs 0.3 (a factor of two for where the pieces meet). A
+    word costs its rank, capitals and swapped letters; a walk where it starts, how long it is, and a factor of
+    two for each change of direction; a repeat its period (up to 16) and how often it comes. Of walks
+    and repeats only those beginnings are kept that can still be the cheapest, so time and memory grow about linearly.
     """
     if not value:
         return 0.0
     unit = _alphabet(value)
     n, low = len(value), value.lower()
+    if len(low) != n:  # a letter whose small form is longer
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    walk_end, walk_from, turns = 0, 0, []
+    joined = lambda i: best[i] + (0.3 if i else 0.0)
+    walks: list[tuple[int, float]] = []
+    turned = [0] * n  # per step of a walk, changes of direction up to it
+    steps, last = 0, None
     periods = range(1, min(16, n // 2) + 1)
-    free = [0] * (len(periods) + 1)  # per period, where the next repeat can begin
-
-    for i in range(n):
-        here = best[i]
-        joined = here + (0.3 if i else 0.0)
-        best[i + 1] = min(best[i + 1], here + unit)
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = RANK.get(plain[i:j])
+    alike = [0] * (len(periods) + 1)  # per period, how many characters so far equal the one a period before
+    repeats: dict[tuple[int, int], list[tuple[int, float]]] = {}
+
+    for j in range(n + 1):
+        if j:
+            best[j] = min(best[j], best[j - 1] + unit)
+        if j > 1:
+            if low[j - 1] in NEXT_TO.get(low[j - 2], ()):
+                way = _way(low[j - 2], low[j - 1])
+                turned[j - 2] = turned[j - 3] + (way != last) if steps else 0
+                steps, last = steps + 1, way
+            else:
+                steps = 0
+                walks.clear()
+            if steps >= 2:
+                walks.append((j - 3, joined(j - 3) - 0.3 * turned[j - 3] + math.log10(47)))
+                best[j] = min(best[j], _cheapest(walks, j) + 0.3 * turned[j - 2])
+        for period in periods:
+            if j <= period:
+                break
+            if value[j - 1] != value[j - 1 - period]:
+                if alike[period]:
+                    alike[period] = 0
+                    for part in range(period):
+                        repeats.pop((period, part), None)
+                continue
+            alike[period] += 1
+            shortest = max(3, 2 * period)
+            if alike[period] >= shortest - period:
+                i = j - shortest
+                # starts of one remainder, as pieces are whole periods
+                repeats.setdefault((period, i % period), []).append((i, joined(i) + period * unit - math.log10(period)))
+                best[j] = min(best[j], _cheapest(repeats[period, i % period], j))
+        for k in range(j + 3, min(n, j + words.longest) + 1):
+            rank = words.rank.get(plain[j:k])
             if rank:
-                swaps = sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))
-                capital = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i + 1:j] == low[i + 1:j] else 0.6
-                best[j] = min(best[j], joined + math.log10(rank + 1) + capital + 0.3 * swaps)
+                swaps = sum(a != b for a, b in zip(low[j:k], plain[j:k], strict=True))
+                capital = 0.0 if value[j:k] == low[j:k] else 0.3 if value[j + 1:k] == low[j + 1:k] else 0.6
+                best[k] = min(best[k], joined(j) + math.log10(rank + 1) + capital + 0.3 * swaps)
         for pattern in DATES:
-            m = pattern.match(value, i)
+            m = pattern.match(value, j)
             if m:
-                cost = math.log10(100 if m.end() - i == 4 else 36_500) + (0.6 if m.lastindex and m[1] else 0)
-                best[m.end()] = min(best[m.end()], joined + cost)
-        if i >= walk_end:
-            walk_from, walk_end = i, i + 1
-            while walk_end < n and low[walk_end] in NEXT_TO.get(low[walk_end - 1], ()):
-                walk_end += 1
-            turns = _turns(low[i:walk_end])
-            for k in range(i + 3, walk_end):
-                best[k] = min(best[k], joined + _walk_cost(k - i, turns[k - 1 - i]))
-        if walk_end - i >= 3:
-            # the first step of what is left has no direction to change from
-            turned = turns[walk_end - 1 - walk_from] - turns[i + 1 - walk_from]
-            best[walk_end] = min(best[walk_end], joined + _walk_cost(walk_end - i, turned))
-        for period in periods:
-            if i != free[period] or i + 2 * period > n:
-                continue
-            j = i + period
-            while j < n and value[j] == value[j - period]:
-                j += 1
-            times = (j - i) // period
-            free[period] = i + 1
-            if times >= 2 and times * period >= 3:
-                for t in range(2, times + 1):
-                    at = i + t * period
-                    best[at] = min(best[at], joined + period * unit + math.log10(t))
-                free[period] = i + (times - 1) * period + 1
+                cost = math.log10(100 if m.end() - j == 4 else 36_500) + (0.6 if m.lastindex and m[1] else 0)
+                best[m.end()] = min(best[m.end()], joined(j) + cost)
     return best[-1]
 
 
-def spans_of(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, str, float | None]]:
+def spans_of(text: str, threshold: float = THRESHOLD, words: Words = FIXED) -> list[tuple[str, int, int, str, float | None]]:
     """(kind, start, end, value, cost) of one text, in code points, by start and kind."""
     out: list[tuple[str, int, int, str, float | None]] = []
     for m in ASSIGN.finditer(text):
         if len(m[2]) >= 6:
-            out.append(("assign", m.start(), m.end(), m[2], guess_cost(m[2])))
+            out.append(("assign", m.start(), m.end(), m[2], guess_cost(m[2], words)))
     out += [("access", m.start(), m.end(), m[0], None) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [("hex", m.start(), m.end(), m[0], None) for m in HEX.finditer(text)]
     for m in CONTEXT.finditer(text):
-        cost = guess_cost(m[m.lastindex])
+        cost = guess_cost(m[m.lastindex], words)
         if cost >= threshold:
             out.append(("guess", *m.span(m.lastindex), m[m.lastindex], cost))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-_HEX = np.zeros(256, dtype=bool)
-_HEX[list(b"0123456789abcdef")] = True
+def _bytes(chosen: bytes) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(chosen)] = True
+    return out
+
+
+_HEX = _bytes(b"0123456789abcdef")
+_LETTER = _bytes(bytes([*range(65, 91), *range(97, 123), *range(128, 256)]))
+_BEFORE, _AFTER = _bytes(b" \t\n\r([\"'"), _bytes(b" \t\n\r.,;:!?)]\"'")
+_QUIET, _ASSIGNS = _bytes(b" \t\n\r\"'"), _bytes(b":=>@/")
 
 
 def candidates(b: grams.Block) -> np.ndarray:
@@ -211,15 +250,69 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 _FIELDS = SPAN.fieldNames()
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The key of every document and ``spans``, an array of (kind, start, end, value, log10_guesses)."""
+def _letters(b: grams.Block) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the plain words of a block: letters between spaces or marks of prose, not after ``:`` or ``=``."""
+    start, end, text = b.spans(_LETTER[b.data])
+    lens = end - start
+    first, last = start == b.offsets[text], end == b.offsets[text + 1]
+    open_ = first | _BEFORE[b.data[np.maximum(start - 1, 0)]]
+    shut = last | _AFTER[b.data[np.minimum(end, len(b.data) - 1)]] if len(b.data) else last
+    said = np.flatnonzero(~_QUIET[b.data])
+    at = np.searchsorted(said, start) - 1
+    before = said[np.maximum(at, 0)] if len(said) else np.zeros(len(start), np.int64)
+    value = (at >= 0) & (before >= b.offsets[text]) & _ASSIGNS[b.data[before]] if len(said) else np.zeros(len(start), bool)
+    kept = open_ & shut & ~value & (lens >= 3) & (lens <= LONGEST_BYTES)
+    return start[kept], end[kept]
+
+
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): how often each plain word occurs in all texts, lower-cased in A-Z."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in grams.blocks(batch.column(0), 16 << 20):
+                start, end = _letters(b)
+                if not len(start):
+                    continue
+                lens = end - start
+                at = np.cumsum(lens) - lens
+                raw = grams.LOWER[b.data[np.arange(int(lens.sum())) + np.repeat(start - at, lens)]]
+                _, once, n = np.unique(grams.run_hashes(raw, lens), return_index=True, return_counts=True)
+                words = pa.array([raw[at[i]:at[i] + lens[i]].tobytes() for i in once], pa.binary())
+                yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], ["word", "n"])
+
+    found = docs.select(col(text).cast("string").alias("x")).mapInArrow(run, "word binary, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def dictionary(docs: DataFrame, text: str = "text", share: int = SHARE, least: int = LEAST) -> Words:
+    """The fixed words, and words of the corpus by how often they occur (ties by the word).
+
+    Counts cover all texts. A word enters if it makes up at least one in ``share`` of all plain words, so at most
+    ``share`` words do, whatever the corpus, and occurs ``least`` times. What stands where a value stands is
+    not counted, so a secret does not become a word by being copied.
+    """
+    counts = settle(word_counts(docs, text), "plain-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where((F.col("n") * share >= total) & (F.col("n") >= least)).toArrow().to_pylist()
+    return Words(r["word"].decode("utf-8", "replace") for r in sorted(rows, key=lambda r: (-r["n"], r["word"])))
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
+         words: Words | None = None) -> DataFrame:
+    """The key of every document and ``spans``, an array of (kind, start, end, value, log10_guesses).
+
+    ``words`` is the dictionary of the guess costs: that of ``docs``, unless one is given.
+    """
+    words = words or dictionary(docs, text)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def measure(texts: pa.Array) -> dict[str, pa.Array]:
         rows: list[list] = [[]] * len(texts)
         for b in grams.blocks(texts):
             for i in candidates(b):
                 s = b.data[b.offsets[i]:b.offsets[i + 1]].tobytes().decode("utf-8", "replace")
-                rows[b.first + i] = [dict(zip(_FIELDS, span, strict=True)) for span in spans_of(s, threshold)]
+                rows[b.first + i] = [dict(zip(_FIELDS, span, strict=True)) for span in spans_of(s, threshold, shared.value)]
         return {"spans": pa.array(rows, type=_ARROW)}
 
     found = map_text(docs, text, measure, [("spans", T.ArrayType(SPAN))], [key], "m")

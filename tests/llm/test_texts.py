@@ -1,11 +1,14 @@
 """Words, windows, ledgers, secrets: what is measured on single texts."""
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import brute
 import numpy as np
 import pyarrow as pa
+import pytest
 from brute import AWKWARD
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,6 +123,82 @@ def test_long_values_are_cut_like_short_ones():
     assert cost("".join(map(chr, random.Random(1).choices(range(33, 127), k=400)))) > 600
 
 
+def every_cut(value, words):
+    """The least cost over all cuts, each piece judged by what it is."""
+    unit, low = secret_scan._alphabet(value), value.lower()
+    plain = low.translate(secret_scan.LEET)
+
+    def piece(i, j):
+        out, sub, n = [], low[i:j], j - i
+        if n >= 3 and plain[i:j] in words.rank:
+            capital = 0 if value[i:j] == sub else 0.3 if value[i + 1:j] == sub[1:] else 0.6
+            out.append(math.log10(words.rank[plain[i:j]] + 1) + capital + 0.3 * sum(a != b for a, b in zip(sub, plain[i:j])))
+        for p in secret_scan.DATES:
+            m = p.match(value, i)
+            if m and m.end() == j:
+                out.append(math.log10(100 if n == 4 else 36500) + (0.6 if m.lastindex and m[1] else 0))
+        if n >= 3 and all(b in secret_scan.NEXT_TO.get(a, ()) for a, b in zip(sub, sub[1:])):
+            ways = [secret_scan._way(a, b) for a, b in zip(sub, sub[1:])]
+            out.append(math.log10(47 * n) + 0.3 * sum(a != b for a, b in zip(ways, ways[1:])))
+        for p in range(1, min(16, n // 2) + 1):
+            if n >= 3 and n % p == 0 and value[i:j] == value[i:i + p] * (n // p):
+                out.append(p * unit + math.log10(n // p))
+        return min(out, default=math.inf) + (0.3 if i else 0)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min([best[j - 1] + unit] + [best[i] + piece(i, j) for i in range(j)]))
+    return best[-1]
+
+
+def test_guess_cost_is_the_least_over_all_cuts():
+    rnd = random.Random(11)
+    words = secret_scan.Words(["information", "mountain", "größe", "ssp"])
+    parts = ["pass", "dragon", "ssp", "mountain", "Größe", "qwe", "asdf", "fdsa", "1234", "4321", "2019", "19850412", "2019-04-12", "aa",
+             "sss", "abab", "xyz", "P@ss", "HUNTER", "k", "7", "-", "zxcvfr", "1", "s", "w0rd", "tokentoken"]
+    for _ in range(1500):
+        value = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 6)))
+        assert secret_scan.guess_cost(value, words) == pytest.approx(every_cut(value, words), abs=1e-9), value
+    for letters in ("ab", "123", "asdfghjkl", "as", "qaz1"):
+        for _ in range(150):
+            value = "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 40)))
+            assert secret_scan.guess_cost(value, words) == pytest.approx(every_cut(value, words), abs=1e-9), value
+    assert secret_scan.guess_cost("İstanbul\u0130x", words) > 0
+
+
+def test_words_of_the_corpus_are_no_secrets(docs):
+    prose = ["Further information is required on the mountain; größe matters", "(information) 'mountain' largely required, größe!"] * 4
+    rows = list(enumerate(prose)) + [(100 + i, "secret: zkvwqjhplm done") for i in range(50)]
+    rows += [(200, "token: information"), (201, "secret=mountain"), (202, "password: required"), (203, 'pwd="informationmountain"'), (204, None)]
+    d = docs(rows)
+    words = secret_scan.dictionary(d)
+    own = [w for w in words.rank if w not in secret_scan.RANK]
+    assert {"information", "mountain", "required", "größe"} <= set(own) and "zkvwqjhplm" not in own and "largely" not in own
+    assert [words.rank[w] for w in own] == list(range(len(secret_scan.RANK) + 1, len(words.rank) + 1))
+    got = {r.doc_id: [s.kind for s in r.spans if s.kind == "guess"] for r in secret_scan.scan(d).collect()}
+    assert not any(got[i] for i in (200, 201, 202, 203, 204)) and all(got[100 + i] == ["guess"] for i in range(50))
+    plain = {r.doc_id: [s.kind for s in r.spans if s.kind == "guess"] for r in secret_scan.scan(d, words=secret_scan.FIXED).collect()}
+    assert plain[200] == plain[201] == plain[202] == ["guess"]
+    assert len(secret_scan.dictionary(docs([])).rank) == len(secret_scan.RANK)
+
+
+def test_plain_words_against_a_pattern(docs):
+    rnd = random.Random(5)
+    parts = ["alpha", "Beta", "gamma9", "é", "straße", "x", " ", " ", ",", ".", ":", "=", '"', "\n", "(", ")", "-", "/", "a" * 25]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(200)] + AWKWARD
+    want = Counter()
+    for x in texts:
+        raw = (x or "").encode().lower()
+        for m in re.finditer(rb"[a-z\x80-\xff]+", raw):
+            before, after = raw[:m.start()], raw[m.end():]
+            said = before.rstrip(b" \t\n\r\"'")
+            if (3 <= len(m[0]) <= 24 and (not before or before[-1:] in b" \t\n\r([\"'") and (not after or after[:1] in b" \t\n\r.,;:!?)]\"'")
+                    and said[-1:] not in (b":", b"=", b">", b"@", b"/")):
+                want[m[0]] += 1
+    got = {bytes(r.word): r.n for r in secret_scan.word_counts(docs(list(enumerate(texts)))).collect()}
+    assert got == dict(want)
+
+
 def test_guess_costs():
     cost = secret_scan.guess_cost
     assert cost("") == 0
