@@ -10,9 +10,12 @@ from pitscreen.llm.frames import col
 from pitscreen.session import land
 
 
-def labelled_sample(labels: DataFrame, label: str, train: Column, sample: int, key: str = "doc_id") -> DataFrame:
+def labelled_sample(labels: DataFrame, label: str, train: Column, sample: int, key: str = "doc_id",
+                    balanced: bool = True) -> DataFrame:
     """(key, y, u): about ``sample`` labelled keys of each class, as many of one as of the other.
 
+    If not ``balanced``, a smaller class does not make the other one smaller.
+
     Keys are chosen by hash, so the choice does not depend on partitioning. ``u`` in [0, 1) splits
     the sample further. At most about 2 * sample rows: small enough to broadcast by construction.
     Labels other than 0 and 1 are left out; a key labelled twice counts as its larger label.
@@ -22,12 +25,12 @@ def labelled_sample(labels: DataFrame, label: str, train: Column, sample: int, k
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return rows.withColumn("u", F.lit(0.0)).where(F.lit(False))
-    want = min(sample, *sizes.values())
+    want = {y: min(sample, n, *sizes.values()) if balanced else min(sample, n) for y, n in sizes.items()}
 
     def uniform(salt: int) -> Column:
         return F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(salt)), F.lit(1 << 30)).cast("double") / float(1 << 30)
 
-    share = F.when(F.col("y") == 1, F.lit(want / sizes[1])).otherwise(F.lit(want / sizes[0]))
+    share = F.when(F.col("y") == 1, F.lit(want[1] / sizes[1])).otherwise(F.lit(want[0] / sizes[0]))
     return land(rows.where(uniform(3) < share).withColumn("u", uniform(5)), "labelled-sample")
 
 

@@ -146,6 +146,47 @@ def test_lower_orders_sum_to_one(spark, docs):
     assert all((t >= 0).all() and (t <= 1 + 1e-6).all() for t in [*model.high.values(), *model.back.values()])
 
 
+def test_kneser_ney_against_plain_counts(spark, docs, monkeypatch):
+    """Continuation counts, backoff weights and the best passage, by dictionaries of byte strings."""
+    rnd = random.Random(9)
+    rows = [(i, "".join(rnd.choice("abc d"[:3 + i % 3]) for _ in range(rnd.randint(0, 90)))) for i in range(60)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "KEPT_BACK", 0.0)
+    model = toxicity.fit(docs(rows), lab, F.lit(True))
+    d = toxicity.DISCOUNT
+    n = {(k, c): Counter(x.encode()[j:j + k] for i, x in rows if i % 2 == c for j in range(len(x) - k + 1))
+         for k in (2, 3, 4) for c in (0, 1)}
+    pairs = set(n[2, 0]) | set(n[2, 1])
+    triples = set(n[3, 0]) | set(n[3, 1])
+    two = {g: max(1, len({t for t in triples if t[1:] == g})) for g in pairs}
+    ones = Counter(g[1:] for g in pairs)
+
+    def p1(w):
+        return (ones[w] + 0.5) / sum(ones[bytes([b])] + 0.5 for b in range(256))
+
+    def backed(counts, ctx, w, lower):
+        own = {g: x for g, x in counts.items() if g[:-1] == ctx}
+        total = sum(own.values())
+        return (max(own.get(ctx + w, 0) - d, 0) + d * len(own) * lower) / total if total else lower
+
+    def p(c, ctx, w):
+        low = backed(two, ctx[-1:], w, p1(w))
+        if len(ctx) >= 2:
+            three = {g: max(1, len({q for q in n[4, c] if q[1:] == g})) for g in n[3, c]}
+            low = backed(three, ctx[-2:], w, low)
+        return backed(n[4, c], ctx[-3:], w, low) if len(ctx) >= 3 else low
+
+    texts = ["abca dab cab", "ab", "a", "", "zzab c" * 4 + "abc" * 9]
+    block, = grams.blocks(pa.array(texts))
+    total, peak, scored = model.difference(block)
+    for i, x in enumerate(texts):
+        raw = x.encode()
+        by = [math.log(p(1, raw[max(0, j - 3):j], raw[j:j + 1]) / p(0, raw[max(0, j - 3):j], raw[j:j + 1])) for j in range(1, len(raw))]
+        assert scored[i] == len(by) and total[i] == pytest.approx(sum(by), abs=1e-3)
+        sums = [sum(by[max(0, j - toxicity.PASSAGE):j]) for j in range(1, len(by) + 1)]
+        assert peak[i] == pytest.approx(max(sums, default=0.0), abs=1e-3)
+
+
 def test_seating_keeps_customers_in_bounds():
     rng = np.random.default_rng(1)
     c = np.array([0, 1, 2, 3, 10, 100, 5000, 200000])
