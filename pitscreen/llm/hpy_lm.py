@@ -10,7 +10,7 @@ not seen after another falls back to its probability without a context, and a wo
 Seating is sampled by Gibbs moves: a customer leaves its table and is seated anew, at a table in
 proportion to its size less the discount, or at a new one in proportion to the parent's
 probability. Pairs and words are seated in parallel, given the table totals of the sweep before. Pairs
-begin with one table each and are seated ``sweeps`` times; of the words and their spelling the predictive
+begin with one table each. Of pairs, of words and of their spelling, each in its own sweeps, the predictive
 probabilities of ``samples`` sweeps, after ``burn``, are averaged.
 
 Counts are exact and come from all training rows: tables of words and of pairs, never collected. Words
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pitscreen.llm import grams
 from pitscreen.llm.frames import col, settle
 
-#: Bound on the number of words that are broadcast, 24 bytes each.
+#: Bound on the number of words that are broadcast, 16 bytes each and 16 more a sample.
 FREQUENT = 1 << 20
 SYMBOLS = 257  # bytes and, unused so far, one more for a base that sums to one
 SPACE = 0x20   # before and after each word
@@ -344,38 +344,44 @@ def pairs(docs: DataFrame, train: Column, text: str, part: int) -> DataFrame:
 
 
 def seated_pairs(many: DataFrame, known: DataFrame, discount: float, seed: int) -> DataFrame:
-    """(u, w, key, c, t): tables of each pair of two customers or more, given the tables of ``known``."""
+    """(u, w, key, c, kept, t): tables of each pair of two customers or more, given the tables of ``known``.
+
+    ``kept``, the sum of the tables that pairs had in the samples so far, is handed on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, p, opened = (np.asarray(batch.column(i)) for i in (3, 4, 5))
+            c, p, opened = (np.asarray(batch.column(i)) for i in (3, 5, 6))
             rng = np.random.default_rng([seed, zlib.crc32(np.asarray(batch.column(2)).tobytes())])
             t = seat(c, (THETA + discount * opened) * p, discount, rng) if len(c) else c
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(t, pa.int64())], ["u", "w", "key", "c", "t"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(t, pa.int64())], ["u", "w", "key", "c", "kept", "t"])
 
     word = known.select(F.col("h").alias("w"), F.pow(F.lit(10.0), F.col("logp")).alias("p"))
     context = known.select(F.col("h").alias("u"), "opened")
-    met = many.join(word, "w").join(context, "u").select("u", "w", "key", "c", "p", F.col("opened").cast("double"))
-    return met.mapInArrow(run, "u long, w long, key long, c long, t long")
+    met = many.join(word, "w").join(context, "u").select("u", "w", "key", "c", "kept", "p", F.col("opened").cast("double"))
+    return met.mapInArrow(run, "u long, w long, key long, c long, kept long, t long")
 
 
 @dataclass
 class Contexts:
-    """Totals of the corpus, the restaurants of preceding words, and the model that is their parent."""
+    """Totals of the corpus, the restaurants of preceding words, and the last model that is their parent."""
 
     tokens: int
     types: int
     discount: float
     words: Model
-    known: DataFrame        # (h, c, logp, opened): of each word its count, probability without a context, tables as one
-    own: list[DataFrame]    # (key, c, own): by part, customers of each trained pair less its tables' discounts
+    samples: int            # of the seating of pairs
+    known: DataFrame        # (h, c, opened, ps, opens): of each word its count, mean tables as a context, and by sample its
+                            # probability without a context and its tables as one
+    own: list[DataFrame]    # (key, c, own): by part, customers of each trained pair less its tables' discounts, the samples' mean
 
 
-def fit_contexts(docs: DataFrame, train: Column, text: str = "text", sweeps: int = 1, seed: int = 5) -> Contexts:
+def fit_contexts(docs: DataFrame, train: Column, text: str = "text", burn: int = 1, samples: int = 2, seed: int = 5) -> Contexts:
     """Restaurants of all preceding words. Pairs begin at one table each; each sweep seats all pairs anew.
 
     A pair of one customer has one table whatever is drawn. The tables are the customers of the words'
-    restaurant, which is fitted again after each sweep.
+    restaurant, which is fitted again after each sweep. The first ``burn`` sweeps are left out, of each of the
+    ``samples`` next the tables and the restaurant they led to are kept together.
     """
     words = settle(hashed(vocabulary(docs, train, text, unseen=True)), "vocabulary")
     row = words.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("v")).first()
@@ -383,10 +389,13 @@ def fit_contexts(docs: DataFrame, train: Column, text: str = "text", sweeps: int
     ones = [sum(x) for x in zip(*[[r or 0 for r in p.agg(*[F.sum((F.col("c") == k).cast("long")) for k in (1, 2)]).first()]
                                   for p in counted], strict=True)]
     discount = min(0.95, max(0.1, ones[0] / (ones[0] + 2 * ones[1]) if ones[0] else 0.5))
-    seats = [p.select("u", "w", "key", "c", F.lit(1).cast("long").alias("t")) for p in counted]
+    one, none = (F.lit(n).cast("long") for n in (1, 0))
+    single = [p.where("c = 1").withColumns({"kept": one * samples, "t": one}) for p in counted]
+    many = [p.where("c > 1").withColumns({"kept": none, "t": one}) for p in counted]
+    states = []
 
-    for sweep in range(sweeps + 1):
-        def tables(of: str, now: list[DataFrame] = seats) -> DataFrame:
+    for sweep in range(burn + samples + 1):
+        def tables(of: str, now: list[DataFrame] = [*single, *many]) -> DataFrame:
             every = now[0]
             for more in now[1:]:
                 every = every.unionByName(more)
@@ -400,12 +409,21 @@ def fit_contexts(docs: DataFrame, train: Column, text: str = "text", sweeps: int
         # the parent's probability is joined by hash; two words of one hash would be one
         known = settle(probabilities(held.select("word", "c"), model).select("h", "logp").join(
             held.select("h", F.col("count").alias("c"), "opened"), "h"), "known-words")
-        if sweep == sweeps:
+        if sweep > burn:
+            states.append(known.select("h", "c", F.struct(F.lit(sweep).alias("sweep"), F.pow(F.lit(10.0), "logp").alias("p"),
+                                                          F.col("opened").cast("double").alias("opened")).alias("state")))
+        if sweep == burn + samples:
             break
-        seats = [settle(seated_pairs(p.where("c > 1"), known, discount, seed + 1000 * sweep + i), f"seated-{i}").unionByName(
-            p.where("c = 1").withColumn("t", F.lit(1).cast("long"))) for i, p in enumerate(counted)]
-    own = [p.select("key", "c", (F.col("c") - discount * F.col("t")).alias("own")) for p in seats]
-    return Contexts(row["n"] or 0, row["v"] or 0, discount, model, known, own)
+        many = [settle(seated_pairs(p, known, discount, seed + 1000 * sweep + i).withColumn(
+            "kept", F.col("kept") + (F.col("t") if sweep >= burn else none)), f"seated-{i}") for i, p in enumerate(many)]
+    every = states[0]
+    for state in states[1:]:
+        every = every.unionByName(state)
+    known = settle(every.groupBy("h").agg(F.max("c").alias("c"), F.avg("state.opened").alias("opened"), F.sort_array(
+        F.collect_list("state")).alias("s")).select("h", "c", "opened", F.col("s.p").alias("ps"), F.col("s.opened").alias("opens")), "states")
+    own = [p.unionByName(q).select("key", "c", (F.col("c") - discount / samples * F.col("kept")).alias("own"))
+           for p, q in zip(single, many, strict=True)]
+    return Contexts(row["n"] or 0, row["v"] or 0, discount, model, samples, known, own)
 
 
 def hashed(words: DataFrame) -> DataFrame:
@@ -423,7 +441,7 @@ def score(docs: DataFrame, model: Contexts, key: str = "doc_id", text: str = "te
     """(key, n_tokens, n_known, base_score, score) of every row.
 
     A token's probability is what its pair has in the restaurant of the word before it, and the parent's
-    share. Frequent words and pairs are met where the text is. Each other pair of a row is a line that
+    share, averaged over the samples. Frequent words and pairs are met where the text is. Each other pair of a row is a line that
     meets its count in a shuffle; lines with a rare word get what that word has in two more. The keys of
     pairs are done part by part, so that only a part of the lines is on disk at a time. Rows are told
     apart by a hash of key and text; rows equal in both have the same score. Without training rows
@@ -432,8 +450,9 @@ def score(docs: DataFrame, model: Contexts, key: str = "doc_id", text: str = "te
     theta, d = THETA, model.discount
     often = lambda c: F.col(c) * FREQUENT >= max(1, model.tokens)
     word = model.known.where(often("c")).toArrow().sort_by("h")
-    arrays = [word["h"].to_numpy(), word["c"].to_numpy(), 10 ** word["logp"].to_numpy(),
-              theta + d * word["opened"].to_numpy()]
+    by_sample = [np.asarray(word[x].combine_chunks().flatten()).reshape(-1, model.samples) for x in ("ps", "opens")]
+    arrays = [word["h"].to_numpy(), word["c"].to_numpy(), by_sample[0], theta + d * by_sample[1]]
+    opens, probs = ([f"{x}{i}" for i in range(model.samples)] for x in ("open", "p"))
     common = [x.where(often("c")).select("key", "own").toArrow() for x in model.own]
     common = pa.concat_tables(common).sort_by("key")
     shared = docs.sparkSession.sparkContext.broadcast((*arrays, common["key"].to_numpy(), common["own"].to_numpy()))
@@ -467,19 +486,19 @@ def score(docs: DataFrame, model: Contexts, key: str = "doc_id", text: str = "te
                         some = np.flatnonzero(~(uhit & whit))
                         apart = grams.mix((rid[kr[some]] ^ kj[some]).view(np.uint64)).view(np.int64)
                         uh, wh, ua, wa = uhit[some], whit[some], uat[some], wat[some]
-                        filled = [np.where(x, t[y] if len(t) else 0.0, np.nan) for t, x, y in
-                                  ((opened, uh, ua), (c + theta, uh, ua), (p, wh, wa))]
+                        filled = [np.where(x, t[y] if len(t) else 0.0, np.nan) for t, x, y in (
+                            (c + theta, uh, ua), *((o, uh, ua) for o in opened.T), *((q, wh, wa) for q in p.T))]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(rid[kr[some]]), pa.array(kj[some]), pa.array(tf[some]),
                              pa.array(np.where(uh, apart, ku[some])), pa.array(np.where(wh, apart, kw[some])),
                              *[pa.array(x, mask=np.isnan(x)) for x in filled]],
-                            ["rid", "key", "tf", "ru", "rw", "open", "total", "p"])
+                            ["rid", "key", "tf", "ru", "rw", "total", *opens, *probs])
                         continue
                     both = uhit & whit
                     back = np.zeros(len(i))
                     total = np.ones(len(i))
                     if len(h):
-                        back[both] = opened[uat[both]] * p[wat[both]]
+                        back[both] = (opened[uat[both]] * p[wat[both]]).mean(axis=1)
                         total[both] = theta + c[uat[both]]
                     jat, jhit = at(ph, kj)
                     jhit &= both
@@ -505,17 +524,18 @@ def score(docs: DataFrame, model: Contexts, key: str = "doc_id", text: str = "te
         return run
 
     rare = model.known.where(~often("c"))
-    by_word = rare.select(F.col("h").alias("rw"), F.col("c").alias("wc"), F.pow(F.lit(10.0), F.col("logp")).alias("wp"))
-    by_context = rare.select(F.col("h").alias("ru"), F.col("c").alias("uc"), F.col("opened").alias("uo"))
+    by_word = rare.select(F.col("h").alias("rw"), F.col("c").alias("wc"), F.col("ps").alias("wp"))
+    by_context = rare.select(F.col("h").alias("ru"), F.col("c").alias("uc"), F.col("opens").alias("uo"))
+    back = sum((F.coalesce(o, theta + d * F.col("uo")[i]) * F.coalesce(p, F.col("wp")[i])
+                for i, (o, p) in enumerate(zip(opens, probs, strict=True))), F.lit(0.0)) / model.samples
     sums = [F.max("k").alias("k"), *[F.sum(x).alias(x) for x in ("rows", "n", "known", "base", "logp")]]
     parts = None
     for part in range(PARTS):
         near = source.mapInArrow(lines(part, False), f"rid long, key long, tf long, back double, total double, k {kind}, "
                                  "rows long, n long, known long, base double, logp double")
-        far = source.mapInArrow(lines(part, True), "rid long, key long, tf long, ru long, rw long, open double, total double, "
-                                "p double").join(by_word, "rw", "left").join(by_context, "ru", "left").select(
-            "rid", "key", "tf",
-            (F.coalesce("open", theta + d * F.col("uo")) * F.coalesce("p", "wp")).alias("back"),
+        far = source.mapInArrow(lines(part, True), "rid long, key long, tf long, ru long, rw long, total double, " + ", ".join(
+            f"{x} double" for x in (*opens, *probs))).join(by_word, "rw", "left").join(by_context, "ru", "left").select(
+            "rid", "key", "tf", back.alias("back"),
             F.coalesce("total", theta + F.col("uc")).alias("total"), F.lit(None).cast(kind).alias("k"),
             F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n"),
             F.when(F.col("wc") > 0, F.col("tf")).otherwise(0).alias("known"),

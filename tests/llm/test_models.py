@@ -262,6 +262,27 @@ def test_order_and_spelling_count(spark, docs):
     assert sum(own) == pytest.approx(model.tokens - model.discount * opened)
 
 
+def test_seating_of_pairs_is_averaged(spark, docs):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(f"w{min(rnd.randint(0, 30), rnd.randint(0, 30))}" for _ in range(40))) for i in range(60)]
+    d = docs([*rows, (100, "w1 w2 unseen w1")])
+    model = hpy_lm.fit_contexts(d, F.col("doc_id") < 100)
+    known = {r.h: r for r in model.known.collect()}
+    assert model.samples == 2 and all(len(r.ps) == len(r.opens) == 2 and r.opened == sum(r.opens) / 2 for r in known.values())
+    assert any(r.opens[0] != r.opens[1] for r in known.values()) and any(r.ps[0] != r.ps[1] for r in known.values())
+    own = {r.key: r.own for p in model.own for r in p.collect()}
+    got = {r.doc_id: r.score for r in hpy_lm.score(d, model).collect()}
+    for i, text in (rows[0], rows[7], (100, "w1 w2 unseen w1")):
+        h = hpy_lm.word_hashes(pa.array([*(x.encode() for x in text.split()), b""], pa.binary()))
+        want = 0.0
+        for u, w in zip([0, *h[:-1].tolist()], h.tolist(), strict=True):
+            pair = np.array([u, w], dtype=np.int64).view(np.uint64)
+            key = int(grams.mix(grams.mix(pair[:1] + np.uint64(1)) + pair[1:]).view(np.int64)[0])
+            back = [(hpy_lm.THETA + model.discount * o) * p for o, p in zip(known[u].opens, known[w].ps, strict=True)]
+            want += math.log10((own.get(key, 0.0) + sum(back) / 2) / (known[u].c + hpy_lm.THETA))
+        assert got[i] == pytest.approx(want, abs=1e-9)
+
+
 def test_word_probabilities_sum_below_one(spark, docs):
     d = docs([(i, f"a b c d{i} e{i % 5}") for i in range(60)])
     words = hpy_lm.vocabulary(d, F.lit(True)).cache()
