@@ -185,13 +185,14 @@ def price_windows(panel: DataFrame, prices: DataFrame, months: int = 36, least:
     from pitscreen.operators import paths as P
 
     names = panel.select((F.col("score_year") + 1).alias(YEAR), "ticker").distinct()
-    bars = prices.select("ticker", "date", F.explode(P.formations_covering(F.col("date"), months)).alias(YEAR))
-    own = bars.join(names, [YEAR, "ticker"])
+    windows = F.explode(P.formations_covering(F.col("date"), months)).alias(YEAR)
     # every date of the exported prices is a session; the first of a window has no return
-    days = bars.select(YEAR, "date").distinct().withColumn(
+    days = P.calendar(prices).select("date", windows).withColumn(
         "s", F.row_number().over(W.partitionBy(YEAR).orderBy("date")))
     size = days.groupBy(YEAR).agg((F.max("s") - 1).cast("bigint").alias("window_sessions"))
-    first = (own.join(F.broadcast(days), [YEAR, "date"]).groupBy(YEAR, "ticker").agg(F.min("s").alias("f")))
+    # a name's first date is found before anything is joined, so a bar is never shuffled
+    first = (prices.select("ticker", "date", windows).groupBy(YEAR, "ticker").agg(F.min("date").alias("date"))
+             .join(F.broadcast(days), [YEAR, "date"]).select(YEAR, "ticker", F.col("s").alias("f")))
     t = (names.join(first, [YEAR, "ticker"], "left").join(F.broadcast(size), YEAR)
          .withColumn("need", F.greatest(F.lit(least), F.floor(F.col("window_sessions") / 2)))
          .withColumn("have", F.coalesce(F.col("window_sessions") + 1 - F.col("f"), F.lit(0)))
