@@ -8,6 +8,7 @@ from pitscreen.functions.numeric import adjusted_close, safe_div
 from pitscreen.operators.asof import first_session_from, last_on_or_before
 from pitscreen.operators.ordering import beside, exact_quantiles
 from pitscreen.operators.shares import SHARE_COLS, share_count
+from pitscreen.session import land
 
 # Fixed values of the market's rules.
 SHARE_UNIT = 1000
@@ -133,15 +134,19 @@ def window_volumes(bars: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
                  F.max("date").alias("last_bar")))
 
 
-def turnover_rows(capital: DataFrame, bars: DataFrame, counts: DataFrame) -> DataFrame:
-    """Window volumes over the share count of the fiscal year they screen."""
+def window_rows(bars: DataFrame) -> DataFrame:
+    """Window volumes beside the market's sessions, by the fiscal year they screen: a row a symbol and year."""
     cal = window_calendar(bars).select("formation_year", "market_sessions")
-    win = (window_volumes(bars).join(F.broadcast(cal), "formation_year")
-           .withColumn("traded_pct", F.round(
-               100 * F.col("traded_sessions") / F.col("market_sessions"), 2))
-           .withColumn("period", (F.col("formation_year") - 1).cast("string")))
+    return (window_volumes(bars).join(F.broadcast(cal), "formation_year")
+            .withColumn("traded_pct", F.round(
+                100 * F.col("traded_sessions") / F.col("market_sessions"), 2))
+            .withColumn("period", (F.col("formation_year") - 1).cast("string")))
+
+
+def turnover_rows(capital: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``window_rows`` over the share count of the fiscal year they screen."""
     p = share_count(capital.join(counts, ["symbol", "period"], "left"))
-    t = p.join(win, ["symbol", "period"], "left")
+    t = p.join(windows, ["symbol", "period"], "left")
     keep = [c for c in ("treasury_stock",) if c in t.columns]
     return t.select(
         "symbol", "period", *keep, "paid_in_capital", *SHARE_COLS, "formation_year",
@@ -254,7 +259,8 @@ def entry_prices(bars: DataFrame) -> DataFrame:
 
 def exit_prices(panel: DataFrame, bars: DataFrame, holding_years: int = 1) -> DataFrame:
     """Adds the last adjusted close on or before the following 30 June, and what it means."""
-    month_ends = last_bar_of_month(bars).withColumn("exit_price_date", F.col("date"))
+    # read four times below, and a row a month in place of a row a session
+    month_ends = land(last_bar_of_month(bars).withColumn("exit_price_date", F.col("date")), "exit-month-ends")
     last = month_ends.groupBy("symbol").agg(F.max("date").alias("_last_print"))
     end = month_ends.agg(F.max("date").alias("_data_end"))
     p = panel.withColumn("exit_date", F.make_date(

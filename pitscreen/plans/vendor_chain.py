@@ -118,15 +118,20 @@ class VendorChain:
     def scores(self) -> DataFrame:
         return land(C.score_points(self.raw_scores), "scores")
 
+    @cached_property
+    def windows(self) -> DataFrame:
+        """June windows, one pass over the bars for both panels that are screened."""
+        return land(N.window_rows(self.bars), "windows")
+
     @cached_property
     def market_turnover(self) -> DataFrame:
         capital = self.extracted.select("symbol", "period", "paid_in_capital")
-        return land(N.turnover_rows(capital, self.bars, self.counts), "turnover")
+        return land(N.turnover_rows(capital, self.windows, self.counts), "turnover")
 
     @cached_property
     def turnover(self) -> DataFrame:
         rows = N.turnover_rows(self.panel.select("symbol", "period", "paid_in_capital", "treasury_stock"),
-                               self.bars, self.counts)
+                               self.windows, self.counts)
         return land(N.capital_raised_next(
             N.tradeable(rows, N.turnover_cuts(self.market_turnover), self.min_traded_pct)), "tradeable")
 
