@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitscreen.llm import grams
-from pitscreen.llm.frames import col, settle
+from pitscreen.llm.frames import col, discard, settle
 
 #: Bound on the number of words that are broadcast, 16 bytes each and 16 more a sample.
 FREQUENT = 1 << 20
@@ -320,12 +320,27 @@ def sequence(b: grams.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     u = np.zeros_like(w)
     u[1:] = w[:-1]
     text = np.repeat(np.arange(b.count), words.per_text + 1)
-    joint = grams.mix(grams.mix(u + np.uint64(1)) + w)
-    return u.view(np.int64), w.view(np.int64), joint, text, words.per_text
+    return u.view(np.int64), w.view(np.int64), joint_key(u, w), text, words.per_text
+
+
+def joint_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The hash of a word after another, from the hashes of both."""
+    return grams.mix(grams.mix(u + np.uint64(1)) + w)
+
+
+def keyed(found: DataFrame, *keep: str) -> DataFrame:
+    """``key``, the joint key of ``u`` and ``w``, and the long columns ``keep``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(joint_key(u, w).view(np.int64)), *batch.columns[2:]], ["key", *keep])
+
+    return found.select("u", "w", *keep).mapInArrow(run, ", ".join(f"{x} long" for x in ("key", *keep)))
 
 
 def pairs(docs: DataFrame, train: Column, text: str, part: int) -> DataFrame:
-    """(u, w, key, c): training count of each word after each, of the keys that leave ``part``."""
+    """(u, w, c): training count of each word after each, of those whose keys leave ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,33 +348,40 @@ def pairs(docs: DataFrame, train: Column, text: str, part: int) -> DataFrame:
             for b in grams.blocks(batch.column(0), 16 << 20):
                 u, w, joint, row, _ = sequence(b)
                 here = np.flatnonzero(used[b.first + row] & (joint % np.uint64(PARTS) == part))
-                keys, once, c = np.unique(joint[here], return_index=True, return_counts=True)
+                _, once, c = np.unique(joint[here], return_index=True, return_counts=True)
                 at = here[once]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[at], w[at], keys.view(np.int64), c)],
-                                                 ["u", "w", "key", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[at], w[at], c)], ["u", "w", "c"])
 
     found = docs.select(col(text).cast("string").alias("x"), train.alias("t")).mapInArrow(
-        run, "u long, w long, key long, c long")
-    return found.groupBy("u", "w", "key").agg(F.sum("c").alias("c"))
+        run, "u long, w long, c long")
+    return found.groupBy("u", "w").agg(F.sum("c").alias("c"))
+
+
+def tables(found: DataFrame, t: Column) -> DataFrame:
+    """(h, n_w, n_u): tables that each word has after others, and that others have after it."""
+    none = F.lit(0).cast("long")
+    ends = F.array(F.struct(F.col("w").alias("h"), t.alias("n_w"), none.alias("n_u")),
+                   F.struct(F.col("u").alias("h"), none.alias("n_w"), t.alias("n_u")))
+    return found.select(F.inline(ends)).groupBy("h").agg(F.sum("n_w").alias("n_w"), F.sum("n_u").alias("n_u"))
 
 
 def seated_pairs(many: DataFrame, known: DataFrame, discount: float, seed: int) -> DataFrame:
-    """(u, w, key, c, kept, t): tables of each pair of two customers or more, given the tables of ``known``.
+    """(u, w, c, kept, t): tables of each pair of two customers or more, given the tables of ``known``.
 
     ``kept``, the sum of the tables that pairs had in the samples so far, is handed on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, p, opened = (np.asarray(batch.column(i)) for i in (3, 5, 6))
-            rng = np.random.default_rng([seed, zlib.crc32(np.asarray(batch.column(2)).tobytes())])
+            u, w, c, p, opened = (np.asarray(batch.column(i)) for i in (0, 1, 2, 4, 5))
+            rng = np.random.default_rng([seed, zlib.crc32(joint_key(u.view(np.uint64), w.view(np.uint64)).tobytes())])
             t = seat(c, (THETA + discount * opened) * p, discount, rng) if len(c) else c
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(t, pa.int64())], ["u", "w", "key", "c", "kept", "t"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(t, pa.int64())], ["u", "w", "c", "kept", "t"])
 
     word = known.select(F.col("h").alias("w"), F.pow(F.lit(10.0), F.col("logp")).alias("p"))
     context = known.select(F.col("h").alias("u"), "opened")
-    met = many.join(word, "w").join(context, "u").select("u", "w", "key", "c", "kept", "p", F.col("opened").cast("double"))
-    return met.mapInArrow(run, "u long, w long, key long, c long, kept long, t long")
+    met = many.join(word, "w").join(context, "u").select("u", "w", "c", "kept", "p", F.col("opened").cast("double"))
+    return met.mapInArrow(run, "u long, w long, c long, kept long, t long")
 
 
 @dataclass
@@ -385,23 +407,26 @@ def fit_contexts(docs: DataFrame, train: Column, text: str = "text", burn: int =
     """
     words = settle(hashed(vocabulary(docs, train, text, unseen=True)), "vocabulary")
     row = words.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("v")).first()
-    counted = [settle(pairs(docs, train, text, i), f"pairs-{i}") for i in range(PARTS)]
-    ones = [sum(x) for x in zip(*[[r or 0 for r in p.agg(*[F.sum((F.col("c") == k).cast("long")) for k in (1, 2)]).first()]
-                                  for p in counted], strict=True)]
-    discount = min(0.95, max(0.1, ones[0] / (ones[0] + 2 * ones[1]) if ones[0] else 0.5))
     one, none = (F.lit(n).cast("long") for n in (1, 0))
-    single = [p.where("c = 1").withColumns({"kept": one * samples, "t": one}) for p in counted]
-    many = [p.where("c > 1").withColumns({"kept": none, "t": one}) for p in counted]
-    states = []
+    ones, single, many, fixed = [0, 0], [], [], []
+    for i in range(PARTS):
+        counted = settle(pairs(docs, train, text, i), f"pairs-{i}")
+        found = counted.agg(*[F.sum((F.col("c") == k).cast("long")) for k in (1, 2)]).first()
+        ones = [x + (y or 0) for x, y in zip(ones, found, strict=True)]
+        # a pair of one customer keeps its one table: its key remains, and what it adds to its words
+        single.append(settle(keyed(counted.where("c = 1")), f"single-{i}"))
+        fixed.append(settle(tables(counted.where("c = 1"), one), f"fixed-{i}"))
+        many.append(settle(counted.where("c > 1").withColumns({"kept": none, "t": one}), f"many-{i}"))
+        discard(counted)
+    discount = min(0.95, max(0.1, ones[0] / (ones[0] + 2 * ones[1]) if ones[0] else 0.5))
+    once = settle(_all(fixed).groupBy("h").agg(F.sum("n_w").alias("n_w"), F.sum("n_u").alias("n_u")), "fixed")
+    discard(*fixed)
+    states, kept_states = [], []
 
     for sweep in range(burn + samples + 1):
-        def tables(of: str, now: list[DataFrame] = [*single, *many]) -> DataFrame:
-            every = now[0]
-            for more in now[1:]:
-                every = every.unionByName(more)
-            return every.groupBy(F.col(of).alias("h")).agg(F.sum("t").alias(f"n_{of}"))
-
-        held = words.join(tables("w"), "h", "left").join(tables("u"), "h", "left").select(
+        moved = once.unionByName(tables(_all(many), F.col("t"))).groupBy("h").agg(
+            F.sum("n_w").alias("n_w"), F.sum("n_u").alias("n_u"))
+        held = words.join(moved, "h", "left").select(
             "word", "h", F.col("c").alias("count"), F.coalesce("n_w", F.lit(0)).alias("c"),
             F.coalesce("n_u", F.lit(0)).alias("opened"))
         held = settle(held, "customers")
@@ -409,23 +434,35 @@ def fit_contexts(docs: DataFrame, train: Column, text: str = "text", burn: int =
         # the parent's probability is joined by hash; two words of one hash would be one
         known = settle(probabilities(held.select("word", "c"), model).select("h", "logp").join(
             held.select("h", F.col("count").alias("c"), "opened"), "h"), "known-words")
+        discard(held)
         if sweep > burn:
             states.append(known.select("h", "c", F.struct(F.lit(sweep).alias("sweep"), F.pow(F.lit(10.0), "logp").alias("p"),
                                                           F.col("opened").cast("double").alias("opened")).alias("state")))
+            kept_states.append(known)
         if sweep == burn + samples:
             break
-        many = [settle(seated_pairs(p, known, discount, seed + 1000 * sweep + i).withColumn(
-            "kept", F.col("kept") + (F.col("t") if sweep >= burn else none)), f"seated-{i}") for i, p in enumerate(many)]
-    every = states[0]
-    for state in states[1:]:
-        every = every.unionByName(state)
-    known = settle(every.groupBy("h").agg(F.max("c").alias("c"), F.avg("state.opened").alias("opened"), F.sort_array(
+        for i, p in enumerate(many):
+            many[i] = settle(seated_pairs(p, known, discount, seed + 1000 * sweep + i).withColumn(
+                "kept", F.col("kept") + (F.col("t") if sweep >= burn else none)), f"seated-{i}")
+            discard(p)
+        if sweep <= burn:
+            discard(known)
+    known = settle(_all(states).groupBy("h").agg(F.max("c").alias("c"), F.avg("state.opened").alias("opened"), F.sort_array(
         F.collect_list("state")).alias("s")).select("h", "c", "opened", F.col("s.p").alias("ps"), F.col("s.opened").alias("opens")), "states")
-    own = [p.unionByName(q).select("key", "c", (F.col("c") - discount / samples * F.col("kept")).alias("own"))
+    discard(once, words, *kept_states)
+    own = [p.select("key", one.alias("c"), (1 - discount * F.lit(1.0)).alias("own")).unionByName(
+        keyed(q, "c", "kept").select("key", "c", (F.col("c") - discount / samples * F.col("kept")).alias("own")))
            for p, q in zip(single, many, strict=True)]
     return Contexts(row["n"] or 0, row["v"] or 0, discount, model, samples, known, own)
 
 
+def _all(tables_of: list[DataFrame]) -> DataFrame:
+    every = tables_of[0]
+    for more in tables_of[1:]:
+        every = every.unionByName(more)
+    return every
+
+
 def hashed(words: DataFrame) -> DataFrame:
     """A vocabulary with the hash ``h`` that texts are looked up with."""
 
@@ -503,7 +540,8 @@ def score(docs: DataFrame, model: Contexts, key: str = "doc_id", text: str = "te
                     jat, jhit = at(ph, kj)
                     jhit &= both
                     n = b.count
-                    logp = np.bincount(kr[jhit], tf[jhit] * np.log10((pown[jat[jhit]] + back[jhit]) / total[jhit]), n)
+                    logp = np.bincount(kr[jhit], tf[jhit] * np.log10(pown[jat[jhit]] + back[jhit]), n)
+                    logp = logp - np.bincount(kr, tf * np.log10(total), n)  # 1 with a rare word
                     known = np.bincount(kr[whit], tf[whit], n).astype(np.int64)
                     base = np.bincount(kr[whit], tf[whit] * np.log10(c[wat[whit]] + 1.0) if len(h) else None, n)
                     some = np.flatnonzero(both & ~jhit)
@@ -515,7 +553,7 @@ def score(docs: DataFrame, model: Contexts, key: str = "doc_id", text: str = "te
                         [pa.array(np.append(rid, rid[kr[some]])),
                          pa.array(np.append(grams.mix(rid.view(np.uint64)).view(np.int64), kj[some])),
                          pa.array(np.append(np.zeros(n, np.int64), tf[some])), pa.array(np.append(np.ones(n), back[some])),
-                         pa.array(np.append(np.ones(n), total[some])), pa.concat_arrays([keys, pa.nulls(m, keys.type)]),
+                         pa.array(np.ones(n + m)), pa.concat_arrays([keys, pa.nulls(m, keys.type)]),
                          pa.array(np.append(np.full(n, int(part == 0)), none)), pa.array(np.append(tokens, none)),
                          pa.array(np.append(known, none)), pa.array(np.append(base, none.astype(float))),
                          pa.array(np.append(logp, none.astype(float)))],
@@ -529,7 +567,7 @@ def score(docs: DataFrame, model: Contexts, key: str = "doc_id", text: str = "te
     back = sum((F.coalesce(o, theta + d * F.col("uo")[i]) * F.coalesce(p, F.col("wp")[i])
                 for i, (o, p) in enumerate(zip(opens, probs, strict=True))), F.lit(0.0)) / model.samples
     sums = [F.max("k").alias("k"), *[F.sum(x).alias(x) for x in ("rows", "n", "known", "base", "logp")]]
-    parts = None
+    parts = []
     for part in range(PARTS):
         near = source.mapInArrow(lines(part, False), f"rid long, key long, tf long, back double, total double, k {kind}, "
                                  "rows long, n long, known long, base double, logp double")
@@ -541,12 +579,14 @@ def score(docs: DataFrame, model: Contexts, key: str = "doc_id", text: str = "te
             F.when(F.col("wc") > 0, F.col("tf")).otherwise(0).alias("known"),
             F.when(F.col("wc").isNotNull(), F.col("tf") * F.log10(F.col("wc") + 1)).otherwise(0.0).alias("base"),
             F.lit(0.0).alias("logp"))
+        # in a job of its own, so that its shuffles are gone before those of all lines
+        far = settle(far, f"rare-{part}")
         met = near.unionByName(far).join(model.own[part].select("key", "own"), "key", "left")
         each = F.when(F.col("tf") > 0, F.col("tf") * F.log10((F.coalesce("own", F.lit(0.0)) + F.col("back")) / F.col("total")))
-        done = settle(met.withColumn("logp", F.col("logp") + F.coalesce(each, F.lit(0.0))).groupBy("rid").agg(*sums),
-                      f"score-{part}")
-        parts = done if parts is None else parts.unionByName(done)
-    whole = parts.groupBy("rid").agg(*sums).withColumn("copy", F.explode(F.expr("array_repeat(0, int(rows))")))
+        parts.append(settle(met.withColumn("logp", F.col("logp") + F.coalesce(each, F.lit(0.0))).groupBy("rid").agg(*sums),
+                            f"score-{part}"))
+        discard(far)
+    whole = _all(parts).groupBy("rid").agg(*sums).withColumn("copy", F.explode(F.expr("array_repeat(0, int(rows))")))
     n = (F.col("n") / F.col("rows")).cast("long")
     denominator = float(np.log10(model.tokens + model.types + 1))
     return whole.select(F.col("k").alias(key), n.alias("n_tokens"), (F.col("known") / F.col("rows")).cast("long").alias("n_known"),

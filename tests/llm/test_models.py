@@ -11,6 +11,7 @@ import pytest
 from brute import AWKWARD
 from pyspark.sql import functions as F
 
+from pitscreen import session
 from pitscreen.llm import grams, hpy_lm, language_id, line_crf, toxicity
 from pitscreen.llm.frames import held_out
 from pitscreen.llm.sampling import labelled_sample
@@ -283,6 +284,18 @@ def test_seating_of_pairs_is_averaged(spark, docs):
         assert got[i] == pytest.approx(want, abs=1e-9)
 
 
+def test_superseded_tables_leave_the_disk(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    rows = [(i, " ".join(f"w{(i * j) % 13}" for j in range(30)) + f" once{i}") for i in range(20)]
+    model = hpy_lm.fit_contexts(docs(rows), F.lit(True))
+    left = Counter(p.name.rsplit("-", 1)[0] for p in (tmp_path / "landed").iterdir() if any(p.glob("*.parquet")))
+    assert left == Counter({"states": 1} | {f"{x}-{i}": 1 for x in ("single", "seated") for i in range(hpy_lm.PARTS)})
+    words = Counter((a, b) for _, x in rows for a, b in zip(["", *x.split()], [*x.split(), ""], strict=True))
+    own = [r for p in model.own for r in p.collect()]
+    assert Counter(r.c for r in own) == Counter(words.values()) and len({r.key for r in own}) == len(words)
+    assert all(r.own == pytest.approx(1 - model.discount) for r in own if r.c == 1)
+
+
 def test_word_probabilities_sum_below_one(spark, docs):
     d = docs([(i, f"a b c d{i} e{i % 5}") for i in range(60)])
     words = hpy_lm.vocabulary(d, F.lit(True)).cache()
