@@ -36,7 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files_of(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every copy encoded into files, in the shuffled order it lies in, and what they say when read back."""
-    manifest = token_files.write(docs, word_ids(), vocabulary=49_408, end_id=1, order_by=[], remembered=200_000)
+    manifest = token_files.write(docs, word_ids(), vocabulary=49_408, end_id=1, order_by=[], remembered=200_000, block=2 << 20)
     return token_files.read(manifest, "doc_id", docs.schema["doc_id"].dataType)
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,6 +45,8 @@ SAMPLE = 256
 MAGIC = b"EFTOKEN1"
 #: Letter runs whose ids a worker remembers (about 200 bytes each); beyond that it starts anew.
 REMEMBERED = 600_000
+#: Bytes of text whose distinct words are looked up once; more bytes need fewer lookups and more memory.
+BLOCK = 4 << 20
 #: Boundaries that a reader decodes together.
 RUN = 8192
 
@@ -126,7 +129,8 @@ class EliasFano:
 
 # Words to ids --------------------------------------------------------------------------------
 
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*]*)")
+_CLOSING = b".,!?;:#$%&*"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -143,7 +147,7 @@ class WordEncoder:
     """Ids of whole texts, word by word, with the words seen before remembered.
 
     No pre-token of the vocabulary holds white space, so a text's ids are those of its words in
-    turn. In a word of plain letters with or without closing punctuation, the letters go straight
+    turn. In a word of plain letters with or without closing signs (no apostrophe), the letters go straight
     to the merges and are remembered; any other word goes through the whole tokenizer.
     """
 
@@ -155,9 +159,10 @@ class WordEncoder:
         self.whole = Tokenizer.from_str(text)
         self.merges = self.whole.model
         self.dtype = dtype
+        self.code = "H" if dtype.itemsize == 2 else "I"
         self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
-        self.closing: dict[str, bytes] = {}
+        self.closing: dict[bytes, bytes] = {}
         spec = json.loads(text)
         splits = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         #: The shortcut is for the lower-casing vocabulary that keeps letter runs together.
@@ -169,27 +174,35 @@ class WordEncoder:
     def _whole(self, word: str) -> list[int]:
         return self.whole.encode(word, add_special_tokens=False).ids
 
+    def _ids(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def _letters(self, letters: bytes) -> bytes:
-        spelled = letters.decode("latin-1").translate(_LETTERS)
-        return np.array([t.id for t in self.merges.tokenize(spelled)], dtype=self.dtype).tobytes()
+        spelled = letters.decode("ascii") if letters.isascii() else letters.decode("latin-1").translate(_LETTERS)
+        return self._ids([t.id for t in self.merges.tokenize(spelled)])
 
     def word(self, raw: bytes) -> bytes:
-        s = raw.decode("utf-8", "replace")
-        m = _SIMPLE.fullmatch(s)
-        if not m:
-            return np.array(self._whole(s), dtype=self.dtype).tobytes()
-        letters = m[1].lower().encode()
+        letters = raw.rstrip(_CLOSING)
+        if letters.isalpha():  # of bytes: A-Z and a-z alone
+            closed = raw[len(letters):]
+            letters = letters.lower()
+        else:
+            s = raw.decode("utf-8", "replace")
+            m = _SIMPLE.fullmatch(s)
+            if not m:
+                return self._ids(self._whole(s))
+            letters, closed = m[1].lower().encode(), m[2].encode()
         out = self.known.get(letters)
         if out is None:
             if len(self.known) >= self.remembered:
                 self.known.clear()
             out = self.known[letters] = self._letters(letters)
-        if m[2]:
-            closing = self.closing.get(m[2])
+        if closed:
+            closing = self.closing.get(closed)
             if closing is None:
-                closing = np.array(self._whole(m[2]), dtype=self.dtype).tobytes()
+                closing = self._ids(self._whole(closed.decode()))
                 if len(self.closing) < 10_000:
-                    self.closing[m[2]] = closing
+                    self.closing[closed] = closing
             out += closing
         return out
 
@@ -235,14 +248,16 @@ MANIFEST = T.StructType([T.StructField("shard", T.LongType()), T.StructField("pa
 
 
 def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, key: str = "doc_id", text: str = "text",
-          order_by: list[Column] | None = None, folder: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
+          order_by: list[Column] | None = None, folder: str | None = None, remembered: int = REMEMBERED,
+          block: int = BLOCK) -> DataFrame:
     """Writes shards in the order of ``order_by`` (the key) and returns the manifest.
 
     With an empty ``order_by`` documents stay as they lie, a shard to each partition, without a shuffle.
 
     Manifest: shard, path, n_docs, n_tokens and ``start``, the tokens of all shards before. It has
-    a row per file. Memory of a task is one Arrow batch,
-    16 bytes a document of its shard, and the ``remembered`` letter runs, which cost time if they are few.
+    a row per file. Memory of a task is one Arrow batch, words and ids of
+    ``block`` bytes of text (or one longer text), 16 bytes a document of its shard, and the ``remembered`` letter runs; both
+    cost time if they are few.
     """
     spark = docs.sparkSession
     dtype = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
@@ -267,7 +282,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, key: st
                 continue
             out = out or fs.open_output_stream(path)
             keys.append(batch.column(0))
-            for b in grams.blocks(batch.column(1), 2 << 20):
+            for b in grams.blocks(batch.column(1), block):
                 ids, n = enc.block(b, end_id)
                 out.write(ids.tobytes())
                 lens.append(n)

@@ -149,6 +149,30 @@ def test_token_files_round_trip(spark, docs):
     assert none.count() == 0 and token_files.read(none, "doc_id", docs([]).schema["doc_id"].dataType).count() == 0
 
 
+def test_letters_are_remembered_apart_from_what_closes_them():
+    tok = tokenizer()
+    enc = token_files.WordEncoder(word_ids(), np.dtype("<u2"))
+    closing = ["", ".", ",", "$$$", "***", ".%%%", ",&&&", "!?#;:", "#*", "'", "')", "-", "’s", "'s", "'ll.", "1", "..a", "$a$"]
+    words = [x + c for x in ("word", "WORD", "Straße", "ÉCOLE", "élan", "ﬁn", "don", "endoftext", "ñandú") for c in closing]
+    for x in [*words, "$$$", "***.", "<|endoftext|>$$", "a$<|endoftext|>"]:
+        want = tok.encode(x, add_special_tokens=False).ids
+        assert np.frombuffer(enc.word(x.encode()), "<u2").tolist() == want, x
+    called = []
+    enc._whole = lambda x, whole=enc._whole: called.append(x) or whole(x)
+    for x in ("word.***", "Word,$$$", "élan%%%"):
+        enc.word(x.encode())
+    assert all(not c[0].isalpha() for c in called)
+
+
+def test_ids_do_not_depend_on_blocks(docs):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice([*ODD, "plain words.", "x" * 300]) for _ in range(rnd.randint(0, 40)))) for i in range(60)]
+    key = docs([]).schema["doc_id"].dataType
+    got = [sorted(token_files.read(token_files.write(docs(rows), word_ids(), 49_408, 1, block=b), "doc_id", key).collect())
+           for b in (1, 5_000, token_files.BLOCK)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 60
+
+
 def test_runs_of_boundaries_and_a_long_text(docs, monkeypatch):
     """The read path decodes boundaries run by run; a text longer than a block is one document."""
     long = "Some words, again. " * 70_000

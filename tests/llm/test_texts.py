@@ -19,6 +19,16 @@ from pitscreen.llm import grams, quality_rules, secret_scan
 TEXT = st.text(alphabet="ab \n\té|#A.", max_size=60)
 
 
+def test_hashes_of_runs_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    lens = np.append(rng.integers(1, 40, 300), [5000, 1])
+    data = rng.integers(0, 256, int(lens.sum())).astype(np.uint8)
+    whole = grams.run_hashes(data, lens)
+    for size in (1, 64, 1000):
+        monkeypatch.setattr(grams, "BLOCK", size)
+        assert (grams.run_hashes(data, lens) == whole).all()
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(TEXT, min_size=1, max_size=6), st.sampled_from([1, 7, 1 << 20]))
 def test_words_and_shingles_of_blocks(texts, size):
