@@ -11,8 +11,8 @@ else (checked when the vocabulary is read). So no token and no group crosses uni
 unit of a batch is encoded and aligned once, and a text of any length needs memory for its bytes and
 its list of units. Only a run without spaces is one unit, however long.
 
-Corpus-wide counts of linked id pairs come from a first pass over the texts, which is cheaper than
-keeping every text's links; the second pass aligns again. Of the pair table (bounded by the product
+Texts are read and aligned once, in a pass that keeps every text's links, packed; corpus-wide counts of
+linked id pairs and what they add up to for each text come from these. Of the pair table (bounded by the product
 of the vocabularies, 10^9 rows) the most frequent ``hot`` rows are broadcast; links of the other
 pairs are shuffled by pair and summed back for each row.
 
@@ -45,9 +45,11 @@ from pitscreen.llm.frames import col, settle
 #: Id pairs that are broadcast with their counts (17 bytes each); links of all others are shuffled.
 HOT = 2_000_000
 #: Bytes of text that are aligned together, and units that are encoded in one call.
-BLOCK, CALL = 8 << 20, 20_000
-#: Links whose counts a task gathers before it passes them on.
-PENDING = 4_000_000
+BLOCK, CALL = 6 << 20, 20_000
+#: Links whose counts a task gathers before it passes them on, and links that are looked up together.
+PENDING, LOOKUP = 4_000_000, 1 << 20
+#: Links up to which a text keeps each; a text with more keeps its distinct pairs and how often each occurs.
+LONG = 1 << 16
 
 STATS = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -211,8 +213,10 @@ def align_units(units: list[bytes], a: Side, b: Side) -> Units:
         same = np.bincount(of, weights=side.size[ids], minlength=len(units)).astype(np.int64) == size
         ids_same = ids[same[of]]
         joined = pick(side.flat, side.first[ids_same], side.size[ids_same])
-        differs = joined != pick(raw, first[same], size[same])
-        same[np.repeat(np.flatnonzero(same), size[same])[differs]] = False
+        differs = joined != (raw if same.all() else pick(raw, first[same], size[same]))
+        if differs.any():
+            same[np.repeat(np.flatnonzero(same), size[same])[differs]] = False
+        del joined, differs
         good &= same
         tokens.append((ids, of))
     (ids_a, of_a), (ids_b, of_b) = ((ids[good[of]], of[good[of]]) for ids, of in tokens)
@@ -304,31 +308,121 @@ def batches(column: pa.Array, a: Side, b: Side) -> Iterator[tuple[Batch, np.ndar
     for block in grams.blocks(spaced, BLOCK):
         batch = Batch(block, a, b)
         yield batch, batch.kept(length[block.first:block.first + block.count] > 0)
+        del batch  # gone before the next is made
+
+
+# Links ---------------------------------------------------------------------------------------
+
+def code_kind(a: Side, b: Side) -> np.dtype:
+    """The type of a pair's code, A's id times the size of B's vocabulary plus B's id."""
+    return np.dtype("<u4" if len(a) * len(b) <= 1 << 32 else "<i8")
+
+
+def _rows(batch: Batch, kept: np.ndarray, kind: np.dtype, most: int) -> list[pa.Array]:
+    """The columns of ``linked`` after the key, of a block's texts; up to ``most`` links of a text are kept one by one."""
+    u, n = batch.units, len(batch.units)
+    ended = np.concatenate([u.group_a[1:] != u.group_a[:-1], [True]]) if len(u.a) else np.empty(0, bool)
+    of_unit = [np.bincount(u.of_a, minlength=n), np.bincount(u.of_b, minlength=n),
+               np.bincount(u.of_a[ended], minlength=n), np.bincount(u.of_link, minlength=n)]
+    columns = [pa.array(np.where(kept, batch.per_text(x.astype(np.int64)), 0)) for x in of_unit]
+    texts, digest = group_texts(u).__getitem__, []
+    for ok, lo, hi in zip(kept.tolist(), batch.cut.tolist(), batch.cut[1:].tolist(), strict=False):
+        joined = b"".join(map(texts, batch.which[lo:hi].tolist())) if ok else b""
+        digest.append(hashlib.sha256(memoryview(joined)[:-1]).hexdigest() if ok else "")
+    size = of_unit[3]
+    use = np.where(np.repeat(kept, np.diff(batch.cut)), size[batch.which], 0)
+    ends = np.concatenate([[0], np.cumsum(use)])[batch.cut].tolist()
+    flat = pick(u.codes.astype(kind), (np.cumsum(size) - size)[batch.which], use)
+    codes, times = [], []
+    for lo, hi in zip(ends, ends[1:], strict=False):
+        some, often = flat[lo:hi], None
+        if hi - lo > most:
+            some, often = np.unique(some, return_counts=True)
+        codes.append(some.tobytes())
+        times.append(often if often is None else often.astype("<i8").tobytes())
+    return [*columns, pa.array(digest, pa.string()), pa.array(codes, pa.binary()), pa.array(times, pa.binary())]
+
+
+def linked(docs: DataFrame, path_a: str, path_b: str, key: str, text: str) -> DataFrame:
+    """(row, key, n_a, n_b, n_groups, n_links, groups_sha256, codes, times) of every row.
+
+    ``codes`` are the pairs of its links, packed; ``times`` is how often each occurs, null for once.
+    """
+    narrow = docs.select(F.monotonically_increasing_id().alias("row"), col(key).alias("key"),
+                         col(text).cast("string").alias("text"))
+    schema = T.StructType([
+        T.StructField("row", T.LongType()), narrow.schema["key"], *[T.StructField(n, T.LongType()) for n in STATS],
+        T.StructField("groups_sha256", T.StringType()), T.StructField("codes", T.BinaryType()),
+        T.StructField("times", T.BinaryType())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = byte_level(path_a), pieces(path_b)
+        kind = code_kind(a, b)
+        for part in parts:
+            done = 0
+            for batch, kept in batches(part.column(2), a, b):
+                columns = _rows(batch, kept, kind, LONG)
+                del batch
+                k = len(columns[0])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).slice(done, k), part.column(1).slice(done, k), *columns], schema.names)
+                done += k
+
+    return narrow.mapInArrow(run, schema)
+
+
+def _flat(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Packed numbers of all rows, end to end, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    _, where, data = column.buffers()
+    offsets = np.frombuffer(where, np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None and data.size else np.empty(0, np.uint8)
+    return np.frombuffer(raw.tobytes(), kind), np.diff(offsets) // kind.itemsize
+
+
+def kept_links(codes: pa.Array, times: pa.Array, kind: np.dtype, most: int) -> Iterator[tuple]:
+    """Some rows of about ``most`` links at a time: the first, codes end to end, how often each occurs (None: once) and how many each row has."""
+    width = pc.binary_length(codes).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, lo = np.cumsum(width), 0
+    while lo < len(width):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - width[lo] + most * kind.itemsize, side="right")))
+        found, size = _flat(codes.slice(lo, hi - lo), kind)
+        often, some = None, times.slice(lo, hi - lo)
+        if some.null_count < len(some):
+            often, first = np.ones(len(found), np.int64), np.cumsum(size) - size
+            for i in np.flatnonzero(some.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                often[first[i]:first[i] + size[i]] = np.frombuffer(some[i].as_py(), "<i8")
+        yield lo, found, often, size
+        lo = hi
 
 
 # Counts --------------------------------------------------------------------------------------
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
-    """(code, n, best) of every linked id pair: ``code`` is A's id times the size of B's vocabulary plus B's id.
+def pair_counts(links: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """(code, n, best) of every linked id pair of ``linked`` rows.
 
     ``best``: no other pair of that B id has a larger ``n``. Counts are summed in each task first.
     """
+    n_b, kind = len(pieces(path_b)), code_kind(byte_level(path_a), pieces(path_b))
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = byte_level(path_a), pieces(path_b)
         codes, counts = [], []
 
         def summed() -> pa.RecordBatch:
             code, at = np.unique(np.concatenate(codes), return_inverse=True)
             n = np.bincount(at, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
             codes[:], counts[:] = [code], [n]
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], ["code", "n"])
 
         for part in parts:
-            for batch, kept in batches(part.column(0), a, b):
-                u = batch.units
-                times = np.bincount(batch.which[np.repeat(kept, np.diff(batch.cut))], minlength=len(u))
-                codes.append(u.codes)
-                counts.append(times[u.of_link])
+            for _, found, often, _ in kept_links(part.column(0), part.column(1), kind, LOOKUP):
+                if often is None:
+                    code, n = np.unique(found, return_counts=True)
+                else:
+                    code, at = np.unique(found, return_inverse=True)
+                    n = np.bincount(at, weights=often, minlength=len(code)).astype(np.int64)
+                codes.append(code)
+                counts.append(n)
                 if sum(map(len, codes)) > PENDING:
                     whole = summed()
                     if whole.num_rows > PENDING // 2:
@@ -337,9 +431,7 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -
         if codes:
             yield summed()
 
-    n_b = len(pieces(path_b))
-    found = (docs.select(col(text).cast("string").alias("text")).mapInArrow(run, "code long, n long")
-             .where("n > 0").groupBy("code").agg(F.sum("n").alias("n")))
+    found = links.select("codes", "times").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     pairs = settle(found, "token-pairs")
     # one row for each id of B's vocabulary, whatever the size of the corpus
     most = pairs.groupBy((F.col("code") % n_b).alias("b")).agg(F.max("n").alias("most"))
@@ -363,65 +455,47 @@ def frequent(pairs: DataFrame, hot: int) -> DataFrame:
 def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text",
           hot: int = HOT) -> DataFrame:
     """Per row: key, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256."""
-    pairs = pair_counts(docs, path_a, path_b, text)
+    links = settle(linked(docs, path_a, path_b, key, text), "token-links")
+    pairs = pair_counts(links, path_a, path_b)
     known = frequent(pairs, hot).toArrow().sort_by("code")
     cold = pairs.count() > known.num_rows
+    kind = code_kind(byte_level(path_a), pieces(path_b))
     sent = docs.sparkSession.sparkContext.broadcast(
-        (known["code"].to_numpy(), known["n"].to_numpy(), known["best"].to_numpy()))
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), col(key).alias("key"),
-                         col(text).cast("string").alias("text"))
-    schema = T.StructType([
-        T.StructField("row", T.LongType()), narrow.schema["key"],
-        *[T.StructField(n, T.LongType()) for n in (*STATS, "n_best", "count_sum")],
-        T.StructField("groups_sha256", T.StringType()),
-        *([T.StructField("cold", T.ArrayType(T.LongType()))] if cold else [])])
+        (known["code"].to_numpy().astype(kind), known["n"].to_numpy(), known["best"].to_numpy()))
+    whole = ["row", "key", *STATS, "groups_sha256"]
+    schema = T.StructType([*[links.schema[c] for c in whole], T.StructField("n_best", T.LongType()),
+                           T.StructField("count_sum", T.LongType()),
+                           *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("cold", "often") if cold]])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = byte_level(path_a), pieces(path_b)
         codes, counts, best = sent.value
         for part in parts:
-            done = 0
-            for batch, kept in batches(part.column(2), a, b):
-                u, n = batch.units, len(batch.units)
-                at = np.minimum(np.searchsorted(codes, u.codes), max(len(codes) - 1, 0))
-                hit = codes[at] == u.codes if len(codes) else np.zeros(len(u.codes), bool)
-                count = np.where(hit, counts[at], 0) if len(codes) else np.zeros(len(u.codes), np.int64)
-                tops = hit & best[at] if len(codes) else hit
-                links = np.searchsorted(u.of_link, np.arange(n + 1))
-                total = np.diff(np.concatenate([[0], np.cumsum(count)])[links])
-                ended = np.concatenate([u.group_a[1:] != u.group_a[:-1], [True]]) if len(u.a) else np.empty(0, bool)
-                of_unit = [np.bincount(u.of_a, minlength=n), np.bincount(u.of_b, minlength=n),
-                           np.bincount(u.of_a[ended], minlength=n), np.bincount(u.of_link, minlength=n),
-                           np.bincount(u.of_link[tops], minlength=n), total]
-                columns = [pa.array(np.where(kept, batch.per_text(x.astype(np.int64)), 0)) for x in of_unit]
-                texts, digest = group_texts(u).__getitem__, []
-                for ok, lo, hi in zip(kept.tolist(), batch.cut.tolist(), batch.cut[1:].tolist(), strict=False):
-                    joined = b"".join(map(texts, batch.which[lo:hi].tolist())) if ok else b""
-                    digest.append(hashlib.sha256(memoryview(joined)[:-1]).hexdigest() if ok else "")
+            for lo, found, often, size in kept_links(part.column(len(whole)), part.column(len(whole) + 1), kind, LOOKUP):
+                at = np.minimum(np.searchsorted(codes, found), max(len(codes) - 1, 0))
+                hit = codes[at] == found if len(codes) else np.zeros(len(found), bool)
+                count = np.where(hit, counts[at], 0) if len(codes) else np.zeros(len(found), np.int64)
+                tops = (hit & best[at] if len(codes) else hit).astype(np.int64)
+                if often is not None:
+                    count, tops = count * often, tops * often
+                ends = np.concatenate([[0], np.cumsum(size)])
+                added = [np.diff(np.concatenate([[0], np.cumsum(x)])[ends]) for x in (tops, count)]
+                columns = [pa.array(x.astype(np.int64)) for x in added]
                 if cold:
-                    rest = u.codes[~hit]
-                    of = u.of_link[~hit]
-                    first = np.searchsorted(of, np.arange(n + 1))
-                    size = np.diff(first)
-                    use = np.where(np.repeat(kept, np.diff(batch.cut)), size[batch.which], 0)
-                    ends = np.concatenate([[0], np.cumsum(use)])[batch.cut]
-                    columns_cold = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                                             pa.array(pick(rest, first[batch.which], use)))]
-                else:
-                    columns_cold = []
-                k = len(kept)
+                    rest = pa.array(np.concatenate([[0], np.cumsum(~hit)])[ends], pa.int32())
+                    times = np.ones(len(found), np.int64) if often is None else often
+                    columns += [pa.ListArray.from_arrays(rest, pa.array(x[~hit].astype(np.int64))) for x in (found, times)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).slice(done, k), part.column(1).slice(done, k), *columns,
-                     pa.array(digest, pa.string()), *columns_cold], schema.names)
-                done += k
+                    [*[part.column(i).slice(lo, len(size)) for i in range(len(whole))], *columns], schema.names)
 
-    out = narrow.mapInArrow(run, schema)
+    out = links.select(*whole, "codes", "times").mapInArrow(run, schema)
     if cold:
         out = settle(out, "aligned")
-        links = (out.select("row", F.explode("cold").alias("code")).groupBy("row", "code").agg(F.count("*").alias("times"))
-                 .join(pairs, "code").groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("more"),
-                                                         F.sum(F.when(F.col("best"), F.col("times"))).alias("more_best")))
-        out = (out.drop("cold").join(links, "row", "left")
+        rare = (out.select("row", F.inline(F.arrays_zip("cold", "often")))
+                .select("row", F.col("cold").alias("code"), F.col("often").alias("times"))
+                .groupBy("row", "code").agg(F.sum("times").alias("times"))
+                .join(pairs, "code").groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("more"),
+                                                        F.sum(F.when(F.col("best"), F.col("times"))).alias("more_best")))
+        out = (out.drop("cold", "often").join(rare, "row", "left")
                .withColumn("count_sum", F.col("count_sum") + F.coalesce("more", F.lit(0)))
                .withColumn("n_best", F.col("n_best") + F.coalesce("more_best", F.lit(0))))
     return out.select(F.col("key").alias(key), *STATS, "n_best", "count_sum", "groups_sha256")

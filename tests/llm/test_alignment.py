@@ -131,3 +131,19 @@ def test_other_keys_and_clashing_columns(spark):
         T.StructField("id", T.StringType()), T.StructField("body", T.StringType()),
         T.StructField("row", T.IntegerType()), T.StructField("code", T.IntegerType())]))
     assert ta.align(d, A, B, key="id", text="body").first().id == "k"
+
+
+@pytest.mark.parametrize("hot", [ta.HOT, 0])
+def test_texts_are_aligned_once_and_long_ones_keep_distinct_pairs(docs, monkeypatch, hot):
+    rows = list(enumerate([*texts(), "the cat and " * 40]))
+    want, seen = plain(rows), []
+    monkeypatch.setattr(ta, "LONG", 30)
+    monkeypatch.setattr(ta, "LOOKUP", 50)
+    monkeypatch.setattr(ta, "settle", lambda df, name, f=ta.settle: seen.append((name, df)) or f(df, name))
+    assert sorted((tuple(r) for r in ta.align(docs(rows), A, B, hot=hot).collect()), key=str) == want
+    by_name = dict(seen)
+    kept = {r.key: r for r in by_name["token-links"].collect()}
+    last = kept[len(rows) - 1]
+    assert last.n_links > 30 and sum(np.frombuffer(last.times, "<i8")) == last.n_links
+    assert len(last.codes) == 4 * len(np.frombuffer(last.times, "<i8")) < 4 * last.n_links
+    assert all("token-links" in f for f in by_name["token-pairs"].inputFiles())
