@@ -43,6 +43,8 @@ SPACE = 0x20   # before and after each word
 THETA = 1.0
 CHAR_DISCOUNT, CHAR_THETA = (0.3, 0.5, 0.7), 1.0  # by context length
 MOVES = 4
+#: Bytes of text whose words, or pairs, are counted together; a worker holds some 25 bytes for each.
+COUNTED = 4 << 20
 #: Keys of word pairs are counted and scored in so many turns; more turns need less disk.
 PARTS = 4
 
@@ -182,7 +184,7 @@ def vocabulary(docs: DataFrame, train: Column, text: str = "text", unseen: bool
         for batch in batches:
             used = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=bool)
             yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([int(used.sum())], pa.int64())], ["word", "c"])
-            for b in grams.blocks(batch.column(0), 16 << 20):
+            for b in grams.blocks(batch.column(0), COUNTED):
                 w = b.words()
                 if not len(w.text):
                     continue
@@ -345,7 +347,7 @@ def pairs(docs: DataFrame, train: Column, text: str, part: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             used = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=bool)
-            for b in grams.blocks(batch.column(0), 16 << 20):
+            for b in grams.blocks(batch.column(0), COUNTED):
                 u, w, joint, row, _ = sequence(b)
                 here = np.flatnonzero(used[b.first + row] & (joint % np.uint64(PARTS) == part))
                 _, once, c = np.unique(joint[here], return_index=True, return_counts=True)

@@ -303,3 +303,17 @@ def test_word_probabilities_sum_below_one(spark, docs):
     total = sum(10 ** r.logp for r in p)
     assert 0.5 < total < 1
     assert len(grams.hash_column(pa.array(["a", None, ""]))) == 3
+
+
+def test_words_and_pairs_counted_in_small_blocks(docs, monkeypatch):
+    d = docs([(i, f"a b c{i % 3} a b") for i in range(40)])
+
+    def counted():
+        words = hpy_lm.vocabulary(d, F.col("doc_id") < 30, unseen=True)
+        pairs = [hpy_lm.pairs(d, F.col("doc_id") < 30, "text", i) for i in range(hpy_lm.PARTS)]
+        return [sorted(map(tuple, x.collect())) for x in (words, *pairs)]
+
+    whole = counted()
+    assert hpy_lm.COUNTED <= 4 << 20
+    monkeypatch.setattr(hpy_lm, "COUNTED", 30)
+    assert counted() == whole and sum(map(len, whole)) > 8
