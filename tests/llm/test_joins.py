@@ -4,6 +4,7 @@ import random
 import brute
 from brute import AWKWARD
 
+from pitscreen.llm import components as stars_module
 from pitscreen.llm import decontaminate, ngram_join
 from pitscreen.llm.components import components
 
@@ -138,3 +139,27 @@ def test_probe_stays_in_the_jvm(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     plan = decontaminate.find(docs([(1, "a b c d e f g")]), bench)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_representatives_land_each_table_that_is_read_twice(docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ngram_join, "settle", lambda df, name, f=ngram_join.settle: seen.append(name) or f(df, name))
+    rows = corpus(random.Random(8))
+    kept = ngram_join.representatives(docs([*rows, *rows[:5], *rows[:2]]))
+    want = brute.groups(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([*{c for _, n, c in want if n}, *(
+        d for d, n, _ in [*want, *want[:5], *want[:2]] if not n)])
+    assert len(seen) == len(set(seen)) <= 10 and not {"cross-pairs", "near-groups", "repeated-rows"} & set(seen)
+
+
+def test_few_edges_are_met_by_broadcast(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 9)]
+    seen, found = [], {}
+    monkeypatch.setattr(stars_module, "_settled", lambda df, f=stars_module._settled: seen.append(
+        df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")) or f(df))
+    for few in (0, stars_module.FEW):
+        monkeypatch.setattr(stars_module, "FEW", few)
+        seen.clear()
+        found[few] = sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+        assert seen[0] == 0 and all((n > 0) == (few > 0) for n in seen[1:])
+    assert found[0] == found[few] == sorted([(i, 0) for i in range(41)] + [(100 + i, 100) for i in range(9)])
