@@ -13,9 +13,9 @@ probability. Pairs and words are seated in parallel, given the table totals of t
 begin with one table each. Of pairs, of words and of their spelling, each in its own sweeps, the predictive
 probabilities of ``samples`` sweeps, after ``burn``, are averaged.
 
-Counts are exact and come from all training rows: tables of words and of pairs, never collected. Words
-and pairs that make up at least one in ``FREQUENT`` of the tokens, at most so many by their definition,
-are broadcast; all others are met in shuffle joins.
+Counts are exact and come from all training rows: tables of words and of pairs, never collected. The most
+frequent words and pairs, at most ``FREQUENT`` of each, are broadcast. Pairs of frequent words are dealt by their
+key to buckets, packed, of about a million tokens each; pairs with a rare word meet its state in shuffle joins.
 
 Cases: a null or empty text is its end token alone; without training rows each score is 0; repeated rows
 are scored each; an empty table gives no rows; only key and text are read. Words and pairs are joined by
@@ -30,13 +30,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitscreen.llm import grams
 from pitscreen.llm.frames import col, discard, settle
 
-#: Bound on the number of words that are broadcast, 16 bytes each and 16 more a sample.
+#: Bound on the number of words that are broadcast, 16 bytes each and 16 more a sample, and on that of pairs, 16 bytes each.
 FREQUENT = 1 << 20
 SYMBOLS = 257  # bytes and, unused so far, one more for a base that sums to one
 SPACE = 0x20   # before and after each word
@@ -45,8 +47,10 @@ CHAR_DISCOUNT, CHAR_THETA = (0.3, 0.5, 0.7), 1.0  # by context length
 MOVES = 4
 #: Bytes of text whose words, or pairs, are counted together; a worker holds some 25 bytes for each.
 COUNTED = 4 << 20
-#: Keys of word pairs are counted and scored in so many turns; more turns need less disk.
-PARTS = 4
+#: Keys of word pairs are counted and scored in so many turns; more turns need less disk, and read the texts more often.
+PARTS = 1
+#: Lines with a rare word are joined in so many turns.
+TURNS = 2
 
 
 def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator, moves: int = MOVES) -> np.ndarray:
@@ -264,26 +268,29 @@ def _customers(words: DataFrame, model: Model | None, spelling: Spelling | None,
         F.sum("n").alias("n"))
 
 
-def _spelling(rows: DataFrame, seed: int) -> tuple[Spelling, float]:
+def _spelling(rows: pa.Table, seed: int) -> tuple[Spelling, float]:
     """The character restaurants of a sweep; what is collected has at most 256 ** 3 rows of bytes."""
-    t = rows.toArrow().sort_by([("ctx", "ascending"), ("sym", "ascending")])
+    t = rows.sort_by([("ctx", "ascending"), ("sym", "ascending")])
     ctx, sym, n = (t[c].to_numpy() for c in ("ctx", "sym", "n"))
     real = ctx >= 0
     return fit_spelling(ctx[real], sym[real], n[real], np.random.default_rng(seed)), float(n[~real].sum())
 
 
-def fit(words: DataFrame, burn: int = 1, samples: int = 2, seed: int = 5) -> Model:
-    """``words`` is a landed vocabulary. Each sweep is one pass over it and one small aggregate."""
+def fit(words: DataFrame, burn: int = 1, samples: int = 2, seed: int = 5, start: pa.Table | None = None) -> Model:
+    """``words`` is a landed vocabulary. Each sweep is one pass over it and one small aggregate.
+
+    ``start``, if given, are the customers of the spelling when each training word has one table.
+    """
     one, two = (F.sum(F.when(F.col("c") == k, 1).otherwise(0)) for k in (1, 2))
     row = words.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("v"), one.alias("n1"),
                     two.alias("n2")).first()
     n1, n2 = row["n1"] or 0, row["n2"] or 0
     model = Model(row["n"] or 0, row["v"] or 0, min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5)), [], seed)
-    spelling, opened = _spelling(_customers(words, None, None, 0.0, 0), seed)
+    spelling, opened = _spelling(_customers(words, None, None, 0.0, 0).toArrow() if start is None else start, seed)
     for sweep in range(burn + samples - 1):
         if sweep >= burn:
             model.samples.append((spelling, opened))
-        spelling, opened = _spelling(_customers(words, model, spelling, opened, 100 + sweep), seed + 1 + sweep)
+        spelling, opened = _spelling(_customers(words, model, spelling, opened, 100 + sweep).toArrow(), seed + 1 + sweep)
     model.samples.append((spelling, opened))
     return model
 
@@ -300,29 +307,66 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return h.view(np.int64)
 
 
-def probabilities(words: DataFrame, model: Model) -> DataFrame:
-    """(h, c, logp) of every word of a vocabulary, by the hash that texts are looked up with."""
+def probabilities(words: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """(h, c, logp) of every word of a vocabulary, by the hash that texts are looked up with, and the columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w, c = batch.column(0), np.asarray(batch.column(1))
-            yield pa.RecordBatch.from_pydict({"h": word_hashes(w), "c": c, "logp": np.log10(model.probability(w, c))})
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(w)), batch.column(1), pa.array(np.log10(model.probability(w, c))),
+                                              *batch.columns[2:]], ["h", "c", "logp", *keep])
 
-    return words.select("word", "c").mapInArrow(run, "h long, c long, logp double")
+    return words.select("word", "c", *keep).mapInArrow(
+        run, "h long, c long, logp double" + "".join(f", {x} {words.schema[x].dataType.simpleString()}" for x in keep))
 
 
-def sequence(b: grams.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(preceding word, word, their joint key, text) of each token of a block, and the words per text.
+def least_count(rows: DataFrame, most: int, total: int) -> int:
+    """The least count ``c`` that at most ``most`` of the rows reach, whose counts add up to ``total`` or less."""
+    cap = max(1, -(-total // most))
+    found = rows.where("c > 0").groupBy(F.least("c", F.lit(cap)).alias("c")).agg(F.count("*").alias("n")).collect()
+    have = {r["c"]: r["n"] for r in found}
+    least, n = cap, have.get(cap, 0)
+    while least > 1 and n + have.get(least - 1, 0) <= most:
+        least -= 1
+        n += have.get(least, 0)
+    return least
 
-    Each text ends with the end token, whose hash is 0, and its first word follows one.
-    """
+
+def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value is in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    where = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return where, table[where] == wanted
+
+
+@dataclass
+class Tokens:
+    """Tokens of a block: preceding word and word, as hashes and as places in a sorted table (-1: not there),
+    their joint key and text, and the words per text."""
+
+    u: np.ndarray
+    w: np.ndarray
+    uid: np.ndarray
+    wid: np.ndarray
+    joint: np.ndarray
+    text: np.ndarray
+    per_text: np.ndarray
+
+
+def sequence(b: grams.Block, top: np.ndarray) -> Tokens:
+    """Each text ends with the end token, whose hash is 0, and its first word follows one."""
     words = b.words()
     w = np.zeros(len(words.text) + b.count, dtype=np.uint64)
     w[np.arange(len(words.text)) + words.text] = words.hashes()
-    u = np.zeros_like(w)
-    u[1:] = w[:-1]
+    names, which = np.unique(w, return_inverse=True)
+    where, hit = find(top, names.view(np.int64))
+    wid = np.where(hit, where, -1).astype(np.int32)[which]
+    u, uid = np.zeros_like(w), np.empty_like(wid)
+    u[1:], uid[1:] = w[:-1], wid[:-1]
+    uid[:1] = wid[-1:]
     text = np.repeat(np.arange(b.count), words.per_text + 1)
-    return u.view(np.int64), w.view(np.int64), joint_key(u, w), text, words.per_text
+    return Tokens(u.view(np.int64), w.view(np.int64), uid, wid, joint_key(u, w), text, words.per_text)
 
 
 def joint_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -341,49 +385,185 @@ def keyed(found: DataFrame, *keep: str) -> DataFrame:
     return found.select("u", "w", *keep).mapInArrow(run, ", ".join(f"{x} long" for x in ("key", *keep)))
 
 
-def pairs(docs: DataFrame, train: Column, text: str, part: int) -> DataFrame:
-    """(u, w, c): training count of each word after each, of those whose keys leave ``part``."""
+def packed(group: np.ndarray, *values: np.ndarray | tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
+    """The groups of an ascending array, and the values of each as bytes; of a pair, those its mask marks."""
+    names, first = np.unique(group, return_index=True)
+    cut = np.append(first, len(group))
+    out = [pa.array(names.astype(np.int64))]
+    for x in values:
+        ends = cut
+        if isinstance(x, tuple):
+            ends, x = np.append(0, np.cumsum(x[0]))[cut], x[1][x[0]]
+        out.append(pa.Array.from_buffers(pa.binary(), len(names), [
+            None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]))
+    return out
+
+
+def sizes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Bytes of each value of a binary column, 0 for null."""
+    return np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """All values of a binary column, one after another."""
+    raw = [x.as_buffer() for x in column if x.is_valid]
+    return np.concatenate([np.frombuffer(x, kind) for x in raw]) if raw else np.empty(0, kind)
+
+
+def named(ids: np.ndarray, others: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Hashes of words by their places in ``top``; those that are not there come from ``others`` in turn."""
+    h = np.empty(len(ids), np.int64)
+    h[ids < 0] = others
+    h[ids >= 0] = top[ids[ids >= 0]]
+    return h
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The share of a key, a 64-bit hash, among ``buckets``, a power of two; ascends with the unsigned key."""
+    return (key.view(np.uint64) >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
+
+COUNTS = ("bucket long, ones long, twos long, single binary, rare_single binary, u binary, w binary, c binary, rare binary, "
+          "h binary, n_w binary, n_u binary")
+
+
+def pairs(docs: DataFrame, train: Column, text: str, part: int, top: Broadcast | None = None, buckets: int = 64) -> DataFrame:
+    """Training counts of each word after each, of those whose keys leave ``part``, packed by bucket.
+
+    Of pairs of one customer the keys (``rare_single``: with a word that ``top`` lacks) and what they add to
+    their words ``h``; of the others ``u``, ``w``, ``c``, and whether ``top`` lacks one of them.
+    """
+    empty = np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = empty if top is None else top.value
         for batch in batches:
             used = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=bool)
             for b in grams.blocks(batch.column(0), COUNTED):
-                u, w, joint, row, _ = sequence(b)
-                here = np.flatnonzero(used[b.first + row] & (joint % np.uint64(PARTS) == part))
-                _, once, c = np.unique(joint[here], return_index=True, return_counts=True)
-                at = here[once]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[at], w[at], c)], ["u", "w", "c"])
+                t = sequence(b, table)
+                here = np.flatnonzero(used[b.first + t.text] & (t.joint % np.uint64(PARTS) == part))
+                order = here[np.argsort(t.joint[here])]
+                key = t.joint[order]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+                at = order[first]
+                uid, wid, c = t.uid[at], t.wid[at], np.diff(np.append(first, len(key))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    packed(bucket_of(key[first], buckets), uid, wid, c, (uid < 0, t.u[at]), (wid < 0, t.w[at])),
+                    ["bucket", "u", "w", "c", "xu", "xw"])
+
+    def count(found: pa.Table) -> pa.Table:
+        table = empty if top is None else top.value
+        uid, wid, c = (unpacked(found[x], np.int32) for x in ("u", "w", "c"))
+        u, w = named(uid, unpacked(found["xu"], np.int64), table), named(wid, unpacked(found["xw"], np.int64), table)
+        key = joint_key(u.view(np.uint64), w.view(np.uint64))
+        order = np.argsort(key)
+        ordered = key[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        c = np.add.reduceat(c[order].astype(np.int64), first)
+        at = order[first]
+        rare, one = (uid[at] < 0) | (wid[at] < 0), c == 1
+        key = ordered[first]
+        h, which = np.unique(np.concatenate([w[at[one]], u[at[one]]]), return_inverse=True)
+        m = int(one.sum())
+        n_w, n_u = (np.bincount(x, minlength=len(h)).astype(np.int32) for x in (which[:m], which[m:]))
+        many = at[~one]
+        row = [key[one & ~rare], key[one & rare], u[many], w[many], c[~one], rare[~one], h, n_w, n_u]
+        return pa.table([found["bucket"][:1].cast(pa.int64()), pa.array([m]), pa.array([int((c == 2).sum())]), *[
+            pa.array([x.tobytes()], pa.binary()) for x in row]], names=[x.split()[0] for x in COUNTS.split(", ")])
 
     found = docs.select(col(text).cast("string").alias("x"), train.alias("t")).mapInArrow(
-        run, "u long, w long, c long")
-    return found.groupBy("u", "w").agg(F.sum("c").alias("c"))
+        run, "bucket long, u binary, w binary, c binary, xu binary, xw binary")
+    return found.groupBy("bucket").applyInArrow(count, COUNTS)
+
+
+def spread(found: DataFrame, **kinds: type) -> DataFrame:
+    """One row for each of the values packed in the columns ``kinds``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(c, k).astype(np.int64)) for c, k in zip(
+                    row.columns, kinds.values(), strict=True)], list(kinds))
+
+    return found.select(*kinds).mapInArrow(run, ", ".join(f"{x} long" for x in kinds))
+
+
+PAIRS = ("u", "w", "c", "kept", "t")
+SEATED = "rare long, " + ", ".join(f"{x} binary" for x in PAIRS)
+
+
+def bundle(rare: int, *values: np.ndarray) -> pa.RecordBatch:
+    """Pairs as one row."""
+    return pa.RecordBatch.from_arrays([pa.array([rare]), *[pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in values]],
+                                      ["rare", *PAIRS])
 
 
-def tables(found: DataFrame, t: Column) -> DataFrame:
+def repeated(counted: DataFrame) -> DataFrame:
+    """Pairs of two customers or more, at one table each, those with a rare word apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                u, w, c, rare = (unpacked(x.slice(i, 1), k) for x, k in zip(
+                    batch.columns, (np.int64, np.int64, np.int64, np.bool_), strict=True))
+                for side in (0, 1):
+                    at = rare == side
+                    if at.any():
+                        yield bundle(side, u[at], w[at], c[at], np.zeros(at.sum()), np.ones(at.sum()))
+
+    return counted.select("u", "w", "c", "rare").mapInArrow(run, SEATED)
+
+
+def tables(found: DataFrame) -> DataFrame:
     """(h, n_w, n_u): tables that each word has after others, and that others have after it."""
-    none = F.lit(0).cast("long")
-    ends = F.array(F.struct(F.col("w").alias("h"), t.alias("n_w"), none.alias("n_u")),
-                   F.struct(F.col("u").alias("h"), none.alias("n_w"), t.alias("n_u")))
-    return found.select(F.inline(ends)).groupBy("h").agg(F.sum("n_w").alias("n_w"), F.sum("n_u").alias("n_u"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w, t = (unpacked(batch.column(i), np.int64) for i in range(3))
+            h, which = np.unique(np.concatenate([w, u]), return_inverse=True)
+            n_w, n_u = (np.bincount(x, t, len(h)).astype(np.int64) for x in (which[:len(w)], which[len(w):]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n_w, n_u)], ["h", "n_w", "n_u"])
+
+    return found.select("u", "w", "t").mapInArrow(run, "h long, n_w long, n_u long")
 
-def seated_pairs(many: DataFrame, known: DataFrame, discount: float, seed: int) -> DataFrame:
-    """(u, w, c, kept, t): tables of each pair of two customers or more, given the tables of ``known``.
 
-    ``kept``, the sum of the tables that pairs had in the samples so far, is handed on.
+def frequent_states(known: DataFrame, frequent: Column) -> Broadcast:
+    """Hashes, probabilities without a context and tables as a context of the frequent words, by hash."""
+    state = known.where(frequent).select("h", F.pow(F.lit(10.0), F.col("logp")).alias("p"), F.col("opened").cast("double")
+                                         ).toArrow().sort_by("h")
+    return known.sparkSession.sparkContext.broadcast(tuple(state[x].to_numpy() for x in ("h", "p", "opened")))
+
+
+def seated_pairs(many: DataFrame, known: DataFrame, discount: float, seed: int, shared: Broadcast, keep: bool) -> DataFrame:
+    """Pairs with their new tables, given the tables of ``known``; with ``keep`` they are added to ``kept``.
+
+    The frequent words, ``shared``, are met where the pairs are, others (pairs marked ``rare``) in joins with ``known``.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seated(rare: int, u: np.ndarray, w: np.ndarray, c: np.ndarray, kept: np.ndarray, p: np.ndarray, opened: np.ndarray):
+        rng = np.random.default_rng([seed, zlib.crc32(joint_key(u.view(np.uint64), w.view(np.uint64)).tobytes())])
+        t = seat(c, (THETA + discount * opened) * p, discount, rng)
+        return bundle(rare, u, w, c, kept + t if keep else kept, t)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, p, opened = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                u, w, c, kept = (unpacked(x.slice(i, 1), np.int64) for x in batch.columns)
+                yield seated(0, u, w, c, kept, p[find(h, w)[0]], opened[find(h, u)[0]])
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, w, c, p, opened = (np.asarray(batch.column(i)) for i in (0, 1, 2, 4, 5))
-            rng = np.random.default_rng([seed, zlib.crc32(joint_key(u.view(np.uint64), w.view(np.uint64)).tobytes())])
-            t = seat(c, (THETA + discount * opened) * p, discount, rng) if len(c) else c
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(t, pa.int64())], ["u", "w", "c", "kept", "t"])
+            if batch.num_rows:
+                yield seated(1, *(np.asarray(x) for x in batch.columns))
 
     word = known.select(F.col("h").alias("w"), F.pow(F.lit(10.0), F.col("logp")).alias("p"))
     context = known.select(F.col("h").alias("u"), "opened")
-    met = many.join(word, "w").join(context, "u").select("u", "w", "c", "kept", "p", F.col("opened").cast("double"))
-    return met.mapInArrow(run, "u long, w long, c long, kept long, t long")
+    pair = PAIRS[:4]
+    rare = spread(many.where("rare = 1"), **dict.fromkeys(pair, np.int64))
+    met = rare.join(word, "w").join(context, "u").select(*pair, "p", F.col("opened").cast("double"))
+    return many.where("rare = 0").select(*pair).mapInArrow(near, SEATED).unionByName(met.mapInArrow(far, SEATED))
 
 
 @dataclass
@@ -397,7 +577,24 @@ class Contexts:
     samples: int            # of the seating of pairs
     known: DataFrame        # (h, c, opened, ps, opens): of each word its count, mean tables as a context, and by sample its
                             # probability without a context and its tables as one
-    own: list[DataFrame]    # (key, c, own): by part, customers of each trained pair less its tables' discounts, the samples' mean
+    least: int              # words of this count or more are frequent
+    buckets: int            # of pairs of frequent words
+    single: list[DataFrame]  # by part, keys of pairs of one customer: (bucket, single, rare_single), packed
+    many: list[DataFrame]   # (rare, u, w, c, kept, t): by part, the other pairs, packed; ``kept`` are their tables, summed over the samples
+
+    @property
+    def own(self) -> list[DataFrame]:
+        """(key, c, own): by part, customers of each trained pair less its tables' discounts, the samples' mean."""
+        return [_all([self.own_single(i, "single"), self.own_single(i, "rare_single"), self.own_many(q)])
+                for i, q in enumerate(self.many)]
+
+    def own_single(self, part: int, which: str) -> DataFrame:
+        return spread(self.single[part], **{which: np.int64}).select(
+            F.col(which).alias("key"), F.lit(1).cast("long").alias("c"), F.lit(1 - self.discount).alias("own"))
+
+    def own_many(self, many: DataFrame) -> DataFrame:
+        return keyed(spread(many, **dict.fromkeys(PAIRS[:4], np.int64)), "c", "kept").select(
+            "key", "c", (F.col("c") - self.discount / self.samples * F.col("kept")).alias("own"))
 
 
 def fit_contexts(docs: DataFrame, train: Column, text: str = "text", burn: int = 1, samples: int = 2, seed: int = 5) -> Contexts:
@@ -409,59 +606,63 @@ def fit_contexts(docs: DataFrame, train: Column, text: str = "text", burn: int =
     """
     words = settle(hashed(vocabulary(docs, train, text, unseen=True)), "vocabulary")
     row = words.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("v")).first()
-    one, none = (F.lit(n).cast("long") for n in (1, 0))
+    least = least_count(words, FREQUENT, row["n"] or 0)
+    frequent = F.col("c") >= least
+    top = words.where(frequent).select("h").toArrow()["h"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(top))
+    buckets = 1 << max(6, ((row["n"] or 0) >> 20).bit_length())
     ones, single, many, fixed = [0, 0], [], [], []
     for i in range(PARTS):
-        counted = settle(pairs(docs, train, text, i), f"pairs-{i}")
-        found = counted.agg(*[F.sum((F.col("c") == k).cast("long")) for k in (1, 2)]).first()
+        counted = settle(pairs(docs, train, text, i, shared, buckets), f"pairs-{i}")
+        found = counted.agg(F.sum("ones"), F.sum("twos")).first()
         ones = [x + (y or 0) for x, y in zip(ones, found, strict=True)]
         # a pair of one customer keeps its one table: its key remains, and what it adds to its words
-        single.append(settle(keyed(counted.where("c = 1")), f"single-{i}"))
-        fixed.append(settle(tables(counted.where("c = 1"), one), f"fixed-{i}"))
-        many.append(settle(counted.where("c > 1").withColumns({"kept": none, "t": one}), f"many-{i}"))
+        single.append(settle(counted.select("bucket", "single", "rare_single"), f"single-{i}"))
+        fixed.append(settle(spread(counted, h=np.int64, n_w=np.int32, n_u=np.int32).groupBy("h").agg(
+            F.sum("n_w").alias("n_w"), F.sum("n_u").alias("n_u")), f"fixed-{i}"))
+        many.append(settle(repeated(counted), f"many-{i}"))
         discard(counted)
+    shared.destroy()
     discount = min(0.95, max(0.1, ones[0] / (ones[0] + 2 * ones[1]) if ones[0] else 0.5))
     once = settle(_all(fixed).groupBy("h").agg(F.sum("n_w").alias("n_w"), F.sum("n_u").alias("n_u")), "fixed")
     discard(*fixed)
-    states, kept_states = [], []
-
+    kept, start = [], None
     for sweep in range(burn + samples + 1):
-        moved = once.unionByName(tables(_all(many), F.col("t"))).groupBy("h").agg(
-            F.sum("n_w").alias("n_w"), F.sum("n_u").alias("n_u"))
-        held = words.join(moved, "h", "left").select(
+        moved = once.unionByName(tables(_all(many))).groupBy("h").agg(F.sum("n_w").alias("n_w"), F.sum("n_u").alias("n_u"))
+        held = settle(words.join(moved, "h", "left").select(
             "word", "h", F.col("c").alias("count"), F.coalesce("n_w", F.lit(0)).alias("c"),
-            F.coalesce("n_u", F.lit(0)).alias("opened"))
-        held = settle(held, "customers")
-        model = fit(held, seed=seed + 50 * sweep)
+            F.coalesce("n_u", F.lit(0)).alias("opened"), *kept), "customers")
+        discard(words)
+        start = _customers(held, None, None, 0.0, 0).toArrow() if start is None else start
+        model = fit(held, seed=seed + 50 * sweep, start=start)
         # the parent's probability is joined by hash; two words of one hash would be one
-        known = settle(probabilities(held.select("word", "c"), model).select("h", "logp").join(
-            held.select("h", F.col("count").alias("c"), "opened"), "h"), "known-words")
-        discard(held)
+        last = sweep == burn + samples
+        known = probabilities(held, model, "word", "count", "opened", *kept).select(
+            "h", *([] if last else ["word"]), "logp", F.col("count").alias("c"), "opened", *kept)
         if sweep > burn:
-            states.append(known.select("h", "c", F.struct(F.lit(sweep).alias("sweep"), F.pow(F.lit(10.0), "logp").alias("p"),
-                                                          F.col("opened").cast("double").alias("opened")).alias("state")))
-            kept_states.append(known)
-        if sweep == burn + samples:
+            known = known.withColumns({f"p{sweep}": F.pow(F.lit(10.0), "logp"), f"open{sweep}": F.col("opened").cast("double")})
+            kept += [f"p{sweep}", f"open{sweep}"]
+        known = settle(known, "states" if last else "known-words")
+        discard(held)
+        if last:
             break
+        shared = frequent_states(known, frequent)
         for i, p in enumerate(many):
-            many[i] = settle(seated_pairs(p, known, discount, seed + 1000 * sweep + i).withColumn(
-                "kept", F.col("kept") + (F.col("t") if sweep >= burn else none)), f"seated-{i}")
+            many[i] = settle(seated_pairs(p, known, discount, seed + 1000 * sweep + i, shared, sweep >= burn), f"seated-{i}")
             discard(p)
-        if sweep <= burn:
-            discard(known)
-    known = settle(_all(states).groupBy("h").agg(F.max("c").alias("c"), F.avg("state.opened").alias("opened"), F.sort_array(
-        F.collect_list("state")).alias("s")).select("h", "c", "opened", F.col("s.p").alias("ps"), F.col("s.opened").alias("opens")), "states")
-    discard(once, words, *kept_states)
-    own = [p.select("key", one.alias("c"), (1 - discount * F.lit(1.0)).alias("own")).unionByName(
-        keyed(q, "c", "kept").select("key", "c", (F.col("c") - discount / samples * F.col("kept")).alias("own")))
-           for p, q in zip(single, many, strict=True)]
-    return Contexts(row["n"] or 0, row["v"] or 0, discount, model, samples, known, own)
-
-
-def _all(tables_of: list[DataFrame]) -> DataFrame:
+        shared.destroy()
+        words = known
+    discard(once)
+    opens = F.array(*kept[1::2])
+    known = known.select("h", "c", (F.aggregate(opens, F.lit(0.0), lambda x, y: x + y) / samples).alias("opened"),
+                         F.array(*kept[::2]).alias("ps"), opens.alias("opens"))
+    return Contexts(row["n"] or 0, row["v"] or 0, discount, model, samples, known, least, buckets, single, many)
+
+
+def _all(tables_of: list[DataFrame], allowMissingColumns: bool = False) -> DataFrame:
     every = tables_of[0]
     for more in tables_of[1:]:
-        every = every.unionByName(more)
+        every = every.unionByName(more, allowMissingColumns)
     return every
 
 
@@ -480,115 +681,165 @@ def score(docs: DataFrame, model: Contexts, key: str = "doc_id", text: str = "te
     """(key, n_tokens, n_known, base_score, score) of every row.
 
     A token's probability is what its pair has in the restaurant of the word before it, and the parent's
-    share, averaged over the samples. Frequent words and pairs are met where the text is. Each other pair of a row is a line that
-    meets its count in a shuffle; lines with a rare word get what that word has in two more. The keys of
-    pairs are done part by part, so that only a part of the lines is on disk at a time. Rows are told
-    apart by a hash of key and text; rows equal in both have the same score. Without training rows
+    share, averaged over the samples. Frequent words and pairs are met where the text is. Other pairs of frequent
+    words are dealt by their key, packed by block of texts, to where the counts of their bucket are; the sums go back to their
+    block. Each pair with a rare word is a line that gets what that word has, and its count, in joins. Rows are told
+    apart there by a hash of key and text; rows equal in both have the same score. Without training rows
     there is no model, and each score is 0.
     """
-    theta, d = THETA, model.discount
-    often = lambda c: F.col(c) * FREQUENT >= max(1, model.tokens)
-    word = model.known.where(often("c")).toArrow().sort_by("h")
+    theta, d, buckets, model_samples = THETA, model.discount, model.buckets, model.samples
+    frequent = F.col("c") >= model.least
+    word = model.known.where(frequent).toArrow().sort_by("h")
     by_sample = [np.asarray(word[x].combine_chunks().flatten()).reshape(-1, model.samples) for x in ("ps", "opens")]
     arrays = [word["h"].to_numpy(), word["c"].to_numpy(), by_sample[0], theta + d * by_sample[1]]
     opens, probs = ([f"{x}{i}" for i in range(model.samples)] for x in ("open", "p"))
-    common = [x.where(often("c")).select("key", "own").toArrow() for x in model.own]
-    common = pa.concat_tables(common).sort_by("key")
+    met = [q.where("rare = 0") for q in model.many]
+    often = max(2, least_count(spread(_all(met), c=np.int64), FREQUENT, model.tokens))
+    common = model.own_many(_all(met)).where(F.col("c") >= often).select("key", "own").toArrow().sort_by("key")
     shared = docs.sparkSession.sparkContext.broadcast((*arrays, common["key"].to_numpy(), common["own"].to_numpy()))
-    types = [f.dataType for f in docs.select(col(key)).schema]
-    kind = types[0].simpleString()
+    kind = docs.select(col(key)).schema[0].dataType.simpleString()
     source = docs.select(F.xxhash64(col(key).cast("string"), col(text).cast("string"), F.lit(7)).alias("rid"),
                          col(key).alias("k"), col(text).cast("string").alias("x"))
 
-    def at(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        where = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-        return where, table[where] == wanted
+    def grouped(t: Tokens, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One token for each pair of a text among those of ``here``, by key, and how often the text has the pair."""
+        order = here[np.argsort(t.joint[here], kind="stable")]
+        k, r = t.joint[order], t.text[order]
+        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]))[:len(k)])
+        return order[first], np.diff(np.append(first, len(k)))
+
+    def far(part: int, turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            h, c, p, opened, *_ = shared.value
+            for batch in batches:
+                rids = np.asarray(batch.column(0))
+                for b in grams.blocks(batch.column(2), COUNTED):
+                    t = sequence(b, h)
+                    i, tf = grouped(t, np.flatnonzero(((t.uid < 0) | (t.wid < 0)) & (t.joint % np.uint64(PARTS) == part)
+                                                      & (t.joint // np.uint64(PARTS) % np.uint64(TURNS) == turn)))
+                    rid, kj = rids[b.first + t.text[i]], t.joint[i].view(np.int64)
+                    ua, wa, uh, wh = t.uid[i], t.wid[i], t.uid[i] >= 0, t.wid[i] >= 0
+                    apart = grams.mix((rid ^ kj).view(np.uint64)).view(np.int64)
+                    filled = [np.where(x, v[y] if len(v) else 0.0, np.nan) for v, x, y in (
+                        (c + theta, uh, ua), *((o, uh, ua) for o in opened.T), *((q, wh, wa) for q in p.T))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rid), pa.array(kj), pa.array(tf), pa.array(np.where(uh, apart, t.u[i])),
+                         pa.array(np.where(wh, apart, t.w[i])), *[pa.array(x, mask=np.isnan(x)) for x in filled]],
+                        ["rid", "key", "tf", "ru", "rw", "total", *opens, *probs])
 
-    def lines(part: int, rare: bool):
+        return run
+
+    lines = [f"{x} binary" for x in ("u", "w", "doc", "tf")]
+    heads = [*(f"{x} binary" for x in ("rid", "n", "known", "base", "logp")), f"ks array<{kind}>"]
+
+    def near(part: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, c, p, opened, ph, pown = shared.value
+            block = TaskContext.get().partitionId() << 32
+            total, seen = np.log10(theta + c), np.log10(c + 1.0)
             for batch in batches:
                 rids = np.asarray(batch.column(0))
-                for b in grams.blocks(batch.column(2), 4 << 20):
-                    u, w, joint, row, per_text = sequence(b)
-                    here = np.flatnonzero(joint % np.uint64(PARTS) == part)
-                    order, new = grams.sorted_within(joint[here], row[here])
-                    first = np.flatnonzero(new)
-                    tf = np.diff(np.append(first, len(here))).astype(np.int64)
-                    i = here[order[first]]
-                    ku, kw, kj, kr = u[i], w[i], joint[i].view(np.int64), row[i]
-                    (uat, uhit), (wat, whit) = at(h, ku), at(h, kw)
-                    rid = rids[b.first:b.first + b.count]
-                    if rare:
-                        some = np.flatnonzero(~(uhit & whit))
-                        apart = grams.mix((rid[kr[some]] ^ kj[some]).view(np.uint64)).view(np.int64)
-                        uh, wh, ua, wa = uhit[some], whit[some], uat[some], wat[some]
-                        filled = [np.where(x, t[y] if len(t) else 0.0, np.nan) for t, x, y in (
-                            (c + theta, uh, ua), *((o, uh, ua) for o in opened.T), *((q, wh, wa) for q in p.T))]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(rid[kr[some]]), pa.array(kj[some]), pa.array(tf[some]),
-                             pa.array(np.where(uh, apart, ku[some])), pa.array(np.where(wh, apart, kw[some])),
-                             *[pa.array(x, mask=np.isnan(x)) for x in filled]],
-                            ["rid", "key", "tf", "ru", "rw", "total", *opens, *probs])
-                        continue
-                    both = uhit & whit
-                    back = np.zeros(len(i))
-                    total = np.ones(len(i))
-                    if len(h):
-                        back[both] = (opened[uat[both]] * p[wat[both]]).mean(axis=1)
-                        total[both] = theta + c[uat[both]]
-                    jat, jhit = at(ph, kj)
-                    jhit &= both
+                for b in grams.blocks(batch.column(2), COUNTED):
+                    t = sequence(b, h)
                     n = b.count
-                    logp = np.bincount(kr[jhit], tf[jhit] * np.log10(pown[jat[jhit]] + back[jhit]), n)
-                    logp = logp - np.bincount(kr, tf * np.log10(total), n)  # 1 with a rare word
-                    known = np.bincount(kr[whit], tf[whit], n).astype(np.int64)
-                    base = np.bincount(kr[whit], tf[whit] * np.log10(c[wat[whit]] + 1.0) if len(h) else None, n)
-                    some = np.flatnonzero(both & ~jhit)
-                    m = len(some)
-                    keys = batch.column(1).slice(b.first, n) if part == 0 else pa.nulls(n, batch.column(1).type)
-                    none = np.zeros(m, np.int64)
-                    tokens = (per_text + 1) * (part == 0)
+                    hit = np.flatnonzero(t.wid >= 0)
+                    known = np.bincount(t.text[hit], minlength=n)
+                    base = np.bincount(t.text[hit], seen[t.wid[hit]], n)
+                    both = np.flatnonzero((t.uid >= 0) & (t.wid >= 0) & (t.joint % np.uint64(PARTS) == part))
+                    logp = -np.bincount(t.text[both], total[t.uid[both]], n)
+                    i, tf = grouped(t, both)
+                    at, often = find(ph, t.joint[i].view(np.int64))
+                    j, at = i[often], at[often]
+                    back = (opened[t.uid[j]] * p[t.wid[j]]).mean(axis=1)
+                    logp += np.bincount(t.text[j], tf[often] * np.log10(pown[at] + back), n)
+                    j = i[~often]
+                    made = packed(bucket_of(t.joint[j], buckets), t.uid[j], t.wid[j], t.text[j].astype(np.uint16),
+                                  tf[~often].astype(np.int32))
+                    m = len(made[0])
+                    keys = batch.column(1).slice(b.first, n)
+                    head = [rids[b.first:b.first + n], t.per_text + 1, known, base, logp]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.append(rid, rid[kr[some]])),
-                         pa.array(np.append(grams.mix(rid.view(np.uint64)).view(np.int64), kj[some])),
-                         pa.array(np.append(np.zeros(n, np.int64), tf[some])), pa.array(np.append(np.ones(n), back[some])),
-                         pa.array(np.ones(n + m)), pa.concat_arrays([keys, pa.nulls(m, keys.type)]),
-                         pa.array(np.append(np.full(n, int(part == 0)), none)), pa.array(np.append(tokens, none)),
-                         pa.array(np.append(known, none)), pa.array(np.append(base, none.astype(float))),
-                         pa.array(np.append(logp, none.astype(float)))],
-                        ["rid", "key", "tf", "back", "total", "k", "rows", "n", "known", "base", "logp"])
+                        [pa.concat_arrays([made[0], pa.array([block % buckets])]), pa.array(np.full(m + 1, block)),
+                         *[pa.concat_arrays([x, pa.nulls(1, x.type)]) for x in made[1:]],
+                         *[pa.array([None] * m + [np.ascontiguousarray(x).tobytes()], pa.binary()) for x in head],
+                         pa.concat_arrays([pa.nulls(m, pa.list_(keys.type)), pa.ListArray.from_arrays([0, n], keys)])],
+                        ["bucket", "blk", *(x.split()[0] for x in lines + heads)])
+                    block += 1
 
         return run
 
-    rare = model.known.where(~often("c"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                u, w, c, kept = (unpacked(x.slice(i, 1), np.int64) for x in batch.columns)
+                k = joint_key(u.view(np.uint64), w.view(np.uint64))
+                order = np.flatnonzero(c < often)
+                order = order[np.argsort(k[order])]
+                own = c - d / model_samples * kept
+                yield pa.RecordBatch.from_arrays(packed(bucket_of(k[order], buckets), k[order], own[order]), ["bucket", "key", "own"])
+
+    def meet(found: pa.Table) -> pa.Table:
+        h, _, p, opened, *_ = shared.value
+        uid, wid, doc, tf = (unpacked(found[x], k) for x, k in (
+            ("u", np.int32), ("w", np.int32), ("doc", np.uint16), ("tf", np.int32)))
+        rows = np.repeat(np.arange(found.num_rows), sizes(found["doc"]) // 2)
+        many = pc.is_valid(found["own"])
+        one = unpacked(found["key"].filter(pc.invert(many)), np.int64)
+        k = np.concatenate([one, unpacked(found["key"].filter(many), np.int64)])
+        own = np.concatenate([np.full(len(one), 1 - d), unpacked(found["own"], np.float64)])
+        order = np.argsort(k)
+        k, own = k[order], own[order]
+        at, hit = find(k, joint_key(h[uid].view(np.uint64), h[wid].view(np.uint64)).view(np.int64))
+        value = (opened[uid] * p[wid]).mean(axis=1)
+        value[hit] += own[at[hit]]
+        text, which = np.unique(rows << 16 | doc, return_inverse=True)
+        made = packed(text >> 16, (text & 0xFFFF).astype(np.uint16), np.bincount(which, tf * np.log10(value), len(text)))
+        head = found.filter(pc.is_valid(found["rid"])).select(["blk", "rid", "n", "known", "base", "logp", "ks"])
+        sums = pa.table([found["blk"].take(made[0]), made[1], made[2]], names=["blk", "doc", "logp"])
+        return pa.concat_tables([head, sums], promote_options="default").select(["blk", "doc", *(x.split()[0] for x in heads)])
+
+    def finish(found: pa.Table) -> pa.Table:
+        head = pc.is_valid(found["rid"])
+        first, rest = found.filter(head), found.filter(pc.invert(head))
+        logp = unpacked(first["logp"], np.float64)
+        n = len(logp)
+        logp = logp + np.bincount(unpacked(rest["doc"], np.uint16), unpacked(rest["logp"], np.float64), n)
+        keys = pa.chunked_array([x.flatten() for x in first["ks"].chunks], first.schema.field("ks").type.value_type)
+        return pa.table([pa.array(unpacked(first["rid"], np.int64)), keys, pa.array(np.ones(n, np.int64)),
+                         *[pa.array(unpacked(first[x], k)) for x, k in (("n", np.int64), ("known", np.int64), ("base", np.float64))],
+                         pa.array(logp)], names=["rid", "k", "rows", "n", "known", "base", "logp"])
+
+    rare = model.known.where(~frequent)
     by_word = rare.select(F.col("h").alias("rw"), F.col("c").alias("wc"), F.col("ps").alias("wp"))
     by_context = rare.select(F.col("h").alias("ru"), F.col("c").alias("uc"), F.col("opens").alias("uo"))
     back = sum((F.coalesce(o, theta + d * F.col("uo")[i]) * F.coalesce(p, F.col("wp")[i])
                 for i, (o, p) in enumerate(zip(opens, probs, strict=True))), F.lit(0.0)) / model.samples
-    sums = [F.max("k").alias("k"), *[F.sum(x).alias(x) for x in ("rows", "n", "known", "base", "logp")]]
+    zero = F.lit(0).cast("long")
     parts = []
     for part in range(PARTS):
-        near = source.mapInArrow(lines(part, False), f"rid long, key long, tf long, back double, total double, k {kind}, "
-                                 "rows long, n long, known long, base double, logp double")
-        far = source.mapInArrow(lines(part, True), "rid long, key long, tf long, ru long, rw long, total double, " + ", ".join(
-            f"{x} double" for x in (*opens, *probs))).join(by_word, "rw", "left").join(by_context, "ru", "left").select(
-            "rid", "key", "tf", back.alias("back"),
-            F.coalesce("total", theta + F.col("uc")).alias("total"), F.lit(None).cast(kind).alias("k"),
-            F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n"),
-            F.when(F.col("wc") > 0, F.col("tf")).otherwise(0).alias("known"),
-            F.when(F.col("wc").isNotNull(), F.col("tf") * F.log10(F.col("wc") + 1)).otherwise(0.0).alias("base"),
-            F.lit(0.0).alias("logp"))
-        # in a job of its own, so that its shuffles are gone before those of all lines
-        far = settle(far, f"rare-{part}")
-        met = near.unionByName(far).join(model.own[part].select("key", "own"), "key", "left")
-        each = F.when(F.col("tf") > 0, F.col("tf") * F.log10((F.coalesce("own", F.lit(0.0)) + F.col("back")) / F.col("total")))
-        parts.append(settle(met.withColumn("logp", F.col("logp") + F.coalesce(each, F.lit(0.0))).groupBy("rid").agg(*sums),
-                            f"score-{part}"))
-        discard(far)
-    whole = _all(parts).groupBy("rid").agg(*sums).withColumn("copy", F.explode(F.expr("array_repeat(0, int(rows))")))
+        dealt = source.mapInArrow(near(part), "bucket long, blk long, " + ", ".join(lines + heads))
+        own = met[part].select(*PAIRS[:4]).mapInArrow(counted, "bucket long, key binary, own binary")
+        single = model.single[part].select("bucket", F.col("single").alias("key"))
+        sums = _all([dealt, own, single], allowMissingColumns=True).groupBy("bucket").applyInArrow(
+            meet, "blk long, doc binary, " + ", ".join(heads))
+        texts = settle(sums.groupBy("blk").applyInArrow(
+            finish, f"rid long, k {kind}, rows long, n long, known long, base double, logp double"), f"near-{part}")
+        parts.append(texts if part == 0 else texts.select("rid", F.lit(None).cast(kind).alias("k"), *(
+            zero.alias(x) for x in ("rows", "n", "known")), F.lit(0.0).alias("base"), "logp"))
+        rare_own = model.own_single(part, "rare_single").unionByName(model.own_many(model.many[part].where("rare = 1")))
+        for turn in range(TURNS):
+            apart = source.mapInArrow(far(part, turn), "rid long, key long, tf long, ru long, rw long, total double, " + ", ".join(
+                f"{x} double" for x in (*opens, *probs))).join(by_word, "rw", "left").join(by_context, "ru", "left").select(
+                "rid", "key", "tf", back.alias("back"), F.coalesce("total", theta + F.col("uc")).alias("total"),
+                F.when(F.col("wc") > 0, F.col("tf")).otherwise(0).alias("known"),
+                F.when(F.col("wc").isNotNull(), F.col("tf") * F.log10(F.col("wc") + 1)).otherwise(0.0).alias("base"))
+            each = F.col("tf") * F.log10((F.coalesce("own", F.lit(0.0)) + F.col("back")) / F.col("total"))
+            added = settle(apart.join(rare_own.select("key", "own"), "key", "left").groupBy("rid").agg(
+                F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum(each).alias("logp")), f"rare-{part}-{turn}")
+            parts.append(added.select("rid", F.lit(None).cast(kind).alias("k"), zero.alias("rows"), zero.alias("n"), "known", "base", "logp"))
+    whole = _all(parts).groupBy("rid").agg(F.max("k").alias("k"), *[
+        F.sum(x).alias(x) for x in ("rows", "n", "known", "base", "logp")]).withColumn(
+        "copy", F.explode(F.expr("array_repeat(0, int(rows))")))
     n = (F.col("n") / F.col("rows")).cast("long")
     denominator = float(np.log10(model.tokens + model.types + 1))
     return whole.select(F.col("k").alias(key), n.alias("n_tokens"), (F.col("known") / F.col("rows")).cast("long").alias("n_known"),
