@@ -39,7 +39,7 @@ from pitscreen.llm import grams
 from pitscreen.llm.frames import col, discard, settle
 
 #: Bound on the number of words that are broadcast, 16 bytes each and 16 more a sample, and on that of pairs, 16 bytes each.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 SYMBOLS = 257  # bytes and, unused so far, one more for a base that sums to one
 SPACE = 0x20   # before and after each word
 THETA = 1.0
@@ -520,18 +520,21 @@ def tables(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, w, t = (unpacked(batch.column(i), np.int64) for i in range(3))
-            h, which = np.unique(np.concatenate([w, u]), return_inverse=True)
-            n_w, n_u = (np.bincount(x, t, len(h)).astype(np.int64) for x in (which[:len(w)], which[len(w):]))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n_w, n_u)], ["h", "n_w", "n_u"])
+            share = np.cumsum(sizes(batch.column(0))) >> 21  # about 2 MB of words are added up at a time
+            cut = np.append(np.unique(share, return_index=True)[1], len(share))
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                u, w, t = (unpacked(x.slice(lo, hi - lo), np.int64) for x in batch.columns)
+                h, which = np.unique(np.concatenate([w, u]), return_inverse=True)
+                n_w, n_u = (np.bincount(x, t, len(h)).astype(np.int64) for x in (which[:len(w)], which[len(w):]))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, n_w, n_u)], ["h", "n_w", "n_u"])
 
     return found.select("u", "w", "t").mapInArrow(run, "h long, n_w long, n_u long")
 
 
 def frequent_states(known: DataFrame, frequent: Column) -> Broadcast:
     """Hashes, probabilities without a context and tables as a context of the frequent words, by hash."""
-    state = known.where(frequent).select("h", F.pow(F.lit(10.0), F.col("logp")).alias("p"), F.col("opened").cast("double")
-                                         ).toArrow().sort_by("h")
+    state = known.where(frequent).select("h", F.pow(F.lit(10.0), F.col("logp")).cast("float").alias("p"),
+                                         F.col("opened").cast("float")).toArrow().sort_by("h")
     return known.sparkSession.sparkContext.broadcast(tuple(state[x].to_numpy() for x in ("h", "p", "opened")))
 
 
@@ -551,7 +554,7 @@ def seated_pairs(many: DataFrame, known: DataFrame, discount: float, seed: int,
         for batch in batches:
             for i in range(batch.num_rows):
                 u, w, c, kept = (unpacked(x.slice(i, 1), np.int64) for x in batch.columns)
-                yield seated(0, u, w, c, kept, p[find(h, w)[0]], opened[find(h, u)[0]])
+                yield seated(0, u, w, c, kept, p[find(h, w)[0]].astype(float), opened[find(h, u)[0]].astype(float))
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

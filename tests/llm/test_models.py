@@ -317,3 +317,31 @@ def test_words_and_pairs_counted_in_small_blocks(docs, monkeypatch):
     assert hpy_lm.COUNTED <= 4 << 20
     monkeypatch.setattr(hpy_lm, "COUNTED", 30)
     assert counted() == whole and sum(map(len, whole)) > 8
+
+
+def test_rare_words_and_packed_pairs(spark, docs, monkeypatch):
+    monkeypatch.setattr(hpy_lm, "FREQUENT", 6)
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"w{min(rnd.randint(0, 25), rnd.randint(0, 25))}" for _ in range(30)) + f" u{i}") for i in range(50)]
+    d, train = docs([*rows, (100, "w1 unseen w1 u3 w24 w1 unseen"), (100, "w2 w1"), (101, None)]), F.col("doc_id") < 100
+    top = np.sort(hpy_lm.word_hashes(pa.array([b"", b"w1", b"w2"], pa.binary())))
+    packed = hpy_lm.pairs(d, train, "text", 0, spark.sparkContext.broadcast(top))
+    assert packed.count() <= 64
+    count = Counter((a, b) for _, x in rows for a, b in zip(["", *x.split()], [*x.split(), ""], strict=True))
+    assert packed.agg(F.sum("ones")).first()[0] == sum(c == 1 for c in count.values())
+    assert sorted(r.c for r in hpy_lm.spread(packed, c=np.int64).collect()) == sorted(c for c in count.values() if c > 1)
+    model = hpy_lm.fit_contexts(d, train)
+    known = {r.h: r for r in model.known.collect()}
+    assert 1 <= sum(r.c >= model.least for r in known.values()) <= 6
+    own = {r.key: r.own for p in model.own for r in p.collect()}
+    assert len(own) == len(count)
+    got = {(r.doc_id, r.n_tokens): r.score for r in hpy_lm.score(d, model).collect()}
+    for i, text in (rows[0], rows[9], (100, "w1 unseen w1 u3 w24 w1 unseen"), (100, "w2 w1"), (101, "")):
+        h = hpy_lm.word_hashes(pa.array([*(x.encode() for x in text.split()), b""], pa.binary()))
+        want = 0.0
+        for u, w in zip([0, *h[:-1].tolist()], h.tolist(), strict=True):
+            pair = np.array([u, w], dtype=np.int64).view(np.uint64)
+            back = [(hpy_lm.THETA + model.discount * o) * p for o, p in zip(known[u].opens, known[w].ps, strict=True)]
+            joint = int(hpy_lm.joint_key(pair[:1], pair[1:]).view(np.int64)[0])
+            want += math.log10((own.get(joint, 0.0) + sum(back) / 2) / (known[u].c + hpy_lm.THETA))
+        assert got[i, len(h)] == pytest.approx(want, abs=1e-9)
